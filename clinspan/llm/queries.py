@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import mpeg_ts, token_counts
+from . import fingerprints, license_scan, mpeg_ts, secret_scan, simhash, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
     "op2_mpeg_ts": mpeg_ts.query,
+    "op5_license_scan": license_scan.query,
+    "op6_fingerprints": fingerprints.query,
+    "op7_simhash": simhash.query,
+    "op9_secret_scan": secret_scan.query,
 }
