@@ -3,6 +3,7 @@
 Byte-pair encoding never crosses the border of a pre-token, so a text's ids are its pre-tokens' ids one after another.
 Texts over the letters and signs of ``SAFE`` are split here by plain character classes; any other text (other scripts,
 control characters, strings of special tokens) goes whole to the library, so results are the library's in each case.
+A worker keeps what it has met by chunk, the text between two blanks, since chunks hold whole pre-tokens.
 """
 
 from __future__ import annotations
@@ -14,15 +15,15 @@ import struct
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 NUMBERS = "0-9²³¹¼-¾"
 #: U+0130 and U+0149 are left out: their lower case is longer or their normal form differs.
-SAFE = re.compile("[\t-\r -~ -įı-ňŊ-ſ–—‘’“-„…€]*")
-
-#: The byte-level pattern of byte_bpe_50k.json and the word pattern of word_bpe_49k.json over SAFE texts (fixed values).
+SAFE = re.compile("[\t-\r -~ -įı-ňŊ-ſ–—‘’“-„…€]*")
+#: The byte-level pattern of byte_bpe_50k.json over SAFE texts (fixed value).
 BYTE_LEVEL = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"
 )
-WORD_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
+#: A blank next to other white space: there a pre-token may take in parts of two chunks.
+ODD_BLANKS = ("  ", " \n", " \t", " \r", " \x0b", " \x0c", " \xa0")
 
-#: Entries of a worker's cache, and the length from which a pre-token isn't kept in it.
+#: Entries of a worker's cache, and the length from which a chunk isn't kept in it.
 CACHE_ENTRIES = 400_000
 CACHE_CHARS = 64
 
@@ -40,46 +41,71 @@ def special_strings(tokenizer) -> tuple[str, ...]:
     return tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
 
 
-class PretokenCache:
-    """Pre-token -> value of its ids, in two tiers: a broadcast table that stays, and what this worker has met besides.
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
 
-    value: takes the list of ids of a pre-token.
-    """
+class _Cached:
+    """Chunk -> value, for chunks of safe texts; ``measure`` gives the values of chunks that aren't known."""
 
-    def __init__(self, path: str, pattern: re.Pattern, value, frequent: dict | None = None, lower: bool = False):
+    def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
         self.special = special_strings(self.tokenizer)
-        self.pattern, self.value, self.lower = pattern, value, lower
-        self.frequent = frequent or {}
-        self.known = dict(self.frequent)
+        self.known: dict = {}
+
+    def safe(self, text: str) -> bool:
+        return SAFE.fullmatch(text) is not None and not any(s in text for s in self.special)
 
     def whole(self, text: str) -> list[int]:
         """The library on the whole text."""
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def split(self, text: str) -> list[str] | None:
-        """Its pre-tokens, or None if only the library may take this text."""
-        if not (text.isascii() and "\x1c" not in text and text.isprintable()) and not SAFE.fullmatch(text):
-            return None
-        if any(s in text for s in self.special):
-            return None
-        return self.pattern.findall(text.lower() if self.lower else text)
-
-    def values(self, pretokens: list[str]) -> list:
+    def values(self, chunks: list[str]) -> list:
         try:
-            return list(map(self.known.__getitem__, pretokens))
+            return list(map(self.known.__getitem__, chunks))
         except KeyError:
             pass
-        if len(self.known) > CACHE_ENTRIES + len(self.frequent):
-            self.known = dict(self.frequent)
-        missing = [p for p in set(pretokens) if p not in self.known]
-        encoded = self.tokenizer.encode_batch(missing, add_special_tokens=False)
-        found = {p: self.value(e.ids) for p, e in zip(missing, encoded, strict=True)}
-        self.known.update((p, v) for p, v in found.items() if len(p) <= CACHE_CHARS)
+        if len(self.known) > CACHE_ENTRIES:
+            self.known = {}
+        missing = [c for c in set(chunks) if c not in self.known]
+        found = dict(zip(missing, self.measure(missing), strict=True))
+        self.known.update((c, v) for c, v in found.items() if len(c) <= CACHE_CHARS)
         known = self.known
-        return [known[p] if p in known else found[p] for p in pretokens]
+        return [known[c] if c in known else found[c] for c in chunks]
 
 
-def packed(ids: list[int]) -> bytes:
-    """Ids as little-endian unsigned 32-bit numbers."""
-    return struct.pack(f"<{len(ids)}I", *ids)
+class ByteLevelCounts(_Cached):
+    """Numbers of byte-level tokens. frequent: the first tier, pre-token -> number; what it lacks, the library counts."""
+
+    def __init__(self, path: str, frequent: dict[str, int] | None = None):
+        super().__init__(path)
+        self.frequent = frequent or {}
+
+    def of_pretokens(self, lists: list[list[str]]) -> list[int]:
+        frequent = self.frequent
+        missing = list({p for pretokens in lists for p in pretokens if p not in frequent})
+        found = {p: len(e.ids) for p, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True)}
+        return [sum(frequent[p] if p in frequent else found[p] for p in pretokens) for pretokens in lists]
+
+    def measure(self, chunks: list[str]) -> list[int]:
+        return self.of_pretokens([BYTE_LEVEL.findall(f" {c}") for c in chunks])
+
+    def count(self, text: str) -> int:
+        if not self.safe(text):
+            return len(self.whole(text))
+        if text.endswith(" ") or any(b in text for b in ODD_BLANKS):
+            return self.of_pretokens([BYTE_LEVEL.findall(text)])[0]
+        chunks = text.split(" ")
+        head = chunks.pop(0)
+        return (self.of_pretokens([BYTE_LEVEL.findall(head)])[0] if head else 0) + sum(self.values(chunks))
+
+
+class WordLevelIds(_Cached):
+    """Packed ids of the word-level tokenizer, which drops white space and lower-cases: chunks stand by themselves."""
+
+    def measure(self, chunks: list[str]) -> list[bytes]:
+        return [packed(e.ids) for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
+
+    def ids(self, text: str) -> bytes:
+        return b"".join(self.values(text.split())) if self.safe(text) else packed(self.whole(text))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, license_scan, mpeg_ts, secret_scan, simhash, token_counts
+from . import fingerprints, license_scan, mpeg_ts, packing, secret_scan, simhash, token_counts, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -10,5 +10,7 @@ QUERIES = {
     "op5_license_scan": license_scan.query,
     "op6_fingerprints": fingerprints.query,
     "op7_simhash": simhash.query,
+    "op8_warc": warc.query,
     "op9_secret_scan": secret_scan.query,
+    "op10_packing": packing.query,
 }

@@ -2,4 +2,6 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from . import warc
+
+SQL: dict[str, str] = {"op8_warc": warc.SQL}

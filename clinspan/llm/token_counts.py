@@ -3,8 +3,8 @@
 The first tier is a compact hash table, pre-token -> number of tokens, broadcast once. By default it comes from the
 tokenizer itself: byte-pair merges are ranked by frequency, so the vocabulary's entries (and their capitalised and
 space-led forms) are the frequent pre-tokens of such text; its size depends on the tokenizer alone, never on the corpus.
-Callers may pass pre-tokens of their own. The table only saves work: a pre-token that it lacks is encoded by the library
-once per worker and kept in that worker's bounded cache, the second tier. One scan, no exchange, each task by itself.
+Callers may pass pre-tokens of their own. The table only saves work: pre-tokens that it lacks are encoded by the library,
+and a worker keeps the sums of the chunks between blanks that it has met in a bounded cache, the second tier. One scan, no exchange, each task by itself.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import id_and_text, read_table, utf8
-from .pretokens import BYTE_LEVEL, PretokenCache, load_tokenizer
+from .pretokens import BYTE_LEVEL, ByteLevelCounts, load_tokenizer
 
 #: A table never has more entries than this.
 MAX_FREQUENT = 200_000
@@ -48,13 +48,12 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, pretok
     table = spark.sparkContext.broadcast(frequent_lengths(path, pretokens))
 
     def count(batches):
-        cache = PretokenCache(path, BYTE_LEVEL, len, table.value)
+        tokens = ByteLevelCounts(path, table.value)
         for batch in batches:
             ids, sizes, counts = batch.column(0), [], []
             for text in batch.column(1).to_pylist():
                 sizes.append(len(text) if text.isascii() else len(utf8(text)))
-                pretokens_ = cache.split(text)
-                counts.append(len(cache.whole(text)) if pretokens_ is None else sum(cache.values(pretokens_)))
+                counts.append(tokens.count(text))
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(count, SCHEMA)
