@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import warc
+from . import mixing, warc
 
-SQL: dict[str, str] = {"op8_warc": warc.SQL}
+SQL: dict[str, str] = {"op3_mixing": mixing.SQL, "op8_warc": warc.SQL}
