@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprints, license_scan, mixing, mpeg_ts, packing, secret_scan, simhash, token_counts, warc
+from . import fingerprints, license_scan, mixing, mpeg_ts, packing, secret_scan, simhash, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
     "op2_mpeg_ts": mpeg_ts.query,
     "op3_mixing": mixing.query,
+    "op4_toxicity": toxicity.query,
     "op5_license_scan": license_scan.query,
     "op6_fingerprints": fingerprints.query,
     "op7_simhash": simhash.query,
