@@ -4,7 +4,7 @@ A text's canonical form is its compatibility normal form (NFKC), case-folded, no
 space as one blank and none at the ends. Its digest is the 128-bit xxh3 of the form's UTF-8. Texts are grouped by digest,
 and inside groups of several documents the canonical bytes are compared: Spark groups by (digest, canonical text), whose
 map-side half keeps one row per distinct text and task, so the largest group of copies costs a task no more than one row.
-Should two forms share a digest, the second, third, ... of them (by bytes) get the suffix -1, -2, ...
+Should two forms share a digest, the second, third, ... of them (by SHA-256) get the suffix -1, -2, ...
 """
 
 from __future__ import annotations
@@ -67,10 +67,11 @@ def colliding_classes(texts: DataFrame, shared: DataFrame) -> DataFrame:
     """
     few = shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     keys = F.broadcast(shared) if few else shared
-    forms = texts.join(keys, "digest", "left_semi").groupBy("digest", "canonical").agg(F.min("probe").alias("probe"))
-    several = forms.groupBy("digest").count().where("count > 1").select("digest")
-    order = Window.partitionBy("digest").orderBy("canonical")
-    return forms.join(several, "digest", "left_semi").select("digest", "probe", (F.row_number().over(order) - 1).alias("ordinal"))
+    # The grouping compares bytes; one narrow row of each distinct form is written, so the texts are shuffled once.
+    forms = cut(texts.join(keys, "digest", "left_semi").groupBy("digest", "canonical").agg(F.min("probe").alias("probe")).select("digest", "probe", F.sha2("canonical", 256).alias("form")))
+    within = Window.partitionBy("digest")
+    several = forms.withColumn("n", F.count(F.lit(1)).over(within)).where("n > 1")
+    return several.select("digest", "probe", (F.row_number().over(within.orderBy("form")) - 1).alias("ordinal"))
 
 
 def _with_suffix(rows: DataFrame, classes: DataFrame, name: str, probe: str) -> DataFrame:
