@@ -31,9 +31,13 @@ GOLDEN = (5**0.5 - 1) / 2
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
+def mark_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"):
+    return F.xxhash64(docs[id_col].cast("long"), docs[source_col].cast("string"), docs[text_col].cast("string"))
+
+
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size (words; null text: 0)."""
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), F.coalesce(F.regexp_count(docs[text_col].cast("string"), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"))
+    """doc_id, source, mark (a hash of id, source and text), size (words; null text: 0)."""
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), mark_of(docs, id_col, text_col, source_col).alias("mark"), F.coalesce(F.regexp_count(docs[text_col].cast("string"), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -69,7 +73,7 @@ def targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 def streams(rows: DataFrame, table: DataFrame, seed: str = SEED) -> DataFrame:
     """rows with place (of the source), source_size, target, block_words and start: the document's first word in its
-    source's stream, whose order is that of md5(doc_id:seed), then doc_id and size."""
+    source's stream, whose order is that of md5(doc_id:seed), then doc_id, size and mark."""
     n = max(1, int((table.agg(F.sum("docs")).first()[0] or 0) / RANGE_DOCS))
     ranges = 1 << min(20, (n - 1).bit_length())
     facts = table.select("source", "place", "source_size", "target", "block_words", "quota")
@@ -79,7 +83,7 @@ def streams(rows: DataFrame, table: DataFrame, seed: str = SEED) -> DataFrame:
     sums = hashed.groupBy("place", "range").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("place").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("place", "range", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("place", "range").orderBy("hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("place", "range").orderBy("hash", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = hashed.withColumn("upto", F.sum("size").over(within)).join(bases, ["place", "range"])
     return placed.withColumn("start", F.col("base") + F.col("upto") - F.col("size")).drop("hash", "range", "upto", "base")
 
@@ -157,22 +161,50 @@ def fragments(placed: DataFrame) -> DataFrame:
     return pieces.withColumn("first", low - F.col("start")).withColumn("words", high - low)
 
 
+def contributions(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per row of docs, with taken_0, taken_1, ...: the words that each round takes of it, from its first word on."""
+    rows = cut(sized(docs, id_col, text_col, source_col))
+    table = cut(targets(rows, weights, share, cap))
+    placed = cut(streams(rows, table, seed))
+    rounds = range(cap)
+    times = schedule(docs.sparkSession, table).groupBy("place", "block").agg(*(F.count_if(F.col("round") == r).alias(f"times_{r}") for r in rounds))
+    kept = ["doc_id", "source", "mark", "size", "source_size", "target", "block_words", "quota", "place", "start"]
+    # Documents with words have starts of their own in their source, so this sums each document's blocks.
+    given = fragments(placed).join(times, ["place", "block"], "left").groupBy(*kept).agg(*(F.sum(F.col("words") * F.coalesce(F.col(f"times_{r}"), F.lit(0))).cast("long").alias(f"taken_{r}") for r in rounds))
+    return given.unionByName(placed.where("size = 0").select(*kept, *(F.lit(0).cast("long").alias(f"taken_{r}") for r in rounds))).drop("place")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken and also source, start and block_words: one row per row of docs.
+    """doc_id, source, mark, size, source_size, target, block_words, quota, start, taken: one row per row of docs.
 
     taken counts the words that the mix takes of the row, repeats included, at most cap times its size. Null texts have
     size 0 and give nothing; a null source is a source of its own, the last; rows without an id and repeated rows are
     mixed like others; an empty table gives an empty result; other columns are ignored, whatever their names. Ties in the
-    shuffle are ordered by id and size, so reruns agree.
+    shuffle are ordered by id, size and text, so reruns agree.
     """
-    rows = cut(sized(docs, id_col, text_col, source_col))
-    table = cut(targets(rows, weights, share, cap))
-    placed = cut(streams(rows, table, seed))
-    times = schedule(docs.sparkSession, table).groupBy("place", "block").agg(F.count(F.lit(1)).alias("times"))
-    kept = ["doc_id", "source", "size", "source_size", "target", "block_words", "quota", "place", "start"]
-    # Documents with words have starts of their own in their source, so this sums each document's blocks.
-    given = fragments(placed).join(times, ["place", "block"], "left").groupBy(*kept).agg(F.sum(F.col("words") * F.coalesce(F.col("times"), F.lit(0))).cast("long").alias("taken"))
-    return given.unionByName(placed.where("size = 0").select(*kept, F.lit(0).cast("long").alias("taken"))).drop("place")
+    out = contributions(docs, weights, share, cap, seed, id_col, text_col, source_col)
+    return out.withColumn("taken", sum((F.col(f"taken_{r}") for r in range(cap)), F.lit(0)).cast("long")).drop(*(f"taken_{r}" for r in range(cap)))
+
+
+def mixed_documents(docs: DataFrame, cap: int = CAP, chars_col: str = "n_chars", **settings) -> DataFrame:
+    """The mix itself, with the columns of docs (doc_id, text, source, n_chars and others): a row for each round that
+    takes of a document. A document at the end of a source's last block is cut after the last word that is taken."""
+    given = contributions(docs, cap=cap, **settings)
+    takes = given.select("doc_id", "mark", "size", F.filter(F.array(*(F.col(f"taken_{r}") for r in range(cap))), lambda n: n > 0).alias("takes")).where("size(takes) > 0")
+    # Rows alike in id, source and text are one here, with all their takes.
+    takes = takes.groupBy("mark", F.col("doc_id").alias("key"), "size").agg(F.flatten(F.collect_list("takes")).alias("takes"))
+    # A mark of 64 bits may stand for two rows of other ids: those are told apart by their ids.
+    same = Window.partitionBy("mark").orderBy("doc_id", *(c for c in docs.columns if c != "doc_id"))
+    own = docs.withColumn("mark", mark_of(docs)).withColumn("before", F.lag(F.struct("doc_id")).over(same)).where(~F.col("before").eqNullSafe(F.struct("doc_id"))).drop("before")
+    joined = own.join(takes.withColumnRenamed("mark", "mark_2"), (F.col("mark") == F.col("mark_2")) & F.col("doc_id").eqNullSafe(F.col("key")))
+    rows = joined.withColumn("take", F.explode("takes"))
+    blanks = r"[\x20\x09-\x0D]+"
+    # Splitting off the first words leaves the rest as the last element.
+    parts = F.split("text", blanks, (F.col("take") + 1 + F.col("text").rlike(f"^{blanks}").cast("int")).cast("int"))
+    head = F.regexp_replace(F.substring(F.col("text"), F.lit(1), F.length("text") - F.length(F.element_at(parts, -1))), f"{blanks}$", "")
+    partial = F.col("take") < F.col("size")
+    text = F.when(partial, head).otherwise(F.col("text"))
+    return rows.withColumn(chars_col, F.when(partial, F.length(head)).otherwise(F.col(chars_col)).cast(docs.schema[chars_col].dataType)).withColumn("text", text).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,5 +182,22 @@ def redact(text: str | None, mark: str = "[SECRET]", reach: int = REACH) -> str
     return "".join([*out, text[at:]]) if out else text
 
 
+def redact_documents(docs: DataFrame, mark: str = "[SECRET]", reach: int = REACH, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """docs, all rows and columns, with redacted texts and their numbers of code points; other texts stay as they are."""
+    names = docs.columns
+    at_text, at_chars = names.index(text_col), names.index(chars_col)
+
+    def run(batches):
+        for batch in batches:
+            old = batch.column(at_text).to_pylist()
+            new = [redact(t, mark, reach) for t in old]
+            chars = [c if a is b or a == b else len(b) for a, b, c in zip(old, new, batch.column(at_chars).to_pylist(), strict=True)]
+            columns = list(batch.columns)
+            columns[at_text], columns[at_chars] = pa.array(new, columns[at_text].type), pa.array(chars, columns[at_chars].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents")).drop("found")

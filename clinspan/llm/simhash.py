@@ -267,5 +267,20 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
+    """docs, all columns, with one row of each group of near-duplicates: the one of the smallest id, the first of its rows
+    (by all columns) if the id repeats. Rows without an id stay, since no id could name them as a copy."""
+    found = near_duplicates(docs, id_col=id_col, **settings).where("doc_id = component_id").groupBy("doc_id").count()
+    found = cut(found.withColumnRenamed("doc_id", id_col))
+    single = docs.join(found.where("count = 1").select(id_col), id_col, "left_semi")
+    repeated = found.where("count > 1").select(id_col)
+    out = single.select(*docs.columns).unionByName(docs.where(docs[id_col].isNull()))
+    if repeated.isEmpty():
+        return out
+    rows = docs.join(repeated, id_col, "left_semi").select(*docs.columns)
+    firsts = rows.groupBy(id_col).agg(F.min(F.struct(*(c for c in docs.columns if c != id_col))).alias("first")).select(id_col, "first.*")
+    return out.unionByName(firsts.select(*docs.columns))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))

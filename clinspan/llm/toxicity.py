@@ -348,6 +348,24 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     return id_and_text(docs, id_col, text_col).mapInArrow(run, SCORE_SCHEMA)
 
 
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """Those rows of docs, all columns, whose score is below 0.5; null texts count as empty."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at_text = docs.columns.index(text_col)
+
+    def run(batches):
+        tagger = Tagger(held.value)
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, 1000)
+                scores = tagger.tag([t or "" for t in part.column(at_text).to_pylist()])[2]
+                yield part.filter(pa.array(np.round(scores, 9) < 0.5))
+                at += 1000
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     rows, population = training_rows(docs, labels)
