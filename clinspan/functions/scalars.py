@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Thirty days and six months, in minutes.
 DAYS_30, MONTHS_6 = 30 * 24 * 60, 6 * 30 * 24 * 60
 
 
+def literals(one_row: DataFrame) -> dict[str, Column]:
+    """The cells of a table of one row as literals: an aggregate's few numbers go through the driver, no rows are joined."""
+    row = one_row.first()
+    return {f.name: F.lit(row[f.name]).cast(f.dataType) for f in one_row.schema.fields}
+
+
 def strict_number(text: Column, kind: str = "double") -> Column:
     """Trimmed text as a number; text that is none raises an error; null stays null."""
     return F.trim(text).cast(kind)

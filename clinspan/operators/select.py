@@ -74,13 +74,15 @@ def before_operation(events: DataFrame, operations: DataFrame, days: int = 5) ->
     return joined.where(F.col("chart_time").between(F.col("orin_time") - days * MINUTES_PER_DAY, F.col("orin_time") - 1)).drop("orin_time")
 
 
+def every_item(subjects: DataFrame, items: list[str]) -> DataFrame:
+    """subject_id, item_name: each subject once with each of the caller's items."""
+    return subjects.select("subject_id").distinct().select("subject_id", F.explode(F.array(*map(F.lit, items))).alias("item_name"))
+
+
 def item_grid(subjects: DataFrame, items: list[str], events: DataFrame) -> DataFrame:
     """subject_id, item_name, n: a row for every subject and wanted item, n = 0 where it has no events."""
-    spark = subjects.sparkSession
-    names = spark.createDataFrame([(i,) for i in items], "item_name string")  # the caller's list, times subjects
     counts = events.where(F.col("item_name").isin(items)).groupBy("subject_id", "item_name").agg(F.count("value").alias("n"))
-    every = subjects.select("subject_id").distinct().crossJoin(F.broadcast(names))
-    return every.join(counts, ["subject_id", "item_name"], "left").na.fill(0, ["n"])
+    return every_item(subjects, items).join(counts, ["subject_id", "item_name"], "left").na.fill(0, ["n"])
 
 
 def with_evidence(events: DataFrame, least: int = 2) -> DataFrame:

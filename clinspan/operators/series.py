@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clinspan.functions import scalars
+
 
 def _points(series: DataFrame, step: int) -> DataFrame:
     """Distinct observations with their neighbours; a lone one is repeated a step later, observed too."""
@@ -97,8 +99,8 @@ def fit_scaler(train: DataFrame, items: list[str]) -> DataFrame:
 
 def scale(frame: DataFrame, scaler: DataFrame, items: list[str]) -> DataFrame:
     """Items as z-scores of the scaler's one row; masks stay."""
-    joined = frame.crossJoin(F.broadcast(scaler))
-    return joined.withColumns({i: (F.col(i) - F.col(f"{i}_mean")) / F.col(f"{i}_sd") for i in items}).drop(*(f"{i}_{s}" for i in items for s in ("mean", "sd")))
+    found = scalars.literals(scaler)
+    return frame.withColumns({i: (F.col(i) - found[f"{i}_mean"]) / found[f"{i}_sd"] for i in items})
 
 
 def padded(frame: DataFrame, items: list[str], length: int) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clinspan.functions import scalars
+
 RANGES = 256
 
 
@@ -24,10 +26,10 @@ def ranked(df: DataFrame, key: str, order: Column, by: str | None = None) -> Dat
     """df with _rank (from 0, by order and key) and _total, within groups of by if given."""
     groups = ["_g"]
     rows = df.withColumn("_g", F.col(by).cast("string") if by else F.lit("")).withColumn("_o", order)
-    ends = rows.agg(F.min("_o").alias("_a"), F.max("_o").alias("_b"))
+    ends = scalars.literals(rows.agg(F.min("_o").alias("_a"), F.max("_o").alias("_b")))
     span = (F.col("_b").cast("double") - F.col("_a").cast("double")) / RANGES
     place = F.when(span == 0, 0).otherwise(F.least(F.floor((F.col("_o").cast("double") - F.col("_a").cast("double")) / span), F.lit(RANGES - 1))).cast("int")
-    rows = rows.crossJoin(F.broadcast(ends)).withColumn("_r", place).drop("_a", "_b")
+    rows = rows.withColumns(ends).withColumn("_r", place).drop("_a", "_b")
     counts = rows.groupBy(*groups, "_r").agg(F.count(F.lit(1)).alias("_n"))
     own = Window.partitionBy(*groups)
     bases = counts.withColumn("_base", F.sum("_n").over(own.orderBy("_r")) - F.col("_n")).withColumn("_total", F.sum("_n").over(own)).drop("_n")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clinspan.functions import scores
+from clinspan.functions import scalars, scores
 
 
 def operations_per_subject(operations: DataFrame) -> DataFrame:
@@ -99,12 +99,12 @@ def box_stats(values: DataFrame, by: list[str]) -> DataFrame:
 def histogram(values: DataFrame, bins: int, value_col: str = "value") -> DataFrame:
     """bin (0 to bins - 1), low, high, n; the last bin holds its upper edge; empty bins are listed."""
     v = F.col(value_col).cast("double")
-    ends = values.agg(F.min(v).alias("a"), F.max(v).alias("b"))
-    rows = values.where(v.isNotNull()).crossJoin(F.broadcast(ends))  # one row with the ends
+    ends = scalars.literals(values.agg(F.min(v).alias("a"), F.max(v).alias("b")))
+    rows = values.where(v.isNotNull()).withColumns(ends)
     width = (F.col("b") - F.col("a")) / bins
     place = F.when(F.col("a") == F.col("b"), 0).otherwise(F.least(F.floor((v - F.col("a")) / width), F.lit(bins - 1))).cast("int")
     counts = rows.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    every = values.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).crossJoin(F.broadcast(ends))
+    every = values.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).withColumns(ends)
     out = every.join(counts, "bin", "left")
     return out.select("bin", (F.col("a") + F.col("bin") * width).alias("low"), (F.col("a") + (F.col("bin") + 1) * width).alias("high"), F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -480,7 +480,7 @@ def _(spark, d):
 def _(spark, d):
     st = _stats(spark, d)
     means = select.last_value(lens.series(spark, d)).groupBy("subject_id", "item_name").agg(F.avg("value").alias("value"))
-    every = lens.operations(spark, d).select("subject_id").distinct().crossJoin(F.broadcast(st.select("item_name")))
+    every = select.every_item(lens.operations(spark, d), list(lens.ITEMS))
     return rounded(joins.with_population_median(every.join(means, ["subject_id", "item_name"], "left"), st), "value").select("subject_id", "item_name", "value")
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clinspan.functions import scalars
+
 RANGES = 256
 
 
@@ -18,8 +20,8 @@ def fit_means(train: DataFrame, columns: list[str]) -> DataFrame:
 
 def impute(df: DataFrame, means: DataFrame, columns: list[str]) -> DataFrame:
     """Null cells take their column's mean of the training rows."""
-    joined = df.crossJoin(F.broadcast(means))  # one row
-    return joined.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"{c}_mean")) for c in columns}).drop(*(f"{c}_mean" for c in columns))
+    found = scalars.literals(means)
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), found[f"{c}_mean"]) for c in columns})
 
 
 def curve(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
@@ -28,7 +30,7 @@ def curve(df: DataFrame, score: str, label: str, by: list[str] | None = None) ->
     known = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     at = known.groupBy(*by, F.col(score).cast("double").alias("score")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
     ends = at.groupBy(*by).agg(F.min("score").alias("_a"), F.max("score").alias("_b"), F.sum("p").alias("positives"), F.sum(F.col("n") - F.col("p")).alias("negatives"))
-    rows = at.join(F.broadcast(ends), by) if by else at.crossJoin(F.broadcast(ends))
+    rows = at.join(F.broadcast(ends), by) if by else at.withColumns(scalars.literals(ends))
     share = (F.col("_b") - F.col("score")) / (F.col("_b") - F.col("_a"))
     rows = rows.withColumn("_r", F.when(F.col("_a") == F.col("_b"), 0).otherwise(F.least(F.floor(share * RANGES), F.lit(RANGES - 1))).cast("int"))
     sums = rows.groupBy(*by, "_r").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))

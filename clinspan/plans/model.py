@@ -9,6 +9,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clinspan.functions import scalars
+
 from . import evaluate
 
 
@@ -42,7 +44,8 @@ def class_weights(train: DataFrame, label: str) -> DataFrame:
     """With weight: negatives over positives for positive rows (1 if there are none), 1 for others."""
     counts = train.agg(F.count_if(F.col(label).cast("int") == 1).alias("_p"), F.count_if(F.col(label).cast("int") == 0).alias("_n"))
     positive = F.coalesce(F.try_divide("_n", "_p"), F.lit(1.0))
-    return train.crossJoin(F.broadcast(counts)).withColumn("weight", F.when(F.col(label).cast("int") == 1, positive).otherwise(1.0)).drop("_p", "_n")
+    weight = scalars.literals(counts.select(positive.alias("w")))["w"]
+    return train.withColumn("weight", F.when(F.col(label).cast("int") == 1, weight).otherwise(1.0))
 
 
 def fit_encoder(vectors: DataFrame, k: int, column: str = "features"):

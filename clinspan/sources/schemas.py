@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType()}
+
+
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Columns as "name type", between commas; without a session, unlike Spark's own parser."""
+    columns = (c.strip().rsplit(" ", 1) for c in text.split(","))
+    return T.StructType([T.StructField(name.strip("`"), TYPES[kind]) for name, kind in columns])
 
 
 OPERATIONS = _schema(
