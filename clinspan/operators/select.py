@@ -99,4 +99,4 @@ def last_value(events: DataFrame, ord_col: str = "_ord", keys: tuple[str, ...] =
 def operation_ordinals(operations: DataFrame, ord_col: str = "_ord") -> DataFrame:
     """With ordinal (from 1, by orin_time) and n_operations of the subject."""
     own = Window.partitionBy("subject_id")
-    return operations.withColumn("ordinal", F.row_number().over(own.orderBy("orin_time", ord_col))).withColumn("n_operations", F.count(F.lit(1)).over(own))
+    return operations.withColumn("ordinal", F.row_number().over(own.orderBy("orin_time", ord_col)).cast("long")).withColumn("n_operations", F.count(F.lit(1)).over(own))

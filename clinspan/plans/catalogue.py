@@ -29,12 +29,13 @@ def query(name: str, sql: str | None = None, views: bool = True):
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    """To six places, without negative zeros, as both engines give them."""
-    return df.withColumns({c: F.round(F.col(c).cast("double"), 6) + F.lit(0.0) for c in columns})
+    """To six places, without negative zeros. A hundredth of the last place is added first, since engines round numbers
+    that end in 5 there either way."""
+    return df.withColumns({c: F.round(F.col(c).cast("double") + F.lit(1e-8), 6) + F.lit(0.0) for c in columns})
 
 
 def r6(text: str) -> str:
-    return f"(round(CAST({text} AS DOUBLE), 6) + 0.0)"
+    return f"(round(CAST({text} AS DOUBLE) + 1e-8, 6) + 0.0)"
 
 
 # Sources and sinks: written by Spark, read back by the explicit schema.
@@ -107,7 +108,7 @@ def _(spark, d):
     path = scratch.fresh_path(spark, "s6")
     sinks.write_feature_table(_features(spark, d), path)
     df = spark.read.option("header", True).csv(path)
-    return df.select(*(scalars.lenient_number(F.col(c), "long").alias(c) for c in ("subject_id", "age", "emop")))
+    return df.select(*(scalars.lenient_number(F.col(c), k).alias(c) for c, k in (("subject_id", "long"), ("age", "long"), ("emop", "int"))))
 
 
 _STATS_SQL = f"SELECT item_name, {r6('mean')} AS mean, {r6('stdev')} AS stdev, {r6('median')} AS median, {r6('mad')} AS mad, length FROM stats_v"
@@ -743,7 +744,7 @@ def _(spark, d):
 def _(spark, d):
     out = series.padded(_wide(spark, d), ["click"], 400)
     add = lambda s, x: s + x
-    return rounded(out.select("subject_id", F.size("steps").alias("n_steps"), F.aggregate("attention", F.lit(0), add).alias("n_attended"), F.aggregate("steps", F.lit(0.0), lambda s, x: s + x[0]).alias("total")), "total")
+    return rounded(out.select("subject_id", F.size("steps").alias("n_steps"), F.aggregate("attention", F.lit(0), add).cast("long").alias("n_attended"), F.aggregate("steps", F.lit(0.0), lambda s, x: s + x[0]).alias("total")), "total")
 
 
 @query("w7_declutter", f'SELECT _ord AS event_id, {r6("(row_number() OVER (PARTITION BY subject_id, chart_time // 1440 ORDER BY item_name, _ord) - 1) * 0.05")} AS "offset" FROM series_v')
@@ -776,7 +777,7 @@ def _(spark, d):
 @query("o1_sorted_vitals", "SELECT _ord AS event_id, row_number() OVER (PARTITION BY subject_id ORDER BY item_name, chart_time, _ord) AS place FROM series_v")
 def _(spark, d):
     order = Window.partitionBy("subject_id").orderBy("item_name", "chart_time", "_ord")
-    return lens.series(spark, d).select(F.col("_ord").alias("event_id"), F.row_number().over(order).alias("place")).orderBy("event_id")
+    return lens.series(spark, d).select(F.col("_ord").alias("event_id"), F.row_number().over(order).cast("long").alias("place")).orderBy("event_id")
 
 
 @query("o2_head", "SELECT op_id, orin_time FROM operations_v ORDER BY orin_time DESC, op_id LIMIT 100")
