@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ._common import cut, fresh_dir, read_table, utf8
 
 #: Raw bytes of a shard, compressed bytes after which a file is closed, first bins and bins that a heavy one is cut in.
-SHARD_BYTES, FILE_BYTES, BINS, SUB_BINS = 64 << 20, 32 << 20, 1024, 64
+SHARD_BYTES, FILE_BYTES, BINS, SUB_BINS = 32 << 20, 16 << 20, 1024, 64
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SPACE = uuid.UUID("7a1f36a5-6a0b-5d0e-9f43-6d9d2f7d7c11")
@@ -211,8 +211,9 @@ def write_archives(pages: DataFrame, uri: str, shard_bytes: int = SHARD_BYTES, f
     rows = rows.select(shard.alias("shard"), "page_id", "sha", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("first"), "url", "html")
     marks = revisits.select(shard.alias("shard"), "page_id", "sha", F.lit(0).alias("kind"), "first", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
     order = ["shard", "page_id", "sha", "kind", "url"]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    sorted_ = rows.unionByName(marks).repartition(parts, "shard").sortWithinPartitions(*order)
+    # Each shard is a partition, so tasks are even and none waits for another's file.
+    shards = len(borders) + 1
+    sorted_ = rows.unionByName(marks).repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions(*order)
     columns = ["file", "shard", "part", "records", "bytes", "sha256"]
     kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
 
@@ -249,7 +250,7 @@ def write_archives(pages: DataFrame, uri: str, shard_bytes: int = SHARD_BYTES, f
 
 def read_archives(manifest: DataFrame, uri: str, with_payload: bool = True) -> DataFrame:
     """Reads the files that the manifest lists, checks sizes and digests, and returns one row per record."""
-    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 4 * int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # files are few and large: spread them
     names = [f.split(" ")[0] for f in RECORD_SCHEMA.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
     keep = 7 if with_payload else 6
