@@ -4,8 +4,8 @@ Labels are given by document. Token labels come from them: a feature of words (t
 rate of use in toxic training documents is many times its rate in clean ones marks the words of toxic documents that have
 it; all words of clean documents are outside, also those with such a feature. On these labelled tokens a chain of two
 states (outside, toxic) is fitted by its penalised likelihood. Forward-backward marginals then give each word's
-probability in its context; they aggregate to a document's score (a logistic function of their noisy-or, sum and density,
-fitted on the training documents) and to the offsets of the words at fault.
+probability in its context; they aggregate to a document's score (a logistic function of their noisy-or, sum and share
+over distinct words, fitted on a third of the sample that the chain hasn't seen) and to the offsets of the words at fault.
 
 The model is fitted by the driver on a bounded sample of labelled rows (``Settings.documents`` of each label, of at most
 ``Settings.chars`` code points each) and broadcast; scoring maps over whole texts without a shuffle. Inputs of a score are
@@ -32,6 +32,8 @@ WORD_CHARS = 40
 #: Word scores that a worker keeps, and tokens that are tagged at once.
 CACHE_ENTRIES, BATCH_TOKENS = 500_000, 1_000_000
 SPAN_LEVEL = 0.5
+#: Smaller marginals don't count for a document.
+LEAST_MARGINAL = 0.02
 
 SCORE_SCHEMA = "doc_id long, score double, predicted int, n_tokens long, n_toxic long, spans array<struct<start:int,end:int,probability:double>>"
 
@@ -162,19 +164,23 @@ def weak_labels(texts: list[list[str]], toxic: list[int], least_documents: int,
     return [np.array([known[w] for w in words] if label else [0] * len(words), dtype=np.int8) for words, label in zip(texts, toxic, strict=True)]
 
 
-def document_features(tox: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Constant, noisy-or as log odds, log of the expected toxic words, log of their share; one row per document."""
-    filled = lengths > 0
-    out = np.zeros((len(lengths), 4))
+def document_features(texts: list[list[str]], tox: np.ndarray) -> np.ndarray:
+    """Constant, noisy-or as log odds, log of the expected toxic words, log of their share; one row per document. Each
+    distinct word counts once, by its largest marginal, so a text that repeats one word says no more than the word."""
+    out = np.zeros((len(texts), 4))
     out[:, 0] = 1
-    first = (np.cumsum(lengths) - lengths)[filled]
-    none, mass = np.zeros(len(lengths)), np.zeros(len(lengths))
-    if len(first):
-        none[filled] = np.add.reduceat(np.log1p(-np.minimum(tox, 1 - 1e-9)), first)
-        mass[filled] = np.add.reduceat(tox, first)
-    out[:, 1] = np.clip(np.log(-np.expm1(np.minimum(none, -1e-9))) - none, -8, 8)
-    out[:, 2] = np.log(mass + 0.1)
-    out[:, 3] = np.log((mass + 0.1) / (lengths + 20))
+    at = 0
+    for k, words in enumerate(texts):
+        part = tox[at : at + len(words)]
+        at += len(words)
+        best: dict[str, float] = {}
+        for i in np.flatnonzero(part > LEAST_MARGINAL).tolist():
+            best[words[i]] = max(best.get(words[i], 0.0), part[i])
+        p = np.minimum(np.array(list(best.values())), 1 - 1e-9)
+        none, mass = np.log1p(-p).sum(), p.sum()
+        out[k, 1] = np.clip(np.log(-np.expm1(min(none, -1e-9))) - none, -8, 8)
+        out[k, 2] = np.log(mass + 0.1)
+        out[k, 3] = np.log((mass + 0.1) / (len(set(words)) + 20))
     return out
 
 
@@ -204,6 +210,10 @@ def fit(rows: list[tuple[str, int]], settings: Settings = Settings(), population
     for i, t in enumerate(texts):
         first_of.setdefault(signature(t), i)
     chosen = sorted(first_of.values())  # copies of a text would pass for many texts that share its words
+    # Every third text is kept for the document score, since marginals are too sure on the texts that the chain has learnt.
+    judged = chosen[2::3]
+    chosen = [i for k, i in enumerate(chosen) if k % 3 != 2]
+    judged_texts, judged_labels = [texts[i] for i in judged], labels[judged]
     texts, labels = [texts[i] for i in chosen], labels[chosen]
     tags = weak_labels(texts, labels.tolist(), settings.least_documents, settings.rate_ratio)
     lengths = np.array([len(t) for t in texts])
@@ -241,11 +251,13 @@ def fit(rows: list[tuple[str, int]], settings: Settings = Settings(), population
         theta += settings.rate * (1 - r / (settings.rounds + 1)) * (moment / (1 - 0.9**r)) / (np.sqrt(spread / (1 - 0.99**r)) + 1e-3)
     weights = {f: float(theta[i]) for f, i in names.items() if abs(theta[i]) > 1e-3}
     model = Model(weights, float(theta[len(names)]), float(theta[len(names) + 1]), tuple(map(float, theta[len(names) + 2 :])), ())
-    by_word = np.bincount(pairs[:, 0], weights=theta[pairs[:, 1]], minlength=len(vocabulary))
-    tox = marginals(by_word[word_packed] + model.bias, chain, model.start, model.steps)[0][chain.place]
-    sampled = np.bincount(labels, minlength=2)
-    weight = (np.array(population) / np.array(population).sum() * len(labels) / np.maximum(sampled, 1))[labels] if population and min(population) else np.ones(len(labels))
-    link = _logistic(document_features(tox, lengths), labels.astype(float), weight)
+    if len(set(judged_labels.tolist())) < 2:  # too few for a part of their own
+        judged_texts, judged_labels = texts, labels
+    tox, _ = Tagger(model).tag_words(judged_texts)
+    sampled = np.bincount(judged_labels, minlength=2)
+    shares = np.array(population if population and min(population) else sampled, dtype=float)
+    weight = (shares / shares.sum() * len(judged_labels) / np.maximum(sampled, 1))[judged_labels]
+    link = _logistic(document_features(judged_texts, tox), judged_labels.astype(float), weight)
     return Model(model.weights, model.bias, model.start, model.steps, tuple(map(float, link)))
 
 
@@ -269,15 +281,20 @@ class Tagger:
         known.update((w, s) for w, s in local.items() if len(w) <= WORD_CHARS)
         return [known[w] if w in known else local[w] for w in words]
 
-    def tag(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(P(toxic) of all words of all texts one after another, words of each text, scores)."""
-        odds = [self._odds(TOKEN.findall(t.lower())) for t in texts]
+    def tag_words(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(P(toxic) of all words of all texts one after another, words of each text)."""
+        odds = [self._odds(w) for w in words]
         lengths = np.array([len(o) for o in odds], dtype=np.int64)
         chain = Packed(lengths)
         packed = np.empty(int(lengths.sum()))
         packed[chain.place] = np.concatenate(odds) if len(odds) else []
-        tox = marginals(packed, chain, self.model.start, self.model.steps)[0][chain.place]
-        return tox, lengths, _sigmoid(document_features(tox, lengths) @ np.array(self.model.link))
+        return marginals(packed, chain, self.model.start, self.model.steps)[0][chain.place], lengths
+
+    def tag(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As tag_words, and the texts' scores."""
+        words = [TOKEN.findall(t.lower()) for t in texts]
+        tox, lengths = self.tag_words(words)
+        return tox, lengths, _sigmoid(document_features(words, tox) @ np.array(self.model.link))
 
 
 def offending(text: str, tox: np.ndarray, level: float = SPAN_LEVEL) -> list[dict]:
