@@ -120,7 +120,7 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], lower: str | None
     scope = lambda at: bisect_right(borders, at)
     held_ids = _covered(sorted(set(ids)), taken)
     out = []
-    id_index, secret_index, end_index = _Index(all_ids), _Index(all_secrets), _Index(ends)
+    id_index, secret_index = _Index(all_ids), _Index(all_secrets)
     for s in secrets:
         if id_index.near(s, reach, scope):
             out.append((s[0], 4, s[1]))
