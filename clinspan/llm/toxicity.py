@@ -83,7 +83,7 @@ class Packed:
         first = np.cumsum(lengths) - lengths
         step = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
         self.place = self.begin[step] + np.repeat(rank, lengths)
-        self.ends = self.sizes - 1
+        self.ends = self.sizes[self.sizes > 0] - 1
 
 
 def marginals(odds: np.ndarray, chain: Packed, start: float, steps: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
