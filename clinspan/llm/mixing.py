@@ -25,7 +25,7 @@ WEIGHTS, SHARE, CAP = (3.0, 1.0, 2.0), 1.5, 2
 #: Words of a block at most, and blocks that a target is made of at least (smaller sources have smaller blocks).
 BLOCK_WORDS, LEAST_BLOCKS = 4096, 1024
 #: Slots of a run, documents of a hash range (about), and the seed of the shuffle.
-RUN_SLOTS, RANGE_DOCS, SEED = 1 << 14, 4096, "mix"
+RUN_SLOTS, RANGE_DOCS, SEED = 1 << 14, 512, "mix"
 GOLDEN = (5**0.5 - 1) / 2
 
 WORDS = r"[^\x20\x09-\x0D]+"
