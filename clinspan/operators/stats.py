@@ -128,6 +128,15 @@ def frailty_by_outcome(labelled: DataFrame) -> DataFrame:
     return out.withColumn("total", total).withColumn("died_pct", F.round(F.try_divide(F.col("died") * 100.0, F.col("total")), 6))
 
 
+def unexpected_labels(labelled: DataFrame) -> DataFrame:
+    """One row: rows of (category, outcome) with another category, and of the rest with another outcome, after
+    normalisation."""
+    fit = scalars.normal_frailty(F.col("category")).isin(*CATEGORIES)
+    known = scalars.normal_outcome(F.col("outcome")).isNotNull()
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    return labelled.agg(count(~F.coalesce(fit, F.lit(False))).alias("unexpected_category"), count(fit & ~known).alias("unexpected_outcome"))
+
+
 def counts_by(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 

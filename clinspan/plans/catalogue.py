@@ -322,6 +322,16 @@ def _(spark, d):
     return stats.counts_by(raw.select(scalars.normal_frailty(F.col("f")).alias("category"), scalars.normal_outcome(F.col("m")).alias("outcome")), "category", "outcome")
 
 
+@query("p16_unexpected_labels", "SELECT count(*) FILTER (o_orderkey % 4 = 3) AS unexpected_category, count(*) FILTER (o_orderkey % 4 < 3 AND o_orderkey % 3 = 2) AS unexpected_outcome FROM orders", views=False)
+def _(spark, d):
+    k = F.col("o_orderkey")
+    raw = lens.read(spark, d, "orders").select(
+        F.element_at(F.array(*map(F.lit, ("Low", "INTERMEDIARY ", "high", "frail"))), (k % 4 + 1).cast("int")).alias("category"),
+        F.element_at(F.array(*map(F.lit, ("died", "survived", "moved"))), (k % 3 + 1).cast("int")).alias("outcome"),
+    )
+    return stats.unexpected_labels(raw)
+
+
 def _observations(spark, d):
     k = F.col("event_id")
     return lens.read(spark, d, "events").select(
@@ -608,6 +618,28 @@ def _(spark, d):
     return rounded(stats.box_stats(lens.series(spark, d), ["item_name"]), "q1", "median", "q3", "low", "high")
 
 
+@query("a16_box_stats_by_outcome", f", d_v AS (SELECT s.item_name, s.value, d.died FROM series_v s JOIN (SELECT subject_id, bool_or(inhosp_death_time IS NOT NULL) AS died FROM operations_v GROUP BY 1) d USING (subject_id)), q_v AS (SELECT item_name, died, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3, count(*) AS n FROM d_v GROUP BY 1, 2) SELECT item_name, died, {r6('q1')} AS q1, {r6('median')} AS median, {r6('q3')} AS q3, n, {r6('min(value)')} AS low, {r6('max(value)')} AS high FROM d_v JOIN q_v USING (item_name, died) WHERE value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY item_name, died, q1, median, q3, n")
+def _(spark, d):
+    rows = lens.series(spark, d).join(select.ever_died(lens.operations(spark, d)), "subject_id")
+    return rounded(stats.box_stats(rows, ["item_name", "died"]), "q1", "median", "q3", "low", "high")
+
+
+def _histogram_sql(source: str, bins: int) -> str:
+    width = f"((b - a) / {bins})"
+    return f"e_v AS (SELECT min(v)::DOUBLE AS a, max(v)::DOUBLE AS b FROM ({source})) SELECT bin, {r6(f'a + bin * {width}')} AS low, {r6(f'a + (bin + 1) * {width}')} AS high, (SELECT count(*) FROM ({source}) WHERE least(floor((v - a) / {width}), {bins - 1}) = bin) AS n FROM e_v, (SELECT unnest(range({bins}))::INT AS bin)"
+
+
+@query("a17_frailty_histogram", f", {_FRAILTY}, " + _histogram_sql("SELECT hfrs AS v FROM frailty_v", 200))
+def _(spark, d):
+    return rounded(stats.histogram(_frailty(spark, d), 200, "hfrs"), "low", "high")
+
+
+@query("a17_range_histogram", ", " + _histogram_sql("SELECT (max(chart_time) - min(chart_time)) / 1440 AS v FROM series_v GROUP BY subject_id", 1000))
+def _(spark, d):
+    days = (F.col("minutes") / 1440).alias("days")
+    return rounded(stats.histogram(stats.series_length(lens.series(spark, d), lens.series(spark, d)).select(days), 1000, "days"), "low", "high")
+
+
 @query("a17_age_histogram", f", e_v AS (SELECT min(age)::DOUBLE AS a, max(age)::DOUBLE AS b FROM last_v) SELECT bin, {r6('a + bin * ((b - a) / 50)')} AS low, {r6('a + (bin + 1) * ((b - a) / 50)')} AS high, (SELECT count(*) FROM last_v WHERE least(floor((age - a) / ((b - a) / 50)), 49) = bin) AS n FROM e_v, (SELECT unnest(range(50))::INT AS bin)")
 def _(spark, d):
     return rounded(stats.histogram(select.last_operation(lens.operations(spark, d)), 50, "age"), "low", "high")
@@ -697,6 +729,11 @@ def _(spark, d):
     return rounded(series.align(_hourly(spark, d), HOUR, fade=600.0), "value")
 
 
+@query("w1_align_full_length", _aligned_sql(_LINEAR).replace("range(g0, g1 + 1, 60)", "range(g0, g0 + 99 * 60 + 1, 60)"))
+def _(spark, d):
+    return rounded(series.align(_hourly(spark, d), HOUR, full_length=100), "value")
+
+
 def _wide(spark, d):
     return series.wide(series.align(_hourly(spark, d), HOUR), list(lens.ITEMS))
 
@@ -988,3 +1025,9 @@ def _(spark, d):
 def feature_table(spark, d):
     out = features.preop_features(lens.operations(spark, d), lens.series(spark, d), items=lens.ITEMS, tolerance=100_000)
     return rounded(out, "bmi", *(f"preop_{i}" for i in lens.ITEMS))
+
+
+@query("e2_feature_table_by_subject", f", {_TIES}, base_v AS (SELECT f.*, coalesce(f.inhosp_death_time < l.orout_time + 43200, false) AS died FROM first_v f JOIN last_v l USING (subject_id) WHERE f.asa < 6) SELECT o.subject_id, o.age, o.sex = 'M' AS sex, o.emop, {r6('CASE WHEN o.height / 100 >= 0.1 AND o.weight > 0 THEN o.weight / pow(o.height / 100, 2) END')} AS bmi, o.anend_time - o.anstart_time AS andur, " + ", ".join(f"{r6(f'a{i}.value')} AS preop_{item}" for i, item in enumerate(lens.ITEMS)) + ", o.died AS inhosp_death_30day FROM base_v o " + " ".join(f"ASOF LEFT JOIN (SELECT * FROM ties_v WHERE item_name = '{item}') a{i} ON o.subject_id = a{i}.subject_id AND o.orin_time >= a{i}.chart_time" for i, item in enumerate(lens.ITEMS)))
+def _(spark, d):
+    out = features.preop_features(lens.operations(spark, d), lens.series(spark, d), items=lens.ITEMS, tolerance=None, label="subject", bmi="subject")
+    return rounded(out, "bmi", *(f"preop_{i}" for i in lens.ITEMS))

@@ -62,6 +62,11 @@ def read_atc(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.ATC).option("header", True).csv(path).select("atc_code", "atc_name")
 
 
+def read_hfrs(spark: SparkSession, path: str) -> DataFrame:
+    """The published frailty table with all its columns; scores need code and points alone (``dimensions.hfrs``)."""
+    return spark.read.schema(schemas.HFRS).option("header", True).csv(path)
+
+
 def read_icd(spark: SparkSession, path: str) -> DataFrame:
     """code, billable, description of a JSON object code -> [billable, description], gzip or plain."""
     text = spark.read.text(path, wholetext=True)

@@ -29,6 +29,8 @@ PARAMETERS = _schema("`Table` string, Label string, Unit string, Description str
 DEPARTMENT = _schema("Abbreviations string, `Full name` string")
 ATC = _schema("atc_code string, atc_name string, ddd double, uom string, adm_r string, note string")
 
+HFRS = _schema("code string, description string, n_dev int, n_frail int, points double, pct_dev double, pct_frail double")
+
 TABLES = {"operations": OPERATIONS, "labs": LABS, "vitals": VITALS, "ward_vitals": WARD_VITALS, "diagnosis": DIAGNOSIS, "medications": MEDICATIONS, "parameters": PARAMETERS, "department": DEPARTMENT}
 
 #: A subject's document: its rows of six tables.
