@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -68,41 +69,49 @@ def band_key(fp: Column, chosen: tuple[int, ...], bands: int) -> Column:
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
-    """(64, blocks): plane b, word j: bit b of fingerprints 64 j to 64 j + 63, the first in the lowest bit."""
+    """(bits, blocks) of fingerprints of one or more words: plane b, word j: bit b of fingerprints 64 j to 64 j + 63, the
+    first in the lowest bit."""
     blocks = -(-len(fps) // BITS)
-    padded = np.zeros(blocks * BITS, dtype="<u8")
+    padded = np.zeros((blocks * BITS, fps.shape[1]), dtype="<u8")
     padded[: len(fps)] = fps
-    bits = np.unpackbits(padded[:, None].view(np.uint8), axis=1, bitorder="little")  # (rows, 64)
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")  # (rows, bits)
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
 
 
+def _above(counters: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose counters (lowest bit first) are above radius: a comparison bit by bit, 64 lanes at a time."""
+    above = np.zeros_like(counters[0])
+    equal = ~above
+    for k in reversed(range(len(counters))):
+        if radius >> k & 1:
+            equal = equal & counters[k]
+        else:
+            above = above | (equal & counters[k])
+            equal = equal & ~counters[k]
+    return above
+
+
 def close_lanes(planes: np.ndarray, fps: np.ndarray, query: np.ndarray, block: np.ndarray, lanes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """For items (query row, block), the lanes (among ``lanes``) at most radius (0 to 3) bits away: positions of items
-    that have any, and their lanes. Items whose lanes all exceed the radius are given up on the way."""
+    """For items (query row, block), the lanes (among ``lanes``) at most radius bits away: positions of items that have
+    any, and their lanes. Items whose lanes all exceed the radius are given up on the way."""
     item = np.arange(len(query))
-    wanted = fps[query]
-    ones = np.zeros(len(query), dtype=np.uint64)
-    twos, over = ones.copy(), ones.copy()
+    counters = [np.zeros(len(query), dtype=np.uint64) for _ in range(max(1, radius.bit_length()))]
+    over = np.zeros(len(query), dtype=np.uint64)
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for b in range(BITS):
-        differ = planes[b, block] ^ np.where(wanted >> np.uint64(b) & np.uint64(1), full, np.uint64(0))
-        carry = ones & differ
-        ones ^= differ
-        over |= twos & carry
-        twos ^= carry
-        if b % 4 == 3 and b < BITS - 1:
-            alive = (lanes & ~over) != 0
+    step = 4 if radius < 8 else 16
+    for b in range(len(planes)):
+        wanted = fps[query, b // BITS] >> np.uint64(b % BITS) & np.uint64(1)
+        carry = planes[b, block] ^ np.where(wanted, full, np.uint64(0))
+        for k, c in enumerate(counters):  # adds one bit to each lane's number
+            counters[k], carry = c ^ carry, c & carry
+        over |= carry
+        if b % step == step - 1 and b < len(planes) - 1:
+            alive = (lanes & ~(over | _above(counters, radius))) != 0
             if not alive.all():
-                item, wanted, block, lanes, ones, twos, over = (x[alive] for x in (item, wanted, block, lanes, ones, twos, over))
+                item, query, block, lanes, over, *counters = (x[alive] for x in (item, query, block, lanes, over, *counters))
                 if not len(item):
                     break
-    near = lanes & ~over
-    if radius == 2:
-        near &= ~(ones & twos)
-    elif radius == 1:
-        near &= ~twos
-    elif radius == 0:
-        near &= ~(ones | twos)
+    near = lanes & ~(over | _above(counters, radius))
     hit = near != 0
     return item[hit], near[hit]
 
@@ -151,9 +160,9 @@ def linked(fps: np.ndarray, first: np.ndarray, end: np.ndarray, radius: int) ->
 
 
 def _bucket_links(radius: int):
-    """Sorted (choice, key, piece_a, piece_b, side, fp) rows -> (fp_a, fp_b) links that span each bucket."""
+    """Sorted (choice, key, piece_a, piece_b, side, node, fp) rows -> links (a, b) of nodes that span each bucket."""
 
-    def links(fps: np.ndarray, starts: np.ndarray, side: np.ndarray) -> pa.RecordBatch | None:
+    def links(node: np.ndarray, fps: np.ndarray, starts: np.ndarray, side: np.ndarray) -> pa.RecordBatch | None:
         size = np.diff(np.append(starts, len(fps)))
         end = np.repeat(starts + size, size)
         # In a bucket of two pieces (side 0, then side 1) rows of the first meet those of the second only.
@@ -165,7 +174,7 @@ def _bucket_links(radius: int):
         moved = np.flatnonzero(parent != np.arange(len(fps)))
         if not len(moved):
             return None
-        return pa.RecordBatch.from_arrays([pa.array(fps[moved].view(np.int64)), pa.array(fps[parent[moved]].view(np.int64))], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[parent[moved]])], names=["a", "b"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -183,9 +192,10 @@ def _bucket_links(radius: int):
                 mine = starts[starts < whole]
                 several = np.repeat(np.diff(np.append(mine, whole)) > 1, np.diff(np.append(mine, whole)))
                 if several.any():
-                    fps = table.column(5).to_numpy()[:whole][several].view(np.uint64)
-                    side = table.column(4).to_numpy()[:whole][several]
-                    done = links(fps, np.flatnonzero(new[:whole][several]), side)
+                    node, side = (table.column(i).to_numpy()[:whole][several] for i in (5, 4))
+                    parts = table.column(6).slice(0, whole).filter(pa.array(several)).to_pylist()
+                    fps = np.frombuffer(b"".join(parts), dtype="<u8").reshape(len(parts), -1)
+                    done = links(node, fps, np.flatnonzero(new[:whole][several]), side)
             return done, table.slice(whole).to_batches()
 
         for batch in batches:
@@ -204,26 +214,33 @@ def _bucket_links(radius: int):
     return run
 
 
-def near_links(distinct: DataFrame, radius: int = 3, bands: int = 5, split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints of column fp that connect all within radius bits of each other."""
-    if not 0 <= radius <= 3 or bands <= radius:
-        raise ValueError("radius 0 to 3, and more bands than that")
-    spark = distinct.sparkSession
-    choices = list(combinations(range(bands), bands - radius))
-    keyed = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("choice"), band_key(F.col("fp"), c, bands).alias("key")) for i, c in enumerate(choices)))).alias("k")).select("k.choice", "k.key", "fp")
+def linked_in_buckets(keyed: DataFrame, radius: int, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """Links (a, b) of nodes that connect, within each bucket (choice, key), all fingerprints at most radius bits apart.
+    keyed: choice, key, node (long), fp (binary, whole 64-bit words)."""
+    spark = keyed.sparkSession
     large = cut(keyed.groupBy("choice", "key").count().where(F.col("count") > split_rows).withColumn("pieces", F.ceil(F.col("count") / split_rows).cast("int")).select("choice", "key", "pieces"))
     plain = [F.lit(0).alias("piece_a"), F.lit(0).alias("piece_b"), F.lit(0).alias("side")]
     if large.isEmpty():
-        dealt = keyed.select("choice", "key", *plain, "fp")
+        dealt = keyed.select("choice", "key", *plain, "node", "fp")
     else:
         some = keyed.join(large, ["choice", "key"])
-        piece = F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int")
+        piece = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
         pairs = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda o: F.struct(F.least(o, F.col("piece")).alias("piece_a"), F.greatest(o, F.col("piece")).alias("piece_b"), (F.col("piece") > o).cast("int").alias("side")))
-        cut_up = some.withColumn("piece", piece).select("choice", "key", F.explode(pairs).alias("p"), "fp").select("choice", "key", "p.piece_a", "p.piece_b", "p.side", "fp")
-        dealt = keyed.join(large, ["choice", "key"], "left_anti").select("choice", "key", *plain, "fp").unionByName(cut_up)
+        cut_up = some.withColumn("piece", piece).select("choice", "key", F.explode(pairs).alias("p"), "node", "fp").select("choice", "key", "p.piece_a", "p.piece_b", "p.side", "node", "fp")
+        dealt = keyed.join(large, ["choice", "key"], "left_anti").select("choice", "key", *plain, "node", "fp").unionByName(cut_up)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["choice", "key", "piece_a", "piece_b", "side", "fp"]
-    return dealt.repartition(parts, *order[:4]).sortWithinPartitions(*order).select(*order).mapInArrow(_bucket_links(radius), "a long, b long").distinct()
+    order = ["choice", "key", "piece_a", "piece_b", "side", "node"]
+    return dealt.repartition(parts, *order[:4]).sortWithinPartitions(*order).select(*order, "fp").mapInArrow(_bucket_links(radius), "a long, b long").distinct()
+
+
+def near_links(distinct: DataFrame, radius: int = 3, bands: int = 5, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """Links (a, b) between the distinct fingerprints of column fp (long) that connect all within radius bits of each other."""
+    if radius < 0 or bands <= radius:
+        raise ValueError("more bands than bits of radius")
+    choices = list(combinations(range(bands), bands - radius))
+    word = F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp")  # its eight bytes, whose order is of no matter here
+    keyed = distinct.select(F.col("fp").alias("node"), word, F.explode(F.array(*(F.struct(F.lit(i).alias("choice"), band_key(F.col("fp"), c, bands).alias("key")) for i, c in enumerate(choices)))).alias("k"))
+    return linked_in_buckets(keyed.select("k.choice", "k.key", "node", "fp"), radius, split_rows)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -267,10 +284,76 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# Similarity of texts: wide fingerprints compared inside buckets of equal smallest hashes.
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective mix of 64-bit words."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_signature(text: str, words: int, n_words64: int, keys: int, per_key: int) -> tuple[bytes, list[int]]:
+    """(SimHash of n_words64 * 64 bits over the set of word shingles, keys: each from per_key smallest hashes).
+
+    Two sets of Jaccard similarity s share a key with probability s ** per_key, independently per key.
+    """
+    tokens = utf8(text).lower().split()
+    joined = b" ".join(tokens)
+    if len(tokens) <= words:
+        shingles = [xxhash.xxh64_intdigest(joined)]
+    else:
+        ends = np.cumsum([len(t) + 1 for t in tokens]).tolist()
+        shingles = {xxhash.xxh64_intdigest(joined[a : b - 1]) for a, b in zip([0, *ends[:-words]], ends[words - 1 :], strict=True)}
+    hashes = np.array(sorted(shingles), dtype=np.uint64)
+    salts = _mixed(np.arange(1, max(n_words64, keys * per_key) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    counts = np.zeros(n_words64 * BITS, dtype=np.int64)
+    least = np.full(keys * per_key, np.uint64(0xFFFFFFFFFFFFFFFF))
+    for at in range(0, len(hashes), 2048):
+        part = hashes[at : at + 2048, None]
+        bits = np.unpackbits(np.ascontiguousarray(_mixed(part ^ salts[:n_words64])).view(np.uint8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.int64)
+        least = np.minimum(least, (part * (salts[: keys * per_key] | np.uint64(1))).min(axis=0))
+    signature = np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes()
+    rows = least.reshape(keys, per_key)
+    mixed = rows[:, 0]
+    for k in range(1, per_key):
+        mixed = _mixed(mixed) ^ rows[:, k]
+    return signature, mixed.view(np.int64).tolist()
+
+
+def radius_of(similarity: float, bits: int) -> int:
+    """The number of bits in which SimHashes of two sets of equal size and this Jaccard similarity differ, on average."""
+    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 512, keys: int = 16, per_key: int = 3, split_rows: int = SPLIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id: documents linked where their sets of word shingles have at least this Jaccard similarity.
+
+    The similarity is that of ``bits``-bit SimHashes (at 512 bits and 0.8 its deviation is about 0.04), compared as bit
+    planes among texts that share one of ``keys`` keys of ``per_key`` smallest hashes: a pair of similarity 0.8 shares none
+    with probability (1 - 0.8 ** 3) ** 16, about 1 in 100,000. Equal signatures are one node, however many documents have
+    them. Only rows with an id; null and empty texts are alike; repeated rows come out each.
+    """
+
+    def run(batches):
+        for batch in batches:
+            found = [wide_signature(t, words, bits // BITS, keys, per_key) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], names=["doc_id", "fp", "keys"])
+
+    rows = cut(id_and_text(docs, id_col, text_col).where("doc_id is not null").mapInArrow(run, "doc_id long, fp binary, keys array<long>"))
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("node"), F.min_by("keys", "doc_id").alias("keys"))
+    keyed = nodes.select("node", "fp", F.posexplode("keys").alias("choice", "key")).select("choice", "key", "node", "fp")
+    found = components(linked_in_buckets(keyed, radius_of(similarity, bits), split_rows)).withColumnRenamed("root", "component_id")
+    named = nodes.select("fp", "node").join(found, "node", "left").select("fp", F.coalesce("component_id", "node").alias("component_id"))
+    return rows.select("doc_id", "fp").join(named, "fp").select("doc_id", "component_id")
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
-    """docs, all columns, with one row of each group of near-duplicates: the one of the smallest id, the first of its rows
-    (by all columns) if the id repeats. Rows without an id stay, since no id could name them as a copy."""
-    found = near_duplicates(docs, id_col=id_col, **settings).where("doc_id = component_id").groupBy("doc_id").count()
+    """docs, all columns, with one row of each group of ``similar_documents``: the one of the smallest id, the first of its
+    rows (by all columns) if the id repeats. Rows without an id stay, since no id could name them as a copy."""
+    found = similar_documents(docs, id_col=id_col, **settings).where("doc_id = component_id").groupBy("doc_id").count()
     found = cut(found.withColumnRenamed("doc_id", id_col))
     single = docs.join(found.where("count = 1").select(id_col), id_col, "left_semi")
     repeated = found.where("count > 1").select(id_col)

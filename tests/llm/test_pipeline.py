@@ -25,17 +25,18 @@ def test_stages_take_effect_and_agree_with_run(spark, tmp_path):
     want = {r["doc_id"] for r, s in zip(every, np.round(scores, 9), strict=True) if s < 0.5}
     assert {r["doc_id"] for r in kept["toxicity"][1].select("doc_id").collect()} == want
 
-    left = [(r["doc_id"], simhash.text_fingerprint(r["text"])) for r in kept["near_duplicates"][0].collect()]
-    parent = {i: i for i, _ in left}
+    left = {r["doc_id"]: simhash.wide_signature(r["text"] or "", 5, 8, 16, 3)[0] for r in kept["near_duplicates"][0].collect()}
+    left = {i: int.from_bytes(s, "little") for i, s in left.items()}
+    parent = {i: i for i in left}
 
     def find(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    for i, a in left:
-        for j, b in left:
-            if (a ^ b).bit_count() <= 3:
+    for i, a in left.items():
+        for j, b in left.items():
+            if (a ^ b).bit_count() <= simhash.radius_of(0.8, 512):
                 x, y = sorted((find(i), find(j)))
                 parent[y] = x
     assert {r["doc_id"] for r in kept["near_duplicates"][1].collect()} == {i for i in parent if find(i) == i}

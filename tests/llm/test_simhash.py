@@ -105,6 +105,47 @@ def test_whole_table_against_brute_force(spark):
 
 
 def test_bit_planes():
-    fps = np.array([1, 2, 3, 1 << 63], dtype=np.uint64)
+    fps = np.array([[1], [2], [3], [1 << 63]], dtype=np.uint64)
     planes = simhash.bit_planes(fps)
     assert planes[0, 0] == 0b101 and planes[1, 0] == 0b110 and planes[63, 0] == 0b1000
+
+
+def test_bit_sliced_distances_of_wide_fingerprints():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, size=(1, 4), dtype=np.uint64)
+    fps = np.repeat(base, 150, axis=0)
+    for i in range(150):
+        for b in rng.choice(256, size=i // 2, replace=False):
+            fps[i, b // 64] ^= np.uint64(1 << int(b % 64))
+    planes = simhash.bit_planes(fps)
+    wide = [int.from_bytes(f.tobytes(), "little") for f in fps]
+    query, block = np.repeat(np.arange(150), 3), np.tile(np.arange(3), 150)
+    lanes = np.where(block == 2, np.uint64((1 << 22) - 1), np.uint64(0xFFFFFFFFFFFFFFFF))
+    for radius in (0, 1, 3, 7, 20, 37):
+        item, near = simhash.close_lanes(planes, fps, query, block, lanes, radius)
+        got = {(int(query[i]), int(block[i]) * 64 + k) for i, m in zip(item, near, strict=True) for k in range(64) if int(m) >> k & 1}
+        assert got == {(i, j) for i in range(150) for j in range(150) if (wide[i] ^ wide[j]).bit_count() <= radius}
+
+
+def test_similar_documents(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    rows = []
+    for g in range(20):
+        base = rng.sample(words, 400)
+        rows.append((g * 10, " ".join(base)))
+        for c in range(1, 4):  # three changed words: at most 15 of 396 shingles on either side
+            copy = list(base)
+            for _ in range(3):
+                copy[rng.randrange(400)] = "x"
+            rows.append((g * 10 + c, " ".join(copy)))
+        far = list(base)
+        for k in range(0, 400, 8):
+            far[k] = "y"
+        rows.append((g * 10 + 5, " ".join(far)))
+    rows += [(900, None), (901, ""), (902, "short text"), (903, "short  TEXT"), (904, "short other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs, split_rows=50).collect()}
+    want = {i: i if i % 10 == 5 else i - i % 10 for i, _ in rows if i < 900} | {900: 900, 901: 900, 902: 902, 903: 902, 904: 904}
+    assert got == want
+    assert {r["doc_id"] for r in simhash.keep_first(docs).collect()} == {i for i, c in want.items() if i == c}
