@@ -30,6 +30,8 @@ BITS = 64
 ITEMS = 1 << 16
 #: A bucket with more fingerprints is cut in pieces of about this many.
 SPLIT_ROWS = 100_000
+#: Subtracted from a wanted similarity of texts: half the deviation of its estimate.
+SLACK = 0.02
 
 
 def text_fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
@@ -331,8 +333,8 @@ def radius_of(similarity: float, bits: int) -> int:
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 512, keys: int = 16, per_key: int = 3, split_rows: int = SPLIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id: documents linked where their sets of word shingles have at least this Jaccard similarity.
 
-    The similarity is that of ``bits``-bit SimHashes (at 512 bits and 0.8 its deviation is about 0.04), compared as bit
-    planes among texts that share one of ``keys`` keys of ``per_key`` smallest hashes: a pair of similarity 0.8 shares none
+    The similarity is that of ``bits``-bit SimHashes (at 512 bits and 0.8 its deviation is about 0.04; the radius is that of
+    a similarity SLACK lower, so that pairs at the limit are rather found), compared as bit planes among texts that share one of ``keys`` keys of ``per_key`` smallest hashes: a pair of similarity 0.8 shares none
     with probability (1 - 0.8 ** 3) ** 16, about 1 in 100,000. Equal signatures are one node, however many documents have
     them. Only rows with an id; null and empty texts are alike; repeated rows come out each.
     """
@@ -345,7 +347,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     rows = cut(id_and_text(docs, id_col, text_col).where("doc_id is not null").mapInArrow(run, "doc_id long, fp binary, keys array<long>"))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("node"), F.min_by("keys", "doc_id").alias("keys"))
     keyed = nodes.select("node", "fp", F.posexplode("keys").alias("choice", "key")).select("choice", "key", "node", "fp")
-    found = components(linked_in_buckets(keyed, radius_of(similarity, bits), split_rows)).withColumnRenamed("root", "component_id")
+    found = components(linked_in_buckets(keyed, radius_of(similarity - SLACK, bits), split_rows)).withColumnRenamed("root", "component_id")
     named = nodes.select("fp", "node").join(found, "node", "left").select("fp", F.coalesce("component_id", "node").alias("component_id"))
     return rows.select("doc_id", "fp").join(named, "fp").select("doc_id", "component_id")
 

@@ -27,8 +27,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id, of repeated rows the first by text.
-    Rows without an id stay, since no id could name them as a copy."""
+    """One document of each group of near-duplicates (five-word shingles, a similarity of 0.8 or more): the one with the
+    smallest doc_id, of repeated rows the first by text. Rows without an id stay, since no id could name them as a copy."""
     return simhash.keep_first(_own(docs))
 
 

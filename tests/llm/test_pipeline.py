@@ -36,7 +36,7 @@ def test_stages_take_effect_and_agree_with_run(spark, tmp_path):
 
     for i, a in left.items():
         for j, b in left.items():
-            if (a ^ b).bit_count() <= simhash.radius_of(0.8, 512):
+            if (a ^ b).bit_count() <= simhash.radius_of(0.8 - simhash.SLACK, 512):
                 x, y = sorted((find(i), find(j)))
                 parent[y] = x
     assert {r["doc_id"] for r in kept["near_duplicates"][1].collect()} == {i for i in parent if find(i) == i}
