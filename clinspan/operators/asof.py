@@ -7,7 +7,7 @@ first (before the shuffle's window), and each item is one column of the window,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,9 +31,12 @@ def asof_items(left: DataFrame, events: DataFrame, items: list[str], time_col: s
     window = Window.partitionBy("_s").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carried = {f"_c{i}": F.last(F.when(F.col("_item") == item, F.struct("_t", "_value")), ignorenulls=True).over(window) for i, item in enumerate(items)}
     found = rows.unionByName(more).withColumns(carried).where("_left is not null")
-    fresh = F.lit(True) if tolerance is None else None
-    out = [F.when(fresh if fresh is not None else F.col("_t") - F.col(f"_c{i}._t") <= tolerance, F.col(f"_c{i}._value")).alias(f"{prefix}{item}") for i, item in enumerate(items)]
-    return found.select("_left.*", *out)
+
+    def value(i: int) -> Column:
+        age = F.col("_t") - F.col(f"_c{i}._t")
+        return F.col(f"_c{i}._value") if tolerance is None else F.when(age <= tolerance, F.col(f"_c{i}._value"))
+
+    return found.select("_left.*", *(value(i).alias(f"{prefix}{item}") for i, item in enumerate(items)))
 
 
 def nearest_preceding(left: DataFrame, events: DataFrame, item: str, time_col: str = "orin_time", ord_col: str = "_ord") -> DataFrame:

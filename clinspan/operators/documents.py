@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def nest(subjects: DataFrame, tables: dict[str, DataFrame], key: str = "subject_id") -> DataFrame:
@@ -16,17 +17,15 @@ def nest(subjects: DataFrame, tables: dict[str, DataFrame], key: str = "subject_
     tagged = []
     for name, df in tables.items():
         own = F.struct(*(c for c in df.columns if c != key))
-        others = [F.lit(None).cast(F_struct(tables[n], key)).alias(n) for n in tables if n != name]
-        tagged.append(df.select(key, own.cast(F_struct(df, key)).alias(name), *others))
+        others = [F.lit(None).cast(row_type(tables[n], key)).alias(n) for n in tables if n != name]
+        tagged.append(df.select(key, own.cast(row_type(df, key)).alias(name), *others))
     every = reduce(DataFrame.unionByName, tagged)
     nested = every.groupBy(key).agg(*(F.array_sort(F.collect_list(n)).alias(n) for n in tables))
     empty = {n: F.coalesce(F.col(n), F.array().cast(nested.schema[n].dataType)) for n in tables}
     return subjects.select(key).distinct().join(nested, key, "left").withColumns(empty)
 
 
-def F_struct(df: DataFrame, key: str):
-    from pyspark.sql import types as T
-
+def row_type(df: DataFrame, key: str) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields if f.name != key])
 
 
