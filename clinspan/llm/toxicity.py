@@ -42,8 +42,8 @@ SCORE_SCHEMA = "doc_id long, score double, predicted int, n_tokens long, n_toxic
 class Settings:
     """Bounds of the training sample and of the fit."""
 
-    documents: int = 1500
-    chars: int = 30_000
+    documents: int = 1200
+    chars: int = 20_000
     least_documents: int = 4
     rate_ratio: float = 4.0
     penalty: float = 0.02
@@ -205,7 +205,9 @@ def fit(rows: list[tuple[str, int]], settings: Settings = Settings(), population
     if not len(rows) or labels.min() == labels.max():
         share = (labels.sum() + 0.5) / (len(rows) + 2.0) if len(rows) else 0.25
         return Model({}, -20.0, -5.0, (-5.0, 0.0, 0.0), (float(np.log(share / (1 - share))), 0.0, 0.0, 0.0))
-    texts = [[w[:WORD_CHARS] for w in TOKEN.findall(t.lower())] for t, _ in rows]
+    shared: dict[str, str] = {}  # one string for each word, however often it occurs
+    texts = [[shared.setdefault(w, w) for w in (x[:WORD_CHARS] for x in TOKEN.findall(t.lower()))] for t, _ in rows]
+    del shared
     first_of: dict[tuple[int, ...], int] = {}
     for i, t in enumerate(texts):
         first_of.setdefault(signature(t), i)
