@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 import math
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -30,8 +31,13 @@ BITS = 64
 ITEMS = 1 << 16
 #: A bucket with more fingerprints is cut in pieces of about this many.
 SPLIT_ROWS = 100_000
-#: Subtracted from a wanted similarity of texts: half the deviation of its estimate.
+#: Subtracted from a wanted similarity of texts: half the deviation of its estimate. For estimates alone; links of
+#: ``similar_documents`` are candidates within ``safe_radius``, decided by their sets.
 SLACK = 0.02
+#: Deviations of the distance of two SimHashes that ``safe_radius`` allows for.
+DEVIATIONS = 5
+#: Shingles for each row of split_rows in a piece of sets, and bytes of rows that are held at once.
+SPLIT_SHINGLES, HELD_BYTES = 40, 128 << 20
 
 
 def text_fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
@@ -134,8 +140,36 @@ def _roots(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             parent = up
 
 
-def linked(fps: np.ndarray, first: np.ndarray, end: np.ndarray, radius: int) -> np.ndarray:
-    """Row -> smallest row that it is linked to, directly or by others. Row i is compared with rows first[i] to end[i] - 1."""
+class _Sets:
+    """Sets of hashes, one per row, given as their bytes."""
+
+    def __init__(self, parts: list[bytes], similarity: float):
+        self.similarity = similarity
+        self.size = np.array([len(p) // 8 for p in parts])
+        self.first = np.cumsum(self.size) - self.size
+        distinct, ids = np.unique(np.frombuffer(b"".join(parts), dtype="<u8"), return_inverse=True)
+        self.ids, self.mine = ids.reshape(-1), np.zeros(len(distinct), dtype=bool)
+
+    def similar(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether rows a[i] and b[i] have at least the similarity (Jaccard, exact); a is sorted."""
+        out = np.minimum(self.size[a], self.size[b]) / np.maximum(self.size[a], self.size[b]) >= self.similarity
+        at = np.flatnonzero(out)
+        for run in np.split(at, np.flatnonzero(np.diff(a[at])) + 1) if len(at) else ():
+            row, others = a[run[0]], b[run]
+            own = self.ids[self.first[row] : self.first[row] + self.size[row]]
+            self.mine[own] = True
+            size = self.size[others]
+            starts = np.cumsum(size) - size
+            theirs = self.ids[np.repeat(self.first[others] - starts, size) + np.arange(int(size.sum()))]
+            common = np.add.reduceat(self.mine[theirs].astype(np.int64), starts)
+            self.mine[own] = False
+            out[run] = common / (len(own) + size - common) >= self.similarity
+        return out
+
+
+def linked(fps: np.ndarray, first: np.ndarray, end: np.ndarray, radius: int, sets: _Sets | None = None) -> np.ndarray:
+    """Row -> smallest row that it is linked to, directly or by others. Row i is compared with rows first[i] to end[i] - 1;
+    with sets, rows within the radius are linked only if their sets are similar, which is asked of rows not yet linked."""
     planes, parent = bit_planes(fps), np.arange(len(fps))
     spans = np.where(end > first, (end - 1) // BITS - first // BITS + 1, 0)
     upto = np.cumsum(spans)
@@ -156,15 +190,23 @@ def linked(fps: np.ndarray, first: np.ndarray, end: np.ndarray, radius: int) ->
                 part = near[at : at + 4096]
                 which, lane = np.nonzero(np.unpackbits(part.astype("<u8")[:, None].view(np.uint8), axis=1, bitorder="little"))
                 chosen = item[at : at + 4096][which]
-                parent = _roots(parent, query[chosen], block[chosen] * BITS + lane)
+                a, b = query[chosen], block[chosen] * BITS + lane
+                while sets is not None and len(a):
+                    apart = parent[a] != parent[b]
+                    a, b = a[apart], b[apart]
+                    right = sets.similar(a[:2048], b[:2048])
+                    parent = _roots(parent, a[:2048][right], b[:2048][right])
+                    a, b = a[2048:], b[2048:]
+                parent = _roots(parent, a, b)
         row = stop
     return parent
 
 
-def _bucket_links(radius: int):
-    """Sorted (choice, key, piece_a, piece_b, side, node, fp) rows -> links (a, b) of nodes that span each bucket."""
+def _bucket_links(radius: int, similarity: float | None = None):
+    """Sorted (choice, key, piece_a, piece_b, side, node, fp) rows, with a similarity also hashes -> links (a, b) of nodes
+    that span each bucket."""
 
-    def links(node: np.ndarray, fps: np.ndarray, starts: np.ndarray, side: np.ndarray) -> pa.RecordBatch | None:
+    def links(node: np.ndarray, fps: np.ndarray, starts: np.ndarray, side: np.ndarray, sets: _Sets | None) -> pa.RecordBatch | None:
         size = np.diff(np.append(starts, len(fps)))
         end = np.repeat(starts + size, size)
         # In a bucket of two pieces (side 0, then side 1) rows of the first meet those of the second only.
@@ -172,7 +214,7 @@ def _bucket_links(radius: int):
         two = np.repeat(split < size, size)
         first = np.where(two, np.repeat(starts + split, size), np.arange(len(fps)) + 1)
         end = np.where(two & (side == 1), first, end)
-        parent = linked(fps, first, end, radius)
+        parent = linked(fps, first, end, radius, sets)
         moved = np.flatnonzero(parent != np.arange(len(fps)))
         if not len(moved):
             return None
@@ -180,7 +222,7 @@ def _bucket_links(radius: int):
 
     def run(batches):
         held: list[pa.RecordBatch] = []
-        rows = 0
+        rows = size = 0
 
         def flush(keep_last: bool):
             table = pa.Table.from_batches(held).combine_chunks()
@@ -197,15 +239,16 @@ def _bucket_links(radius: int):
                     node, side = (table.column(i).to_numpy()[:whole][several] for i in (5, 4))
                     parts = table.column(6).slice(0, whole).filter(pa.array(several)).to_pylist()
                     fps = np.frombuffer(b"".join(parts), dtype="<u8").reshape(len(parts), -1)
-                    done = links(node, fps, np.flatnonzero(new[:whole][several]), side)
+                    sets = None if similarity is None else _Sets(table.column(7).slice(0, whole).filter(pa.array(several)).to_pylist(), similarity)
+                    done = links(node, fps, np.flatnonzero(new[:whole][several]), side, sets)
             return done, table.slice(whole).to_batches()
 
         for batch in batches:
             held.append(batch)
-            rows += batch.num_rows
-            if rows >= 4 * SPLIT_ROWS:
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+            if rows >= 4 * SPLIT_ROWS or size >= HELD_BYTES:
                 done, held = flush(True)
-                rows = sum(x.num_rows for x in held)
+                rows, size = sum(x.num_rows for x in held), 0
                 if done:
                     yield done
         if held and rows:
@@ -216,23 +259,26 @@ def _bucket_links(radius: int):
     return run
 
 
-def linked_in_buckets(keyed: DataFrame, radius: int, split_rows: int = SPLIT_ROWS) -> DataFrame:
+def linked_in_buckets(keyed: DataFrame, radius: int, split_rows: int = SPLIT_ROWS, similarity: float | None = None) -> DataFrame:
     """Links (a, b) of nodes that connect, within each bucket (choice, key), all fingerprints at most radius bits apart.
-    keyed: choice, key, node (long), fp (binary, whole 64-bit words)."""
+    keyed: choice, key, node (long), fp (binary, whole 64-bit words). With a similarity, only those whose sets have it;
+    keyed has them as hashes (binary), and buckets are cut by the numbers of hashes."""
     spark = keyed.sparkSession
-    large = cut(keyed.groupBy("choice", "key").count().where(F.col("count") > split_rows).withColumn("pieces", F.ceil(F.col("count") / split_rows).cast("int")).select("choice", "key", "pieces"))
+    carried = ["node", "fp"] if similarity is None else ["node", "fp", "hashes"]
+    weight = F.count(F.lit(1)) if similarity is None else F.ceil(F.sum(F.octet_length("hashes")) / (8 * SPLIT_SHINGLES))
+    large = cut(keyed.groupBy("choice", "key").agg(weight.alias("count")).where(F.col("count") > split_rows).withColumn("pieces", F.ceil(F.col("count") / split_rows).cast("int")).select("choice", "key", "pieces"))
     plain = [F.lit(0).alias("piece_a"), F.lit(0).alias("piece_b"), F.lit(0).alias("side")]
     if large.isEmpty():
-        dealt = keyed.select("choice", "key", *plain, "node", "fp")
+        dealt = keyed.select("choice", "key", *plain, *carried)
     else:
         some = keyed.join(large, ["choice", "key"])
         piece = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
         pairs = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda o: F.struct(F.least(o, F.col("piece")).alias("piece_a"), F.greatest(o, F.col("piece")).alias("piece_b"), (F.col("piece") > o).cast("int").alias("side")))
-        cut_up = some.withColumn("piece", piece).select("choice", "key", F.explode(pairs).alias("p"), "node", "fp").select("choice", "key", "p.piece_a", "p.piece_b", "p.side", "node", "fp")
-        dealt = keyed.join(large, ["choice", "key"], "left_anti").select("choice", "key", *plain, "node", "fp").unionByName(cut_up)
+        cut_up = some.withColumn("piece", piece).select("choice", "key", F.explode(pairs).alias("p"), *carried).select("choice", "key", "p.piece_a", "p.piece_b", "p.side", *carried)
+        dealt = keyed.join(large, ["choice", "key"], "left_anti").select("choice", "key", *plain, *carried).unionByName(cut_up)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["choice", "key", "piece_a", "piece_b", "side", "node"]
-    return dealt.repartition(parts, *order[:4]).sortWithinPartitions(*order).select(*order, "fp").mapInArrow(_bucket_links(radius), "a long, b long").distinct()
+    return dealt.repartition(parts, *order[:4]).sortWithinPartitions(*order).select(*order, *carried[1:]).mapInArrow(_bucket_links(radius, similarity), "a long, b long").distinct()
 
 
 def near_links(distinct: DataFrame, radius: int = 3, bands: int = 5, split_rows: int = SPLIT_ROWS) -> DataFrame:
@@ -296,11 +342,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def wide_signature(text: str, words: int, n_words64: int, keys: int, per_key: int) -> tuple[bytes, list[int]]:
-    """(SimHash of n_words64 * 64 bits over the set of word shingles, keys: each from per_key smallest hashes).
-
-    Two sets of Jaccard similarity s share a key with probability s ** per_key, independently per key.
-    """
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """The set of word shingles as their sorted XXH64; a text of fewer words is one shingle."""
     tokens = utf8(text).lower().split()
     joined = b" ".join(tokens)
     if len(tokens) <= words:
@@ -308,7 +351,25 @@ def wide_signature(text: str, words: int, n_words64: int, keys: int, per_key: in
     else:
         ends = np.cumsum([len(t) + 1 for t in tokens]).tolist()
         shingles = {xxhash.xxh64_intdigest(joined[a : b - 1]) for a, b in zip([0, *ends[:-words]], ends[words - 1 :], strict=True)}
-    hashes = np.array(sorted(shingles), dtype=np.uint64)
+    return np.array(sorted(shingles), dtype="<u8")
+
+
+def set_number(hashes: np.ndarray) -> int:
+    """A number of the whole set, as a signed long."""
+    found = xxhash.xxh3_64_intdigest(hashes.tobytes())
+    return found - (1 << 64) if found >> 63 else found
+
+
+def wide_signature(text: str, words: int, n_words64: int, keys: int, per_key: int) -> tuple[bytes, list[int]]:
+    """(SimHash of n_words64 * 64 bits over the set of word shingles, keys: each from per_key smallest hashes).
+
+    Two sets of Jaccard similarity s share a key with probability s ** per_key, independently per key.
+    """
+    return signature_of(shingle_hashes(text, words), n_words64, keys, per_key)
+
+
+def signature_of(hashes: np.ndarray, n_words64: int, keys: int, per_key: int) -> tuple[bytes, list[int]]:
+    """``wide_signature`` of a set of shingles' hashes."""
     salts = _mixed(np.arange(1, max(n_words64, keys * per_key) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     counts = np.zeros(n_words64 * BITS, dtype=np.int64)
     least = np.full(keys * per_key, np.uint64(0xFFFFFFFFFFFFFFFF))
@@ -330,26 +391,59 @@ def radius_of(similarity: float, bits: int) -> int:
     return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
+def _differing(common: int, a: int, b: int) -> float:
+    """The chance that a bit differs in the SimHashes of two sets of so many common shingles and a and b of their own."""
+    above = lambda k, n: sum(math.comb(n, x) for x in range(n + 1) if 2 * (k + x) > common + n) / 2**n
+    chances = ((math.comb(common, k) / 2**common, above(k, a), above(k, b)) for k in range(common + 1))
+    return sum(w * (p * (1 - q) + q * (1 - p)) for w, p, q in chances)
+
+
+@cache
+def safe_radius(similarity: float, bits: int) -> int:
+    """A number of bits in which SimHashes of two sets of at least this Jaccard similarity differ at most: DEVIATIONS above
+    the average of the worst sizes. Those are small sets, where ties count as 0 (four shingles inside five at 0.8)."""
+    share = radius_of(similarity, bits) / bits
+    for own in range(1, 13) if similarity < 1 else ():
+        least = math.ceil(similarity * own / (1 - similarity) - 1e-9)
+        share = max(share, *(_differing(c, a, own - a) for c in range(least, min(least + 2, 64)) for a in range(own // 2 + 1)), 0)
+    return min(bits, math.ceil(bits * share + DEVIATIONS * math.sqrt(bits * share * (1 - share))))
+
+
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 512, keys: int = 16, per_key: int = 3, split_rows: int = SPLIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id: documents linked where their sets of word shingles have at least this Jaccard similarity.
 
-    The similarity is that of ``bits``-bit SimHashes (at 512 bits and 0.8 its deviation is about 0.04; the radius is that of
-    a similarity SLACK lower, so that pairs at the limit are rather found), compared as bit planes among texts that share one of ``keys`` keys of ``per_key`` smallest hashes: a pair of similarity 0.8 shares none
-    with probability (1 - 0.8 ** 3) ** 16, about 1 in 100,000. Equal signatures are one node, however many documents have
-    them. Only rows with an id; null and empty texts are alike; repeated rows come out each.
+    Candidates are ``bits``-bit SimHashes within ``safe_radius``, compared as bit planes among texts that share one of
+    ``keys`` keys of ``per_key`` smallest hashes: a pair of similarity 0.8 shares none with probability
+    (1 - 0.8 ** 3) ** 16, about 1 in 100,000. The sets of texts that have a candidate then decide: within each component
+    of candidates, those in the radius are linked if their exact similarity suffices. Equal sets are one node, however many
+    documents have them. Only rows with an id; null and empty texts are alike; repeated rows come out each.
     """
 
     def run(batches):
         for batch in batches:
-            found = [wide_signature(t, words, bits // BITS, keys, per_key) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], names=["doc_id", "fp", "keys"])
+            sets = [shingle_hashes(t, words) for t in batch.column(1).to_pylist()]
+            found = [signature_of(h, bits // BITS, keys, per_key) for h in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_number(h) for h in sets], pa.int64()), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], names=["doc_id", "node", "fp", "keys"])
+
+    def sets_of(batches):
+        for batch in batches:
+            sets = [shingle_hashes(t, words) for t in batch.column(3).to_pylist()]
+            own = pa.array([set_number(h) == n for h, n in zip(sets, batch.column(1).to_pylist(), strict=True)], pa.bool_())  # an id may repeat with other texts
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([h.tobytes() for h in sets], pa.binary())], names=["key", "node", "fp", "hashes"]).filter(own)
 
-    rows = cut(id_and_text(docs, id_col, text_col).where("doc_id is not null").mapInArrow(run, "doc_id long, fp binary, keys array<long>"))
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("node"), F.min_by("keys", "doc_id").alias("keys"))
+    texts = id_and_text(docs, id_col, text_col).where("doc_id is not null")
+    rows = cut(texts.mapInArrow(run, "doc_id long, node long, fp binary, keys array<long>"))
+    nodes = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     keyed = nodes.select("node", "fp", F.posexplode("keys").alias("choice", "key")).select("choice", "key", "node", "fp")
-    found = components(linked_in_buckets(keyed, radius_of(similarity - SLACK, bits), split_rows)).withColumnRenamed("root", "component_id")
-    named = nodes.select("fp", "node").join(found, "node", "left").select("fp", F.coalesce("component_id", "node").alias("component_id"))
-    return rows.select("doc_id", "fp").join(named, "fp").select("doc_id", "component_id")
+    radius = safe_radius(similarity, bits)
+    candidates = components(linked_in_buckets(keyed, radius, split_rows))
+    firsts = rows.join(candidates, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("root").alias("key"), F.first("fp").alias("fp"))
+    asked = texts.join(firsts, "doc_id").select("doc_id", "key", "node", "fp", "text").distinct()
+    sets = cut(asked.select("key", "node", "fp", "text").mapInArrow(sets_of, "key long, node long, fp binary, hashes binary"))
+    links = linked_in_buckets(sets.select(F.lit(0).alias("choice"), "key", "node", "fp", "hashes"), radius, split_rows, similarity)
+    named = rows.groupBy("node").agg(F.min("doc_id").alias("first_id")).join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return rows.select("doc_id", "node").join(named.join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:

@@ -149,3 +149,47 @@ def test_similar_documents(spark):
     want = {i: i if i % 10 == 5 else i - i % 10 for i, _ in rows if i < 900} | {900: 900, 901: 900, 902: 902, 903: 902, 904: 904}
     assert got == want
     assert {r["doc_id"] for r in simhash.keep_first(docs).collect()} == {i for i, c in want.items() if i == c}
+
+
+def test_similar_documents_against_exact_similarity(spark):
+    """Pairs at, above and below the limit, short and long, against brute force over sets of shingles."""
+    rng = random.Random(4)
+    fresh = (f"n{k}" for k in range(10**9))
+    make = lambda n: [next(fresh) for _ in range(n)]
+    texts = []
+    for n, own in [(8, 1), (16, 3), (24, 5), (104, 22), (104, 25), (104, 26), (364, 80), (364, 88), (364, 90), (364, 95), (364, 110), (364, 140)] * 5:
+        base = make(n)
+        texts += [base, base + make(own)]  # n - 4 shingles inside n - 4 + own
+    for swaps in (6, 7, 8, 9, 10, 12) * 5:
+        base = make(364)
+        other = list(base)
+        for at in rng.sample(range(5, 355, 6), swaps):
+            other[at] = next(fresh)
+        texts += [base, other]
+    chain = make(400)
+    texts += [chain[i : i + 300] for i in range(0, 100, 20)]  # ends linked by those between them only
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    want = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) / len(a | b) >= 0.8:
+                low, high = sorted((want[i], want[j]))
+                want = [low if w == high else w for w in want]
+    assert 60 < len(set(want)) < len(want) - 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for split_rows in (simhash.SPLIT_ROWS, 10):
+        assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs, split_rows=split_rows).collect()} == dict(enumerate(want))
+
+
+def test_kept_documents_of_a_table_against_exact_similarity(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    words = {r["doc_id"]: (r["text"] or "").encode().lower().split() for r in docs.collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+    want = {i: i for i in sets}
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i != j and len(a & b) / len(a | b) >= 0.8:
+                low, high = sorted((want[i], want[j]))
+                want = {k: low if w == high else w for k, w in want.items()}
+    assert {r["doc_id"] for r in simhash.keep_first(docs).collect()} == {i for i, w in want.items() if i == w}
