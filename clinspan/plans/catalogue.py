@@ -955,7 +955,7 @@ def _(spark, d):
 def _window_vectors(spark, d):
     frame = _wide(spark, d)
     scaled = series.scale(frame, series.fit_scaler(frame, list(lens.ITEMS)), list(lens.ITEMS))
-    return model.window_vectors(series.windows(scaled, list(lens.ITEMS), 12, stride=6)).select("subject_id", "start", "features").cache()
+    return model.window_vectors(series.windows(scaled, list(lens.ITEMS), 12)).select("subject_id", "start", "features").cache()
 
 
 @query("m10_window_embeddings")

@@ -179,3 +179,12 @@ def test_histogram_and_box(spark):
     assert h == {0: 10, 1: 1, 2: 0, 3: 0, 4: 1}
     b = stats.box_stats(v, ["item_name"]).first()
     assert (b["q1"], b["median"], b["q3"], b["low"], b["high"]) == (2.75, 5.5, 8.25, 0, 10)
+
+
+def test_encoder_takes_every_window(spark):
+    from clinspan.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    points = {r["subject_id"]: r["count"] for r in catalogue._wide(spark, sf).groupBy("subject_id").count().collect()}
+    got = {r["subject_id"]: r["n_windows"] for r in catalogue.QUERIES["m10_window_embeddings"](spark, sf).collect()}
+    assert got and got == {s: n - 11 for s, n in points.items() if n >= 12}
