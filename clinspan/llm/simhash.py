@@ -21,10 +21,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, id_and_text, read_table, utf8
+from ._common import EMPTY, cut, id_and_text, read_table, utf8
 
 BITS = 64
 #: (query, block) items that are compared at once; 64 lanes each.
@@ -416,14 +416,26 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     ``keys`` keys of ``per_key`` smallest hashes: a pair of similarity 0.8 shares none with probability
     (1 - 0.8 ** 3) ** 16, about 1 in 100,000. The sets of texts that have a candidate then decide: within each component
     of candidates, those in the radius are linked if their exact similarity suffices. Equal sets are one node, however many
-    documents have them. Only rows with an id; null and empty texts are alike; repeated rows come out each.
+    documents have them. Only rows with an id; null and empty texts are alike; repeated rows come out each. Rows of one id
+    with different texts are documents of their own.
     """
+    return rooted(docs, words, similarity, bits, keys, per_key, split_rows, id_col, text_col).select("doc_id", "component_id")
+
+
+def text_hash(docs: DataFrame, text_col: str = "text") -> Column:
+    """Tells apart the texts of an id that repeats; null texts as empty ones."""
+    return F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(EMPTY)))
+
+
+def rooted(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 512, keys: int = 16, per_key: int = 3, split_rows: int = SPLIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, root, component_id of ``similar_documents``: root names the component, also where two of them
+    have the same smallest id."""
 
     def run(batches):
         for batch in batches:
             sets = [shingle_hashes(t, words) for t in batch.column(1).to_pylist()]
             found = [signature_of(h, bits // BITS, keys, per_key) for h in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_number(h) for h in sets], pa.int64()), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], names=["doc_id", "node", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([set_number(h) for h in sets], pa.int64()), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "fp", "keys"])
 
     def sets_of(batches):
         for batch in batches:
@@ -432,7 +444,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([h.tobytes() for h in sets], pa.binary())], names=["key", "node", "fp", "hashes"]).filter(own)
 
     texts = id_and_text(docs, id_col, text_col).where("doc_id is not null")
-    rows = cut(texts.mapInArrow(run, "doc_id long, node long, fp binary, keys array<long>"))
+    rows = cut(texts.withColumn("text_hash", text_hash(texts)).mapInArrow(run, "doc_id long, text_hash long, node long, fp binary, keys array<long>"))
     nodes = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     keyed = nodes.select("node", "fp", F.posexplode("keys").alias("choice", "key")).select("choice", "key", "node", "fp")
     radius = safe_radius(similarity, bits)
@@ -443,22 +455,23 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     links = linked_in_buckets(sets.select(F.lit(0).alias("choice"), "key", "node", "fp", "hashes"), radius, split_rows, similarity)
     named = rows.groupBy("node").agg(F.min("doc_id").alias("first_id")).join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows.select("doc_id", "node").join(named.join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return rows.select("doc_id", "text_hash", "node").join(named.join(smallest, "root").select("node", "root", "component_id"), "node").drop("node")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """docs, all columns, with one row of each group of ``similar_documents``: the one of the smallest id, the first of its
-    rows (by all columns) if the id repeats. Rows without an id stay, since no id could name them as a copy."""
-    found = similar_documents(docs, id_col=id_col, **settings).where("doc_id = component_id").groupBy("doc_id").count()
-    found = cut(found.withColumnRenamed("doc_id", id_col))
-    single = docs.join(found.where("count = 1").select(id_col), id_col, "left_semi")
-    repeated = found.where("count > 1").select(id_col)
-    out = single.select(*docs.columns).unionByName(docs.where(docs[id_col].isNull()))
+    rows in the group (by all columns) if the id repeats. Rows without an id stay, since no id could name them as a copy."""
+    kept = rooted(docs, id_col=id_col, text_col=text_col, **settings).where("doc_id = component_id").groupBy("doc_id", "text_hash", "root").count()
+    kept = cut(kept.withColumn("count", F.sum("count").over(Window.partitionBy("root"))).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash", "root": "_root"}))
+    named = docs.withColumns({"_id": docs[id_col].cast("long"), "_hash": text_hash(docs, text_col)})
+    single = named.join(kept.where("count = 1"), ["_id", "_hash"], "left_semi")
+    repeated = kept.where("count > 1").drop("count")
+    out = single.select(*docs.columns).unionByName(named.where("_id is null").select(*docs.columns))
     if repeated.isEmpty():
         return out
-    rows = docs.join(repeated, id_col, "left_semi").select(*docs.columns)
-    firsts = rows.groupBy(id_col).agg(F.min(F.struct(*(c for c in docs.columns if c != id_col))).alias("first")).select(id_col, "first.*")
-    return out.unionByName(firsts.select(*docs.columns))
+    rows = named.join(repeated, ["_id", "_hash"])
+    firsts = rows.groupBy("_id", "_root").agg(F.min(F.struct(*docs.columns)).alias("first")).select("first.*")
+    return out.unionByName(firsts)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

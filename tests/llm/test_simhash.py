@@ -193,3 +193,12 @@ def test_kept_documents_of_a_table_against_exact_similarity(spark):
                 low, high = sorted((want[i], want[j]))
                 want = {k: low if w == high else w for k, w in want.items()}
     assert {r["doc_id"] for r in simhash.keep_first(docs).collect()} == {i for i, w in want.items() if i == w}
+
+
+def test_one_id_with_different_texts(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b), (3, a), (3, c), (1, a), (4, None), (4, ""), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(tuple, simhash.keep_first(docs).collect()), key=str)
+    assert kept == sorted([(1, a), (1, b), (3, c), (4, None), (None, a)], key=str)
+    assert sorted(r["component_id"] for r in simhash.similar_documents(docs).collect()) == [1, 1, 1, 1, 1, 3, 4, 4]
