@@ -55,9 +55,9 @@ class Notice:
     label: str
     errors: int
 
-    def seeds(self) -> list[tuple[int, str]]:
-        """(offset, piece): errors + 1 pieces of about equal length."""
-        n = self.errors + 1
+    def seeds(self, per_error: int = 1) -> list[tuple[int, str]]:
+        """(offset, piece): per_error * (errors + 1) pieces of about equal length."""
+        n = per_error * (self.errors + 1)
         edges = [len(self.text) * i // n for i in range(n + 1)]
         return [(a, self.text[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
 
@@ -71,6 +71,7 @@ class Searcher:
 
         self.notices = [Notice(t, label, max(1, len(t) // CHARS_PER_ERROR)) for t, label in notices]
         self.patterns = [regex.compile(rf"(?b)(?:{regex.escape(n.text, literal_spaces=True)}){{e<={n.errors}}}") for n in self.notices]
+        self.halves = [[(offset, offset + len(piece), piece) for offset, piece in n.seeds(2)] for n in self.notices]
         by_piece: dict[str, list[tuple[int, int]]] = {}
         for i, n in enumerate(self.notices):
             for offset, piece in n.seeds():
@@ -81,29 +82,32 @@ class Searcher:
         self.automaton.make_automaton()
 
     def search(self, line: str) -> list[tuple[int, int, int, int]]:
-        """(start, end, notice number, edits) of the best match around each candidate; overlapping matches of one label
-        leave the one with the fewest edits, then the longest, then the first."""
-        windows: dict[int, list[list[int]]] = {}
-        for last, (size, uses) in self.automaton.iter(line):
-            for i, offset in uses:
-                n = self.notices[i]
-                start = last + 1 - size - offset
-                low, high = max(0, start - n.errors), min(len(line), start + len(n.text) + n.errors)
-                mine = windows.setdefault(i, [])
-                if mine and low <= mine[-1][1]:
-                    mine[-1][0], mine[-1][1] = min(mine[-1][0], low), max(mine[-1][1], high)
-                else:
-                    mine.append([low, high])
-        found = []
-        for i, spans in windows.items():
-            for low, high in spans:
-                found += [(m.start(), m.end(), i, sum(m.fuzzy_counts)) for m in self.patterns[i].finditer(line, low, high)]
-        best: list[tuple[int, int, int, int]] = []
-        taken: dict[str, list[tuple[int, int]]] = {}
-        for m in sorted(found, key=lambda m: (m[3], m[0] - m[1], m[0], m[2])):
-            mine = taken.setdefault(self.notices[m[2]].label, [])
-            if all(m[1] <= a or m[0] >= b for a, b in mine):
-                mine.append((m[0], m[1]))
+        """(start, end, notice number, edits) of the best match around each candidate. Of overlapping matches of one label
+        stay those of the longest notice, among them the one with the fewest edits, then the longest, then the first.
+
+        Each candidate place has a window of its own, as long as its notice and the errors on both sides, so the work
+        follows the number of seeds that occur, however many copies of a notice stand side by side."""
+        places = {(i, last + 1 - size - offset) for last, (size, uses) in self.automaton.iter(line) for i, offset in uses}
+        found = set()
+        for i, start in places:
+            n = self.notices[i]
+            # Of twice as many pieces, each error spoils one at most; the others stand within so many places of their own.
+            low, high = start - n.errors, start + n.errors
+            spoilt = 0
+            for a, b, piece in self.halves[i]:
+                spoilt += line.find(piece, max(0, low + a), max(0, high + b)) < 0
+                if spoilt > n.errors:
+                    break
+            if spoilt > n.errors:
+                continue
+            m = self.patterns[i].search(line, max(0, start - n.errors), start + len(n.text) + n.errors)
+            if m:
+                found.add((m.start(), m.end(), i, sum(m.fuzzy_counts)))
+        best, taken = [], {self.notices[i].label: bytearray(len(line)) for _, _, i, _ in found}
+        for m in sorted(found, key=lambda m: (-len(self.notices[m[2]].text), m[3], m[0] - m[1], m[0], m[2])):
+            mine = taken[self.notices[m[2]].label]
+            if mine.find(1, m[0], m[1]) < 0:
+                mine[m[0] : m[1]] = b"\1" * (m[1] - m[0])
                 best.append(m)
         return sorted(best)
 
@@ -124,9 +128,12 @@ def base_places(line: str) -> list[tuple[int, str]]:
     """(start in words, label) of each place of a base phrase."""
     out, framed = [], f" {line} "
     for phrase, label in BASE_PHRASES.items():
+        before, words = 0, 0  # blanks ahead of a place are words ahead of it
         at = framed.find(f" {phrase} ")
         while at >= 0:
-            out.append((framed.count(" ", 0, at), label))
+            words += framed.count(" ", before, at)
+            before = at
+            out.append((words, label))
             at = framed.find(f" {phrase} ", at + 1)
     return sorted(out)
 
@@ -138,8 +145,10 @@ def scan_text(text: str, notices=NOTICES) -> dict:
     hits, labels, score = [], {label for _, label in base}, 1.0 if base else 0.0
     if found:
         places = [m.span() for m in WORD.finditer(text)]
-        borders = [len(line[:a].split(" ")) - 1 for a, *_ in found]
-        for (a, b, i, edits), first in zip(found, borders, strict=True):
+        before = words = 0
+        for a, b, i, edits in found:
+            words += line.count(" ", before, a)
+            before, first = a, words
             notice = searcher(notices).notices[i]
             last = first + line.count(" ", a, b) - (line[b - 1 : b] == " ")
             first += line[a : a + 1] == " "
