@@ -1,10 +1,10 @@
 """Document fingerprints: a canonical exact digest.
 
 A text's canonical form is its compatibility normal form (NFKC), case-folded, normalised again, with every run of white
-space as one blank and none at the ends. Its digest is the 128-bit xxh3 of the form's UTF-8. Texts are grouped by digest,
-and inside groups of several documents the canonical bytes are compared: Spark groups by (digest, canonical text), whose
-map-side half keeps one row per distinct text and task, so the largest group of copies costs a task no more than one row.
-Should two forms share a digest, the second, third, ... of them (by SHA-256) get the suffix -1, -2, ...
+space as one blank and none at the ends. Its digest is the 128-bit xxh3 of the form's UTF-8. Rows are grouped by digest;
+inside a group the forms' SHA-256 and lengths are compared first, 40 narrow bytes a row, so no text is shuffled for groups
+whose rows agree in them, however many groups are shared. Where they differ under one digest, the canonical bytes
+themselves are fetched and compared: the second, third, ... form (by SHA-256) gets the suffix -1, -2, ...
 """
 
 from __future__ import annotations
@@ -21,14 +21,10 @@ from pyspark.sql import functions as F
 
 from ._common import cut, id_and_text, read_table, utf8
 
-#: Shared digests up to this number of rows are broadcast (40 bytes each); above it the join is shuffled.
-BROADCAST_ROWS = 500_000
 #: Ranges of ids per shuffle partition: several, since ranges are dealt to partitions by hash.
 RANGES_PER_PARTITION = 4
-#: The seed of the 64-bit check value that tells canonical forms of one digest apart in joins.
-CHECK_SEED = 7
 
-PAIR_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, digest string, edited_digest string, near_edited double, near_next double, probe long, edited_probe long"
+PAIR_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, digest string, edited_digest string, near_edited double, near_next double, form binary, edited_form binary"
 
 
 def canonical(text: str) -> str:
@@ -44,39 +40,40 @@ def digest(data: bytes, bits: int = 128) -> str:
     return xxhash.xxh3_128_hexdigest(data)[: bits // 4]
 
 
-def _probe(data: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(data, CHECK_SEED) - (1 << 63)
+def form_mark(data: bytes) -> bytes:
+    """SHA-256 and length of a canonical form: what tells forms of one digest apart."""
+    return hashlib.sha256(data).digest() + len(data).to_bytes(8, "big")
 
 
 def fingerprint_texts(docs: DataFrame, bits: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest, canonical, probe of each row of docs (null texts: empty)."""
+    """doc_id, digest, canonical, form (its mark) of each row of docs (null texts: empty)."""
 
     def run(batches):
         for batch in batches:
             forms = [canonical(t) for t in batch.column(1).to_pylist()]
             data = [utf8(c) for c in forms]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(d, bits) for d in data], pa.string()), pa.array(data, pa.binary()), pa.array(map(_probe, data), pa.int64())], names=["doc_id", "digest", "canonical", "probe"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(d, bits) for d in data], pa.string()), pa.array(data, pa.binary()), pa.array(map(form_mark, data), pa.binary())], names=["doc_id", "digest", "canonical", "form"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, digest string, canonical binary, probe long")
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, digest string, canonical binary, form binary")
 
 
-def colliding_classes(texts: DataFrame, shared: DataFrame) -> DataFrame:
-    """(digest, probe, ordinal) of the canonical forms of those digests that stand for several forms.
+def colliding_classes(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """(digest, form, ordinal) of the canonical forms of those digests that stand for several forms.
 
-    texts: rows of ``fingerprint_texts``; shared: the digests that more than one row has.
+    texts: rows of ``fingerprint_texts``; rows: their digest and form, written before.
     """
-    few = shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    keys = F.broadcast(shared) if few else shared
-    # The grouping compares bytes; one narrow row of each distinct form is written, so the texts are shuffled once.
-    forms = cut(texts.join(keys, "digest", "left_semi").groupBy("digest", "canonical").agg(F.min("probe").alias("probe")).select("digest", "probe", F.sha2("canonical", 256).alias("form")))
-    within = Window.partitionBy("digest")
-    several = forms.withColumn("n", F.count(F.lit(1)).over(within)).where("n > 1")
-    return several.select("digest", "probe", (F.row_number().over(within.orderBy("form")) - 1).alias("ordinal"))
-
-
-def _with_suffix(rows: DataFrame, classes: DataFrame, name: str, probe: str) -> DataFrame:
-    found = classes.select(F.col("digest").alias(name), F.col("probe").alias(probe), F.col("ordinal").alias(f"{name}_ordinal"))
-    joined = rows.join(found, [name, probe], "left")
+    # Half of each digest's rows or more may be copies of one form: both halves of this aggregate keep two marks of it.
+    clashing = cut(rows.groupBy("digest").agg(F.min("form").alias("least"), F.max("form").alias("most")).where("least <> most").select("digest"))
+    shape = "digest string, form binary, ordinal int"
+    if clashing.isEmpty():
+        return rows.sparkSession.createDataFrame([], shape)
+    forms = texts.join(clashing, "digest", "left_semi").groupBy("digest", "canonical").agg(F.min("form").alias("form")).select("digest", "form")
+    return forms.withColumn("ordinal", F.row_number().over(Window.partitionBy("digest").orderBy("form")) - 1)
+
+
+def _with_suffix(rows: DataFrame, classes: DataFrame, name: str, form: str) -> DataFrame:
+    found = classes.select(F.col("digest").alias(name), F.col("form").alias(form), F.col("ordinal").alias(f"{name}_ordinal"))
+    joined = rows.join(found, [name, form], "left")
     more = F.col(f"{name}_ordinal") > 0
     return joined.withColumn(name, F.when(more, F.concat(F.col(name), F.lit("-"), F.col(f"{name}_ordinal"))).otherwise(F.col(name))).drop(f"{name}_ordinal")
 
@@ -88,10 +85,9 @@ def canonical_classes(docs: DataFrame, bits: int = 128, id_col: str = "doc_id",
     empty result.
     """
     texts = fingerprint_texts(docs, bits, id_col, text_col)
-    rows = cut(texts.select("doc_id", "digest", "probe"))
-    shared = rows.groupBy("digest").count().where("count > 1").select("digest")
-    classes = cut(colliding_classes(texts, shared))
-    named = rows if classes.isEmpty() else _with_suffix(rows, classes, "digest", "probe")
+    rows = cut(texts.select("doc_id", "digest", "form"))
+    classes = cut(colliding_classes(texts, rows))
+    named = rows if classes.isEmpty() else _with_suffix(rows, classes, "digest", "form")
     named = named.select("doc_id", F.col("digest").alias("fingerprint"))
     groups = named.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return named.join(groups, "fingerprint").select("doc_id", "fingerprint", "class_id", "class_size")
@@ -157,17 +153,16 @@ def edited_fingerprints(docs: DataFrame, bits: int = 128, id_col: str = "doc_id"
                     edited = own[: len(own) - half] + text[:half]
                     edited_form = utf8(canonical(edited))
                     edited_mark = digest(edited_form, bits)
-                    out.append((own_id, len(own), hashlib.sha256(utf8(edited)).hexdigest(), own_mark, edited_mark, float(own_mark == edited_mark and own_form == edited_form), float(own_mark == mark and own_form == form), _probe(own_form), _probe(edited_form)))
+                    out.append((own_id, len(own), hashlib.sha256(utf8(edited)).hexdigest(), own_mark, edited_mark, float(own_mark == edited_mark and own_form == edited_form), float(own_mark == mark and own_form == form), form_mark(own_form), form_mark(edited_form)))
                 before = None if extra else (in_range, doc_id, text, form, mark)
             columns = list(zip(*out, strict=True)) or [()] * 9
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_chars", "edited_sha256", "digest", "edited_digest", "near_edited", "near_next", "probe", "edited_probe"])
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_chars", "edited_sha256", "digest", "edited_digest", "near_edited", "near_next", "form", "edited_form"])
 
     pairs = cut(with_following(texts).mapInArrow(run, PAIR_SCHEMA))
-    shared = pairs.groupBy("digest").count().where("count > 1").select("digest")
-    classes = cut(colliding_classes(fingerprint_texts(texts, bits), shared))
+    classes = cut(colliding_classes(fingerprint_texts(texts, bits), pairs.select("digest", "form")))
     if not classes.isEmpty():
-        pairs = _with_suffix(_with_suffix(pairs, classes, "digest", "probe"), classes, "edited_digest", "edited_probe")
+        pairs = _with_suffix(_with_suffix(pairs, classes, "digest", "form"), classes, "edited_digest", "edited_form")
     return pairs.select("doc_id", "n_chars", "edited_sha256", F.col("digest").alias("fingerprint"), F.col("edited_digest").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
