@@ -1,10 +1,11 @@
 """Secret scans with multipart credential linking.
 
 Strong secrets (assignments, access identifiers, long hexadecimal strings) are reported as they stand. Weak candidates -
-values under names such as client_id, strings of high entropy, endpoints - are kept back: inside a scope (a paragraph,
-and at most ``reach`` code points between two parts) identifiers, secrets and endpoints are interval-joined, and a weak
+values under names such as client_id, strings of high entropy, user and password of an address, endpoints - are kept
+back: inside a scope (a paragraph, of any length) identifiers, secrets and endpoints are interval-joined, and a weak
 candidate is reported only where complementary parts co-occur: a secret with an identifier, and an endpoint with both.
-The join is a sweep over parts sorted by start, so a document with many parts costs n log n, never all pairs.
+Parts may stand inside one another, as a key in an address does. With ``reach``, two parts also have to stand at most so
+many code points apart. The join asks an index of each scope's intervals, so many parts cost n log n, never all pairs.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +25,6 @@ from ._common import id_and_text, read_table
 #: Kinds in the order in which equal starts are listed; the first three are strong.
 KINDS = ("assign", "access", "hex", "linked_id", "linked_secret", "linked_endpoint")
 BASE = 3
-REACH = 200
 
 # The base patterns (fixed values).
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -37,7 +38,10 @@ IDENTIFIER = re.compile(r"""\b(?:access_?key_?id|client_?id|account_?(?:id|name)
 IDENTIFIER_HINTS = ("key_id", "keyid", "client", "account", "user", "login", "uid")
 ENDPOINT = re.compile(r"""(?:https?|wss?|ftps?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]+|\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+(?::\d+)?""", re.ASCII | re.IGNORECASE)
 ENDPOINT_HINTS = ("://", "host", "endpoint", "server")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,128}={0,2}(?![A-Za-z0-9+/_=-])", re.ASCII)
+# User and password, and a parameter's value, inside an address; user and password stand where they do by their meaning.
+USERINFO = re.compile(r"://([^\s:/?#@\"'<>]{1,64}):([^\s/?#@\"'<>]{6,})@", re.ASCII)
+PARAMETER = re.compile(r"[?&;#][A-Za-z0-9_.-]+=([A-Za-z0-9+/_.~-]{16,}={0,2})", re.ASCII)
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])", re.ASCII)
 PARAGRAPH = re.compile(r"\n[\t ]*\n")
 MIN_ENTROPY = 3.5
 
@@ -66,23 +70,25 @@ def base_spans(text: str, lower: str | None = None) -> list[tuple[int, int, int]
 
 
 class _Index:
-    """Sorted intervals, asked for one within reach of another and in its scope."""
-
-    def __init__(self, parts: list[tuple[int, int]]):
-        self.parts = sorted(parts)
-        self.starts = [a for a, _ in self.parts]
-        self.by_end = sorted(self.parts, key=lambda p: p[1])
-        self.ends = [b for _, b in self.by_end]
-
-    def near(self, part: tuple[int, int], reach: int, scope) -> bool:
-        """The nearest interval on either side decides: a farther one is in the same scope only if that one is too."""
-        i = bisect_left(self.starts, part[0])
-        if i < len(self.parts) and self.starts[i] <= part[1] + reach and scope(self.starts[i]) == scope(part[0]):
-            return True
-        i = bisect_right(self.ends, max(part))
-        while i and self.by_end[i - 1][0] >= part[0]:
-            i -= 1
-        return bool(i) and self.by_end[i - 1][1] + reach >= part[0] and scope(self.by_end[i - 1][0]) == scope(part[0])
+    """Intervals by scope, asked whether one stands in another's scope, within reach of it if there is one."""
+
+    def __init__(self, parts: list[tuple[int, int]], scope: Callable[[int], int]):
+        self.scope = scope
+        self.starts: dict[int, list[int]] = {}
+        self.ends: dict[int, list[int]] = {}  # the largest end so far
+        for a, b in sorted(parts):
+            at = scope(a)
+            ends = self.ends.setdefault(at, [])
+            self.starts.setdefault(at, []).append(a)
+            ends.append(max(b, ends[-1]) if ends else b)
+
+    def near(self, part: tuple[int, int], reach: int | None) -> bool:
+        """Of those that start at most reach after the part's end, does one end at most reach before its start?"""
+        at = self.scope(part[0])
+        if reach is None or at not in self.starts:
+            return at in self.starts
+        i = bisect_right(self.starts[at], part[1] + reach)
+        return i > 0 and self.ends[at][i - 1] >= part[0] - reach
 
 
 def _covered(spans: list[tuple[int, int]], within: list[tuple[int, int]]) -> set[tuple[int, int]]:
@@ -99,41 +105,41 @@ def _covered(spans: list[tuple[int, int]], within: list[tuple[int, int]]) -> set
     return out
 
 
-def linked_spans(text: str, base: list[tuple[int, int, int]], lower: str | None = None, reach: int = REACH) -> list[tuple[int, int, int]]:
+def parts_of(text: str, base: list[tuple[int, int, int]], lower: str) -> tuple[set, set, set]:
+    """(identifiers, secrets, endpoints) as spans: the weak candidates. One span has one role: an identifier is no secret,
+    and what a strong secret overlaps is neither."""
+    ids = {m.span(1) for m in IDENTIFIER.finditer(text)} if any(h in lower for h in IDENTIFIER_HINTS) else set()
+    ends = {m.span() for m in ENDPOINT.finditer(text)} if any(h in lower for h in ENDPOINT_HINTS) else set()
+    if not (ids or ends or any(k == 1 for _, k, _ in base)):
+        return set(), set(), set()
+    secrets = {m.span() for m in CANDIDATE.finditer(text) if _weak_secret(m[0])}
+    if ends:
+        secrets |= {m.span(1) for m in PARAMETER.finditer(text) if _weak_secret(m[1])}
+        named = list(USERINFO.finditer(text))
+        ids |= {m.span(1) for m in named}
+        secrets = (secrets - _covered(sorted(secrets), sorted({m.span(2) for m in named}))) | {m.span(2) for m in named}
+    strong = sorted((a, b) for a, _, b in base)
+    ids -= _covered(sorted(ids), strong)
+    return ids, secrets - _covered(sorted(secrets), sorted([*strong, *ids])), ends
+
+
+def linked_spans(text: str, base: list[tuple[int, int, int]], lower: str | None = None, reach: int | None = None) -> list[tuple[int, int, int]]:
     """Weak candidates with complementary parts in their scope, as (start, kind number, end)."""
-    lower = text.lower() if lower is None else lower
-    named = any(h in lower for h in IDENTIFIER_HINTS)
-    ids = [m.span(1) for m in IDENTIFIER.finditer(text)] if named else []
-    strong_ids = [(a, b) for a, k, b in base if k == 1]
-    ends = [m.span() for m in ENDPOINT.finditer(text)] if any(h in lower for h in ENDPOINT_HINTS) else []
-    if not (ids or strong_ids) and not ends:
-        return []
-    secrets = [m.span() for m in CANDIDATE.finditer(text) if _weak_secret(m[0])]
-    taken = sorted((a, b) for a, _, b in base)
-    held = _covered(secrets, taken) | _covered(secrets, sorted(ids + ends))
-    secrets = [s for s in secrets if s not in held]
-    strong_secrets = [(a, b) for a, k, b in base if k in (0, 2)]
-    all_ids, all_secrets = sorted(set(ids + strong_ids)), sorted(set(secrets + strong_secrets))
-    if not all_secrets:
+    ids, secrets, ends = parts_of(text, base, text.lower() if lower is None else lower)
+    all_ids = ids | {(a, b) for a, k, b in base if k == 1}
+    all_secrets = secrets | {(a, b) for a, k, b in base if k in (0, 2)}
+    if not all_ids or not all_secrets:
         return []
     borders = [m.start() for m in PARAGRAPH.finditer(text)]
     scope = lambda at: bisect_right(borders, at)
-    held_ids = _covered(sorted(set(ids)), taken)
-    out = []
-    id_index, secret_index = _Index(all_ids), _Index(all_secrets)
-    for s in secrets:
-        if id_index.near(s, reach, scope):
-            out.append((s[0], 4, s[1]))
-    for i in sorted(set(ids)):
-        if i not in held_ids and secret_index.near(i, reach, scope):
-            out.append((i[0], 3, i[1]))
-    for e in ends:
-        if id_index.near(e, reach, scope) and secret_index.near(e, reach, scope):
-            out.append((e[0], 5, e[1]))
+    with_id, with_secret = _Index(list(all_ids), scope), _Index(list(all_secrets), scope)
+    out = [(a, 4, b) for a, b in secrets if with_id.near((a, b), reach)]
+    out += [(a, 3, b) for a, b in ids if with_secret.near((a, b), reach)]
+    out += [(a, 5, b) for a, b in ends if with_id.near((a, b), reach) and with_secret.near((a, b), reach)]
     return sorted(out)
 
 
-def spans_of(text: str, reach: int = REACH) -> list[tuple[int, int, int]]:
+def spans_of(text: str, reach: int | None = None) -> list[tuple[int, int, int]]:
     """All spans, (start, kind number, end), sorted; starts and ends count code points."""
     lower = text.lower()
     base = base_spans(text, lower)
@@ -144,7 +150,7 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def scan_secrets(docs: DataFrame, reach: int = REACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, reach: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: counts of the strong kinds, a digest of their spans, all spans as text and as an array.
 
     Null and empty texts have no spans (their digest is that of the empty text); rows without an id and repeated rows are
@@ -168,7 +174,7 @@ def scan_secrets(docs: DataFrame, reach: int = REACH, id_col: str = "doc_id", te
     return id_and_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
 
 
-def redact(text: str | None, mark: str = "[SECRET]", reach: int = REACH) -> str | None:
+def redact(text: str | None, mark: str = "[SECRET]", reach: int | None = None) -> str | None:
     """text with each span, overlapping ones as one, replaced by mark; texts without spans stay as they are."""
     if not text:
         return text
@@ -182,7 +188,7 @@ def redact(text: str | None, mark: str = "[SECRET]", reach: int = REACH) -> str
     return "".join([*out, text[at:]]) if out else text
 
 
-def redact_documents(docs: DataFrame, mark: str = "[SECRET]", reach: int = REACH, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+def redact_documents(docs: DataFrame, mark: str = "[SECRET]", reach: int | None = None, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """docs, all rows and columns, with redacted texts and their numbers of code points; other texts stay as they are."""
     names = docs.columns
     at_text, at_chars = names.index(text_col), names.index(chars_col)

@@ -115,6 +115,81 @@ def test_pigeonhole_loses_no_match():
             assert any(search.notices[i].label == notice.label for _, _, i, _ in search.search(line))
 
 
+def test_license_scan_of_repetitive_texts():
+    """Work in proportion to the text: each of these took minutes or more with windows that merge."""
+    import time
+
+    for piece, label, n in (("Licensd under teh Apache License, Version 2.0. ", "apache-2.0", 10_000), ("all rights reserved ", "reserved", 10_000), ("redistribution and use in sorce and binary forms ", None, 0), ("licensed ", None, 0)):
+        begin = time.time()
+        r = license_scan.scan_text(piece * 10_000)
+        assert time.time() - begin < 30
+        assert len(r["found"]) == n and r["labels"] == (label or "")
+    text = "licensed under the apache lisence version 2 0 licensed under the apache license version 2 0"
+    assert [(h["first_word"], h["edits"]) for h in license_scan.scan_text(text)["found"]] == [(0, 2), (8, 0)]
+
+
+def plain_scan(line, search):
+    """(labels, score) of all windows of a line, without seeds: the best match from each place on, then the longest notice
+    and the fewest edits of each label."""
+    found = set()
+    for i, n in enumerate(search.notices):
+        for start in range(-n.errors, len(line)):
+            m = search.patterns[i].search(line, max(0, start - n.errors), max(0, start + len(n.text) + n.errors))
+            if m:
+                found.add((-len(n.text), sum(m.fuzzy_counts), m.start() - m.end(), m.start(), i))
+    kept = []
+    for m in sorted(found):
+        label, a, b = search.notices[m[4]].label, m[3], m[3] - m[2]
+        if all(label != x or b <= c or a >= d for x, c, d, _ in kept):
+            kept.append((label, a, b, 1 + m[1] / m[0]))
+    return {x for x, *_ in kept}, max((s for *_, s in kept), default=0.0)
+
+
+def least_edits(text, line):
+    """The fewest edits between text and any stretch of line (one column of distances as two words of bits)."""
+    at = {}
+    for i, c in enumerate(text):
+        at[c] = at.get(c, 0) | 1 << i
+    full, top = (1 << len(text)) - 1, 1 << len(text) - 1
+    up, down, now = full, 0, len(text)
+    least = now
+    for c in line:
+        eq = at.get(c, 0)
+        x = (((eq & up) + up) ^ up) | eq | down
+        more, less = down | ~(x | up) & full, up & x
+        now += bool(more & top) - bool(less & top)
+        least = min(least, now)
+        more, less = more << 1 & full, less << 1 & full
+        up, down = less | ~(x | more) & full, more & x
+    return least
+
+
+def test_license_labels_and_scores_against_plain_search(spark):
+    assert [least_edits("abcd", t) for t in ("", "xxabcdxx", "abd", "abxcd", "xx")] == [4, 0, 1, 1, 4]
+    rng = random.Random(6)
+    search = license_scan.searcher(license_scan.NOTICES)
+    for _ in range(12):
+        parts = []
+        for _ in range(rng.randint(1, 2)):
+            chars = list(rng.choice(search.notices).text)
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randrange(len(chars))
+                chars[at : at + rng.randint(0, 1)] = rng.choice(["", "x", " ", "ab"])
+            parts += ["".join(chars), rng.choice(["and", "licensed under", "license"])]
+        text = " ".join(parts)
+        line, _ = license_scan.folded(text)
+        labels, score = plain_scan(line, search)
+        base = {label for _, label in license_scan.base_places(line)}
+        r = license_scan.scan_text(text)
+        assert set(filter(None, r["labels"].split(","))) == labels | base, text
+        assert r["score"] == pytest.approx(1.0 if base else score), text
+    texts = texts_of(spark)
+    for r in license_scan.query(spark, SF).collect():
+        line, _ = license_scan.folded(texts[r["doc_id"]] or "")
+        want = {n.label for n in search.notices if least_edits(n.text, line) <= n.errors} | {label for _, label in license_scan.base_places(line)}
+        assert set(filter(None, r["labels"].split(","))) == want
+
+
 def plain_spans(text):
     out = []
     for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
@@ -131,7 +206,13 @@ def test_secrets(spark):
     assert [(secret_scan.KINDS[k], linked[a:b]) for a, k, b in secret_scan.spans_of(linked)] == [("linked_id", "abc123"), ("linked_secret", key), ("linked_endpoint", "host: db.example.com:5432")]
     for alone in (key, "client_id: abc123", "host: db.example.com", "see https://example.com and user: someone"):
         assert secret_scan.spans_of(alone) == []
-    assert secret_scan.spans_of(f"client_id: abc123\n\n{key}") == [] == secret_scan.spans_of("client_id: abc123" + " word" * 60 + f" {key}")
+    far = "client_id: abc123" + " word" * 60 + f" {key}"
+    assert secret_scan.spans_of(f"client_id: abc123\n\n{key}") == [] == secret_scan.spans_of(far, reach=200)
+    assert [k for _, k, _ in secret_scan.spans_of(far)] == [3, 4]  # a paragraph is one scope, however long it is
+    long_key = key * 9
+    assert [(k, b - a) for a, k, b in secret_scan.spans_of(f"client_id: abc123 {long_key}")] == [(3, 6), (4, len(long_key))]
+    for address, user in ((f"postgres://svc:{key}@db.example.com/x", "svc"), (f"https://example.com/?client_id=abc123&key={key}", "abc123")):
+        assert {(secret_scan.KINDS[k], address[a:b]) for a, k, b in secret_scan.spans_of(address)} == {("linked_id", user), ("linked_secret", key), ("linked_endpoint", address)}
     rng = random.Random(4)
     pieces = ["token", "Secret", "api_key", "APIKEY", "paſſword", "=", ":", " ", '"', "abcdefgh", "0123456789abcdef" * 2, "AKIA", "ABCDEFGH1234", "AKIA1", "é", "a=b", "-", "\n", "x" * 8]
     odd = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(4000)] + [*texts_of(spark).values()]
@@ -148,6 +229,45 @@ def test_secrets(spark):
     assert got[(2, "hex:0:40,assign:200040:200056")] == (1, 0, 1, sha("hex:0:40,assign:200040:200056"))
 
 
+def test_linking_against_all_pairs():
+    rng = random.Random(8)
+    key = "Zq9rT4xW8pLm2NvB6cYd1"
+    pieces = ["client_id: abc123", "user_name=someone", "AKIA" + "B7" * 8, "token = 0123456789", "ab12" * 8, f" {key} ", f"{key[::-1]}=", "https://example.com/a", "host: db.example.com", f"redis://me:{key}@cache:1/0", f"http://x.org/?uid=someone&k={key}", "\n\n", "\n \n", " ", ", ", "words between"]
+
+    def apart(x, y):
+        return max(0, y[0] - x[1], x[0] - y[1])
+
+    linked = 0
+    for _ in range(3000):
+        text = " ".join(rng.choice(pieces) for _ in range(rng.randint(1, 9)))
+        reach = rng.choice([None, 0, 5, 30])
+        base = secret_scan.base_spans(text)
+        ids, secrets, ends = secret_scan.parts_of(text, base, text.lower())
+        borders = [m.start() for m in secret_scan.PARAGRAPH.finditer(text)]
+        scope = lambda x: sum(at <= x[0] for at in borders)  # noqa: B023, E731
+        meets = lambda x, others: any(scope(x) == scope(y) and (reach is None or apart(x, y) <= reach) for y in others)  # noqa: B023, E731
+        all_ids, all_secrets = ids | {(a, b) for a, k, b in base if k == 1}, secrets | {(a, b) for a, k, b in base if k != 1}
+        want = {(*x, 3) for x in ids if meets(x, all_secrets)} | {(*x, 4) for x in secrets if meets(x, all_ids)}
+        want |= {(*x, 5) for x in ends if meets(x, all_ids) and meets(x, all_secrets)}
+        got = secret_scan.linked_spans(text, base, reach=reach)
+        assert {(a, b, k) for a, k, b in got} == want and len(got) == len(want), text
+        linked += len(want)
+    assert linked > 3000
+
+
+def test_secret_query_on_a_whole_table(spark):
+    texts = texts_of(spark)
+    sha = lambda spans: hashlib.sha256(",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
+    rows = secret_scan.query(spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        base = plain_spans(texts[r["doc_id"]] or "")
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == n for _, k, _ in base) for n in range(3)) and r["base_sha256"] == sha(base)
+    docs = spark.createDataFrame([(1, "token = 12345678")] * 3 + [(None, "client_id: abc123 Zq9rT4xW8pLm2NvB6cYd1")] * 2, "doc_id long, text string")
+    assert secret_scan.scan_secrets(docs).distinct().count() == 2 and secret_scan.scan_secrets(docs).count() == 5
+    assert secret_scan.scan_secrets(docs.limit(0)).count() == 0
+
+
 def brute_chain(odds, start, steps):
     """All tag sequences of one text."""
     from itertools import product
