@@ -4,11 +4,12 @@
 2. Every source's documents are shuffled by a hash; their words make one stream, cut in blocks of equal size. A document's
    place in its stream comes from sums over (source, hash range) and a window inside each, so a source that has a third of
    all documents is dealt to as many tasks as there are hash ranges.
-3. The schedule: slot t takes the golden-ratio point frac((t + 1) / phi) through the cumulative shares of slots to a
-   source. Slots are ranked per source by counts per (source, run of slots) and a local rank in each run. The rank says
+3. The schedule: slot t takes the golden-ratio point frac((t + 1) / phi), in units of 2^-64, through the cumulative
+   shares of slots to a source. Slots are ranked per source by counts per (source, run of slots) and a local rank in each run. The rank says
    which block a slot takes; ranks beyond a source's quota are passed over, and a quota that the points miss by a few
    slots (their discrepancy is logarithmic) is filled after the last slot.
-4. Slots are joined with blocks by (source, block): how often a block is taken gives what each document contributes.
+4. Slots are joined with blocks by (source, block): how often a block is taken gives what each document contributes, and
+   the first slot of its blocks in a round is the document's place in the mix.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ WEIGHTS, SHARE, CAP = (3.0, 1.0, 2.0), 1.5, 2
 BLOCK_WORDS, LEAST_BLOCKS = 4096, 1024
 #: Slots of a run, documents of a hash range (about), and the seed of the shuffle.
 RUN_SLOTS, RANGE_DOCS, SEED = 1 << 14, 512, "mix"
-GOLDEN = (5**0.5 - 1) / 2
+#: The golden ratio less 1, in units of 2^-64: points are exact whole numbers, the same in every engine.
+GOLDEN = 11400714819323198485
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -99,10 +101,10 @@ def schedule(spark: SparkSession, table: DataFrame) -> DataFrame:
         return spark.createDataFrame([], "slot long, place int, rank long, block long, round long")
     place, quota, blocks = (few[c].to_numpy() for c in ("place", "quota", "pass_blocks"))
     total = int(quota.sum())
-    edges = np.cumsum(quota)[:-1] / total
+    edges = np.array([-(-(int(x) << 64) // total) for x in np.cumsum(quota)[:-1]], dtype=np.uint64)
 
     def sources(first: int, last: int) -> np.ndarray:
-        points = np.modf(np.arange(first + 1, last + 1, dtype="longdouble") * np.longdouble(GOLDEN))[0].astype("float64")
+        points = np.arange(first + 1, last + 1, dtype=np.uint64) * np.uint64(GOLDEN)  # modulo 2^64
         return np.searchsorted(edges, points, side="right")
 
     runs = -(-total // RUN_SLOTS)
@@ -162,56 +164,68 @@ def fragments(placed: DataFrame) -> DataFrame:
 
 
 def contributions(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of docs, with taken_0, taken_1, ...: the words that each round takes of it, from its first word on."""
+    """One row per row of docs, with taken_0, taken_1, ...: the words that each round takes of it, from its first word on,
+    and slot_0, slot_1, ...: the first slot that takes of it in that round (null if none does), its place in the mix."""
     rows = cut(sized(docs, id_col, text_col, source_col))
     table = cut(targets(rows, weights, share, cap))
     placed = cut(streams(rows, table, seed))
     rounds = range(cap)
-    times = schedule(docs.sparkSession, table).groupBy("place", "block").agg(*(F.count_if(F.col("round") == r).alias(f"times_{r}") for r in rounds))
+    times = schedule(docs.sparkSession, table).groupBy("place", "block").agg(*(F.count_if(F.col("round") == r).alias(f"times_{r}") for r in rounds), *(F.min(F.when(F.col("round") == r, F.col("slot"))).alias(f"first_{r}") for r in rounds))
     kept = ["doc_id", "source", "mark", "size", "source_size", "target", "block_words", "quota", "place", "start"]
     # Documents with words have starts of their own in their source, so this sums each document's blocks.
-    given = fragments(placed).join(times, ["place", "block"], "left").groupBy(*kept).agg(*(F.sum(F.col("words") * F.coalesce(F.col(f"times_{r}"), F.lit(0))).cast("long").alias(f"taken_{r}") for r in rounds))
-    return given.unionByName(placed.where("size = 0").select(*kept, *(F.lit(0).cast("long").alias(f"taken_{r}") for r in rounds))).drop("place")
+    given = fragments(placed).join(times, ["place", "block"], "left").groupBy(*kept).agg(*(F.sum(F.col("words") * F.coalesce(F.col(f"times_{r}"), F.lit(0))).cast("long").alias(f"taken_{r}") for r in rounds), *(F.min(f"first_{r}").alias(f"slot_{r}") for r in rounds))
+    empty = placed.where("size = 0").select(*kept, *(F.lit(0).cast("long").alias(f"taken_{r}") for r in rounds), *(F.lit(None).cast("long").alias(f"slot_{r}") for r in rounds))
+    return given.unionByName(empty).drop("place")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, mark, size, source_size, target, block_words, quota, start, taken: one row per row of docs.
+    """doc_id, source, mark, size, source_size, target, block_words, quota, start, taken, slots: one row per row of docs.
 
-    taken counts the words that the mix takes of the row, repeats included, at most cap times its size. Null texts have
+    taken counts the words that the mix takes of the row, repeats included, at most cap times its size; slots are its
+    places in the order of the mix, one for each round that takes of it (empty if none does). Null texts have
     size 0 and give nothing; a null source is a source of its own, the last; rows without an id and repeated rows are
     mixed like others; an empty table gives an empty result; other columns are ignored, whatever their names. Ties in the
     shuffle are ordered by id, size and text, so reruns agree.
     """
     out = contributions(docs, weights, share, cap, seed, id_col, text_col, source_col)
-    return out.withColumn("taken", sum((F.col(f"taken_{r}") for r in range(cap)), F.lit(0)).cast("long")).drop(*(f"taken_{r}" for r in range(cap)))
+    out = out.withColumn("taken", sum((F.col(f"taken_{r}") for r in range(cap)), F.lit(0)).cast("long"))
+    out = out.withColumn("slots", F.array_compact(F.array(*(F.col(f"slot_{r}") for r in range(cap)))))
+    return out.drop(*(f"{name}_{r}" for name in ("taken", "slot") for r in range(cap)))
 
 
 def mixed_documents(docs: DataFrame, cap: int = CAP, chars_col: str = "n_chars", **settings) -> DataFrame:
     """The mix itself, with the columns of docs (doc_id, text, source, n_chars and others): a row for each round that
-    takes of a document. A document at the end of a source's last block is cut after the last word that is taken."""
+    takes of a document. A document at the end of a source's last block is cut after the last word that is taken. Rows are
+    dealt by hash, and each partition stands in the order of the mix, so any stretch of its file has the sources in
+    proportion. Texts are shuffled once, by their marks."""
     given = contributions(docs, cap=cap, **settings)
-    takes = given.select("doc_id", "mark", "size", F.filter(F.array(*(F.col(f"taken_{r}") for r in range(cap))), lambda n: n > 0).alias("takes")).where("size(takes) > 0")
+    both = F.filter(F.array(*(F.struct(F.col(f"taken_{r}").alias("take"), F.col(f"slot_{r}").alias("slot")) for r in range(cap))), lambda t: t["take"] > 0)
+    takes = given.select(F.col("mark").alias("_mark"), F.col("doc_id").alias("_id"), F.col("size").alias("_size"), both.alias("_takes")).where("size(_takes) > 0")
     # Rows alike in id, source and text are one here, with all their takes.
-    takes = takes.groupBy("mark", F.col("doc_id").alias("key"), "size").agg(F.flatten(F.collect_list("takes")).alias("takes"))
-    # A mark of 64 bits may stand for two rows of other ids: those are told apart by their ids.
-    same = Window.partitionBy("mark").orderBy("doc_id", *(c for c in docs.columns if c != "doc_id"))
-    own = docs.withColumn("mark", mark_of(docs)).withColumn("before", F.lag(F.struct("doc_id")).over(same)).where(~F.col("before").eqNullSafe(F.struct("doc_id"))).drop("before")
-    joined = own.join(takes.withColumnRenamed("mark", "mark_2"), (F.col("mark") == F.col("mark_2")) & F.col("doc_id").eqNullSafe(F.col("key")))
-    rows = joined.withColumn("take", F.explode("takes"))
+    takes = takes.groupBy("_mark", "_id", "_size").agg(F.flatten(F.collect_list("_takes")).alias("_takes"))
+    same = Window.partitionBy("_mark").orderBy("doc_id", *(c for c in docs.columns if c not in ("doc_id", "text")))
+    marked = docs.withColumn("_mark", mark_of(docs))
+    own = marked.withColumn("_before", F.lag(F.struct("doc_id")).over(same)).where(~F.col("_before").eqNullSafe(F.struct("doc_id"))).drop("_before")
+    # A mark of 64 bits may stand for rows of other ids. They are told apart after the join, by an expression that is no
+    # join key, so that the window's shuffle serves the join.
+    other = F.coalesce(F.col("doc_id").cast("long").bitwiseXOR(F.col("_id")), F.when(F.col("doc_id").isNull() & F.col("_id").isNull(), F.lit(0)), F.lit(1))
+    joined = own.join(takes, "_mark").where(other == 0)
+    rows = joined.withColumn("_take", F.explode("_takes")).withColumns({"_slot": F.col("_take")["slot"], "_take": F.col("_take")["take"]})
     blanks = r"[\x20\x09-\x0D]+"
     # Splitting off the first words leaves the rest as the last element.
-    parts = F.split("text", blanks, (F.col("take") + 1 + F.col("text").rlike(f"^{blanks}").cast("int")).cast("int"))
+    parts = F.split("text", blanks, (F.col("_take") + 1 + F.col("text").rlike(f"^{blanks}").cast("int")).cast("int"))
     head = F.regexp_replace(F.substring(F.col("text"), F.lit(1), F.length("text") - F.length(F.element_at(parts, -1))), f"{blanks}$", "")
-    partial = F.col("take") < F.col("size")
+    partial = F.col("_take") < F.col("_size")
     text = F.when(partial, head).otherwise(F.col("text"))
-    return rows.withColumn(chars_col, F.when(partial, F.length(head)).otherwise(F.col(chars_col)).cast(docs.schema[chars_col].dataType)).withColumn("text", text).select(*docs.columns)
+    return rows.withColumn(chars_col, F.when(partial, F.length(head)).otherwise(F.col(chars_col)).cast(docs.schema[chars_col].dataType)).withColumn("text", text).sortWithinPartitions("_slot", "doc_id", "_mark").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    out = mix(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", F.coalesce(F.array_min("slots"), F.lit(-1)).alias("first_slot"))
 
 
-#: The same rows in closed form: a source's mix is its stream, twice over, up to the last block of its quota.
+#: The same rows: a source's mix is its stream, twice over, up to the last block of its quota; the schedule gives the slots.
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
@@ -238,11 +252,27 @@ WITH d AS (
 ), e AS (
   SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE quota // pass_blocks * source_size + least(quota % pass_blocks * block_words, source_size) END AS words FROM q
 ), o AS (
-  SELECT d.doc_id, d.size, e.source_size, e.target, e.words,
+  SELECT d.doc_id, d.size, e.source_size, e.target, e.words, e.place, e.block_words,
     coalesce(sum(d.size) OVER (PARTITION BY e.place ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), 'null') || ':mix'), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
+), g AS (
+  SELECT place, quota, pass_blocks, sum(quota) OVER (ORDER BY place) AS upto, sum(quota) OVER () AS slots FROM e WHERE quota > 0
+), h AS (
+  SELECT place, quota, pass_blocks, slots, ((upto - quota)::HUGEINT * 18446744073709551616 + slots - 1) // slots AS low, (upto::HUGEINT * 18446744073709551616 + slots - 1) // slots AS high FROM g
+), i AS (
+  SELECT slot, ((slot + 1)::HUGEINT * 11400714819323198485) % 18446744073709551616 AS point FROM (SELECT unnest(range((SELECT max(slots)::BIGINT FROM g))) AS slot)
+), j AS (
+  SELECT place, pass_blocks, quota, slot, row_number() OVER (PARTITION BY place ORDER BY slot) - 1 AS rank FROM i JOIN h ON point >= low AND point < high
+), n AS (
+  SELECT place, pass_blocks, slots, unnest(range(met, quota::BIGINT)) AS rank FROM (SELECT h.place, pass_blocks, quota, slots, (SELECT count(*) FROM j WHERE j.place = h.place) AS met FROM h)
+), k AS (
+  SELECT place, rank % pass_blocks AS block, min(slot) AS slot
+  FROM (SELECT place, pass_blocks, rank, slot FROM j WHERE rank < quota UNION ALL SELECT place, pass_blocks, rank, slots FROM n) GROUP BY 1, 2
+), l AS (
+  SELECT o.*, (SELECT min(slot) FROM k WHERE k.place = o.place AND block BETWEEN start // block_words AND (start + size - 1) // block_words AND size > 0) AS first_slot FROM o
 )
 SELECT doc_id, size, source_size, target,
-  CAST(greatest(0, least(size, words - start)) + greatest(0, least(size, words - source_size - start)) AS BIGINT) AS taken
-FROM o
+  CAST(greatest(0, least(size, words - start)) + greatest(0, least(size, words - source_size - start)) AS BIGINT) AS taken,
+  CAST(coalesce(first_slot, -1) AS BIGINT) AS first_slot
+FROM l
 """

@@ -1,3 +1,5 @@
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -56,10 +58,31 @@ def test_schedule_spreads_sources(spark):
     assert {r["place"]: (r["n"], r["top"], r["d"]) for r in slots.groupBy("place").agg(F.count("*").alias("n"), F.max("rank").alias("top"), F.countDistinct("rank").alias("d")).collect()} == {p: (q, q - 1, q) for p, q in quota.items()}
     total = sum(quota.values())
     part = {r["place"]: r["n"] for r in slots.where(F.col("slot") < total // 7).groupBy("place").agg(F.count("*").alias("n")).collect()}
+    # A source's points never run far ahead of or behind its share.
+    assert slots.where(F.col("slot") == total).count() <= 2 * len(quota)
     for p, q in quota.items():  # any stretch of the mix has the sources in proportion
         assert abs(part[p] - q / 7) < 8
 
 
+def test_mix_stands_in_the_order_of_its_slots(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}-{k}" for k in range(9 + i % 40)), "en", "abc"[i % 3], 1) for i in range(300)], "doc_id long, text string, lang string, source string, n_chars long")
+    places = {r["doc_id"]: list(r["slots"]) for r in mixing.mix(docs).collect()}
+    given = mixing.contributions(docs).collect()
+    for r in given:
+        assert [r[f"slot_{k}"] for k in (0, 1) if r[f"taken_{k}"]] == places[r["doc_id"]] and all((r[f"slot_{k}"] is None) == (r[f"taken_{k}"] == 0) for k in (0, 1))
+    order, taken = {}, 0
+    for r in mixing.mixed_documents(docs).withColumn("p", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()).orderBy("at").collect():
+        order.setdefault(r["p"], []).append(r["doc_id"])
+        taken += 1
+    assert taken == sum(map(len, places.values()))
+    for ids in order.values():  # each document's first row stands by its first slot
+        firsts = [places[i][0] for k, i in enumerate(ids) if i not in ids[:k]]
+        assert firsts == sorted(firsts)
+    # Below the join the texts pass one exchange, the one of the window, on the mark alone.
+    plan = mixing.mixed_documents(docs)._jdf.queryExecution().executedPlan().toString()
+    assert sum(re.search(r"Exchange hashpartitioning\(_mark#\w+, \d+\)", line) is not None for line in plan.splitlines()) == 2, plan
+
+
 def test_closed_form(spark):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
