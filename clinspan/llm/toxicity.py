@@ -21,14 +21,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import id_and_text, read_table
 
-TOKEN = re.compile(r"\w+")
-#: Words of a text beyond this length are tagged by their beginning.
+#: Longer runs of letters (text without blanks) are tagged piece by piece; underscores part words as blanks do.
 WORD_CHARS = 40
+TOKEN = re.compile(rf"[^\W_]{{1,{WORD_CHARS}}}")
 #: Word scores that a worker keeps, and tokens that are tagged at once.
 CACHE_ENTRIES, BATCH_TOKENS = 500_000, 1_000_000
 SPAN_LEVEL = 0.5
@@ -44,6 +44,7 @@ class Settings:
 
     documents: int = 1200
     chars: int = 20_000
+    most_ids: int = 1_000_000  # ids of a label that are asked for texts at most, should most of them lack a fit one
     least_documents: int = 4
     rate_ratio: float = 4.0
     penalty: float = 0.02
@@ -60,8 +61,12 @@ class Model:
     link: tuple[float, ...]  # of document features; the first is the constant
 
 
+def lowered(text: str) -> str:
+    """text in lower case, code point by code point: U+0130, whose lower case is two, becomes i."""
+    return text.replace("\u0130", "i").lower()
+
+
 def features(word: str) -> list[str]:
-    word = word[:WORD_CHARS]
     out = [f"w{word}"]
     out += [f"p{word[:n]}" for n in range(3, 8) if len(word) >= n]
     out += [f"s{word[-n:]}" for n in (3, 4, 5) if len(word) > n]
@@ -206,7 +211,7 @@ def fit(rows: list[tuple[str, int]], settings: Settings = Settings(), population
         share = (labels.sum() + 0.5) / (len(rows) + 2.0) if len(rows) else 0.25
         return Model({}, -20.0, -5.0, (-5.0, 0.0, 0.0), (float(np.log(share / (1 - share))), 0.0, 0.0, 0.0))
     shared: dict[str, str] = {}  # one string for each word, however often it occurs
-    texts = [[shared.setdefault(w, w) for w in (x[:WORD_CHARS] for x in TOKEN.findall(t.lower()))] for t, _ in rows]
+    texts = [[shared.setdefault(w, w) for w in TOKEN.findall(lowered(t))] for t, _ in rows]
     del shared
     first_of: dict[tuple[int, ...], int] = {}
     for i, t in enumerate(texts):
@@ -280,8 +285,8 @@ class Tagger:
         for w in set(words):
             if w not in known:
                 local[w] = bias + sum(weights.get(f, 0.0) for f in features(w))
-        known.update((w, s) for w, s in local.items() if len(w) <= WORD_CHARS)
-        return [known[w] if w in known else local[w] for w in words]
+        known.update(local)
+        return list(map(known.__getitem__, words))
 
     def tag_words(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """(P(toxic) of all words of all texts one after another, words of each text)."""
@@ -294,7 +299,7 @@ class Tagger:
 
     def tag(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """As tag_words, and the texts' scores."""
-        words = [TOKEN.findall(t.lower()) for t in texts]
+        words = [TOKEN.findall(lowered(t)) for t in texts]
         tox, lengths = self.tag_words(words)
         return tox, lengths, _sigmoid(document_features(words, tox) @ np.array(self.model.link))
 
@@ -304,7 +309,7 @@ def offending(text: str, tox: np.ndarray, level: float = SPAN_LEVEL) -> list[dic
     marked = np.flatnonzero(tox >= level)
     if not len(marked):
         return []
-    places = [m.span() for m in TOKEN.finditer(text.lower())]
+    places = [m.span() for m in TOKEN.finditer(lowered(text))]
     out, last = [], -2
     for i in marked.tolist():
         if i == last + 1:
@@ -322,14 +327,32 @@ def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings = Setti
     known = known.where(F.col("toxic").isin(0, 1) & ~held_out("doc_id"))
     texts = id_and_text(docs, id_col, text_col).where(F.length("text") <= settings.chars)
     hash_ = F.xxhash64("doc_id")
-    # Twice as many ids as are wanted, since some texts are missing or too long; ids alone are sorted, then few texts join.
-    rows = []
-    for label in (0, 1):
-        ids = known.where(F.col("toxic") == label).select("doc_id").distinct().orderBy(hash_).limit(2 * settings.documents)
-        some = texts.join(F.broadcast(ids), "doc_id", "left_semi").orderBy(hash_, "text").limit(settings.documents)
-        rows += [(r["text"], label) for r in some.select("text").collect()]
-    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return rows, (counts.get(0, 0), counts.get(1, 0))
+    counts = {r["toxic"]: (r["n"], r["ids"]) for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("ids")).collect()}
+    # Twice as many ids as are wanted, since some texts are missing or too long; ids alone are sorted, then few texts join,
+    # both labels' in one scan. Only where those ids don't give enough texts are more of them taken.
+    asked = 2 * settings.documents
+    first = Window.partitionBy("toxic").orderBy(hash_, "text")
+    while True:
+        each = [known.where(F.col("toxic") == label).select("doc_id", "toxic").distinct().orderBy(hash_).limit(asked) for label in (0, 1)]
+        some = texts.join(F.broadcast(each[0].unionByName(each[1])), "doc_id").withColumn("_n", F.row_number().over(first))
+        rows = [(r["text"], r["toxic"]) for r in some.where(F.col("_n") <= settings.documents).orderBy("toxic", "_n").select("text", "toxic").collect()]
+        short = [label for label in (0, 1) if sum(y == label for _, y in rows) < settings.documents and counts.get(label, (0, 0))[1] > asked]
+        if not short or asked >= settings.most_ids:
+            break
+        asked *= 4
+    return rows, tuple(counts.get(label, (0, 0))[0] for label in (0, 1))
+
+
+def _runs(texts: list[str]):
+    """(first, end) of stretches of texts of a bounded number of characters, one text at least."""
+    at = 0
+    while at < len(texts):
+        end, chars = at, 0
+        while end < len(texts) and chars < 6 * BATCH_TOKENS:
+            chars += len(texts[end]) + 1
+            end += 1
+        yield at, end
+        at = end
 
 
 def held_out(name: str):
@@ -350,19 +373,13 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
         struct = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            at = 0
-            while at < len(texts):
-                end, chars = at, 0
-                while end < len(texts) and chars < 6 * BATCH_TOKENS:
-                    chars += len(texts[end]) + 1
-                    end += 1
+            for at, end in _runs(texts):
                 part = texts[at:end]
                 tox, lengths, scores = tagger.tag(part)
                 upto = np.cumsum(lengths)
                 each = [tox[b - n : b] for b, n in zip(upto.tolist(), lengths.tolist(), strict=True)]
                 scores = np.round(scores, 9)
                 yield pa.RecordBatch.from_arrays([ids.slice(at, end - at), pa.array(scores), pa.array((scores >= 0.5).astype("int32")), pa.array(lengths), pa.array([int((t >= SPAN_LEVEL).sum()) for t in each], pa.int64()), pa.array([offending(x, t) for x, t in zip(part, each, strict=True)], struct)], names=["doc_id", "score", "predicted", "n_tokens", "n_toxic", "spans"])
-                at = end
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, SCORE_SCHEMA)
 
@@ -375,12 +392,10 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> Data
     def run(batches):
         tagger = Tagger(held.value)
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                part = batch.slice(at, 1000)
-                scores = tagger.tag([t or "" for t in part.column(at_text).to_pylist()])[2]
-                yield part.filter(pa.array(np.round(scores, 9) < 0.5))
-                at += 1000
+            texts = [t or "" for t in batch.column(at_text).to_pylist()]
+            for at, end in _runs(texts):
+                scores = tagger.tag(texts[at:end])[2]
+                yield batch.slice(at, end - at).filter(pa.array(np.round(scores, 9) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -390,4 +405,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, population = training_rows(docs, labels)
     model = fit(rows, population=population)
     scored = score_documents(docs, model)
-    return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", "predicted")
+    # Offending code points as start:end, in order, comma-joined.
+    places = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", "predicted", places.alias("toxic_spans"))

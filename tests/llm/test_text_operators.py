@@ -311,6 +311,19 @@ def test_toxicity_on_rows_held_out(spark):
     assert sum(a == b for a, b in held) / len(held) > 0.9
 
 
+def test_training_sample(spark):
+    """The smallest hashes of each label among rows that may be learnt from, also where most labelled ids lack a text."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(3, 0), (None, 1)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, f"text {i}" if i % 3 else "long " * 9) for i in range(300, 400)], "doc_id long, text string")
+    rows, population = toxicity.training_rows(docs, labels, toxicity.Settings(documents=10, chars=20))
+    fit = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    assert population == (sum(i % 2 == 0 for i in fit) + (3 in fit), sum(i % 2 for i in fit))
+    order = [r["doc_id"] for r in docs.select("doc_id").orderBy(F.xxhash64("doc_id")).collect()]
+    for label in (0, 1):
+        want = [f"text {i}" for i in order if i in fit and i % 3 and i % 2 == label][:10]
+        assert [t for t, y in rows if y == label] == want and len(want) == 10
+
+
 def test_toxicity_edges_of_input(spark):
     rows = [(i, "you are a stupid idiot person" if i % 2 else "the good day is a fine one") for i in range(60)]
     model = toxicity.fit([(t, i % 2) for i, t in rows] + [(f"{t} {i}", i % 2) for i, t in rows for _ in range(3)])
@@ -323,5 +336,10 @@ def test_toxicity_edges_of_input(spark):
     one = toxicity.fit([("only one label", 0)])
     assert all(r["predicted"] == 0 for r in toxicity.score_documents(docs, one).collect())
     assert toxicity.score_documents(docs, toxicity.fit([])).where(F.col("predicted") == 0).count() == len(odd)
+    whole = "ａ" * 95 + "_stupid_idiot"  # no blanks: every piece is tagged
+    assert [len(w) for w in toxicity.TOKEN.findall(toxicity.lowered(whole))] == [40, 40, 15, 6, 5]
+    turkish = "İİİ stupid"
+    spans = toxicity.offending(turkish, __import__("numpy").array([0.1, 0.9]))
+    assert [turkish[s["start"] : s["end"]] for s in spans] == ["stupid"]
     spans = toxicity.offending("A stupid, idiot!", __import__("numpy").array([0.1, 0.9, 0.8]))
     assert [("A stupid, idiot!"[s["start"] : s["end"]]) for s in spans] == ["stupid, idiot"]
