@@ -3,8 +3,9 @@
 The first tier is a compact hash table, pre-token -> number of tokens, broadcast once. By default it comes from the
 tokenizer itself: byte-pair merges are ranked by frequency, so the vocabulary's entries (and their capitalised and
 space-led forms) are the frequent pre-tokens of such text; its size depends on the tokenizer alone, never on the corpus.
-Callers may pass pre-tokens of their own. The table only saves work: pre-tokens that it lacks are encoded by the library,
-and a worker keeps the sums of the chunks between blanks that it has met in a bounded cache, the second tier. One scan, no exchange, each task by itself.
+Callers may pass pre-tokens of their own, the most frequent first. Each chunk between blanks is looked up in the table; only
+those that it lacks (rare words, words with punctuation) go through the second tier, a bounded cache of the worker, and are
+encoded if they aren't there either. The table only saves work, counts don't depend on it. One scan, no exchange.
 """
 
 from __future__ import annotations
@@ -25,15 +26,15 @@ SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
 def frequent_lengths(path: str, pretokens: Iterable[str] | None = None) -> dict[str, int]:
-    """The broadcast table. pretokens: the caller's own choice instead of the vocabulary's."""
+    """The broadcast table. pretokens: the caller's own choice instead of the vocabulary's; the first MAX_FREQUENT of it."""
     tokenizer = load_tokenizer(path)
     if pretokens is None:
         by_rank = sorted(tokenizer.get_vocab(with_added_tokens=False).items(), key=lambda x: x[1])
         plain = [tokenizer.decode([i], skip_special_tokens=False) for _, i in by_rank]
         words = {p for p in plain if "�" not in p and BYTE_LEVEL.fullmatch(p)}
         letters = {p.strip() for p in words if p.strip().isalpha()}
-        pretokens = words | letters | {f" {p}" for p in letters} | {p.capitalize() for p in letters}
-    chosen = sorted(set(pretokens) - {""})[:MAX_FREQUENT]
+        pretokens = sorted(words | letters | {f" {q}" for p in letters for q in (p, p.capitalize())} | {p.capitalize() for p in letters})
+    chosen = [p for p in dict.fromkeys(pretokens) if p][:MAX_FREQUENT]
     return {p: len(e.ids) for p, e in zip(chosen, tokenizer.encode_batch(chosen, add_special_tokens=False), strict=True)}
 
 
