@@ -1,7 +1,8 @@
 """WARC: a deterministic sharded writer, and its reader.
 
 Records are range-sorted by page id: exact byte histograms over the ids, refined where a bin is heavier than a shard, give
-borders that depend on the rows alone. Each shard is written as files that roll over by compressed size, one gzip member
+borders that depend on the rows alone. Shards grow with the input, so their number and the histogram's are bounded; one id
+(or none) that is heavier than a shard is cut by its payloads' digests. Each shard is written as files that roll over by compressed size, one gzip member
 per record, with headers and digests made anew and a fixed date. A file is written under a temporary name and moved to its
 final one when it is whole; another attempt at the same shard writes the same bytes to the same name. The manifest (file,
 size, SHA-256, records) is a table that Spark commits after all files; readers take the files that it lists, no others.
@@ -16,6 +17,7 @@ import gzip
 import hashlib
 import re
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -25,8 +27,12 @@ from pyspark.sql import functions as F
 
 from ._common import cut, fresh_dir, read_table, utf8
 
-#: Raw bytes of a shard, compressed bytes after which a file is closed, first bins and bins that a heavy one is cut in.
-SHARD_BYTES, FILE_BYTES, BINS, SUB_BINS = 32 << 20, 16 << 20, 1024, 64
+#: Raw bytes of a shard at least, compressed bytes after which a file is closed, and first bins of ids.
+SHARD_BYTES, FILE_BYTES, BINS = 32 << 20, 16 << 20, 1024
+#: Shards at most, about: above, they are larger (1.5 GiB each for 100 TB).
+MOST_SHARDS = 1 << 16
+#: A payload with more copies than this is joined by a broadcast of such payloads, at most one for so many rows.
+HOT_COPIES = 1_000_000
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SPACE = uuid.UUID("7a1f36a5-6a0b-5d0e-9f43-6d9d2f7d7c11")
@@ -121,33 +127,78 @@ def _bin_of(borders: np.ndarray):
     return bin_of
 
 
-def shard_borders(facts: DataFrame, shard_bytes: int = SHARD_BYTES) -> np.ndarray:
-    """Smallest ids of all shards but the first. Equal-width bins of ids are cut again while one is heavier than a shard
-    and holds more than one id; then neighbours are joined up to a shard's size."""
-    low, high = facts.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
-        return np.array([], dtype="int64")
+@dataclass(frozen=True)
+class Shards:
+    """starts: the smallest ids of all ranges but the first, null ids apart; numbers: the first shard of each range, null
+    ids' first; pieces: in how many shards each is cut, by digest."""
+
+    starts: np.ndarray
+    numbers: np.ndarray
+    pieces: np.ndarray
+
+    @property
+    def count(self) -> int:
+        return int(self.pieces.sum())
+
+    def of(self, page_id: str, sha: str):
+        starts, numbers, pieces = self.starts, self.numbers, self.pieces
+
+        @F.pandas_udf("long")
+        def shard_of(page_id: pd.Series, sha: pd.Series) -> pd.Series:
+            place = np.zeros(len(page_id), dtype="int64")
+            known = page_id.notna().to_numpy()
+            place[known] = 1 + np.searchsorted(starts, page_id[known].to_numpy(dtype="int64"), side="right")
+            out, cut_up = numbers[place], pieces[place] > 1
+            if cut_up.any():
+                out[cut_up] += np.array([int(x[:8], 16) for x in sha[cut_up]], dtype="int64") * pieces[place[cut_up]] >> 32
+            return pd.Series(out)
+
+        return shard_of(page_id, sha)
+
+
+def plan_shards(facts: DataFrame, shard_bytes: int = SHARD_BYTES) -> Shards:
+    """Equal-width bins of ids are cut again while one is heavier than a shard and holds more than one id, in about twice
+    as many as it has shards; then neighbours are joined up to a shard's size. Bins follow the number of shards, which is
+    bounded by MOST_SHARDS, not the number of pages."""
+    low, high, total, nulls = facts.agg(F.min("page_id"), F.max("page_id"), F.sum("size"), F.sum(F.when(F.col("page_id").isNull(), F.col("size")))).first()
+    shard_bytes = max(shard_bytes, -(-(total or 0) // MOST_SHARDS))
+    pieces = [max(1, -(-(nulls or 0) // shard_bytes))]
 
     def edges(a: int, b: int, n: int) -> set[int]:
         """Inner borders of n equal parts of a..b."""
         return {a + (b - a + 1) * i // n for i in range(1, n)} - {a}
 
-    borders = np.array(sorted(edges(low, high, BINS)), dtype="int64")
+    borders = np.array(sorted(edges(low, high, BINS)) if low is not None else [], dtype="int64")
+    known = facts.where("page_id is not null")
     while True:
-        sizes = {r["bin"]: r["size"] for r in facts.groupBy(_bin_of(borders)("page_id").alias("bin")).agg(F.sum("size").alias("size")).collect()}
+        sizes = {r["bin"]: r["size"] for r in known.groupBy(_bin_of(borders)("page_id").alias("bin")).agg(F.sum("size").alias("size")).collect()}
         starts = [low, *borders.tolist()]
         spans = list(zip(starts, [*(b - 1 for b in borders.tolist()), high], strict=True))
-        more = set().union(*(edges(a, b, SUB_BINS) for i, (a, b) in enumerate(spans) if sizes.get(i, 0) > shard_bytes and b > a))
-        if not more:
+        heavy = [(a, b, sizes[i]) for i, (a, b) in enumerate(spans) if sizes.get(i, 0) > shard_bytes and b > a]
+        if not heavy:
             break
+        more = set().union(*(edges(a, b, 2 + 2 * size // shard_bytes) for a, b, size in heavy))
         borders = np.array(sorted(set(borders.tolist()) | more), dtype="int64")
     chosen, held = [], 0
     for i, (a, _) in enumerate(spans):
-        if held and held + sizes.get(i, 0) > shard_bytes:
+        size = sizes.get(i, 0)
+        if held and held + size > shard_bytes:
             chosen.append(a)
+            pieces.append(max(1, -(-held // shard_bytes)))
             held = 0
-        held += sizes.get(i, 0)
-    return np.array(chosen, dtype="int64")
+        held += size
+    pieces.append(max(1, -(-held // shard_bytes)))
+    return Shards(np.array(chosen, dtype="int64"), np.cumsum(pieces) - pieces, np.array(pieces, dtype="int64"))
+
+
+def revisits_of(facts: DataFrame) -> DataFrame:
+    """page_id, sha, first: pages whose payload has its response on another page. Payloads with very many copies are few,
+    at most one for each HOT_COPIES rows, so their pages meet them by a broadcast; the others by a join on the payload."""
+    firsts = cut(facts.groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    hot = F.broadcast(firsts.where(F.col("copies") > HOT_COPIES))
+    rest = facts.join(hot.select("sha", "size"), ["sha", "size"], "left_anti").join(firsts.where(F.col("copies") <= HOT_COPIES), ["sha", "size"])
+    both = rest.unionByName(facts.join(hot, ["sha", "size"]))
+    return both.where(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "sha", "first").distinct()
 
 
 def _filesystem(uri: str):
@@ -202,18 +253,14 @@ def write_archives(pages: DataFrame, uri: str, shard_bytes: int = SHARD_BYTES, f
 
     spark = pages.sparkSession
     facts = cut(_facts(pages))
-    borders = shard_borders(facts, shard_bytes)
-    firsts = facts.groupBy("sha", "size").agg(F.min("page_id").alias("first"))
-    revisits = facts.join(firsts, ["sha", "size"]).where(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "sha", "first").distinct()
-    shard = _bin_of(borders)("page_id").cast("long")
+    plan = plan_shards(facts, shard_bytes)
     html = F.coalesce(pages["html"].cast("string"), F.lit(""))
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("sha"))
-    rows = rows.select(shard.alias("shard"), "page_id", "sha", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("first"), "url", "html")
-    marks = revisits.select(shard.alias("shard"), "page_id", "sha", F.lit(0).alias("kind"), "first", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
+    rows = rows.select(plan.of("page_id", "sha").alias("shard"), "page_id", "sha", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("first"), "url", "html")
+    marks = revisits_of(facts).select(plan.of("page_id", "sha").alias("shard"), "page_id", "sha", F.lit(0).alias("kind"), "first", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
     order = ["shard", "page_id", "sha", "kind", "url"]
     # Each shard is a partition, so tasks are even and none waits for another's file.
-    shards = len(borders) + 1
-    sorted_ = rows.unionByName(marks).repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions(*order)
+    sorted_ = rows.unionByName(marks).repartitionById(plan.count, F.col("shard").cast("int")).sortWithinPartitions(*order)
     columns = ["file", "shard", "part", "records", "bytes", "sha256"]
     kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
 

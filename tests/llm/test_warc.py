@@ -47,6 +47,22 @@ def test_round_trip_and_rolling(spark, tmp_path):
     assert int(out.stdout) == len(rows)
 
 
+def test_heavy_ids_and_hot_payloads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "HOT_COPIES", 20)
+    rows = [(None, "n", f"<b>{i % 90}</b>" * 9) for i in range(200)] + [(7, "s", f"<i>{i}</i>" * 9) for i in range(200)]
+    rows += [(i, "u", "") for i in range(100, 200)] + [(i, "u", f"<u>{i % 60}</u>") for i in range(200, 300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    facts_ = warc._facts(pages)
+    plan = warc.plan_shards(facts_, 1500)
+    assert plan.pieces[0] > 5 and plan.pieces.max() > 5 and plan.count == plan.pieces.sum()
+    loads = {r["shard"]: r["size"] for r in facts_.groupBy(plan.of("page_id", "sha").alias("shard")).sum("size").withColumnRenamed("sum(size)", "size").collect()}
+    assert set(loads) <= set(range(plan.count)) and max(loads.values()) < 3 * 1500
+    monkeypatch.setattr(warc, "MOST_SHARDS", 4)
+    assert warc.plan_shards(facts_, 1500).count <= 2 * 4
+    uri = f"file://{tmp_path}/h"
+    assert got(warc.read_archives(warc.write_archives(pages, uri, shard_bytes=1500), uri)) == facts(rows)
+
+
 def test_empty_and_damaged(spark, tmp_path):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     manifest = warc.write_archives(none, f"file://{tmp_path}/e")
