@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key with more rows than this is joined by a broadcast of such keys: at most one of them for so many rows.
+HOT_ROWS = 1_000_000
 #: Any key of a text that is null is read as the empty text.
 EMPTY = ""
 
@@ -50,3 +52,11 @@ def fresh_dir(spark: SparkSession, prefix: str) -> str:
 
 def utf8(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
+
+
+def join_copies(rows: DataFrame, facts: DataFrame, key: str, copies: str = "copies", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """rows joined with facts (one row per key, how many rows have it as ``copies``) on key. Keys of very many rows, a few at
+    most, meet their rows by a broadcast, so that no task takes all copies of one text; the others by a shuffle."""
+    hot, cold = facts.where(F.col(copies) > hot_rows).drop(copies), facts.where(F.col(copies) <= hot_rows).drop(copies)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rest.join(cold, key).unionByName(rows.join(F.broadcast(hot), key))

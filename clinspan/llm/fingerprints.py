@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, id_and_text, read_table, utf8
+from ._common import cut, id_and_text, join_copies, read_table, utf8
 
 #: Ranges of ids per shuffle partition: several, since ranges are dealt to partitions by hash.
 RANGES_PER_PARTITION = 4
@@ -90,7 +90,7 @@ def canonical_classes(docs: DataFrame, bits: int = 128, id_col: str = "doc_id",
     named = rows if classes.isEmpty() else _with_suffix(rows, classes, "digest", "form")
     named = named.select("doc_id", F.col("digest").alias("fingerprint"))
     groups = named.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return named.join(groups, "fingerprint").select("doc_id", "fingerprint", "class_id", "class_size")
+    return join_copies(named, cut(groups.withColumn("copies", F.col("class_size"))), "fingerprint").select("doc_id", "fingerprint", "class_id", "class_size")
 
 
 def _dealt(docs: DataFrame) -> tuple[DataFrame, int]:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import EMPTY, cut, id_and_text, read_table, utf8
+from ._common import EMPTY, HOT_ROWS, cut, id_and_text, join_copies, read_table, utf8
 
 BITS = 64
 #: (query, block) items that are compared at once; 64 lanes each.
@@ -315,7 +315,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int = 3, bands: int = 5, split_rows: int = SPLIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int = 3, bands: int = 5, split_rows: int = SPLIT_ROWS, hot_rows: int = HOT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: one row per row of docs.
 
     Fingerprints at most radius bits apart are linked; component_id is the smallest doc_id that a document reaches over
@@ -324,12 +324,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int
     out each; an empty table gives an empty result; other columns are ignored, whatever their names.
     """
     rows = cut(fingerprints(docs, words, seed, id_col, text_col))
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     found = components(near_links(distinct.select("fp"), radius, bands, split_rows)).select(F.col("node").alias("fp"), "root")
     rooted = distinct.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = cut(rooted.join(smallest, "root").select("fp", "component_id", "copies"))
+    return join_copies(rows, named, "fp", hot_rows=hot_rows).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # Similarity of texts: wide fingerprints compared inside buckets of equal smallest hashes.
@@ -409,7 +409,7 @@ def safe_radius(similarity: float, bits: int) -> int:
     return min(bits, math.ceil(bits * share + DEVIATIONS * math.sqrt(bits * share * (1 - share))))
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 512, keys: int = 16, per_key: int = 3, split_rows: int = SPLIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 512, keys: int = 16, per_key: int = 3, split_rows: int = SPLIT_ROWS, hot_rows: int = HOT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id: documents linked where their sets of word shingles have at least this Jaccard similarity.
 
     Candidates are ``bits``-bit SimHashes within ``safe_radius``, compared as bit planes among texts that share one of
@@ -419,7 +419,8 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     documents have them. Only rows with an id; null and empty texts are alike; repeated rows come out each. Rows of one id
     with different texts are documents of their own.
     """
-    return rooted(docs, words, similarity, bits, keys, per_key, split_rows, id_col, text_col).select("doc_id", "component_id")
+    rows, named = rooted(docs, words, similarity, bits, keys, per_key, split_rows, id_col, text_col)
+    return join_copies(rows, named, "node", hot_rows=hot_rows).select("doc_id", "component_id")
 
 
 def text_hash(docs: DataFrame, text_col: str = "text") -> Column:
@@ -427,9 +428,9 @@ def text_hash(docs: DataFrame, text_col: str = "text") -> Column:
     return F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(EMPTY)))
 
 
-def rooted(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 512, keys: int = 16, per_key: int = 3, split_rows: int = SPLIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, root, component_id of ``similar_documents``: root names the component, also where two of them
-    have the same smallest id."""
+def rooted(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 512, keys: int = 16, per_key: int = 3, split_rows: int = SPLIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``similar_documents`` as (doc_id, text_hash, node of each row) and (node, first_id, root, component_id, copies of each
+    node): root names the component, also where two of them have the same smallest id."""
 
     def run(batches):
         for batch in batches:
@@ -449,19 +450,24 @@ def rooted(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int =
     keyed = nodes.select("node", "fp", F.posexplode("keys").alias("choice", "key")).select("choice", "key", "node", "fp")
     radius = safe_radius(similarity, bits)
     candidates = components(linked_in_buckets(keyed, radius, split_rows))
-    firsts = rows.join(candidates, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("root").alias("key"), F.first("fp").alias("fp"))
+    # One row for each node before the join, so that copies of one text stay out of it.
+    firsts = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp")).join(candidates.withColumnRenamed("root", "key"), "node")
     asked = texts.join(firsts, "doc_id").select("doc_id", "key", "node", "fp", "text").distinct()
     sets = cut(asked.select("key", "node", "fp", "text").mapInArrow(sets_of, "key long, node long, fp binary, hashes binary"))
     links = linked_in_buckets(sets.select(F.lit(0).alias("choice"), "key", "node", "fp", "hashes"), radius, split_rows, similarity)
-    named = rows.groupBy("node").agg(F.min("doc_id").alias("first_id")).join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    each = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    named = each.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows.select("doc_id", "text_hash", "node").join(named.join(smallest, "root").select("node", "root", "component_id"), "node").drop("node")
+    return rows.select("doc_id", "text_hash", "node"), cut(named.join(smallest, "root").select("node", "first_id", "root", "component_id", "copies"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """docs, all columns, with one row of each group of ``similar_documents``: the one of the smallest id, the first of its
     rows in the group (by all columns) if the id repeats. Rows without an id stay, since no id could name them as a copy."""
-    kept = rooted(docs, id_col=id_col, text_col=text_col, **settings).where("doc_id = component_id").groupBy("doc_id", "text_hash", "root").count()
+    nodes, named = rooted(docs, id_col=id_col, text_col=text_col, **settings)
+    # Joined by id and node, a key that copies of one text don't share.
+    firsts = named.where("first_id = component_id").select(F.col("first_id").alias("doc_id"), "node", "root")
+    kept = nodes.join(firsts, ["doc_id", "node"]).groupBy("doc_id", "text_hash", "root").count()
     kept = cut(kept.withColumn("count", F.sum("count").over(Window.partitionBy("root"))).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash", "root": "_root"}))
     named = docs.withColumns({"_id": docs[id_col].cast("long"), "_hash": text_hash(docs, text_col)})
     single = named.join(kept.where("count = 1"), ["_id", "_hash"], "left_semi")

@@ -195,6 +195,14 @@ def test_kept_documents_of_a_table_against_exact_similarity(spark):
     assert {r["doc_id"] for r in simhash.keep_first(docs).collect()} == {i for i, w in want.items() if i == w}
 
 
+def test_keys_of_very_many_rows(spark):
+    rows = [(i, "one and the same text here") for i in range(50)] + [(i, None) for i in range(50, 90)] + [(i, f"other text {i} " * 4) for i in range(90, 120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for of in (simhash.near_duplicates, simhash.similar_documents):
+        plain = sorted(map(tuple, of(docs).collect()))
+        assert sorted(map(tuple, of(docs, hot_rows=20).collect())) == plain and len(plain) == len(rows)
+
+
 def test_one_id_with_different_texts(spark):
     a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
     rows = [(1, a), (1, b), (2, b), (3, a), (3, c), (1, a), (4, None), (4, ""), (None, a)]
