@@ -72,6 +72,42 @@ UR* Urology
 PREOP_LABS = ("hb", "platelet", "aptt", "wbc", "ptinr", "glucose", "bun", "albumin", "ast", "alt", "creatinine", "sodium", "potassium")
 
 
+#: Code prefixes of diagnoses that are left out of the data, and why (fixed values).
+EXCLUDED_TEXT = """
+A30 | Leprosy
+A31 | Other mycobacteria infection
+A5,A60,A61,A62,A63,A64 | Sexual transmitted diseases (A50~A64)
+A81 | Prion disease
+B20,B21,B22,B23,B24 | HIV infection (B20~B24)
+B973 | Retrovirus as a cause of disease
+B977 | Papilloma virus as a cause of disease
+D12 | Benign neoplasm of colon rectum and anus
+D55,D56,D57,D58,D59,D60,D61,D64 | Rare anaemias
+D66,D67,D68,D69 | Coagulation factor deficiency
+D70,D71,D72 | Congenital hematologic diseases
+D75,D76,D77 | Other hereditary or rare hematologic diseases
+D80,D81,D82,D83,D84,D86,D89 | Immunologic diseases
+E16 | Other disorders of pancreatic internal secretion
+E20,E22,E23,E24,E25,E26,E27,E34,E55 | Rare endocrine diseases
+E7,E80,E83,E84,E85,E88 | Metabolic disorders except for volume depletion (E86) and acid-base imbalance (E87)
+F | Mental disorder (F00~F99)
+G04,G10,G11,G12,G23,G24,G25,G31,G35,G36,G40,G41,G47,G49,G51,G56,G57,G60,G61,G70,G71,G72,G73,G90,G93,G95 | Rare neurologic diseases
+H16,H31,H35,H49,H51 | Rare eye diseases
+I27,I42,I47,I49,I67,I73,I78,I79,I82,I88 | Rare cardiac diseases
+J84,J39 | Rare airway or interstitial pulmonary diseases
+K00,K50,K74,K75,K83 | Rare digestive diseases
+L10,L12,L73 | Rare skin diseases
+M06,M08,M30,M31,M32,M33,M34,M35,M61,M88,M89,M92,M93,M94 | Rare musculoskeletal diseases
+N04,N25 | Nephrotic syndrome
+O04,O07,O313,O35,O36,O98 | Abortion related
+P | Conditions originating in the perinatal period (P00~P96)
+Q | Congenital malformation (Q00~Q99)
+R75 | Laboratory evidence of HIV
+T74 | Adult and child abuse neglect and other maltreatment
+Z114,Z206,Z21,Z332,Z717,Z78,Z830 | HIV related
+"""
+
+
 def hfrs_points() -> list[tuple[str, float]]:
     words = HFRS_TEXT.split()
     return [(c, float(p)) for c, p in zip(words[::2], words[1::2], strict=True)]
@@ -96,3 +132,8 @@ def departments() -> list[tuple[str, str, bool]]:
         code, name = line.split(" ", 1)
         rows.append((code.rstrip("*"), name, code.endswith("*")))
     return rows
+
+
+def excluded() -> list[tuple[str, str]]:
+    """(comma list of prefixes, cause)."""
+    return [tuple(x.strip() for x in line.split("|")) for line in EXCLUDED_TEXT.strip().splitlines()]

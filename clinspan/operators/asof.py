@@ -16,11 +16,11 @@ def first_at_each_time(events: DataFrame, ord_col: str = "_ord") -> DataFrame:
     return events.where("chart_time is not null").groupBy("subject_id", "item_name", "chart_time").agg(F.min_by("value", ord_col).alias("value"))
 
 
-def asof_items(left: DataFrame, events: DataFrame, items: list[str], time_col: str = "orin_time", tolerance: int | None = None, exact: bool = True, prefix: str = "preop_", ord_col: str = "_ord") -> DataFrame:
+def asof_items(left: DataFrame, events: DataFrame, items: list[str], time_col: str = "orin_time", tolerance: int | None = None, exact: bool = True, prefix: str = "preop_", ord_col: str = "_ord", with_times: bool = False) -> DataFrame:
     """left with one column prefix + item for each item: its value at the latest chart_time not after time_col.
 
     tolerance: values older than that are null. exact=False: only earlier times count. A right row with a null value is a
-    match with null. Left rows without a subject or time are kept with nulls; items no row has are null.
+    match with null. with_times adds prefix + item + _at, the time of the match. Left rows without a subject or time are kept with nulls; items no row has are null.
     """
     right = first_at_each_time(events.where(F.col("item_name").isin(items)), ord_col)
     columns = left.columns
@@ -36,30 +36,32 @@ def asof_items(left: DataFrame, events: DataFrame, items: list[str], time_col: s
         age = F.col("_t") - F.col(f"_c{i}._t")
         return F.col(f"_c{i}._value") if tolerance is None else F.when(age <= tolerance, F.col(f"_c{i}._value"))
 
-    return found.select("_left.*", *(value(i).alias(f"{prefix}{item}") for i, item in enumerate(items)))
+    times = [F.col(f"_c{i}._t").alias(f"{prefix}{item}_at") for i, item in enumerate(items)] if with_times else []
+    return found.select("_left.*", *(value(i).alias(f"{prefix}{item}") for i, item in enumerate(items)), *times)
 
 
 def nearest_preceding(left: DataFrame, events: DataFrame, item: str, time_col: str = "orin_time", ord_col: str = "_ord") -> DataFrame:
     """left with value_at (time) and value: strictly before time_col."""
-    right = first_at_each_time(events.where(F.col("item_name") == item), ord_col).withColumn("_seen", F.col("chart_time").cast("double"))
-    with_value = asof_items(left, right.withColumn(ord_col, F.lit(0)), [item], time_col, exact=False, prefix="value_", ord_col=ord_col)
-    times = right.withColumn("value", F.col("_seen")).withColumn(ord_col, F.lit(0)).drop("_seen")
-    with_time = asof_items(with_value, times, [item], time_col, exact=False, prefix="at_", ord_col=ord_col)
-    return with_time.withColumnsRenamed({f"value_{item}": "value"}).withColumn("value_at", F.col(f"at_{item}").cast("long")).drop(f"at_{item}")
+    found = asof_items(left, events.where(F.col("item_name") == item), [item], time_col, exact=False, prefix="_", ord_col=ord_col, with_times=True)
+    return found.withColumnsRenamed({f"_{item}": "value", f"_{item}_at": "value_at"})
 
 
 def displaced(events: DataFrame, ord_col: str = "_ord") -> DataFrame:
     """Events with chart_time moved to the first free earlier minute where an earlier row (by file order) of the same
-    subject and item holds it. Each group's rows are few (one subject, one item) and are handled in file order."""
+    subject and item holds it. A group is one subject's one item, handled in file order; each taken minute points to one
+    that may be free, and searches shorten these paths, so ties cost next to nothing however many there are."""
 
     def move(pdf):
         pdf = pdf.sort_values(ord_col)
-        taken, times = set(), []
+        before, times = {}, []  # taken minute -> a minute before it, all between them taken
         for t in pdf["chart_time"].tolist():
-            while t in taken:
-                t -= 1
-            taken.add(t)
-            times.append(t)
+            free = t
+            while free in before:
+                free = before[free]
+            while t != free:
+                before[t], t = free - 1, before[t]
+            before[free] = free - 1
+            times.append(free)
         return pdf.assign(chart_time=times)
 
     return events.groupBy("subject_id", "item_name").applyInPandas(move, events.schema)

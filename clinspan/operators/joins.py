@@ -68,15 +68,16 @@ def with_chapter(diagnoses: DataFrame, chapters: DataFrame, literal: bool = Fals
 
 
 def with_labels(events: DataFrame, parameters: DataFrame) -> DataFrame:
-    """With label text and unit of each item; the item's own name where the dimension lacks it."""
-    names = parameters.select(F.col("label").alias("item_name"), F.col("description").alias("_d"), "unit")
-    return events.join(F.broadcast(names), "item_name", "left").withColumn("label", F.coalesce("_d", "item_name")).drop("_d")
+    """With label text and unit of each item; the item's own name where the dimension lacks it. Of several rows of a label
+    one counts (the smallest), so events aren't multiplied; the dimension may grow, the join is chosen by its size."""
+    names = parameters.groupBy(F.col("label").alias("item_name")).agg(F.min(F.struct("description", "unit")).alias("_p")).select("item_name", F.col("_p.description").alias("_d"), F.col("_p.unit").alias("unit"))
+    return events.join(names, "item_name", "left").withColumn("label", F.coalesce("_d", "item_name")).drop("_d")
 
 
 def with_population_median(grid: DataFrame, stats: DataFrame, value_col: str = "value") -> DataFrame:
     """Null values take their item's population median. stats: one row per item."""
     medians = stats.select("item_name", F.col("median").alias("_m"))
-    return grid.join(F.broadcast(medians), "item_name", "left").withColumn(value_col, F.coalesce(value_col, "_m")).drop("_m")
+    return grid.join(medians, "item_name", "left").withColumn(value_col, F.coalesce(value_col, "_m")).drop("_m")
 
 
 def without_excluded(diagnoses: DataFrame, prefixes: DataFrame) -> DataFrame:

@@ -128,7 +128,8 @@ def declutter(events: DataFrame, step: float, ord_col: str = "_ord") -> DataFram
 
 
 def timeline(operations: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """subject_id, chart_time, kind, item_name, value: events of all tables, the marks of operations and deaths."""
+    """subject_id, place, chart_time, kind, item_name, value: events of all tables, the marks of operations and deaths, in
+    order: place counts a subject's rows by time, then kind, item and value, and partitions are sorted so."""
     parts = [df.select("subject_id", "chart_time", F.lit(kind).alias("kind"), "item_name", F.col("value").cast("double").alias("value")) for kind, df in tables.items()]
     none = F.lit(None).cast("double").alias("value")
     for mark in ("orin_time", "orout_time", "opstart_time", "opend_time"):
@@ -136,4 +137,6 @@ def timeline(operations: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
             parts.append(operations.where(F.col(mark).isNotNull()).select("subject_id", F.col(mark).alias("chart_time"), F.lit("operation").alias("kind"), F.lit(mark.removesuffix("_time")).alias("item_name"), none))
     deaths = operations.where("inhosp_death_time is not null").select("subject_id", F.col("inhosp_death_time").alias("chart_time")).distinct()
     parts.append(deaths.select("subject_id", "chart_time", F.lit("death").alias("kind"), F.lit("inhosp_death").alias("item_name"), none))
-    return reduce(DataFrame.unionByName, parts)
+    order = Window.partitionBy("subject_id").orderBy("chart_time", "kind", "item_name", F.col("value").asc_nulls_first())
+    every = reduce(DataFrame.unionByName, parts).withColumn("place", F.row_number().over(order).cast("long"))
+    return every.select("subject_id", "place", "chart_time", "kind", "item_name", "value").sortWithinPartitions("subject_id", "place")

@@ -1,4 +1,4 @@
-"""Counts, population statistics and distributions. Medians are exact; none gathers an item in one task by a window."""
+"""Counts, population statistics and distributions. Quantiles are exact, and no task holds all values of an item."""
 
 from __future__ import annotations
 
@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinspan.functions import scalars, scores
+from clinspan.sources import scratch
+
+#: Accuracy of the approximate quantiles that bracket the exact ones, and how far the brackets reach, as a share of the rows.
+ACCURACY, BRACKET = 10_000, 0.0005
 
 
 def operations_per_subject(operations: DataFrame) -> DataFrame:
@@ -44,27 +48,62 @@ def longest_series(series: DataFrame, cap: int | None = 1440) -> DataFrame:
     return spans.agg((F.least(longest, F.lit(cap)) if cap else longest).alias("length"))
 
 
+def quantiles(values: DataFrame, by: list[str], at: tuple[float, ...] = (0.5,), value_col: str = "value") -> DataFrame:
+    """by, n, q: the exact quantiles (an array, linear between neighbours) of each group's values that aren't null.
+
+    Approximate quantiles a little below and above each wanted one bracket it; a second pass counts the values below a
+    bracket and sorts only those inside, about a thousandth of the rows, so that a group may hold any number of rows and of
+    distinct values. Should a bracket miss its quantile, its group is sorted as a whole.
+    """
+    known = values.select(*by, F.col(value_col).cast("double").alias("_v")).where("_v is not null")
+    ends = [max(0.0, min(1.0, q + side * BRACKET)) for q in at for side in (-1, 1)]
+    facts = known.groupBy(*by).agg(F.count("_v").alias("n"), F.percentile_approx("_v", F.array(*map(F.lit, ends)), ACCURACY).alias("_ends"))
+    facts = scratch.kept(facts, "brackets")
+    at_place = F.array(*(F.lit(float(q)) for q in at))
+    # Per row and quantile: null if below its bracket, else the value; rows above it are left out.
+    right = facts.withColumnsRenamed({c: f"_k_{c}" for c in by})
+    rows = known.join(right, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by]) if by else known.join(right)
+    spots = F.transform(F.sequence(F.lit(0), F.lit(len(at) - 1)), lambda i: F.when(F.col("_v") <= F.element_at("_ends", i * 2 + 2), F.struct(i.alias("i"), F.when(F.col("_v") >= F.element_at("_ends", i * 2 + 1), F.col("_v")).alias("v"))))
+    counts = rows.select(*by, "n", F.explode(F.filter(spots, lambda x: x.isNotNull())).alias("_x")).groupBy(*by, "n", F.col("_x.i").alias("_i"), F.col("_x.v").alias("_v")).agg(F.count(F.lit(1)).alias("_m"))
+    upto = F.sum("_m").over(Window.partitionBy(*by, "n", "_i").orderBy(F.col("_v").asc_nulls_first()))
+    place = F.element_at(at_place, F.col("_i") + 1) * (F.col("n") - 1)
+    ranked = counts.withColumns({"_upto": upto, "_p": place})
+    # The values of the ranks on both sides of the place; null where a bracket lies beside it.
+    first = ranked.groupBy(*by, "n", "_i", "_p").agg(*(F.min(F.when(F.col("_upto") > f(F.col("_p")), F.struct("_upto", "_v"))).alias(n) for n, f in (("_a", F.floor), ("_b", F.ceil))))
+    value = F.col("_a._v") + (F.col("_p") - F.floor("_p")) * (F.col("_b._v") - F.col("_a._v"))
+    out = first.groupBy(*by, "n").agg(F.sort_array(F.collect_list(F.struct("_i", value.alias("v")))).alias("_q"))
+    out = scratch.kept(out.select(*by, "n", F.transform("_q", lambda x: x["v"]).alias("q")), "quantiles")
+    fit = ~F.exists("q", lambda x: x.isNull())
+    if out.where(~fit).isEmpty():
+        return out
+    missed = out.where(~fit).select(*(F.col(c).alias(f"_k_{c}") for c in by))
+    again = known.join(missed, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by], "left_semi") if by else known
+    whole = again.groupBy(*by).agg(F.count("_v").alias("n"), F.percentile("_v", at_place).alias("q"))
+    return out.where(fit).unionByName(whole)
+
+
 def population_stats(values: DataFrame, least: int = 2) -> DataFrame:
     """item_name, mean, stdev (sample), median, mad, length of items with at least so many values."""
     known = values.where("value is not null")
-    first = known.groupBy("item_name").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("stdev"), F.median("value").alias("median"), F.count("value").alias("length"))
-    first = first.where(F.col("length") >= least)
-    around = known.join(F.broadcast(first.select("item_name", "median")), "item_name")  # one row per item
-    mads = around.groupBy("item_name").agg(F.median(F.abs(F.col("value") - F.col("median"))).alias("mad"))
-    return first.join(mads, "item_name").select("item_name", "mean", "stdev", "median", "mad", "length")
+    moments = known.groupBy("item_name").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("stdev"), F.count("value").alias("length"))
+    medians = quantiles(known, ["item_name"]).select("item_name", F.col("q")[0].alias("median"))
+    around = known.join(medians, "item_name").select("item_name", F.abs(F.col("value") - F.col("median")).alias("value"))
+    mads = quantiles(around, ["item_name"]).select("item_name", F.col("q")[0].alias("mad"))
+    out = moments.where(F.col("length") >= least).join(medians, "item_name").join(mads, "item_name")
+    return scratch.kept(out.select("item_name", "mean", "stdev", "median", "mad", "length"), "population")
 
 
 def z_scores(values: DataFrame, stats: DataFrame) -> DataFrame:
     """values with z = (value - mean) / stdev; null where stdev is 0. The statistics come from one aggregate, joined back
     by item, not from a window that would put an item in one task."""
     facts = stats.select("item_name", "mean", "stdev")
-    return values.join(F.broadcast(facts), "item_name").withColumn("z", F.try_divide(F.col("value") - F.col("mean"), F.col("stdev"))).drop("mean", "stdev")
+    return values.join(facts, "item_name").withColumn("z", F.try_divide(F.col("value") - F.col("mean"), F.col("stdev"))).drop("mean", "stdev")
 
 
 def modified_z_scores(values: DataFrame, stats: DataFrame, fallback: bool = False, outlier: float = 3.5) -> DataFrame:
     """values with modified_z and outlier. fallback: the classical z where MAD is 0."""
     facts = stats.select("item_name", "mean", "stdev", "median", "mad")
-    out = values.join(F.broadcast(facts), "item_name")
+    out = values.join(facts, "item_name")
     score = scores.modified_z(F.col("value"), F.col("median"), F.col("mad"))
     if fallback:
         score = F.coalesce(score, F.try_divide(F.col("value") - F.col("mean"), F.col("stdev")))
@@ -77,8 +116,12 @@ def standardised_in_subject(series: DataFrame) -> DataFrame:
     return series.withColumn("z", F.try_divide(F.col("value") - F.avg("value").over(own), F.stddev_samp("value").over(own)))
 
 
-def frailty_scores(subjects: DataFrame, diagnoses_with_points: DataFrame) -> DataFrame:
-    """subject_id, hfrs, category: points of every diagnosis row, repeats counted again."""
+def frailty_scores(subjects: DataFrame, diagnoses_with_points: DataFrame, distinct_codes: bool = False) -> DataFrame:
+    """subject_id, hfrs, category: points of every diagnosis row, repeats counted again, or with distinct_codes each of a
+    subject's codes (of three characters) once."""
+    if distinct_codes:
+        code = F.substring(scalars.normal_icd(F.col("icd10_cm")), 1, 3).alias("code")
+        diagnoses_with_points = diagnoses_with_points.select("subject_id", code, "points").distinct()
     sums = diagnoses_with_points.groupBy("subject_id").agg(F.sum("points").alias("hfrs"))
     out = subjects.select("subject_id").distinct().join(sums, "subject_id", "left")
     score = F.coalesce(F.round("hfrs", 6), F.lit(0.0))
@@ -88,10 +131,10 @@ def frailty_scores(subjects: DataFrame, diagnoses_with_points: DataFrame) -> Dat
 def box_stats(values: DataFrame, by: list[str]) -> DataFrame:
     """q1, median, q3, low and high whisker (furthest values within 1.5 IQR of the box), n per group."""
     known = values.where("value is not null")
-    q = known.groupBy(*by).agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count("value").alias("n"))
+    q = quantiles(known, by, (0.25, 0.5, 0.75))
     q = q.select(*by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "n")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = known.join(F.broadcast(q) if len(by) <= 2 else q, by).where((F.col("value") >= F.col("q1") - reach) & (F.col("value") <= F.col("q3") + reach))
+    inside = known.join(q, by).where((F.col("value") >= F.col("q1") - reach) & (F.col("value") <= F.col("q3") + reach))
     whiskers = inside.groupBy(*by).agg(F.min("value").alias("low"), F.max("value").alias("high"))
     return q.join(whiskers, by)
 

@@ -124,10 +124,11 @@ def _(spark, d):
 _COUNTS = " UNION ALL ".join(f"SELECT '{s}' AS source, item_name, count(*) AS n FROM {s}_v GROUP BY 2" for s in lens.SOURCES)
 
 
-@query("s8_counter_sinks", _COUNTS)
+@query("s8_counter_sinks", _COUNTS + " UNION ALL SELECT 'medications', drug_name, count(*) FROM medications_v GROUP BY 2")
 def _(spark, d):
     path = scratch.fresh_path(spark, "s8")
-    sinks.write_counters(stats.item_counts(lens.sources(spark, d)), path)
+    drugs = lens.medications(spark, d).withColumnRenamed("drug_name", "item_name")
+    sinks.write_counters(stats.item_counts({**lens.sources(spark, d), "medications": drugs}), path)
     return spark.read.schema("item_name string, n long, source string").json(path).select("source", "item_name", "n")
 
 
@@ -180,10 +181,10 @@ def _(spark, d):
     return dimensions.icd_chapters(spark).join(counts, "chapter", "left").na.fill(0, ["n"]).select("chapter", "block", "n")
 
 
-EXCLUDED = (("A4,I10 ", "first"), ("F", "second"), ("S720", "third"))
+_PREFIXES = "(SELECT unnest([" + ", ".join(f"'{p}'" for line, _ in codes.excluded() for p in line.replace(" ", "").split(",")) + "]) AS p)"
 
 
-@query("s14_excluded_prefixes", "SELECT p AS prefix, count(x.subject_id) AS n FROM (SELECT unnest(['A4', 'I10', 'F', 'S720']) AS p) LEFT JOIN diagnosis_v x ON starts_with(upper(replace(icd10_cm, '.', '')), p) GROUP BY 1")
+@query("s14_excluded_prefixes", "SELECT p AS prefix, count(x.subject_id) AS n FROM " + _PREFIXES + " LEFT JOIN diagnosis_v x ON starts_with(upper(replace(icd10_cm, '.', '')), p) GROUP BY 1")
 def _(spark, d):
     prefixes = _excluded(spark)
     code = scalars.normal_icd(F.col("icd10_cm"))
@@ -193,7 +194,7 @@ def _(spark, d):
 
 def _excluded(spark):
     path = scratch.fresh_path(spark, "s14")
-    spark.createDataFrame(EXCLUDED, "`ICD-10-CM` string, Causes string").coalesce(1).write.option("header", True).csv(path)
+    spark.createDataFrame(codes.excluded(), "`ICD-10-CM` string, Causes string").coalesce(1).write.option("header", True).csv(path)
     return readers.read_excluded_prefixes(spark, path)
 
 
@@ -432,15 +433,24 @@ def _(spark, d):
     return rounded(asof.nearest_preceding(ops, lens.series(spark, d), "click").select("op_id", "value_at", "value"), "value")
 
 
-@query("j3b_displaced_collisions")
+#: Row by row in file order: of the minutes up to the row's own, the latest that the rows before it haven't taken.
+_DISPLACED = f"""SELECT subject_id, moved AS chart_time, item_name, {r6('value')} AS value, _ord FROM (
+WITH RECURSIVE o_v AS (SELECT *, CAST(floor(chart_time / 240) * 240 AS BIGINT) AS t, row_number() OVER (PARTITION BY subject_id, item_name ORDER BY _ord) AS k FROM series_v),
+d_v AS (SELECT subject_id, item_name, k, value, _ord, t AS moved, [t] AS taken FROM o_v WHERE k = 1
+UNION ALL SELECT subject_id, item_name, k, value, _ord, m, list_append(taken, m) FROM (SELECT o.*, d.taken, list_max(list_filter(range(o.t - len(d.taken), o.t + 1), lambda x: NOT list_contains(d.taken, x))) AS m FROM d_v d JOIN o_v o ON o.subject_id = d.subject_id AND o.item_name = d.item_name AND o.k = d.k + 1))
+SELECT * FROM d_v)"""
+
+
+@query("j3b_displaced_collisions", _DISPLACED)
 def _(spark, d):
     coarse = lens.series(spark, d).withColumn("chart_time", (F.floor(F.col("chart_time") / 240) * 240).cast("long"))
     return rounded(asof.displaced(coarse), "value")
 
 
-@query("j4_vitals_with_operations", f"SELECT s._ord AS event_id, o.op_id, o.subject_id AS subject_id_op, {r6('s.value')} AS value FROM (SELECT *, _ord % 5000 AS op_id FROM vitals_v) s JOIN operations_v o USING (op_id)")
+@query("j4_vitals_with_operations", f"SELECT s._ord AS event_id, o.op_id, o.subject_id AS subject_id_op, {r6('s.value')} AS value FROM (SELECT v.*, CASE WHEN v._ord % 7 = 0 THEN NULL ELSE l.op_id END AS op_id FROM vitals_v v JOIN last_v l USING (subject_id)) s JOIN operations_v o USING (op_id)")
 def _(spark, d):
-    vitals = lens.source(spark, d, "vitals").withColumn("op_id", F.col("_ord") % 5000).withColumnRenamed("_ord", "event_id")
+    own = select.last_operation(lens.operations(spark, d)).select("subject_id", "op_id")
+    vitals = lens.source(spark, d, "vitals").join(own, "subject_id").withColumn("op_id", F.when(F.col("_ord") % 7 != 0, F.col("op_id"))).withColumnRenamed("_ord", "event_id")
     out = joins.on_operation(vitals, lens.operations(spark, d).drop("_ord"))
     return rounded(out.select("event_id", "op_id", "subject_id_op", "value"), "value")
 
@@ -495,9 +505,9 @@ def _(spark, d):
     return rounded(joins.with_population_median(every.join(means, ["subject_id", "item_name"], "left"), st), "value").select("subject_id", "item_name", "value")
 
 
-@query("j13_without_excluded", "SELECT icd10_cm, count(*) AS n FROM diagnosis_v WHERE NOT list_contains([starts_with(upper(replace(icd10_cm, '.', '')), 'A4'), starts_with(upper(replace(icd10_cm, '.', '')), 'I10'), starts_with(upper(replace(icd10_cm, '.', '')), 'F'), starts_with(upper(replace(icd10_cm, '.', '')), 'S720')], true) GROUP BY 1")
+@query("j13_without_excluded", f"SELECT _ord, icd10_cm FROM diagnosis_v WHERE NOT EXISTS (SELECT 1 FROM {_PREFIXES} WHERE starts_with(upper(replace(icd10_cm, '.', '')), p))")
 def _(spark, d):
-    return stats.counts_by(joins.without_excluded(lens.diagnosis(spark, d), _excluded(spark)), "icd10_cm")
+    return joins.without_excluded(lens.diagnosis(spark, d), _excluded(spark)).select("_ord", "icd10_cm")
 
 
 @query("j14_feature_mismatches", "SELECT f.subject_id, 'andur' AS feature, CAST(f.anend_time - f.anstart_time AS DOUBLE) AS left_value, CAST(l.anend_time - l.anstart_time AS DOUBLE) AS right_value FROM first_v f JOIN (SELECT * FROM operations_v QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY op_id) = 1) l USING (subject_id) WHERE f.anend_time - f.anstart_time IS DISTINCT FROM l.anend_time - l.anstart_time")
@@ -613,6 +623,13 @@ def _(spark, d):
     return rounded(_frailty(spark, d), "hfrs")
 
 
+@query("a15_frailty_distinct_codes", f", {_HFRS_SQL}, sums_v AS (SELECT subject_id, round(sum(coalesce(points, 0)), 6) AS s FROM (SELECT DISTINCT subject_id, substr(upper(replace(icd10_cm, '.', '')), 1, 3) AS code FROM diagnosis_v) LEFT JOIN hfrs_v USING (code) GROUP BY 1) SELECT c_custkey AS subject_id, {r6('coalesce(s, 0.0)')} AS hfrs, CASE WHEN s IS NULL THEN 'unknown (no diagnoses)' WHEN s < 5 THEN 'low' WHEN s < 15 THEN 'intermediate' ELSE 'high' END AS category FROM customer LEFT JOIN sums_v ON c_custkey = subject_id")
+def _(spark, d):
+    points = joins.with_hfrs_points(lens.diagnosis(spark, d), dimensions.hfrs(spark))
+    subjects = lens.read(spark, d, "customer").select(F.col("c_custkey").alias("subject_id"))
+    return rounded(stats.frailty_scores(subjects, points, distinct_codes=True), "hfrs")
+
+
 @query("a16_box_stats", f", q_v AS (SELECT item_name, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3, count(*) AS n FROM series_v GROUP BY 1) SELECT item_name, {r6('q1')} AS q1, {r6('median')} AS median, {r6('q3')} AS q3, n, {r6('min(value)')} AS low, {r6('max(value)')} AS high FROM series_v JOIN q_v USING (item_name) WHERE value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY item_name, q1, median, q3, n")
 def _(spark, d):
     return rounded(stats.box_stats(lens.series(spark, d), ["item_name"]), "q1", "median", "q3", "low", "high")
@@ -703,20 +720,28 @@ def _hourly(spark, d):
     return lens.series(spark, d).withColumn("chart_time", (F.floor(F.col("chart_time") / HOUR) * HOUR).cast("long"))
 
 
-_HOURLY = "hourly_v AS (SELECT subject_id, item_name, CAST(floor(chart_time / 60) * 60 AS BIGINT) AS t, arg_max(value, _ord) AS v FROM series_v GROUP BY 1, 2, 3), ends_v AS (SELECT subject_id, min(t) AS g0, max(t) AS g1 FROM hourly_v GROUP BY 1), points_v AS (SELECT * FROM hourly_v UNION ALL SELECT subject_id, item_name, min(t) + 60, min(v) FROM hourly_v GROUP BY 1, 2 HAVING count(*) = 1), seg_v AS (SELECT *, lead(t) OVER w AS t2, lead(v) OVER w AS v2, lag(t) OVER w AS t0, lag(v) OVER w AS v0, avg(v) OVER (PARTITION BY subject_id, item_name) AS m FROM points_v WINDOW w AS (PARTITION BY subject_id, item_name ORDER BY t)), grid_v AS (SELECT subject_id, unnest(range(g0, g1 + 1, 60)) AS g FROM ends_v)"
-_PIECE = "SELECT {pick} FROM seg_v s JOIN grid_v g ON s.subject_id = g.subject_id AND ((g.g >= s.t AND (g.g < s.t2 OR s.t2 IS NULL)) OR (s.t0 IS NULL AND g.g < s.t))"
+def _grid_sql(step: int = HOUR, source: str = "series_v", last: str = "max(t)") -> str:
+    """Each observation with the grid points that its segment covers: the grid is unnested per segment, not joined."""
+    return f"""hourly_v AS (SELECT subject_id, item_name, CAST(floor(chart_time / {step}) * {step} AS BIGINT) AS t, arg_max(value, _ord) AS v FROM {source} GROUP BY 1, 2, 3),
+ends_v AS (SELECT subject_id, min(t) AS g0, {last} AS g1 FROM hourly_v GROUP BY 1),
+points_v AS (SELECT * FROM hourly_v UNION ALL SELECT subject_id, item_name, min(t) + {step}, min(v) FROM hourly_v GROUP BY 1, 2 HAVING count(*) = 1),
+seg_v AS (SELECT *, lead(t) OVER w AS t2, lead(v) OVER w AS v2, lag(t) OVER w AS t0, lag(v) OVER w AS v0, avg(v) OVER (PARTITION BY subject_id, item_name) AS m FROM points_v WINDOW w AS (PARTITION BY subject_id, item_name ORDER BY t)),
+cells_v AS MATERIALIZED (SELECT seg_v.*, unnest(range(CASE WHEN t0 IS NULL THEN g0 ELSE t END, least(coalesce(t2, g1 + {step}), g1 + {step}), {step})) AS g FROM seg_v JOIN ends_v USING (subject_id))"""
+
+
+_PIECE = "SELECT {pick} FROM cells_v g"
 _LINEAR = "CASE WHEN g.g = t THEN v WHEN t2 IS NULL THEN v0 + (v - v0) * (g.g - t0) / (t - t0) ELSE v + (v2 - v) * (g.g - t) / (t2 - t) END"
 _FADED = f"CASE WHEN g.g <> t AND (t2 IS NULL OR g.g < t) THEN exp(-abs(g.g - t) / 600.0) * ({_LINEAR}) + (1 - exp(-abs(g.g - t) / 600.0)) * m ELSE {_LINEAR} END"
 
 
 def _aligned_sql(value: str) -> str:
-    return f", {_HOURLY} " + _PIECE.format(pick=f"s.subject_id, s.item_name, g.g AS chart_time, {r6(value)} AS value, CASE WHEN g.g = t THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS mask")
+    return f", {_grid_sql()} " + _PIECE.format(pick=f"subject_id, item_name, g.g AS chart_time, {r6(value)} AS value, CASE WHEN g.g = t THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS mask")
 
 
-def _wide_sql(value: str = _LINEAR) -> str:
+def _wide_sql(value: str = _LINEAR, grid: str | None = None) -> str:
     cells = ", ".join(f"coalesce(max(CASE WHEN item_name = '{i}' THEN value END), 0.0) AS {i}, coalesce(max(CASE WHEN item_name = '{i}' THEN mask END), 0.0) AS {i}_mask" for i in lens.ITEMS)
-    inner = _PIECE.format(pick=f"s.subject_id, s.item_name, g.g AS chart_time, {value} AS value, CASE WHEN g.g = t THEN 1.0 ELSE 0.0 END AS mask")
-    return f", {_HOURLY}, wide_v AS (SELECT subject_id, chart_time, {cells} FROM ({inner}) GROUP BY 1, 2)"
+    inner = _PIECE.format(pick=f"subject_id, item_name, g.g AS chart_time, {value} AS value, CASE WHEN g.g = t THEN 1.0 ELSE 0.0 END AS mask")
+    return f", {grid or _grid_sql()}, wide_v AS MATERIALIZED (SELECT subject_id, chart_time, {cells} FROM ({inner}) GROUP BY 1, 2)"
 
 
 @query("w1_align_linear", _aligned_sql(_LINEAR))
@@ -729,11 +754,33 @@ def _(spark, d):
     return rounded(series.align(_hourly(spark, d), HOUR, fade=600.0), "value")
 
 
-@query("w1_align_full_length", _aligned_sql(_LINEAR).replace("range(g0, g1 + 1, 60)", "range(g0, g0 + 99 * 60 + 1, 60)"))
+@query("w1_align_full_length", _aligned_sql(_LINEAR).replace("max(t) AS g1", "min(t) + 99 * 60 AS g1"))
 def _(spark, d):
     return rounded(series.align(_hourly(spark, d), HOUR, full_length=100), "value")
 
 
+#: The five days before the last operation, minute by minute.
+_MINUTES = _grid_sql(1, f"({_BEFORE.format(days=5)})")
+
+
+@query("w1_align_minute", f", {_MINUTES} SELECT subject_id, item_name, count(*) AS n, {r6('sum(x)')} AS total, {r6('sum(x * ((g - g0) % 97))')} AS weighted, count(*) FILTER (g = t) AS observed FROM (SELECT *, {_LINEAR} AS x FROM cells_v g JOIN ends_v USING (subject_id)) GROUP BY 1, 2")
+def _(spark, d):
+    out = series.align(_before(spark, d), 1)
+    first = out.groupBy("subject_id").agg(F.min("chart_time").alias("g0"))
+    place = (F.col("chart_time") - F.col("g0")) % 97
+    sums = out.join(first, "subject_id").groupBy("subject_id", "item_name").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.sum(F.col("value") * place).alias("weighted"), F.count_if(F.col("mask") == 1).alias("observed"))
+    return rounded(sums, "total", "weighted")
+
+
+@query("w2_windows_180", _wide_sql(grid=_MINUTES) + f", run_v AS (SELECT subject_id, sum(click) OVER w AS total, sum(click_mask) OVER w AS seen, count(*) OVER w AS n FROM wide_v WINDOW w AS (PARTITION BY subject_id ORDER BY chart_time ROWS BETWEEN CURRENT ROW AND 179 FOLLOWING)) SELECT subject_id, count(*) AS n_windows, {r6('sum(total) / 180')} AS total, {r6('sum(seen)')} AS observed FROM run_v WHERE n = 180 GROUP BY 1")
+def _(spark, d):
+    frame = series.wide(series.align(_before(spark, d), 1), list(lens.ITEMS))
+    out = series.windows(frame, ["click"], 180)
+    add = lambda k: F.aggregate("steps", F.lit(0.0), lambda s, x: s + x[k])
+    sums = out.select("subject_id", add(0).alias("total"), add(1).alias("observed")).groupBy("subject_id").agg(F.count(F.lit(1)).alias("n_windows"), (F.sum("total") / 180).alias("total"), F.sum("observed").alias("observed"))
+    return rounded(sums, "total", "observed")
+
+
 def _wide(spark, d):
     return series.wide(series.align(_hourly(spark, d), HOUR), list(lens.ITEMS))
 
@@ -757,7 +804,7 @@ def _(spark, d):
 
 @query("w3_scaled", _wide_sql() + f", f_v AS (SELECT avg(click) AS m, CASE WHEN stddev_pop(click) = 0 THEN 1 ELSE stddev_pop(click) END AS s FROM wide_v WHERE subject_id % 3 > 0) SELECT subject_id, chart_time, {r6('(click - m) / s')} AS click, {r6('click_mask')} AS click_mask FROM wide_v, f_v")
 def _(spark, d):
-    frame = _wide(spark, d).select("subject_id", "chart_time", "click", "click_mask")
+    frame = scratch.kept(_wide(spark, d).select("subject_id", "chart_time", "click", "click_mask"), "frame")
     scaler = series.fit_scaler(frame.where("subject_id % 3 > 0"), ["click"])
     return rounded(series.scale(frame, scaler, ["click"]), "click", "click_mask")
 
@@ -793,7 +840,7 @@ def _(spark, d):
 _MARKS = " UNION ALL ".join(f"SELECT subject_id, {m}_time, 'operation', '{m}', NULL FROM operations_v" for m in ("orin", "orout", "opstart", "opend"))
 
 
-@query("w8_timeline", "SELECT subject_id, chart_time, kind, item_name, " + r6("value") + " AS value FROM (SELECT subject_id, chart_time, 'labs' AS kind, item_name, value FROM labs_v UNION ALL SELECT subject_id, chart_time, 'ward_vitals', item_name, value FROM ward_vitals_v UNION ALL SELECT subject_id, chart_time, 'vitals', item_name, value FROM vitals_v UNION ALL " + _MARKS + " UNION ALL SELECT DISTINCT subject_id, inhosp_death_time, 'death', 'inhosp_death', NULL FROM operations_v WHERE inhosp_death_time IS NOT NULL)")
+@query("w8_timeline", "SELECT subject_id, row_number() OVER (PARTITION BY subject_id ORDER BY chart_time, kind, item_name, value NULLS FIRST) AS place, chart_time, kind, item_name, " + r6("value") + " AS value FROM (SELECT subject_id, chart_time, 'labs' AS kind, item_name, value FROM labs_v UNION ALL SELECT subject_id, chart_time, 'ward_vitals', item_name, value FROM ward_vitals_v UNION ALL SELECT subject_id, chart_time, 'vitals', item_name, value FROM vitals_v UNION ALL " + _MARKS + " UNION ALL SELECT DISTINCT subject_id, inhosp_death_time, 'death', 'inhosp_death', NULL FROM operations_v WHERE inhosp_death_time IS NOT NULL)")
 def _(spark, d):
     return rounded(series.timeline(lens.operations(spark, d), lens.sources(spark, d)), "value")
 
@@ -884,7 +931,7 @@ def _scores_out(df):
 @query("m2_logistic_regression")
 def _(spark, d):
     train, test = _trained(spark, d)
-    return _scores_out(model.scored(model.fit_logistic(train.cache(), max_iter=200), test, "subject_id"))
+    return _scores_out(model.scored(model.fit_logistic(scratch.kept(train, "train")), test, "subject_id"))
 
 
 _LABELS = "SELECT doc_id, quality AS y, (doc_id * 37 % 101) / 100.0 * 0.6 + quality * 0.25 AS s FROM labels"
@@ -910,7 +957,7 @@ def _(spark, d):
 @query("m4_boosted_trees")
 def _(spark, d):
     train, test = _trained(spark, d)
-    return _scores_out(model.scored(model.fit_boosted_trees(train.cache()), test, "subject_id"))
+    return _scores_out(model.scored(model.fit_boosted_trees(scratch.kept(train, "train")), test, "subject_id"))
 
 
 def _judged(spark, d):
@@ -949,13 +996,13 @@ def _(spark, d):
 @query("m9_weighted_regression")
 def _(spark, d):
     train, test = _trained(spark, d)
-    return _scores_out(model.scored(model.fit_logistic(model.class_weights(train, "label").cache(), "weight", 200), test, "subject_id"))
+    return _scores_out(model.scored(model.fit_logistic(scratch.kept(model.class_weights(train, "label"), "train"), "weight"), test, "subject_id"))
 
 
 def _window_vectors(spark, d):
-    frame = _wide(spark, d)
+    frame = scratch.kept(_wide(spark, d), "frame")
     scaled = series.scale(frame, series.fit_scaler(frame, list(lens.ITEMS)), list(lens.ITEMS))
-    return model.window_vectors(series.windows(scaled, list(lens.ITEMS), 12)).select("subject_id", "start", "features").cache()
+    return scratch.kept(model.window_vectors(series.windows(scaled, list(lens.ITEMS), 12)).select("subject_id", "start", "features"), "windows")
 
 
 @query("m10_window_embeddings")
@@ -971,8 +1018,8 @@ def _(spark, d):
     vectors = _window_vectors(spark, d)
     coded = model.embeddings(model.fit_encoder(vectors, 4), vectors).withColumnRenamed("embedding", "features")
     rows = coded.join(_labelled(spark, d), "subject_id").withColumn("label", F.col("label").cast("double"))
-    weighted = model.class_weights(rows.where("subject_id % 10 < 7"), "label").cache()
-    return _scores_out(model.scored(model.fit_logistic(weighted, "weight", 200), rows.where("subject_id % 10 >= 7"), "subject_id"))
+    weighted = scratch.kept(model.class_weights(rows.where("subject_id % 10 < 7"), "label"), "train")
+    return _scores_out(model.scored(model.fit_logistic(weighted, "weight"), rows.where("subject_id % 10 >= 7"), "subject_id"))
 
 
 @query("m12_embedding_plane")
@@ -1008,11 +1055,12 @@ def _(spark, d):
 
 @query("m16_with_and_without_frailty")
 def _(spark, d):
-    rows = _features(spark, d).join(_frailty(spark, d), "subject_id").cache()
+    rows = _features(spark, d).join(_frailty(spark, d), "subject_id")
+    rows = scratch.kept(rows, "rows")
     parts = []
     for name, columns in (("without", _COLUMNS), ("with", [*_COLUMNS, "hfrs"])):
         train, test = model.prepared(rows.where("subject_id % 10 < 7"), rows.where("subject_id % 10 >= 7"), columns, features.OUTCOME)
-        out = model.scored(model.fit_logistic(train.cache(), max_iter=100), test, "emop")
+        out = model.scored(model.fit_logistic(scratch.kept(train, "train")), test, "emop")
         metrics = evaluate.rank_metrics(evaluate.curve(out, "score", "label", ["emop"]), ["emop"])
         parts.append(metrics.select(F.lit(name).alias("frailty"), F.col("emop").cast("int").alias("emop"), F.round("auroc", 6).alias("auroc"), F.round("average_precision", 6).alias("average_precision")))
     return parts[0].unionByName(parts[1])

@@ -5,10 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path below the folder that spark.checkpoint.dir names; a temporary one only where it is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-scratch-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written and read again: what several steps use is computed once, and joins choose a broadcast or a shuffle by the
+    size of the files."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
