@@ -78,14 +78,25 @@ def window_length(minutes: int) -> int:
     return max(5, int(0.025 * minutes))
 
 
-def windows(frame: DataFrame, items: list[str], length: int, stride: int = 1) -> DataFrame:
+def windows(frame: DataFrame, items: list[str], length: int, stride: int = 1, chunk: int = 1024) -> DataFrame:
     """subject_id, start, steps: an array of length rows, each the items' values and then their masks. n - length + 1
-    windows for a subject of n grid points, none if it has fewer; every stride-th of them."""
+    windows for a subject of n grid points, none if it has fewer; every stride-th of them.
+
+    A subject's rows are gathered in chunks of bounded length, each with the first rows of the next one, and windows are
+    slices of a chunk: however long a series is, a task holds one chunk of it at a time."""
+    chunk = max(chunk, length)
     order = Window.partitionBy("subject_id").orderBy("chart_time")
     row = F.array(*(F.col(i) for i in items), *(F.col(f"{i}_mask") for i in items))
-    ahead = order.rowsBetween(Window.currentRow, length - 1)
-    out = frame.withColumn("steps", F.collect_list(row).over(ahead)).withColumn("_i", F.row_number().over(order) - 1)
-    return out.where((F.size("steps") == length) & (F.col("_i") % stride == 0)).select("subject_id", F.col("chart_time").alias("start"), "steps")
+    numbered = frame.select("subject_id", "chart_time", row.alias("_row"), (F.row_number().over(order) - 1).cast("long").alias("_i"))
+    home = F.expr(f"_i div {chunk}")
+    both = F.when((F.col("_i") % chunk < length - 1) & (home > 0), F.array(home, home - 1)).otherwise(F.array(home))
+    chunks = numbered.withColumn("_c", F.explode(both)).groupBy("subject_id", "_c").agg(F.sort_array(F.collect_list(F.struct("_i", "chart_time", "_row"))).alias("_s"))
+    parts = chunks.where(F.size("_s") >= length).select("subject_id", F.col("_c") * chunk, F.transform("_s", lambda x: x["chart_time"]).alias("_t"), F.transform("_s", lambda x: x["_row"]).alias("_r")).toDF("subject_id", "_first", "_t", "_r")
+    starts = F.sequence(F.lit(0), F.least(F.lit(chunk), F.size("_r") - length + 1) - 1)
+    if stride > 1:
+        starts = F.filter(starts, lambda k: (F.col("_first") + k) % stride == 0)
+    cut = F.transform(starts, lambda k: F.struct(F.element_at("_t", k + 1).alias("start"), F.slice("_r", k + 1, length).alias("steps")))
+    return parts.select("subject_id", F.explode(cut).alias("_w")).select("subject_id", "_w.start", "_w.steps")
 
 
 def fit_scaler(train: DataFrame, items: list[str]) -> DataFrame:

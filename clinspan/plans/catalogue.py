@@ -772,13 +772,13 @@ def _(spark, d):
     return rounded(sums, "total", "weighted")
 
 
-@query("w2_windows_180", _wide_sql(grid=_MINUTES) + f", run_v AS (SELECT subject_id, sum(click) OVER w AS total, sum(click_mask) OVER w AS seen, count(*) OVER w AS n FROM wide_v WINDOW w AS (PARTITION BY subject_id ORDER BY chart_time ROWS BETWEEN CURRENT ROW AND 179 FOLLOWING)) SELECT subject_id, count(*) AS n_windows, {r6('sum(total) / 180')} AS total, {r6('sum(seen)')} AS observed FROM run_v WHERE n = 180 GROUP BY 1")
+@query("w2_windows_180", _wide_sql(grid=_MINUTES) + f", run_v AS (SELECT subject_id, click AS first, lead(click, 179) OVER w AS last, click_mask AS observed FROM wide_v WINDOW w AS (PARTITION BY subject_id ORDER BY chart_time)) SELECT subject_id, count(*) AS n_windows, {r6('sum(first)')} AS first, {r6('sum(last)')} AS last, {r6('sum(observed)')} AS observed FROM run_v WHERE last IS NOT NULL GROUP BY 1")
 def _(spark, d):
     frame = series.wide(series.align(_before(spark, d), 1), list(lens.ITEMS))
-    out = series.windows(frame, ["click"], 180)
-    add = lambda k: F.aggregate("steps", F.lit(0.0), lambda s, x: s + x[k])
-    sums = out.select("subject_id", add(0).alias("total"), add(1).alias("observed")).groupBy("subject_id").agg(F.count(F.lit(1)).alias("n_windows"), (F.sum("total") / 180).alias("total"), F.sum("observed").alias("observed"))
-    return rounded(sums, "total", "observed")
+    out = series.windows(frame, ["click"], 180).where(F.size("steps") == 180)
+    ends = out.select("subject_id", F.col("steps")[0].alias("a"), F.element_at("steps", -1).alias("z"))
+    sums = ends.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n_windows"), F.sum(F.col("a")[0]).alias("first"), F.sum(F.col("z")[0]).alias("last"), F.sum(F.col("a")[1]).alias("observed"))
+    return rounded(sums, "first", "last", "observed")
 
 
 def _wide(spark, d):
