@@ -10,7 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path below the folder that spark.checkpoint.dir names; a temporary one only where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-scratch-")
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the cluster shares")
+        base = tempfile.mkdtemp(prefix="spark-scratch-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
