@@ -34,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     found = context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the cluster shares")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")
