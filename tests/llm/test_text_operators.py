@@ -79,6 +79,18 @@ def test_transport_stream_round_trip(spark):
     assert mpeg_ts.media_features(mpeg_ts.store_texts(docs.limit(0))).count() == 0
 
 
+def test_media_query_on_a_whole_table(spark):
+    rows = {r["doc_id"]: r for r in mpeg_ts.query(spark, SF).collect()}
+    texts = texts_of(spark)
+    assert rows.keys() == texts.keys()
+    for i, text in texts.items():
+        data = (text or "").encode()
+        padded = data + b"\0" * (-len(data) % 64 or (0 if data else 64))
+        r, media = rows[i], mpeg_ts.mux(padded)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+
+
 def test_base_phrases_and_fuzzy_notices(spark):
     def plain(text):
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
@@ -311,6 +323,28 @@ def test_toxicity_on_rows_held_out(spark):
     assert sum(a == b for a, b in held) / len(held) > 0.9
 
 
+def test_document_scores_against_all_sequences():
+    """Scores of short texts from the weights, by all tag sequences and plain sums."""
+    from math import exp, log
+
+    rows = [(f"you are a stupid idiot person {i % 9}" if i % 2 else f"the good day is a fine one {i % 9}", i % 2) for i in range(120)]
+    model = toxicity.fit(rows)
+    tagger = toxicity.Tagger(model)
+    texts = ["", "stupid", "Good day, you stupid idiot", "stupid stupid idiot idiot fine day", "a fine one", "what is this_person doing"]
+    for text, score in zip(texts, tagger.tag(texts)[2], strict=True):
+        words = toxicity.TOKEN.findall(text.lower())
+        odds = [model.bias + sum(model.weights.get(f, 0.0) for f in toxicity.features(w)) for w in words]
+        best = {}
+        for w, p in zip(words, brute_chain(odds, model.start, model.steps) if odds else [], strict=True):
+            if p > toxicity.LEAST_MARGINAL:
+                best[w] = max(best.get(w, 0.0), min(p, 1 - 1e-9))
+        none = sum(log(1 - p) for p in best.values())
+        mass = sum(best.values())
+        some = max(-8, min(8, log(1 - exp(min(none, -1e-9))) - none))
+        features = [1, some, log(mass + 0.1), log((mass + 0.1) / (len(set(words)) + 20))]
+        assert score == pytest.approx(1 / (1 + exp(-sum(a * b for a, b in zip(features, model.link, strict=True)))), rel=1e-6), text
+
+
 def test_training_sample(spark):
     """The smallest hashes of each label among rows that may be learnt from, also where most labelled ids lack a text."""
     labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(3, 0), (None, 1)], "doc_id long, toxic int")
