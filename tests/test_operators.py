@@ -188,3 +188,18 @@ def test_encoder_takes_every_window(spark):
     points = {r["subject_id"]: r["count"] for r in catalogue._wide(spark, sf).groupBy("subject_id").count().collect()}
     got = {r["subject_id"]: r["n_windows"] for r in catalogue.QUERIES["m10_window_embeddings"](spark, sf).collect()}
     assert got and got == {s: n - 11 for s, n in points.items() if n >= 12}
+
+
+def test_quantiles_are_exact(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    groups = {"skewed": rng.lognormal(0, 4, 5000), "ties": rng.integers(0, 3, 3000).astype(float), "one": np.array([7.0]), "two": np.array([1.0, 4.0]), None: rng.normal(size=777)}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("ties", None), ("empty", None)]
+    values = spark.createDataFrame(rows, "item_name string, value double")
+    at = (0.0, 0.25, 0.5, 0.9, 1.0)
+    for accuracy, bracket in ((stats.ACCURACY, stats.BRACKET), (2, 0.0)):  # the second misses its places, so groups are sorted whole
+        monkeypatch.setattr(stats, "ACCURACY", accuracy)
+        monkeypatch.setattr(stats, "BRACKET", bracket)
+        got = {r["item_name"]: (r["n"], list(r["q"])) for r in stats.quantiles(values, ["item_name"], at).collect()}
+        assert got.keys() == groups.keys()
+        for k, vs in groups.items():
+            assert got[k][0] == len(vs) and np.allclose(got[k][1], np.quantile(vs, at), rtol=1e-12)
