@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from clinspan.functions import scalars
 
-RANGES = 256
+#: Ranges of the order for each shuffle partition, so that more of them sort where the cluster has more.
+RANGES_PER_PARTITION = 8
 
 
 def hash_order(key: str, seed: int) -> Column:
@@ -25,16 +26,18 @@ def arithmetic_order(key: str, seed: int) -> Column:
 def ranked(df: DataFrame, key: str, order: Column, by: str | None = None) -> DataFrame:
     """df with _rank (from 0, by order and key) and _total, within groups of by if given."""
     groups = ["_g"]
-    rows = df.withColumn("_g", F.col(by).cast("string") if by else F.lit("")).withColumn("_o", order)
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * RANGES_PER_PARTITION
+    group = F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit("")) if by else F.lit("")  # null is a group too
+    rows = df.withColumn("_g", group).withColumn("_o", order)
     ends = scalars.literals(rows.agg(F.min("_o").alias("_a"), F.max("_o").alias("_b")))
-    span = (F.col("_b").cast("double") - F.col("_a").cast("double")) / RANGES
-    place = F.when(span == 0, 0).otherwise(F.least(F.floor((F.col("_o").cast("double") - F.col("_a").cast("double")) / span), F.lit(RANGES - 1))).cast("int")
+    span = (F.col("_b").cast("double") - F.col("_a").cast("double")) / ranges
+    place = F.when(span == 0, 0).otherwise(F.least(F.floor((F.col("_o").cast("double") - F.col("_a").cast("double")) / span), F.lit(ranges - 1))).cast("int")
     rows = rows.withColumns(ends).withColumn("_r", place).drop("_a", "_b")
     counts = rows.groupBy(*groups, "_r").agg(F.count(F.lit(1)).alias("_n"))
     own = Window.partitionBy(*groups)
     bases = counts.withColumn("_base", F.sum("_n").over(own.orderBy("_r")) - F.col("_n")).withColumn("_total", F.sum("_n").over(own)).drop("_n")
     inside = Window.partitionBy(*groups, "_r").orderBy("_o", key)
-    at = rows.withColumn("_i", F.row_number().over(inside)).join(F.broadcast(bases), [*groups, "_r"])  # RANGES rows per group
+    at = rows.withColumn("_i", F.row_number().over(inside)).join(bases, [*groups, "_r"])  # ranges rows per group, joined by their size
     return at.withColumn("_rank", F.col("_base") + F.col("_i") - 1).drop("_g", "_o", "_r", "_i", "_base")
 
 

@@ -1,7 +1,7 @@
 """Imputation and rank metrics as aggregates.
 
 Scores are grouped first, so a curve has a row per distinct score. Running sums over these rows use a window over score
-ranges and one inside each, not a single task.
+ranges of about as many distinct scores each and one inside each range, not a single task.
 """
 
 from __future__ import annotations
@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinspan.functions import scalars
-
-RANGES = 256
+from clinspan.sources import scratch
 
 
 def fit_means(train: DataFrame, columns: list[str]) -> DataFrame:
@@ -29,15 +28,18 @@ def curve(df: DataFrame, score: str, label: str, by: list[str] | None = None) ->
     by = by or []
     known = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     at = known.groupBy(*by, F.col(score).cast("double").alias("score")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
-    ends = at.groupBy(*by).agg(F.min("score").alias("_a"), F.max("score").alias("_b"), F.sum("p").alias("positives"), F.sum(F.col("n") - F.col("p")).alias("negatives"))
-    rows = at.join(F.broadcast(ends), by) if by else at.withColumns(scalars.literals(ends))
-    share = (F.col("_b") - F.col("score")) / (F.col("_b") - F.col("_a"))
-    rows = rows.withColumn("_r", F.when(F.col("_a") == F.col("_b"), 0).otherwise(F.least(F.floor(share * RANGES), F.lit(RANGES - 1))).cast("int"))
+    # Ranges are Spark's own, cut by a sample of the scores, so that risks near 0 don't meet in one; the number of a row's
+    # range is written with it, since a partition read again may stand elsewhere.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = scratch.kept(at.repartitionByRange(parts, *by, F.col("score").desc()).withColumn("_r", F.spark_partition_id()), "curve")
     sums = rows.groupBy(*by, "_r").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select(*by, "_r", F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_bp"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_bn"))
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select(*(F.col(c).alias(f"_k_{c}") for c in by), F.col("_r").alias("_k"), F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_bp"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_bn"), F.sum("_p").over(group).alias("positives"), F.sum(F.col("_n") - F.col("_p")).over(group).alias("negatives"))
     inside = Window.partitionBy(*by, "_r").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = rows.withColumn("tp", F.sum("p").over(inside)).withColumn("seen", F.sum("n").over(inside)).join(F.broadcast(bases), [*by, "_r"])
+    running = rows.withColumn("tp", F.sum("p").over(inside)).withColumn("seen", F.sum("n").over(inside))
+    # A row for each group and range: Spark joins it by its size.
+    out = running.join(bases, [*(F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by), F.col("_r") == F.col("_k")])
     return out.select(*by, "score", "p", "n", (F.col("tp") + F.col("_bp")).alias("tp"), (F.col("seen") + F.col("_bn")).alias("seen"), "positives", "negatives")
 
 
