@@ -905,8 +905,8 @@ def _(spark, d):
 # Modelling and evaluation.
 
 
-def _features(spark, d):
-    return features.preop_features(lens.operations(spark, d), lens.series(spark, d), items=lens.ITEMS, tolerance=100_000, keep=("asa", "department", "antype"))
+def _features(spark, d, label="table"):
+    return features.preop_features(lens.operations(spark, d), lens.series(spark, d), items=lens.ITEMS, tolerance=100_000, label=label, keep=("asa", "department", "antype"))
 
 
 _COLUMNS = features.feature_names(lens.ITEMS)
@@ -920,7 +920,8 @@ def _(spark, d):
 
 
 def _trained(spark, d):
-    rows = _features(spark, d)
+    """By the subject's label: of the first operation's own, these tables have one class only."""
+    rows = _features(spark, d, "subject")
     return model.prepared(rows.where("subject_id % 10 < 7"), rows.where("subject_id % 10 >= 7"), _COLUMNS, features.OUTCOME)
 
 
@@ -954,6 +955,15 @@ def _(spark, d):
     return rounded(evaluate.rank_metrics(evaluate.curve(rows, "asa", "y")), "auroc", "auprc", "average_precision", "prevalence")
 
 
+_ASA_BY_SUBJECT = "SELECT CAST(f.asa AS DOUBLE) AS s, CAST(coalesce(f.inhosp_death_time < l.orout_time + 43200, false) AS INT) AS y FROM first_v f JOIN last_v l USING (subject_id) WHERE f.asa < 6"
+
+
+@query("m3_asa_as_score_by_subject", f", {_rank_sql(_ASA_BY_SUBJECT)} {_METRICS}")
+def _(spark, d):
+    rows = _features(spark, d, "subject").select("asa", F.col(features.OUTCOME).cast("int").alias("y"))
+    return rounded(evaluate.rank_metrics(evaluate.curve(rows, "asa", "y")), "auroc", "auprc", "average_precision", "prevalence")
+
+
 @query("m4_boosted_trees")
 def _(spark, d):
     train, test = _trained(spark, d)
@@ -1055,7 +1065,7 @@ def _(spark, d):
 
 @query("m16_with_and_without_frailty")
 def _(spark, d):
-    rows = _features(spark, d).join(_frailty(spark, d), "subject_id")
+    rows = _features(spark, d, "subject").join(_frailty(spark, d), "subject_id")
     rows = scratch.kept(rows, "rows")
     parts = []
     for name, columns in (("without", _COLUMNS), ("with", [*_COLUMNS, "hfrs"])):

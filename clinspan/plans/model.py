@@ -29,10 +29,11 @@ def scored(model, df: DataFrame, *keep: str) -> DataFrame:
     return model.transform(df).select(*keep, "label", vector_to_array("probability")[1].alias("score"))
 
 
-def fit_logistic(train: DataFrame, weight: str | None = None, max_iter: int = 5000):
-    """L2 with C = 1 on the sum of losses: Spark's mean loss takes 1 / n; columns aren't standardised."""
-    n = train.count()
-    model = LogisticRegression(maxIter=max_iter, regParam=1.0 / max(1, n), elasticNetParam=0.0, standardization=False)
+def fit_logistic(train: DataFrame, weight: str | None = None, max_iter: int = 5000, tol: float = 1e-9):
+    """L2 with C = 1 on the sum of (weighted) losses: Spark's mean loss takes 1 / the sum of weights; columns aren't
+    standardised in the penalty. The tolerance is small enough that scores are the optimum's, not the stopping rule's."""
+    total = train.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0]
+    model = LogisticRegression(maxIter=max_iter, tol=tol, regParam=1.0 / max(1.0, total or 0.0), elasticNetParam=0.0, standardization=False)
     return (model.setWeightCol(weight) if weight else model).fit(train)
 
 
