@@ -144,11 +144,11 @@ def _atc(spark):
 _ATC_SQL = "atc_v AS (SELECT unnest([" + ", ".join(f"'{k}'" for k in sorted(lens.ATC_NAMES)) + "]) AS atc_code, unnest([" + ", ".join(f"'{v}'" for _, v in sorted(lens.ATC_NAMES.items())) + "]) AS atc_name)"
 
 
-@query("s10_atc_dimension", f", {_ATC_SQL} SELECT m.atc_code, atc_name, count(*) AS n FROM medications_v m LEFT JOIN atc_v USING (atc_code) GROUP BY 1, 2")
+@query("s10_atc_dimension", f", {_ATC_SQL} SELECT _ord, atc_name FROM medications_v LEFT JOIN atc_v USING (atc_code)")
 def _(spark, d):
     path = scratch.fresh_path(spark, "s10")
     _atc(spark).withColumns({c: F.lit(None).cast("string") for c in ("ddd", "uom", "adm_r", "note")}).write.option("header", True).csv(path)
-    return lens.medications(spark, d).join(F.broadcast(readers.read_atc(spark, path)), "atc_code", "left").groupBy("atc_code", "atc_name").agg(F.count(F.lit(1)).alias("n"))
+    return lens.medications(spark, d).join(F.broadcast(readers.read_atc(spark, path)), "atc_code", "left").select("_ord", "atc_name")
 
 
 @query("s11_icd_dimension", "SELECT DISTINCT upper(replace(icd10_cm, '.', '')) AS code, true AS billable, concat('description of ', icd10_cm) AS description FROM diagnosis_v")
@@ -206,10 +206,10 @@ def _(spark, d):
 _INTEREST = ", ".join(f"'{c}'" for c, _, i in codes.departments() if i)
 
 
-@query("s16_departments_of_interest", f"SELECT department, count(*) AS n FROM operations_v WHERE department IN ({_INTEREST}) GROUP BY 1")
+@query("s16_departments_of_interest", f"SELECT op_id, department FROM operations_v WHERE department IN ({_INTEREST})")
 def _(spark, d):
     wanted = dimensions.departments(spark).where("of_interest").select("department")
-    return stats.counts_by(lens.operations(spark, d).join(F.broadcast(wanted), "department", "left_semi"), "department")
+    return lens.operations(spark, d).join(F.broadcast(wanted), "department", "left_semi").select("op_id", "department")
 
 
 # Projections and filters.
@@ -301,10 +301,10 @@ def _(spark, d):
     return stats.counts_by(select.with_evidence(_before(spark, d), 2), "subject_id")
 
 
-@query("p14_icd_normal_form", "SELECT upper(replace(icd10_cm, '.', '')) AS code, CASE WHEN length(replace(icd10_cm, '.', '')) > 3 THEN concat(substr(upper(replace(icd10_cm, '.', '')), 1, 3), '.', substr(upper(replace(icd10_cm, '.', '')), 4)) ELSE upper(icd10_cm) END AS shown, count(*) AS n FROM diagnosis_v GROUP BY 1, 2")
+@query("p14_icd_normal_form", "SELECT upper(replace(icd10_cm, '.', '')) AS code, CASE WHEN length(replace(icd10_cm, '.', '')) > 3 THEN concat(substr(upper(replace(icd10_cm, '.', '')), 1, 3), '.', substr(upper(replace(icd10_cm, '.', '')), 4)) ELSE upper(icd10_cm) END AS shown, _ord FROM diagnosis_v")
 def _(spark, d):
     dx = lens.diagnosis(spark, d)
-    return stats.counts_by(dx.select(scalars.normal_icd(F.col("icd10_cm")).alias("code"), scalars.dotted_icd(F.col("icd10_cm")).alias("shown")), "code", "shown")
+    return dx.select("_ord", scalars.normal_icd(F.col("icd10_cm")).alias("code"), scalars.dotted_icd(F.col("icd10_cm")).alias("shown"))
 
 
 @query("p15_time_units", f"SELECT subject_id, {r6('(max(chart_time) - min(chart_time)) / 60')} AS hours, {r6('(max(chart_time) - min(chart_time)) / 1440')} AS days, {r6('(max(chart_time) - min(chart_time)) / 10080')} AS weeks, {r6('(max(chart_time) - min(chart_time)) / 524160')} AS years FROM series_v GROUP BY 1")
@@ -460,9 +460,9 @@ def _(spark, d):
     return _sizes(_documents(spark, d), "outcome")
 
 
-@query("j6_hfrs_points", f", {_HFRS_SQL} SELECT icd10_cm, coalesce(points, 0) AS points, count(*) AS n FROM diagnosis_v LEFT JOIN hfrs_v ON code = substr(upper(replace(icd10_cm, '.', '')), 1, 3) GROUP BY 1, 2")
+@query("j6_hfrs_points", f", {_HFRS_SQL} SELECT _ord, icd10_cm, coalesce(points, 0) AS points FROM diagnosis_v LEFT JOIN hfrs_v ON code = substr(upper(replace(icd10_cm, '.', '')), 1, 3)")
 def _(spark, d):
-    return stats.counts_by(joins.with_hfrs_points(lens.diagnosis(spark, d), dimensions.hfrs(spark)), "icd10_cm", "points")
+    return joins.with_hfrs_points(lens.diagnosis(spark, d), dimensions.hfrs(spark)).select("_ord", "icd10_cm", "points")
 
 
 _LEVELS = "levels_v AS (SELECT _ord, " + ", ".join(f"CASE WHEN length(atc_code) > 4 AND NOT starts_with(atc_code, '0') THEN substr(atc_code, 1, {n}) END AS level_{i}" for i, n in enumerate((1, 3, 4, 5, 7), 1)) + " FROM medications_v)"
@@ -475,15 +475,15 @@ def _(spark, d):
     return out.select("_ord", *(f"name_{i}" for i in range(1, 6)), "missing")
 
 
-@query("j8_atc_path", f", {_ATC_SQL}, {_LEVELS}, {_NAMED} SELECT CASE WHEN " + " AND ".join(f"name_{i} IS NOT NULL" for i in range(1, 6)) + " THEN concat_ws('|', name_1, name_2, name_3, name_4, name_5) END AS path, count(*) AS n FROM named_v GROUP BY 1")
+@query("j8_atc_path", f", {_ATC_SQL}, {_LEVELS}, {_NAMED} SELECT CASE WHEN " + " AND ".join(f"name_{i} IS NOT NULL" for i in range(1, 6)) + " THEN concat_ws('|', name_1, name_2, name_3, name_4, name_5) END AS path, _ord FROM named_v")
 def _(spark, d):
-    return stats.counts_by(joins.atc_path(joins.atc_hierarchy(lens.medications(spark, d), _atc(spark))), "path")
+    return joins.atc_path(joins.atc_hierarchy(lens.medications(spark, d), _atc(spark))).select("_ord", "path")
 
 
-@query("j9_icd_description", "SELECT icd10_cm, CASE upper(replace(icd10_cm, '.', '')) WHEN 'N39' THEN true WHEN 'S720' THEN false END AS billable, CASE upper(replace(icd10_cm, '.', '')) WHEN 'N39' THEN 'urinary' WHEN 'S720' THEN 'femur' END AS description, count(*) AS n FROM diagnosis_v GROUP BY 1, 2, 3")
+@query("j9_icd_description", "SELECT _ord, CASE upper(replace(icd10_cm, '.', '')) WHEN 'N39' THEN true WHEN 'S720' THEN false END AS billable, CASE upper(replace(icd10_cm, '.', '')) WHEN 'N39' THEN 'urinary' WHEN 'S720' THEN 'femur' END AS description FROM diagnosis_v")
 def _(spark, d):
     icd = spark.createDataFrame([("N39", True, "urinary"), ("S72.0", False, "femur")], "code string, billable boolean, description string")
-    return stats.counts_by(joins.with_icd_description(lens.diagnosis(spark, d), icd), "icd10_cm", "billable", "description")
+    return joins.with_icd_description(lens.diagnosis(spark, d), icd).select("_ord", "billable", "description")
 
 
 @query("j10_icd_chapter", f", {_CHAPTERS_SQL} SELECT _ord, {_IN_CHAPTER.format(col='chapter')} AS chapter, {_IN_CHAPTER.format(col='block')} AS block FROM ({_KEYED})")
@@ -491,10 +491,10 @@ def _(spark, d):
     return joins.with_chapter(lens.diagnosis(spark, d), dimensions.icd_chapters(spark)).select("_ord", "chapter", "block")
 
 
-@query("j11_item_labels", "SELECT item_name, coalesce(CASE item_name WHEN 'click' THEN 'Clicks' WHEN 'view' THEN 'Views' END, item_name) AS label, CASE item_name WHEN 'click' THEN 'n' END AS unit, count(*) AS n FROM series_v GROUP BY 1, 2, 3")
+@query("j11_item_labels", "SELECT _ord, coalesce(CASE item_name WHEN 'click' THEN 'Clicks' WHEN 'view' THEN 'Views' END, item_name) AS label, CASE item_name WHEN 'click' THEN 'n' END AS unit FROM series_v")
 def _(spark, d):
     names = spark.createDataFrame([("click", "n", "Clicks"), ("view", None, "Views")], "label string, unit string, description string")
-    return stats.counts_by(joins.with_labels(lens.series(spark, d), names), "item_name", "label", "unit")
+    return joins.with_labels(lens.series(spark, d), names).select("_ord", "label", "unit")
 
 
 @query("j12_population_median", f"SELECT c.subject_id, st.item_name, {r6('coalesce(m.value, st.median)')} AS value FROM (SELECT DISTINCT subject_id FROM operations_v) c CROSS JOIN stats_v st LEFT JOIN (SELECT subject_id, item_name, avg(value) AS value FROM dedup_v GROUP BY 1, 2) m USING (subject_id, item_name)")
@@ -523,9 +523,9 @@ def _(spark, d):
     return rounded(joins.later_source_wins(coarse), "value")
 
 
-@query("u2_disjoint_union", "SELECT item_name, count(*) AS n FROM (SELECT * FROM ward_vitals_v UNION ALL SELECT * FROM labs_v) GROUP BY 1")
+@query("u2_disjoint_union", f"SELECT _ord, subject_id, item_name, chart_time, {r6('value')} AS value FROM (SELECT * FROM ward_vitals_v UNION ALL SELECT * FROM labs_v)")
 def _(spark, d):
-    return stats.counts_by(joins.disjoint_union(lens.source(spark, d, "ward_vitals"), lens.source(spark, d, "labs")), "item_name")
+    return rounded(joins.disjoint_union(lens.source(spark, d, "ward_vitals"), lens.source(spark, d, "labs")).select("_ord", "subject_id", "item_name", "chart_time", "value"), "value")
 
 
 @query("u3_all_sources", f"SELECT 'vitals' AS source, item_name, count(*) AS n, {r6('sum(value)')} AS total FROM dedup_v WHERE item_name = 'purchase' GROUP BY 2 UNION ALL SELECT 'ward_vitals', item_name, count(*), {r6('sum(value)')} FROM dedup_v WHERE item_name IN ('error', 'click') GROUP BY 2 UNION ALL SELECT 'labs', item_name, count(*), {r6('sum(value)')} FROM dedup_v WHERE item_name IN ('view', 'signup') GROUP BY 2")
