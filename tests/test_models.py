@@ -5,8 +5,7 @@ import pytest
 
 from clinspan.plans import catalogue, evaluate, features, lens, model
 
-SF = "/root/testdata/sf0.001"
-LARGER = "/root/testdata/sf0.01"  # with deaths enough among training rows
+SF = "/root/testdata/sf0.01"  # with deaths enough among training rows
 
 
 def optimum(x, y, w=None):
@@ -50,7 +49,7 @@ def split_rows(rows, columns):
 
 @pytest.fixture(scope="module")
 def table(spark):
-    return catalogue._features(spark, LARGER, "subject").collect()
+    return catalogue._features(spark, SF, "subject").collect()
 
 
 def held(got, ids, want, within):
@@ -62,7 +61,7 @@ def held(got, ids, want, within):
 def test_logistic_regression_is_the_optimum(spark, table):
     (_, x, y), (ids, x2, y2) = split_rows(table, catalogue._COLUMNS)
     assert 0 < y.sum() < len(y)
-    got = catalogue.QUERIES["m2_logistic_regression"](spark, LARGER).collect()
+    got = catalogue.QUERIES["m2_logistic_regression"](spark, SF).collect()
     held(got, ids, probability(optimum(x, y), x2), 2e-3)
     assert {r["subject_id"]: r["label"] for r in got} == dict(zip(ids, y2, strict=True))
 
@@ -70,14 +69,14 @@ def test_logistic_regression_is_the_optimum(spark, table):
 def test_weighted_regression_is_the_optimum(spark, table):
     (_, x, y), (ids, x2, _) = split_rows(table, catalogue._COLUMNS)
     weights = np.where(y == 1, (y == 0).sum() / (y == 1).sum(), 1.0)
-    held(catalogue.QUERIES["m9_weighted_regression"](spark, LARGER).collect(), ids, probability(optimum(x, y, weights), x2), 2e-3)
+    held(catalogue.QUERIES["m9_weighted_regression"](spark, SF).collect(), ids, probability(optimum(x, y, weights), x2), 2e-3)
 
 
 def test_boosted_trees_learn_and_score_each_test_row(spark, table):
     (_, _, y), (ids, _, _) = split_rows(table, catalogue._COLUMNS)
-    got = catalogue.QUERIES["m4_boosted_trees"](spark, LARGER).collect()
+    got = catalogue.QUERIES["m4_boosted_trees"](spark, SF).collect()
     assert sorted(r["subject_id"] for r in got) == sorted(ids) and all(0 <= r["score"] <= 1 for r in got)
-    train, _ = catalogue._trained(spark, LARGER)
+    train, _ = catalogue._trained(spark, SF)
     seen = model.scored(model.fit_boosted_trees(train), train, "subject_id").collect()
     positive, negative = ([r["score"] for r in seen if r["label"] == side] for side in (1.0, 0.0))
     assert len(seen) == len(y) and np.mean([(a > b) + (a == b) / 2 for a in positive for b in negative]) > 0.9
@@ -89,9 +88,9 @@ def plain_auroc(scores, labels):
 
 
 def test_comparison_with_frailty(spark, table):
-    frailty = {r["subject_id"]: r["hfrs"] for r in catalogue._frailty(spark, LARGER).collect()}
+    frailty = {r["subject_id"]: r["hfrs"] for r in catalogue._frailty(spark, SF).collect()}
     rows = [{**r.asDict(), "hfrs": frailty[r["subject_id"]]} for r in table if r["subject_id"] in frailty]
-    got = {(r["frailty"], r["emop"]): r for r in catalogue.QUERIES["m16_with_and_without_frailty"](spark, LARGER).collect()}
+    got = {(r["frailty"], r["emop"]): r for r in catalogue.QUERIES["m16_with_and_without_frailty"](spark, SF).collect()}
     emop = {r["subject_id"]: int(r["emop"]) for r in rows}
     for name, columns in (("without", catalogue._COLUMNS), ("with", [*catalogue._COLUMNS, "hfrs"])):
         (_, x, y), (ids, x2, y2) = split_rows(rows, columns)
