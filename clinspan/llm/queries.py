@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, license_scan, mixing, mpeg_ts, packing, secret_scan, simhash, token_counts, toxicity, warc
+from . import conversation_trie, fingerprints, html_text, license_scan, mixing, mpeg_ts, packing, ranked_search, secret_scan, simhash, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -15,4 +15,7 @@ QUERIES = {
     "op8_warc": warc.query,
     "op9_secret_scan": secret_scan.query,
     "op10_packing": packing.query,
+    "op11_html_text": html_text.query,
+    "op12_conversation_trie": conversation_trie.query,
+    "op13_ranked_search": ranked_search.query,
 }
