@@ -39,7 +39,8 @@ IDENTIFIER_HINTS = ("key_id", "keyid", "client", "account", "user", "login", "ui
 ENDPOINT = re.compile(r"""(?:https?|wss?|ftps?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]+|\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+(?::\d+)?""", re.ASCII | re.IGNORECASE)
 ENDPOINT_HINTS = ("://", "host", "endpoint", "server")
 # User and password, and a parameter's value, inside an address; user and password stand where they do by their meaning.
-USERINFO = re.compile(r"://([^\s:/?#@\"'<>]{1,64}):([^\s/?#@\"'<>]{6,})@", re.ASCII)
+# Neither has an upper length: the classes leave out what begins an address, so a text is searched once.
+USERINFO = re.compile(r"://([^\s:/?#@\"'<>]++):([^\s/?#@\"'<>]{6,}+)@", re.ASCII)
 PARAMETER = re.compile(r"[?&;#][A-Za-z0-9_.-]+=([A-Za-z0-9+/_.~-]{16,}={0,2})", re.ASCII)
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])", re.ASCII)
 PARAGRAPH = re.compile(r"\n[\t ]*\n")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import public_tokenizers
@@ -223,6 +224,14 @@ def test_secrets(spark):
     assert [k for _, k, _ in secret_scan.spans_of(far)] == [3, 4]  # a paragraph is one scope, however long it is
     long_key = key * 9
     assert [(k, b - a) for a, k, b in secret_scan.spans_of(f"client_id: abc123 {long_key}")] == [(3, 6), (4, len(long_key))]
+    for size in (1, 64, 65, 10_000, 200_000):  # a user's name of any length
+        user, address = "u" * size, f"postgres://{'u' * size}:{key}@db.example.com/x"
+        assert {(secret_scan.KINDS[k], address[a:b]) for a, k, b in secret_scan.spans_of(address)} == {("linked_id", user), ("linked_secret", key), ("linked_endpoint", address)}
+        assert secret_scan.redact(f"see {address} there") == "see [SECRET] there"
+    for piece in ("://", "://u", "://u:", "://u:pppppp", "u:"):
+        began = time.perf_counter()
+        secret_scan.spans_of(piece * 50_000)
+        assert time.perf_counter() - began < 10
     for address, user in ((f"postgres://svc:{key}@db.example.com/x", "svc"), (f"https://example.com/?client_id=abc123&key={key}", "abc123")):
         assert {(secret_scan.KINDS[k], address[a:b]) for a, k, b in secret_scan.spans_of(address)} == {("linked_id", user), ("linked_secret", key), ("linked_endpoint", address)}
     rng = random.Random(4)
