@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from clinspan.sources.scratch import kept
+
 from ._common import cut, read_table
 
 #: Weights of the sources by code point, repeating, null last; share of all sizes; most that a source gives, in its sizes.
@@ -79,7 +81,8 @@ def streams(rows: DataFrame, table: DataFrame, seed: str = SEED) -> DataFrame:
     n = max(1, int((table.agg(F.sum("docs")).first()[0] or 0) / RANGE_DOCS))
     ranges = 1 << min(20, (n - 1).bit_length())
     facts = table.select("source", "place", "source_size", "target", "block_words", "quota")
-    named = rows.join(F.broadcast(facts) if table.count() <= 10_000 else facts, rows["source"].eqNullSafe(facts["source"])).drop(facts["source"])
+    facts = kept(facts, "sources")  # Spark sends it to all tasks or shuffles by the size of its files
+    named = rows.join(facts, rows["source"].eqNullSafe(facts["source"])).drop(facts["source"])
     hashed = named.withColumn("hash", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}"))))
     hashed = hashed.withColumn("range", F.shiftright(F.conv(F.substring("hash", 1, 8), 16, 10).cast("long"), 32 - (ranges.bit_length() - 1)))
     sums = hashed.groupBy("place", "range").agg(F.sum("size").alias("words"))
