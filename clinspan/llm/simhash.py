@@ -36,6 +36,8 @@ SPLIT_ROWS = 100_000
 SLACK = 0.02
 #: Deviations of the distance of two SimHashes that ``safe_radius`` allows for.
 DEVIATIONS = 5
+#: The largest component of candidates whose sets are compared as one group.
+WHOLE = 64
 #: Shingles for each row of split_rows in a piece of sets, and bytes of rows that are held at once.
 SPLIT_SHINGLES, HELD_BYTES = 40, 128 << 20
 
@@ -202,11 +204,11 @@ def linked(fps: np.ndarray, first: np.ndarray, end: np.ndarray, radius: int, set
     return parent
 
 
-def _bucket_links(radius: int, similarity: float | None = None):
+def _bucket_links(radius: int, similarity: float | None = None, named: bool = False):
     """Sorted (choice, key, piece_a, piece_b, side, node, fp) rows, with a similarity also hashes -> links (a, b) of nodes
-    that span each bucket."""
+    that span each bucket; named: with the bucket's four columns."""
 
-    def links(node: np.ndarray, fps: np.ndarray, starts: np.ndarray, side: np.ndarray, sets: _Sets | None) -> pa.RecordBatch | None:
+    def links(node: np.ndarray, fps: np.ndarray, starts: np.ndarray, side: np.ndarray, sets: _Sets | None, buckets: list[np.ndarray]) -> pa.RecordBatch | None:
         size = np.diff(np.append(starts, len(fps)))
         end = np.repeat(starts + size, size)
         # In a bucket of two pieces (side 0, then side 1) rows of the first meet those of the second only.
@@ -218,7 +220,8 @@ def _bucket_links(radius: int, similarity: float | None = None):
         moved = np.flatnonzero(parent != np.arange(len(fps)))
         if not len(moved):
             return None
-        return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[parent[moved]])], names=["a", "b"])
+        own = [pa.array(c[moved]) for c in buckets] if named else []
+        return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[parent[moved]]), *own], names=["a", "b", *("choice", "key", "piece_a", "piece_b")[: len(own)]])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -240,7 +243,7 @@ def _bucket_links(radius: int, similarity: float | None = None):
                     parts = table.column(6).slice(0, whole).filter(pa.array(several)).to_pylist()
                     fps = np.frombuffer(b"".join(parts), dtype="<u8").reshape(len(parts), -1)
                     sets = None if similarity is None else _Sets(table.column(7).slice(0, whole).filter(pa.array(several)).to_pylist(), similarity)
-                    done = links(node, fps, np.flatnonzero(new[:whole][several]), side, sets)
+                    done = links(node, fps, np.flatnonzero(new[:whole][several]), side, sets, [k[:whole][several] for k in keys])
             return done, table.slice(whole).to_batches()
 
         for batch in batches:
@@ -259,10 +262,11 @@ def _bucket_links(radius: int, similarity: float | None = None):
     return run
 
 
-def linked_in_buckets(keyed: DataFrame, radius: int, split_rows: int = SPLIT_ROWS, similarity: float | None = None) -> DataFrame:
+def linked_in_buckets(keyed: DataFrame, radius: int, split_rows: int = SPLIT_ROWS, similarity: float | None = None, name_trees: bool = False) -> DataFrame:
     """Links (a, b) of nodes that connect, within each bucket (choice, key), all fingerprints at most radius bits apart.
     keyed: choice, key, node (long), fp (binary, whole 64-bit words). With a similarity, only those whose sets have it;
-    keyed has them as hashes (binary), and buckets are cut by the numbers of hashes."""
+    keyed has them as hashes (binary), and buckets are cut by the numbers of hashes. name_trees: also tree, a number of the
+    bucket (or pair of its pieces) and b: all that it found connected to b there."""
     spark = keyed.sparkSession
     carried = ["node", "fp"] if similarity is None else ["node", "fp", "hashes"]
     weight = F.count(F.lit(1)) if similarity is None else F.ceil(F.sum(F.octet_length("hashes")) / (8 * SPLIT_SHINGLES))
@@ -278,7 +282,11 @@ def linked_in_buckets(keyed: DataFrame, radius: int, split_rows: int = SPLIT_ROW
         dealt = keyed.join(large, ["choice", "key"], "left_anti").select("choice", "key", *plain, *carried).unionByName(cut_up)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["choice", "key", "piece_a", "piece_b", "side", "node"]
-    return dealt.repartition(parts, *order[:4]).sortWithinPartitions(*order).select(*order, *carried[1:]).mapInArrow(_bucket_links(radius, similarity), "a long, b long").distinct()
+    sorted_ = dealt.repartition(parts, *order[:4]).sortWithinPartitions(*order).select(*order, *carried[1:])
+    if not name_trees:
+        return sorted_.mapInArrow(_bucket_links(radius, similarity), "a long, b long").distinct()
+    found = sorted_.mapInArrow(_bucket_links(radius, similarity, named=True), "a long, b long, choice int, key long, piece_a int, piece_b int")
+    return found.select(F.xxhash64("choice", "key", "piece_a", "piece_b", "b").alias("tree"), "a", "b")
 
 
 def near_links(distinct: DataFrame, radius: int = 3, bands: int = 5, split_rows: int = SPLIT_ROWS) -> DataFrame:
@@ -293,7 +301,9 @@ def near_links(distinct: DataFrame, radius: int = 3, bands: int = 5, split_rows:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of the links (a, b) reaches, by alternating large- and small-star
-    rounds. The number of rounds follows the logarithm of the longest path; every round joins edges, none meet in one task."""
+    rounds. The number of rounds follows the logarithm of the longest path. A round joins edges with the smallest neighbour of
+    each node: at the hub of a large component many edges have one key; the side of one row a node is what Spark copies when
+    it splits such a partition of the join (adaptive execution, skewed joins), and groupings sum before the shuffle."""
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
 
     def state(e: DataFrame) -> tuple:
@@ -409,17 +419,17 @@ def safe_radius(similarity: float, bits: int) -> int:
     return min(bits, math.ceil(bits * share + DEVIATIONS * math.sqrt(bits * share * (1 - share))))
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 512, keys: int = 16, per_key: int = 3, split_rows: int = SPLIT_ROWS, hot_rows: int = HOT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 512, keys: int = 16, per_key: int = 3, split_rows: int = SPLIT_ROWS, hot_rows: int = HOT_ROWS, id_col: str = "doc_id", text_col: str = "text", whole: int = WHOLE) -> DataFrame:
     """doc_id, component_id: documents linked where their sets of word shingles have at least this Jaccard similarity.
 
     Candidates are ``bits``-bit SimHashes within ``safe_radius``, compared as bit planes among texts that share one of
     ``keys`` keys of ``per_key`` smallest hashes: a pair of similarity 0.8 shares none with probability
-    (1 - 0.8 ** 3) ** 16, about 1 in 100,000. The sets of texts that have a candidate then decide: within each component
-    of candidates, those in the radius are linked if their exact similarity suffices. Equal sets are one node, however many
+    (1 - 0.8 ** 3) ** 16, about 1 in 100,000. The sets of texts that have a candidate then decide: where candidates met in a
+    bucket (or anywhere in a small component of them), those in the radius are linked if their exact similarity suffices. Equal sets are one node, however many
     documents have them. Only rows with an id; null and empty texts are alike; repeated rows come out each. Rows of one id
     with different texts are documents of their own.
     """
-    rows, named = rooted(docs, words, similarity, bits, keys, per_key, split_rows, id_col, text_col)
+    rows, named = rooted(docs, words, similarity, bits, keys, per_key, split_rows, id_col, text_col, whole)
     return join_copies(rows, named, "node", hot_rows=hot_rows).select("doc_id", "component_id")
 
 
@@ -428,7 +438,27 @@ def text_hash(docs: DataFrame, text_col: str = "text") -> Column:
     return F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(EMPTY)))
 
 
-def rooted(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 512, keys: int = 16, per_key: int = 3, split_rows: int = SPLIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def compared_in(links: DataFrame, whole: int) -> DataFrame:
+    """node, places: the groups in which a node's set meets others, so that every two of a candidate pair meet in one.
+
+    links: tree, a, b of ``linked_in_buckets``: a tree is all that a bucket found connected, so it holds each of the bucket's
+    candidate pairs as a whole. A component of at most ``whole`` nodes is one group: its nodes meet that many others at most.
+    In larger ones, as chains of pages that share their boilerplate, groups are the trees themselves, so that a node meets
+    those of its buckets only, however long the chain is; trees of the same nodes are one."""
+    links = cut(links)
+    found = cut(components(links))
+    sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    sized = found.join(sizes, "root")
+    small = sized.where(F.col("n") <= whole).select("node", F.array("root").alias("places"))
+    large = sized.where(F.col("n") > whole).select("node")
+    members = links.select("tree", F.col("a").alias("node")).unionByName(links.select("tree", F.col("b").alias("node")).distinct())
+    members = cut(members.join(large, "node", "left_semi"))
+    same = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    trees = members.groupBy("tree").agg(*same).groupBy("n", "x", "y").agg(F.min("tree").alias("tree"))
+    return small.unionByName(members.join(trees, "tree", "left_semi").groupBy("node").agg(F.collect_list("tree").alias("places")))
+
+
+def rooted(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 512, keys: int = 16, per_key: int = 3, split_rows: int = SPLIT_ROWS, id_col: str = "doc_id", text_col: str = "text", whole: int = WHOLE) -> tuple[DataFrame, DataFrame]:
     """``similar_documents`` as (doc_id, text_hash, node of each row) and (node, first_id, root, component_id, copies of each
     node): root names the component, also where two of them have the same smallest id."""
 
@@ -442,19 +472,20 @@ def rooted(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int =
         for batch in batches:
             sets = [shingle_hashes(t, words) for t in batch.column(3).to_pylist()]
             own = pa.array([set_number(h) == n for h, n in zip(sets, batch.column(1).to_pylist(), strict=True)], pa.bool_())  # an id may repeat with other texts
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([h.tobytes() for h in sets], pa.binary())], names=["key", "node", "fp", "hashes"]).filter(own)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([h.tobytes() for h in sets], pa.binary())], names=["places", "node", "fp", "hashes"]).filter(own)
 
     texts = id_and_text(docs, id_col, text_col).where("doc_id is not null")
     rows = cut(texts.withColumn("text_hash", text_hash(texts)).mapInArrow(run, "doc_id long, text_hash long, node long, fp binary, keys array<long>"))
     nodes = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     keyed = nodes.select("node", "fp", F.posexplode("keys").alias("choice", "key")).select("choice", "key", "node", "fp")
     radius = safe_radius(similarity, bits)
-    candidates = components(linked_in_buckets(keyed, radius, split_rows))
+    where = compared_in(linked_in_buckets(keyed, radius, split_rows, name_trees=True), whole)
     # One row for each node before the join, so that copies of one text stay out of it.
-    firsts = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp")).join(candidates.withColumnRenamed("root", "key"), "node")
-    asked = texts.join(firsts, "doc_id").select("doc_id", "key", "node", "fp", "text").distinct()
-    sets = cut(asked.select("key", "node", "fp", "text").mapInArrow(sets_of, "key long, node long, fp binary, hashes binary"))
-    links = linked_in_buckets(sets.select(F.lit(0).alias("choice"), "key", "node", "fp", "hashes"), radius, split_rows, similarity)
+    firsts = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp")).join(where, "node")
+    asked = texts.join(firsts, "doc_id").select("doc_id", "places", "node", "fp", "text").distinct()
+    sets = cut(asked.select("places", "node", "fp", "text").mapInArrow(sets_of, "places array<long>, node long, fp binary, hashes binary"))
+    placed = sets.select(F.lit(0).alias("choice"), F.explode("places").alias("key"), "node", "fp", "hashes")
+    links = linked_in_buckets(placed, radius, split_rows, similarity)
     each = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     named = each.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))

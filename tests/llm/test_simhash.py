@@ -210,3 +210,55 @@ def test_one_id_with_different_texts(spark):
     kept = sorted(map(tuple, simhash.keep_first(docs).collect()), key=str)
     assert kept == sorted([(1, a), (1, b), (3, c), (4, None), (None, a)], key=str)
     assert sorted(r["component_id"] for r in simhash.similar_documents(docs).collect()) == [1, 1, 1, 1, 1, 3, 4, 4]
+
+
+def test_candidates_compared_by_tree(spark):
+    """Pairs at 0.8 to 0.85 and just below, chains and groups around one text: the same with whole components and with trees."""
+    rng = random.Random(11)
+    fresh = (f"m{k}" for k in range(10**9))
+    make = lambda n: [next(fresh) for _ in range(n)]
+    texts = []
+    for _ in range(300):  # n - 4 shingles inside n - 4 + own
+        n = rng.randint(30, 200)
+        base = make(n)
+        texts += [base, base + make(max(1, round((n - 4) * rng.uniform(0.17, 0.27))))]
+    for width, step in ((44, 4), (44, 5), (84, 8), (84, 10)):  # links of 0.8 and more, and of less, from each to the next
+        chain = make(width + 60 * step)
+        texts += [chain[i * step : i * step + width] for i in range(60)]
+    for _ in range(3):  # texts near one that aren't near each other
+        base = make(200)
+        texts.append(base)
+        for k in range(30):
+            own = list(base)
+            for at in rng.sample(range(5, 190, 6), 4):
+                own[at] = next(fresh)
+            texts.append(own)
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    holders = {}
+    for i, x in enumerate(sets):
+        for shingle in x:
+            holders.setdefault(shingle, []).append(i)
+    parent = list(range(len(sets)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in {j for shingle in a for j in holders[shingle] if j < i}:
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = {i: find(i) for i in range(len(texts))}
+    for whole in (simhash.WHOLE, 1):
+        assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs, whole=whole).collect()} == want
+
+
+def test_a_long_chain_is_compared_in_linear_work(spark):
+    n = 100_000
+    links = spark.range(n).selectExpr("id as tree", "id + 1 as a", "id as b").unionByName(spark.range(n).selectExpr("id + 1000000 as tree", "id + 1 as a", "id as b"))
+    where = simhash.compared_in(links, 64).selectExpr("node", "explode(places) as place")
+    assert where.count() == 2 * n  # each node meets the one before and the one after, once, though two buckets found them
+    assert where.groupBy("place").count().where("count <> 2").isEmpty()
