@@ -1,8 +1,9 @@
 """As-of joins: for each left row the most recent earlier value of several items, in one pass.
 
-Left and right rows are united and one window per subject, ordered by time, carries the last value of every item forward.
-So one shuffle on the subject serves all items; the tolerance is tested afterwards. Right rows of one time are reduced
-first (before the shuffle's window), and each item is one column of the window, not a join.
+Left and right rows are united and one window per subject and time slice, ordered by time, carries the last value of every
+item forward. What came before a slice is one row for each slice of a subject: the last value of each item in it, carried on
+by a window over those rows. So a subject of any length is dealt to as many tasks as it has slices; right rows of one time
+are reduced first, so a slice holds at most one for each of its minutes and items. The tolerance is tested afterwards.
 """
 
 from __future__ import annotations
@@ -11,33 +12,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Minutes of a slice: a task of a join holds those of one subject at a time.
+SLICE = 30 * 24 * 60
+
+
 def first_at_each_time(events: DataFrame, ord_col: str = "_ord") -> DataFrame:
     """subject_id, item_name, chart_time, value: of equal times the first in file order."""
     return events.where("chart_time is not null").groupBy("subject_id", "item_name", "chart_time").agg(F.min_by("value", ord_col).alias("value"))
 
 
-def asof_items(left: DataFrame, events: DataFrame, items: list[str], time_col: str = "orin_time", tolerance: int | None = None, exact: bool = True, prefix: str = "preop_", ord_col: str = "_ord", with_times: bool = False) -> DataFrame:
+def asof_items(left: DataFrame, events: DataFrame, items: list[str], time_col: str = "orin_time", tolerance: int | None = None, exact: bool = True, prefix: str = "preop_", ord_col: str = "_ord", with_times: bool = False, slice_minutes: int = SLICE) -> DataFrame:
     """left with one column prefix + item for each item: its value at the latest chart_time not after time_col.
 
     tolerance: values older than that are null. exact=False: only earlier times count. A right row with a null value is a
     match with null. with_times adds prefix + item + _at, the time of the match. Left rows without a subject or time are kept with nulls; items no row has are null.
     """
-    right = first_at_each_time(events.where(F.col("item_name").isin(items)), ord_col)
+    right = first_at_each_time(events.where(F.col("item_name").isin(items)), ord_col).where("subject_id is not null")
     columns = left.columns
+    timed = F.col("subject_id").isNotNull() & F.col(time_col).isNotNull()
+    place = F.floor(F.col("_t") / slice_minutes).alias("_slice")
     # Right rows stand before left ones of their time, unless only earlier ones count.
-    rows = left.select(F.col("subject_id").alias("_s"), F.col(time_col).alias("_t"), F.lit(1 if exact else 0).alias("_side"), F.struct(*columns).alias("_left"), F.lit(None).cast("string").alias("_item"), F.lit(None).cast("double").alias("_value"))
+    rows = left.where(timed).select(F.col("subject_id").alias("_s"), F.col(time_col).alias("_t"), F.lit(1 if exact else 0).alias("_side"), F.struct(*columns).alias("_left"), F.lit(None).cast("string").alias("_item"), F.lit(None).cast("double").alias("_value"))
     side = F.lit(0 if exact else 1)
     more = right.select(F.col("subject_id").alias("_s"), F.col("chart_time").alias("_t"), side.alias("_side"), F.lit(None).cast(rows.schema["_left"].dataType).alias("_left"), F.col("item_name").alias("_item"), F.col("value").cast("double").alias("_value"))
-    window = Window.partitionBy("_s").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    window = Window.partitionBy("_s", "_slice").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carried = {f"_c{i}": F.last(F.when(F.col("_item") == item, F.struct("_t", "_value")), ignorenulls=True).over(window) for i, item in enumerate(items)}
-    found = rows.unionByName(more).withColumns(carried).where("_left is not null")
+    found = rows.unionByName(more).select("*", place).withColumns(carried).where("_left is not null")
+    # One row for each slice of a subject: its last value of each item, and then those of the slices before.
+    last = [F.max(F.when(F.col("_item") == item, F.struct("_t", "_value"))).alias(f"_m{i}") for i, item in enumerate(items)]
+    ends = more.select("_s", place, "_t", "_item", "_value").groupBy("_s", "_slice").agg(*last)
+    asked = rows.select("_s", place).distinct()
+    before = Window.partitionBy("_s").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    handed = asked.join(ends, ["_s", "_slice"], "full").select("_s", "_slice", *(F.last(f"_m{i}", ignorenulls=True).over(before).alias(f"_b{i}") for i in range(len(items))))
+    found = found.join(handed, ["_s", "_slice"], "left").withColumns({f"_c{i}": F.coalesce(f"_c{i}", f"_b{i}") for i in range(len(items))})
 
     def value(i: int) -> Column:
         age = F.col("_t") - F.col(f"_c{i}._t")
         return F.col(f"_c{i}._value") if tolerance is None else F.when(age <= tolerance, F.col(f"_c{i}._value"))
 
     times = [F.col(f"_c{i}._t").alias(f"{prefix}{item}_at") for i, item in enumerate(items)] if with_times else []
-    return found.select("_left.*", *(value(i).alias(f"{prefix}{item}") for i, item in enumerate(items)), *times)
+    out = found.select("_left.*", *(value(i).alias(f"{prefix}{item}") for i, item in enumerate(items)), *times)
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in out.schema.fields[len(columns) :]]
+    return out.unionByName(left.where(~timed).select(*columns, *none))
 
 
 def nearest_preceding(left: DataFrame, events: DataFrame, item: str, time_col: str = "orin_time", ord_col: str = "_ord") -> DataFrame:

@@ -10,57 +10,66 @@ from pyspark.sql import functions as F
 from clinspan.functions import scalars
 
 
-def _points(series: DataFrame, step: int) -> DataFrame:
-    """Distinct observations with their neighbours; a lone one is repeated a step later, observed too."""
-    one = series.where("value is not null").groupBy("subject_id", "item_name", "chart_time").agg(F.max_by("value", "_ord").alias("value"))
-    group = Window.partitionBy("subject_id", "item_name")
-    # Windows on the subject and on (subject, item) need one exchange, on the subject. The grid's ends are observations'.
-    subject = Window.partitionBy("subject_id")
-    ends = one.repartition("subject_id").withColumn("_g0", F.min("chart_time").over(subject)).withColumn("_g1", F.max("chart_time").over(subject))
-    counted = ends.withColumn("_n", F.count(F.lit(1)).over(group))
-    copies = F.when(F.col("_n") == 1, F.array(F.lit(0), F.lit(step))).otherwise(F.array(F.lit(0)))
-    return counted.withColumn("_c", F.explode(copies)).withColumn("chart_time", F.col("chart_time") + F.col("_c")).drop("_c", "_n")
+#: Minutes of a slice: a subject's series are dealt to tasks by them.
+SLICE = 30 * 24 * 60
+
+
+def _neighbours(series: DataFrame, slice_minutes: int) -> DataFrame:
+    """Distinct observations with those before and after them (_p, _q: structs of time and value), the subject's ends (_g0,
+    _g1), and the number and mean of its item's observations.
+
+    Neighbours are sought inside slices of time. A row for each item and slice of a subject hands over its first and last
+    observation, and it is these rows that windows over a whole subject see."""
+    one = series.where("value is not null and chart_time is not null").groupBy("subject_id", "item_name", "chart_time").agg(F.max_by("value", "_ord").alias("value"))
+    rows = one.withColumns({"_slice": F.floor(F.col("chart_time") / slice_minutes), "_x": F.struct(F.col("chart_time").alias("t"), F.col("value").cast("double").alias("v"))})
+    sums = rows.groupBy("subject_id", "item_name", "_slice").agg(F.min("_x").alias("_a"), F.max("_x").alias("_z"), F.count(F.lit(1)).alias("_n"), F.sum("value").alias("_sum"))
+    subject, item = Window.partitionBy("subject_id"), Window.partitionBy("subject_id", "item_name")
+    in_order = item.orderBy("_slice")
+    # Both windows need one exchange, on the subject.
+    borders = sums.repartition("subject_id").select(
+        "subject_id", "item_name", "_slice", F.lag("_z").over(in_order).alias("_z0"), F.lead("_a").over(in_order).alias("_a1"), F.min("_a.t").over(subject).alias("_g0"), F.max("_z.t").over(subject).alias("_g1"),
+        F.sum("_n").over(item).alias("_n"), (F.sum("_sum").over(item) / F.sum("_n").over(item)).alias("_mean"),
+    )
+    inside = Window.partitionBy("subject_id", "item_name", "_slice").orderBy("chart_time")
+    near = rows.withColumns({"_p": F.lag("_x").over(inside), "_q": F.lead("_x").over(inside)})
+    return near.join(borders, ["subject_id", "item_name", "_slice"]).withColumns({"_p": F.coalesce("_p", "_z0"), "_q": F.coalesce("_q", "_a1")}).drop("_z0", "_a1", "_x")
 
 
 def _line(t: Column, a: Column, va: Column, b: Column, vb: Column) -> Column:
     return va + (vb - va) * (t - a) / (b - a)
 
 
-def align(series: DataFrame, step: int = 1, full_length: int | None = None, fade: float | None = None) -> DataFrame:
+def align(series: DataFrame, step: int = 1, full_length: int | None = None, fade: float | None = None, slice_minutes: int = SLICE, keep_slice: bool = False) -> DataFrame:
     """subject_id, item_name, chart_time, value, mask (1.0 observed, 0.0 not): each item on its subject's grid.
 
     The grid goes from the subject's first to its last observation over all items by step, or has full_length points from
     the first. Between observations values lie on straight lines; outside an item's own range on the line through its two
-    edge points, with fade drawn to the mean of its points: weight exp(-distance / fade). series: subject_id, item_name,
-    chart_time (multiples of step from the subject's first), value, _ord.
+    edge points, with fade drawn to the mean of its points: weight exp(-distance / fade). A lone observation is repeated a
+    step later, observed too. series: subject_id, item_name, chart_time (multiples of step from the subject's first), value,
+    _ord. Rows are made and dealt by (subject, slice of time), so series and gaps of any length meet many tasks; keep_slice
+    keeps the column _slice, for ``wide``.
     """
-    points = _points(series, step)
-    item = Window.partitionBy("subject_id", "item_name")
-    in_time = item.orderBy("chart_time")
-    marked = (
-        points.withColumn("_t2", F.lead("chart_time").over(in_time)).withColumn("_v2", F.lead("value").over(in_time))
-        .withColumn("_t0", F.lag("chart_time").over(in_time)).withColumn("_v0", F.lag("value").over(in_time))
-        .withColumn("_mean", F.avg("value").over(item))
-    )
     end = F.col("_g1") if full_length is None else F.col("_g0") + (full_length - 1) * step
-    t, v = F.col("chart_time"), F.col("value")
-    empty = F.array().cast("array<bigint>")
-
-    def steps(a: Column, b: Column) -> Column:
-        return F.when(a <= b, F.sequence(a, b, F.lit(step).cast("long"))).otherwise(empty)
-
-    grids = F.when(F.col("_t2").isNotNull(), steps(t, F.least(F.col("_t2") - step, end))).otherwise(steps(t, end))
-    left = F.when(F.col("_t0").isNull(), steps(F.col("_g0"), t - step)).otherwise(empty)
-    g = F.col("_g")
-    out = marked.withColumn("_g", F.explode(F.concat(left, grids)))
-    before, after = g < t, F.col("_t2").isNull() & (g > t)
-    inside = _line(g, t, v, F.col("_t2"), F.col("_v2"))  # also the line to the left of the first point
-    beyond = _line(g, F.col("_t0"), F.col("_v0"), t, v)
-    value = F.when(g == t, v).when(after, beyond).otherwise(inside)
+    t, v, g = F.col("chart_time"), F.col("value"), F.col("_g")
+    lone = F.col("_n") == 1
+    # What an observation covers: from itself to the next one; the first and the last one to the ends of the grid, too.
+    last = F.when(lone & F.lit(full_length is None), F.greatest(F.col("_g1"), t)).otherwise(end)
+    covered = _neighbours(series, slice_minutes).withColumns({"_from": F.when(F.col("_p").isNull(), F.col("_g0")).otherwise(t), "_to": F.when(F.col("_q").isNotNull(), F.least(F.col("_q.t") - step, end)).otherwise(last)}).where("_from <= _to")
+    first_slice, last_slice = F.floor(F.col("_from") / slice_minutes), F.floor(F.col("_to") / slice_minutes)
+    sliced = covered.drop("_slice").withColumn("_slice", F.explode(F.sequence(first_slice, last_slice)))
+    begin = F.greatest(F.col("_from"), F.col("_slice") * slice_minutes)
+    begin = F.col("_from") + F.ceil((begin - F.col("_from")) / step).cast("long") * step
+    stop = F.least(F.col("_to"), (F.col("_slice") + 1) * slice_minutes - 1)
+    dealt = sliced.withColumns({"_begin": begin, "_stop": stop}).where("_begin <= _stop").repartition("subject_id", "_slice")
+    out = dealt.withColumn("_g", F.explode(F.sequence("_begin", "_stop", F.lit(step).cast("long"))))
+    before, after = g < t, F.col("_q").isNull() & (g > t)
+    value = F.when((g == t) | lone, v).when(after, _line(g, F.col("_p.t"), F.col("_p.v"), t, v)).otherwise(_line(g, t, v, F.col("_q.t"), F.col("_q.v")))
     if fade is not None:
         weight = F.exp(-F.abs(g - t) / fade)
         value = F.when(before | after, weight * value + (1 - weight) * F.col("_mean")).otherwise(value)
-    return out.select("subject_id", "item_name", g.alias("chart_time"), value.alias("value"), F.when(g == t, 1.0).otherwise(0.0).alias("mask")).where(g <= F.greatest(end, F.col("_g0")))
+    seen = (g == t) | (lone & (g == t + step))
+    kept = ["_slice"] if keep_slice else []
+    return out.select("subject_id", "item_name", g.alias("chart_time"), value.alias("value"), F.when(seen, 1.0).otherwise(0.0).alias("mask"), *kept)
 
 
 def wide(aligned: DataFrame, items: list[str], empty: dict[str, float] | float = 0.0) -> DataFrame:
@@ -71,7 +80,9 @@ def wide(aligned: DataFrame, items: list[str], empty: dict[str, float] | float =
         default = empty.get(i) if isinstance(empty, dict) else empty
         mine = F.col("item_name") == i
         cells += [F.coalesce(F.max(F.when(mine, F.col("value"))), F.lit(default).cast("double")).alias(i), F.coalesce(F.max(F.when(mine, F.col("mask"))), F.lit(0.0)).alias(f"{i}_mask")]
-    return aligned.where(F.col("item_name").isin(items)).groupBy("subject_id", "chart_time").agg(*cells)
+    # With its slices, the grid stands by (subject, slice) already: it isn't shuffled again.
+    by = ["subject_id", *(c for c in ["_slice"] if c in aligned.columns), "chart_time"]
+    return aligned.where(F.col("item_name").isin(items)).groupBy(*by).agg(*cells).drop("_slice")
 
 
 def window_length(minutes: int) -> int:

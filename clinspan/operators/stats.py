@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinspan.functions import scalars, scores
-from clinspan.sources import scratch
+from clinspan.sources import readers, scratch
 
 #: Accuracy of the approximate quantiles that bracket the exact ones, and how far the brackets reach, as a share of the rows.
 ACCURACY, BRACKET = 10_000, 0.0005
@@ -214,6 +214,15 @@ def table_profile(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
+def table_heads(tables: dict[str, DataFrame], k: int = 2) -> DataFrame:
+    """table, place, head: the first k rows of each table in the order of its files, as JSON objects; tables are as read."""
+    rows = []
+    for name, df in tables.items():
+        first = readers.first_rows(df, k)
+        rows.append(first.select(F.lit(name).alias("table"), "place", F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("head")))
+    return reduce(DataFrame.unionByName, rows)
+
+
 def missing_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """feature, n_missing, share: all columns in one pass."""
     one = df.agg(F.count(F.lit(1)).alias("_n"), *(F.count_if(F.col(c).isNull()).alias(c) for c in columns))

@@ -57,6 +57,28 @@ def _(spark, d):
     return rounded(readers.read_table(spark, path, "labs"), "value")
 
 
+#: Three files of very different sizes, so that the order of their names isn't that of their sizes.
+_FILE = "CASE WHEN _ord % 10 = 0 THEN 1 WHEN _ord % 10 < 8 THEN 2 ELSE 3 END"
+
+
+@query("s2_file_order", f"SELECT subject_id, item_name, count(*) AS n, {r6('arg_min(value, place)')} AS first, {r6('arg_max(value, place)')} AS last, min(row_in_file) AS first_row, max(row_in_file) AS last_row FROM (SELECT *, row_number() OVER (ORDER BY f, k) AS place, row_number() OVER (PARTITION BY f ORDER BY k) - 1 AS row_in_file FROM (SELECT *, {_FILE} AS f, (_ord * 7919) % 1000003 AS k FROM series_v)) GROUP BY 1, 2")
+def s2_file_order(spark, d):
+    """The first and the last value in file order of each series, of files that a query wrote, read in blocks of 64 KB."""
+    path = scratch.fresh_path(spark, "s2o")
+    rows = lens.series(spark, d).selectExpr("*", f"{_FILE} AS f", "(_ord * 7919) % 1000003 AS k")
+    parts = rows.repartition("f").sortWithinPartitions("f", "k").select("subject_id", "chart_time", "item_name", "value", "f")
+    parts.write.option("header", True).partitionBy("f").csv(path)  # one file for each f, in folders f=1 to f=3
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, 65_536)
+    try:
+        read = readers.numbered(readers.with_order(readers.read_table(spark, path, "labs")))
+    finally:
+        spark.conf.set(size, before)
+    sums = read.groupBy("subject_id", "item_name").agg(F.count(F.lit(1)).alias("n"), F.min_by("value", "_ord").alias("first"), F.max_by("value", "_ord").alias("last"), F.min("_row").alias("first_row"), F.max("_row").alias("last_row"))
+    return rounded(sums, "first", "last")
+
+
 def _documents(spark, d):
     ops = lens.operations(spark, d)
     tables = {
@@ -420,6 +442,18 @@ def _(spark, d):
     return rounded(out, *(f"preop_{i}" for i in lens.ITEMS)).drop("subject_id", "orin_time")
 
 
+#: All rows as those of one subject.
+_ONE_SUBJECT = "one_v AS (SELECT 1 AS subject_id, item_name, chart_time, value, _ord FROM series_v), one_ties_v AS (SELECT item_name, chart_time, arg_min(value, _ord) AS value FROM one_v GROUP BY ALL)"
+
+
+@query("j2_asof_one_subject", f", {_ONE_SUBJECT} SELECT o.op_id, " + ", ".join(f"{r6(f'a{i}.value')} AS preop_{x}" for i, x in enumerate(lens.ITEMS)) + " FROM operations_v o " + " ".join(f"ASOF LEFT JOIN (SELECT * FROM one_ties_v WHERE item_name = '{x}') a{i} ON o.orin_time >= a{i}.chart_time" for i, x in enumerate(lens.ITEMS)))
+def j2_asof_one_subject(spark, d):
+    ops = lens.operations(spark, d).select("op_id", F.lit(1).cast("long").alias("subject_id"), "orin_time")
+    events = lens.series(spark, d).withColumn("subject_id", F.lit(1).cast("long"))
+    out = asof.asof_items(ops, events, list(lens.ITEMS))
+    return rounded(out, *(f"preop_{i}" for i in lens.ITEMS)).drop("subject_id", "orin_time")
+
+
 @query("j3_most_recent", _asof_sql(lens.ITEMS[:2], "true"))
 def _(spark, d):
     ops = lens.operations(spark, d).select("op_id", "subject_id", "orin_time")
@@ -707,6 +741,22 @@ def _(spark, d):
     return stats.table_profile({t: lens.read(spark, d, t) for t in _PROFILED})
 
 
+def _head_sql(table: str) -> str:
+    """The first two rows: the tables are one file each, whose rows DuckDB numbers as they stand."""
+    return f"SELECT '{table}' AS \"table\", place, {_HEAD_KEYS[table]} AS key FROM (SELECT *, row_number() OVER () AS place FROM {table}) WHERE place <= 2"
+
+
+_HEAD_KEYS = {"customer": "c_custkey", "orders": "o_orderkey", "lineitem": "l_orderkey * 10 + l_linenumber", "events": "event_id"}
+
+
+@query("a26_table_heads", " UNION ALL ".join(map(_head_sql, _HEAD_KEYS)), views=False)
+def a26_table_heads(spark, d):
+    heads = stats.table_heads({t: lens.read(spark, d, t) for t in _HEAD_KEYS})
+    cell = lambda name: F.get_json_object("head", f"$.{name}").cast("long")
+    key = F.coalesce(cell("c_custkey"), cell("o_orderkey"), cell("l_orderkey") * 10 + cell("l_linenumber"), cell("event_id"))
+    return heads.select("table", "place", key.alias("key"))
+
+
 @query("a27_death_audit", "SELECT op_id, subject_id, row_number() OVER (PARTITION BY subject_id ORDER BY orin_time, _ord) AS ordinal, count(*) OVER (PARTITION BY subject_id) AS n_operations, orout_time, inhosp_death_time, coalesce(inhosp_death_time < orout_time + 43200, false) AS within_30_days FROM operations_v WHERE subject_id % 11 = 0")
 def _(spark, d):
     ops = select.operation_ordinals(lens.operations(spark, d)).where("inhosp_death_time is not null")
@@ -759,6 +809,12 @@ def _(spark, d):
     return rounded(series.align(_hourly(spark, d), HOUR, full_length=100), "value")
 
 
+@query("w1_align_one_subject", f", one_v AS (SELECT 1 AS subject_id, item_name, chart_time, value, _ord FROM series_v), {_grid_sql(source='one_v')} SELECT item_name, g.g AS chart_time, {r6(_LINEAR)} AS value, CASE WHEN g.g = t THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS mask FROM cells_v g")
+def w1_align_one_subject(spark, d):
+    rows = _hourly(spark, d).withColumn("subject_id", F.lit(1).cast("long"))
+    return rounded(series.align(rows, HOUR).drop("subject_id"), "value")
+
+
 #: The five days before the last operation, minute by minute.
 _MINUTES = _grid_sql(1, f"({_BEFORE.format(days=5)})")
 
@@ -774,7 +830,7 @@ def _(spark, d):
 
 @query("w2_windows_180", _wide_sql(grid=_MINUTES) + f", run_v AS (SELECT subject_id, click AS first, lead(click, 179) OVER w AS last, click_mask AS observed FROM wide_v WINDOW w AS (PARTITION BY subject_id ORDER BY chart_time)) SELECT subject_id, count(*) AS n_windows, {r6('sum(first)')} AS first, {r6('sum(last)')} AS last, {r6('sum(observed)')} AS observed FROM run_v WHERE last IS NOT NULL GROUP BY 1")
 def _(spark, d):
-    frame = series.wide(series.align(_before(spark, d), 1), list(lens.ITEMS))
+    frame = series.wide(series.align(_before(spark, d), 1, keep_slice=True), list(lens.ITEMS))
     out = series.windows(frame, ["click"], 180).where(F.size("steps") == 180)
     ends = out.select("subject_id", F.col("steps")[0].alias("a"), F.element_at("steps", -1).alias("z"))
     sums = ends.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n_windows"), F.sum(F.col("a")[0]).alias("first"), F.sum(F.col("z")[0]).alias("last"), F.sum(F.col("a")[1]).alias("observed"))
@@ -782,7 +838,7 @@ def _(spark, d):
 
 
 def _wide(spark, d):
-    return series.wide(series.align(_hourly(spark, d), HOUR), list(lens.ITEMS))
+    return series.wide(series.align(_hourly(spark, d), HOUR, keep_slice=True), list(lens.ITEMS))
 
 
 @query("w1d_wide_frame", _wide_sql() + " SELECT subject_id, chart_time, " + ", ".join(f"{r6(i)} AS {i}, {r6(f'{i}_mask')} AS {i}_mask" for i in lens.ITEMS) + " FROM wide_v")
@@ -802,8 +858,8 @@ def _(spark, d):
     return lens.series(spark, d).groupBy("subject_id").agg(minutes).select("subject_id", F.greatest(F.lit(5), F.floor(F.col("m") * 0.025)).alias("length"))
 
 
-@query("w3_scaled", _wide_sql() + f", f_v AS (SELECT avg(click) AS m, CASE WHEN stddev_pop(click) = 0 THEN 1 ELSE stddev_pop(click) END AS s FROM wide_v WHERE subject_id % 3 > 0) SELECT subject_id, chart_time, {r6('(click - m) / s')} AS click, {r6('click_mask')} AS click_mask FROM wide_v, f_v")
-def _(spark, d):
+@query("w3_scaled", _wide_sql() + ", f_v AS MATERIALIZED (SELECT avg(click) AS m, CASE WHEN stddev_pop(click) = 0 THEN 1 ELSE stddev_pop(click) END AS s FROM wide_v WHERE subject_id % 3 > 0) " + f"SELECT subject_id, chart_time, {r6('(click - (SELECT m FROM f_v)) / (SELECT s FROM f_v)')} AS click, {r6('click_mask')} AS click_mask FROM wide_v")
+def w3_scaled(spark, d):
     frame = scratch.kept(_wide(spark, d).select("subject_id", "chart_time", "click", "click_mask"), "frame")
     scaler = series.fit_scaler(frame.where("subject_id % 3 > 0"), ["click"])
     return rounded(series.scale(frame, scaler, ["click"]), "click", "click_mask")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import schemas
+from . import schemas, scratch
 
 
 def read_text_table(spark: SparkSession, path: str, subjects: DataFrame | None = None) -> DataFrame:
@@ -32,12 +33,46 @@ def read_table(spark: SparkSession, path: str, table: str, corrupt: bool = False
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in doubles}) if doubles else df
 
 
+#: The columns of a row's place in file order.
+PLACE = ("file", "block", "row")
+
+
 def with_order(df: DataFrame, *keys: str) -> DataFrame:
-    """_ord: the place in file order, where results depend on it. keys: columns of the data that give it (op_id, event_id);
-    without any, Spark's row numbers in the order of files and splits."""
+    """_ord: the place in file order, where results depend on it. keys: columns of the data that give it (op_id, event_id).
+
+    Without any, df has to be as a reader gave it (columns may have been added): _ord is (file, block, row), by the file's
+    path, the place of the row's block in the file and the number of the row among those of its block's task. Files stand in
+    the order of their paths, rows as in their file, and the order is the same however files are cut into blocks; only the
+    numbers aren't. One pass, no shuffle."""
     if keys:
         return df.withColumn("_ord", F.struct(*keys) if len(keys) > 1 else F.col(keys[0]))
-    return df.withColumn("_ord", F.monotonically_increasing_id())
+    row = F.monotonically_increasing_id()
+    try:
+        df.select("_metadata.file_path")
+    except AnalysisException:  # rows of no file stand as their partitions do
+        return df.withColumn("_ord", row)
+    at = (F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), row)
+    return df.withColumn("_ord", F.struct(*(c.alias(name) for c, name in zip(at, PLACE, strict=True))))
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df of ``with_order`` with _row, from 0 in each file: the same for every cut into blocks.
+
+    df is written once, since rows have to stand as they did when they were counted; then one row a block (file, first row,
+    how many rows came before) is joined to its rows."""
+    rows = scratch.kept(df, "ordered")
+    blocks = rows.groupBy("_ord.file", "_ord.block").agg(F.min("_ord.row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = scratch.kept(blocks.select("file", "block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")), "blocks")
+    on = (rows["_ord.file"] == bases["file"]) & (rows["_ord.block"] == bases["block"])
+    return rows.join(bases, on).withColumn("_row", F.col("_ord.row") + F.col("_shift")).drop("file", "block", "_shift")
+
+
+def first_rows(df: DataFrame, k: int) -> DataFrame:
+    """The first k rows of df in file order, with place (from 1): each task keeps its first k, one meets those."""
+    ordered = with_order(df)
+    first = ordered.orderBy("_ord").limit(k)
+    return first.withColumn("place", F.row_number().over(Window.orderBy("_ord")).cast("long")).drop("_ord")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Operators on literal tables."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -203,3 +205,58 @@ def test_quantiles_are_exact(spark, monkeypatch):
         assert got.keys() == groups.keys()
         for k, vs in groups.items():
             assert got[k][0] == len(vs) and np.allclose(got[k][1], np.quantile(vs, at), rtol=1e-12)
+
+
+@pytest.mark.parametrize("block", [2_000, 10_000, 128 << 20])
+def test_file_order_is_the_same_for_every_cut(spark, tmp_path, block):
+    """Files whose names aren't in the order of their sizes; every block size gives file, then row, as they stand."""
+    want = []
+    for name, n in (("a", 100), ("b", 5_000), ("c", 800)):
+        lines = [f"{i % 7},{i},{name},{len(want) + i}" for i in range(n)]
+        want += [(name, i) for i in range(n)]
+        (tmp_path / f"{name}.csv").write_text("\n".join(["subject_id,chart_time,item_name,value", *lines]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        df = readers.with_order(readers.read_table(spark, str(tmp_path), "labs"))
+        assert [(r[0], r[1]) for r in df.orderBy("_ord").select("item_name", "chart_time").collect()] == want
+        assert [(r[0], r[1]) for r in readers.first_rows(readers.read_table(spark, str(tmp_path), "labs"), 102).orderBy("place").select("item_name", "chart_time").collect()] == want[:102]
+        numbers = readers.numbered(df).select("item_name", "chart_time", "_row").collect()
+        assert len(numbers) == len(want) and all(r["_row"] == r["chart_time"] for r in numbers)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_slices_of_time_change_nothing(spark):
+    """As-of joins and alignment over many slices of a subject equal those over one, with nulls and far gaps."""
+    rng = random.Random(7)
+    events = [(rng.choice([1, 2, None]), rng.choice("ab"), None if rng.random() < 0.03 else rng.choice([rng.randrange(-3_000, 3_000), rng.randrange(90_000, 91_000)]) // 10 * 10, rng.choice([None, rng.random()]), k) for k in range(600)]
+    events += [(3, "a", 50, 1.5, 9_000), (4, "a", 0, 1.0, 9_001), (4, "b", 500_000, 2.0, 9_002)]
+    df = spark.createDataFrame(events, "subject_id long, item_name string, chart_time long, value double, _ord long")
+    left = spark.createDataFrame([(i, rng.choice([1, 2, 3, 5, None]), rng.choice([None, rng.randrange(-3_100, 95_000)])) for i in range(300)], "op_id long, subject_id long, orin_time long")
+    plain = lambda out: sorted(map(tuple, out.collect()), key=repr)
+    for settings in ({}, {"tolerance": 500}, {"exact": False, "with_times": True}):
+        want = plain(asof.asof_items(left, df, ["a", "b", "none"], slice_minutes=10**9, **settings))
+        assert len(want) == 300
+        for minutes in (777,):
+            assert plain(asof.asof_items(left, df, ["a", "b", "none"], slice_minutes=minutes, **settings)) == want
+    known = df.where("subject_id is not null")
+    for settings in ({}, {"full_length": 300}, {"fade": 50.0}, {"full_length": 1}):
+        rounded = lambda out: plain(out.withColumn("value", F.round("value", 9)))
+        want = rounded(series.align(known, 10, slice_minutes=10**9, **settings))
+        for minutes in (130, 7_777)[: 1 + (settings == {})]:
+            assert rounded(series.align(known, 10, slice_minutes=minutes, **settings)) == want
+    wide = lambda keep: plain(series.wide(series.align(known, 10, slice_minutes=1_000, keep_slice=keep), ["a", "b"]))
+    assert wide(True) == wide(False)
+
+
+def test_one_subject_meets_many_tasks(spark):
+    """Two million rows of one subject: slices stand in many tasks, and no window of rows has the subject alone as its key."""
+    rows = spark.range(2_000_000).selectExpr("1L as subject_id", "concat('i', id % 2) as item_name", "id div 2 as chart_time", "cast(id % 1000 as double) as value", "id as _ord")
+    left = spark.range(1_000).selectExpr("id as op_id", "1L as subject_id", "id * 1000 + 7 as orin_time")
+    out = asof.asof_items(left, rows, ["i0", "i1"])
+    got = out.agg(F.count_if((F.col("preop_i0") == F.col("orin_time") * 2 % 1000) & (F.col("preop_i1") == (F.col("orin_time") * 2 + 1) % 1000))).first()[0]
+    assert got == 1_000
+    aligned = series.align(rows, 1, keep_slice=True)
+    per_task = aligned.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in per_task) == 2_000_000 and len(per_task) > 4 and max(r["count"] for r in per_task) < 1_400_000
