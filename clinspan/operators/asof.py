@@ -21,18 +21,21 @@ def first_at_each_time(events: DataFrame, ord_col: str = "_ord") -> DataFrame:
     return events.where("chart_time is not null").groupBy("subject_id", "item_name", "chart_time").agg(F.min_by("value", ord_col).alias("value"))
 
 
-def asof_items(left: DataFrame, events: DataFrame, items: list[str], time_col: str = "orin_time", tolerance: int | None = None, exact: bool = True, prefix: str = "preop_", ord_col: str = "_ord", with_times: bool = False, slice_minutes: int = SLICE) -> DataFrame:
+def asof_items(left: DataFrame, events: DataFrame, items: list[str], time_col: str = "orin_time", tolerance: int | None = None, exact: bool = True, prefix: str = "preop_", ord_col: str = "_ord", with_times: bool = False, slice_minutes: int = SLICE, buckets: int | None = None) -> DataFrame:
     """left with one column prefix + item for each item: its value at the latest chart_time not after time_col.
 
     tolerance: values older than that are null. exact=False: only earlier times count. A right row with a null value is a
     match with null. with_times adds prefix + item + _at, the time of the match. Left rows without a subject or time are kept with nulls; items no row has are null.
+    buckets: events are a table of so many buckets by subject_id; left rows are dealt in the same way, and events stay
+    where they are (all slices of a subject in the task of its bucket, one after the other).
     """
     right = first_at_each_time(events.where(F.col("item_name").isin(items)), ord_col).where("subject_id is not null")
     columns = left.columns
     timed = F.col("subject_id").isNotNull() & F.col(time_col).isNotNull()
     place = F.floor(F.col("_t") / slice_minutes).alias("_slice")
     # Right rows stand before left ones of their time, unless only earlier ones count.
-    rows = left.where(timed).select(F.col("subject_id").alias("_s"), F.col(time_col).alias("_t"), F.lit(1 if exact else 0).alias("_side"), F.struct(*columns).alias("_left"), F.lit(None).cast("string").alias("_item"), F.lit(None).cast("double").alias("_value"))
+    dealt = left.repartition(buckets, "subject_id") if buckets else left
+    rows = dealt.where(timed).select(F.col("subject_id").alias("_s"), F.col(time_col).alias("_t"), F.lit(1 if exact else 0).alias("_side"), F.struct(*columns).alias("_left"), F.lit(None).cast("string").alias("_item"), F.lit(None).cast("double").alias("_value"))
     side = F.lit(0 if exact else 1)
     more = right.select(F.col("subject_id").alias("_s"), F.col("chart_time").alias("_t"), side.alias("_side"), F.lit(None).cast(rows.schema["_left"].dataType).alias("_left"), F.col("item_name").alias("_item"), F.col("value").cast("double").alias("_value"))
     window = Window.partitionBy("_s", "_slice").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)

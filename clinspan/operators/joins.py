@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -20,7 +21,7 @@ def with_hfrs_points(diagnoses: DataFrame, hfrs: DataFrame) -> DataFrame:
     """With points of each row's three-character cluster, 0 where it has none."""
     keyed = diagnoses.withColumn("_code", F.substring(scalars.normal_icd(F.col("icd10_cm")), 1, 3))
     points = hfrs.select(F.col("code").alias("_code"), "points")
-    return keyed.join(F.broadcast(points), "_code", "left").na.fill(0.0, ["points"]).drop("_code")
+    return keyed.join(points, "_code", "left").na.fill(0.0, ["points"]).drop("_code")
 
 
 def atc_hierarchy(medications: DataFrame, atc: DataFrame, code_col: str = "atc_code") -> DataFrame:
@@ -29,7 +30,7 @@ def atc_hierarchy(medications: DataFrame, atc: DataFrame, code_col: str = "atc_c
     out = medications.withColumns(scalars.atc_levels(F.col(code_col)))
     for i in range(1, 6):
         names = atc.select(F.col("atc_code").alias(f"level_{i}"), F.col("atc_name").alias(f"name_{i}"))
-        out = out.join(F.broadcast(names), f"level_{i}", "left")
+        out = out.join(names, f"level_{i}", "left")
     missing = [F.when(F.col(f"name_{i}").isNull(), F.concat(F.lit(f"level {i}: "), F.coalesce(F.col(f"level_{i}"), F.lit("none")))) for i in (1, 2, 3)]
     return out.withColumn("missing", F.coalesce(*missing))
 
@@ -48,23 +49,69 @@ def with_icd_description(diagnoses: DataFrame, icd: DataFrame) -> DataFrame:
     return keyed.join(names, "_code", "left").drop("_code")
 
 
+#: Between codes in a text that holds them all; no code has it.
+BETWEEN = "\x01"
+
+
+def first_match_bounds(ranges: list[tuple[str, str, object]]) -> tuple[list[str], list]:
+    """Ranges of text (first, last, what), the earlier in the list before the later, as (starts, what): from each start up to
+    the next one, what is the first range's that holds the text, or None. Starts rise; ranges may overlap in any way."""
+    after = lambda code: code + "\0"  # noqa: E731  the next text in order
+    begin, end = {}, {}
+    for i, (first, last, _) in enumerate(ranges):
+        if first <= last:
+            begin.setdefault(first, []).append(i)
+            end.setdefault(after(last), []).append(i)
+    starts, found, open_, closed = [], [], [], set()
+    for at in sorted({*begin, *end}):
+        closed.update(end.get(at, ()))
+        for i in begin.get(at, ()):
+            heapq.heappush(open_, i)
+        while open_ and open_[0] in closed:
+            heapq.heappop(open_)
+        what = ranges[open_[0]][2] if open_ else None
+        if not found or found[-1] != what:
+            starts.append(at)
+            found.append(what)
+    return starts, found
+
+
+def search(key: Column, starts: list[str]) -> Column:
+    """How many of the starts (rising) aren't above key: a binary search in the JVM, one comparison for each halving. The
+    starts are one constant of the plan, however many they are."""
+    texts = F.split(F.lit(BETWEEN.join(starts)), BETWEEN)
+    halves = F.array(*(F.lit(1 << k) for k in reversed(range(max(1, len(starts).bit_length())))))
+    return F.aggregate(halves, F.lit(0), lambda at, half: F.when(F.get(texts, at + half - 1) <= key, at + half).otherwise(at))
+
+
+def in_ranges(key: Column, ranges: list[tuple[str, str, str]]) -> Column:
+    """What the first range in the list (first, last, what) that holds key says, null without one."""
+    starts, found = first_match_bounds(ranges)
+    if not starts:
+        return F.lit(None).cast("string")
+    what = F.split(F.lit(BETWEEN.join("" if w is None else f"={w}" for w in found)), BETWEEN)
+    said = F.get(what, search(key, starts) - 1)
+    return F.when(key.isNotNull() & F.startswith(said, F.lit("=")), F.substr(said, F.lit(2)))
+
+
 def with_chapter(diagnoses: DataFrame, chapters: DataFrame, literal: bool = False) -> DataFrame:
     """With chapter and block of the first range, in list order, that holds the code's first three characters.
 
     By default ranges are ordered as text. literal: letter and number are compared separately and a number of 00 or with
-    a letter has no chapter. The 22 ranges are folded into one expression, so no join is planned.
+    a letter has no chapter. chapters: a dimension, of which the driver sorts the bounds; thousands of ranges cost a code a
+    dozen comparisons, and no join is planned.
     """
     key = F.substring(scalars.normal_icd(F.col("icd10_cm")), 1, 3)
-    chosen = F.lit(None).cast("struct<chapter:string,block:string>")
-    whole = F.length(key) == 3
-    number = F.substring(key, 2, 2).try_cast("int")
-    for r in sorted(chapters.collect(), key=lambda r: -r["place"]):
-        a, b = r["first_code"], r["last_code"]
-        inside = whole & key.between(a, b)
-        if literal:
-            inside = whole & key.rlike("^[A-Z][0-9]{2}$") & (number > 0) & F.substring(key, 1, 1).between(a[0], b[0]) & number.between(int(a[1:]), int(b[1:]))
-        chosen = F.when(inside, F.struct(F.lit(r["chapter"]).alias("chapter"), F.lit(r["block"]).alias("block"))).otherwise(chosen)
-    return diagnoses.withColumn("_c", chosen).withColumn("chapter", F.col("_c.chapter")).withColumn("block", F.col("_c.block")).drop("_c")
+    rows = sorted(chapters.select("place", "chapter", "block", "first_code", "last_code").toLocalIterator(), key=lambda r: r["place"])
+    label = lambda r: f"{r['chapter']}\t{r['block']}"
+    fit = F.length(key) == 3
+    if literal:  # one range of numbers for each letter
+        fit = fit & key.rlike("^[A-Z][0-9]{2}$") & (F.substring(key, 2, 2) != "00")
+        ranges = [(chr(c) + r["first_code"][1:], chr(c) + r["last_code"][1:], label(r)) for r in rows for c in range(ord(r["first_code"][0]), ord(r["last_code"][0]) + 1)]
+    else:
+        ranges = [(r["first_code"], r["last_code"], label(r)) for r in rows]
+    found = F.split(in_ranges(F.when(fit, key), ranges), "\t")
+    return diagnoses.withColumn("_c", found).withColumn("chapter", F.get("_c", F.lit(0))).withColumn("block", F.get("_c", F.lit(1))).drop("_c")
 
 
 def with_labels(events: DataFrame, parameters: DataFrame) -> DataFrame:
@@ -86,7 +133,7 @@ def without_excluded(diagnoses: DataFrame, prefixes: DataFrame) -> DataFrame:
     by_length = prefixes.select(F.col("prefix").alias("_p")).distinct()
     out = diagnoses
     for n in range(1, 5):
-        out = out.withColumn("_p", F.when(F.length(code) >= n, F.substring(code, 1, n))).join(F.broadcast(by_length), "_p", "left_anti").drop("_p")
+        out = out.withColumn("_p", F.when(F.length(code) >= n, F.substring(code, 1, n))).join(by_length, "_p", "left_anti").drop("_p")
     return out
 
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clinspan.functions import codes, scalars, scores
-from clinspan.operators import asof, documents, joins, select, series, split, stats
+from clinspan.operators import asof, documents, joins, kept_stats, select, series, split, stats
 from clinspan.sources import dimensions, readers, scratch, sinks
 
 from . import evaluate, features, lens, model
@@ -525,6 +526,22 @@ def _(spark, d):
     return joins.with_chapter(lens.diagnosis(spark, d), dimensions.icd_chapters(spark)).select("_ord", "chapter", "block")
 
 
+#: Codes of a letter and two digits, by number; ranges of them that overlap, one for each part.
+_NUMBER_TO_CODE = "concat(chr(CAST(65 + ({n}) // 100 AS INT)), lpad(CAST(({n}) % 100 AS VARCHAR(2)), 2, '0'))"
+_RANGE_SQL = f"ranges_v AS (SELECT p_partkey AS place, {_NUMBER_TO_CODE.format(n='(p_partkey * 7919) % 2600')} AS first_code, {_NUMBER_TO_CODE.format(n='least(2599, (p_partkey * 7919) % 2600 + p_partkey % 37)')} AS last_code FROM part WHERE p_partkey % 5 > 0)"
+
+
+@query("j10_many_ranges", f"WITH {_RANGE_SQL}, keys_v AS (SELECT l_orderkey, l_linenumber, {_NUMBER_TO_CODE.format(n='(l_suppkey * 31 + l_linenumber * 407) % 2600')} AS code FROM lineitem), found_v AS (SELECT code, min(place) AS place FROM (SELECT DISTINCT code FROM keys_v) JOIN ranges_v ON code BETWEEN first_code AND last_code GROUP BY 1) SELECT l_orderkey, l_linenumber, place FROM keys_v LEFT JOIN found_v USING (code)", views=False)
+def j10_many_ranges(spark, d):
+    """The first of as many overlapping ranges as there are parts."""
+    code = lambda n: F.expr(_NUMBER_TO_CODE.format(n=n).replace("//", "div").replace("VARCHAR(2)", "STRING"))
+    parts = lens.read(spark, d, "part").where("p_partkey % 5 > 0").orderBy("p_partkey")
+    first, last = code("(p_partkey * 7919) % 2600"), code("least(2599, (p_partkey * 7919) % 2600 + p_partkey % 37)")
+    ranges = [tuple(r) for r in parts.select(first, last, F.col("p_partkey").cast("string")).toLocalIterator()]
+    rows = lens.read(spark, d, "lineitem").withColumn("code", code("(l_suppkey * 31 + l_linenumber * 407) % 2600"))
+    return rows.select("l_orderkey", "l_linenumber", joins.in_ranges(F.col("code"), ranges).cast("long").alias("place"))
+
+
 @query("j11_item_labels", "SELECT _ord, coalesce(CASE item_name WHEN 'click' THEN 'Clicks' WHEN 'view' THEN 'Views' END, item_name) AS label, CASE item_name WHEN 'click' THEN 'n' END AS unit FROM series_v")
 def _(spark, d):
     names = spark.createDataFrame([("click", "n", "Clicks"), ("view", None, "Views")], "label string, unit string, description string")
@@ -652,6 +669,16 @@ def _frailty(spark, d):
 _FRAILTY = f"{_HFRS_SQL}, sums_v AS (SELECT subject_id, round(sum(coalesce(points, 0)), 6) AS s FROM diagnosis_v LEFT JOIN hfrs_v ON code = substr(upper(replace(icd10_cm, '.', '')), 1, 3) GROUP BY 1), frailty_v AS (SELECT c_custkey AS subject_id, coalesce(s, 0.0) AS hfrs, CASE WHEN s IS NULL THEN 'unknown (no diagnoses)' WHEN s < 5 THEN 'low' WHEN s < 15 THEN 'intermediate' ELSE 'high' END AS category FROM customer LEFT JOIN sums_v ON c_custkey = subject_id)"
 
 
+@query("a14_kept_stats", _STATS_SQL)
+def a14_kept_stats(spark, d):
+    """Days are counted one third at a time into a store, and one of them once more; statistics come from its counts."""
+    store = scratch.fresh_path(spark, "store")
+    rows = select.last_value(lens.series(spark, d))
+    for k in (0, 1, 2, 1):
+        kept_stats.add(rows.where(F.pmod(F.floor(F.col("chart_time") / 1440), F.lit(3)) == k), store, f"day{k}")
+    return rounded(kept_stats.stats(spark, store), "mean", "stdev", "median", "mad")
+
+
 @query("a15_frailty_score", f", {_FRAILTY} SELECT subject_id, {r6('hfrs')} AS hfrs, category FROM frailty_v")
 def _(spark, d):
     return rounded(_frailty(spark, d), "hfrs")
@@ -920,6 +947,22 @@ def _(spark, d):
     return lens.series(spark, d).select(F.col("_ord").alias("event_id"), F.row_number().over(order).cast("long").alias("place")).orderBy("event_id")
 
 
+_SORTS = {"item": ("item_name", "_ord"), "time": ("chart_time", "_ord"), "operation": ("op_id", "chart_time", "_ord"), "start": ("orin_time", "chart_time", "_ord")}
+
+
+@query("o1_sort_keys", ", at_v AS (SELECT s.*, l.op_id, l.orin_time FROM series_v s JOIN last_v l USING (subject_id)) " + " UNION ALL ".join(f"SELECT '{name}' AS sort, _ord AS event_id, row_number() OVER (ORDER BY {', '.join(keys)}) - 1 AS place FROM at_v" for name, keys in _SORTS.items()))
+def o1_sort_keys(spark, d):
+    """Each sort is a table of sorted files; a row's place is its number over them."""
+    last = select.last_operation(lens.operations(spark, d)).select("subject_id", "op_id", "orin_time")
+    rows, parts = scratch.kept(lens.series(spark, d).join(last, "subject_id"), "at"), []
+    for name, keys in _SORTS.items():
+        path = scratch.fresh_path(spark, "sorted")
+        sinks.write_sorted(rows.withColumnRenamed("_ord", "event_id"), path, *("event_id" if k == "_ord" else k for k in keys))
+        found = readers.numbered(readers.with_order(spark.read.parquet(path)), across=True)
+        parts.append(found.select(F.lit(name).alias("sort"), "event_id", F.col("_row").alias("place")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("o2_head", "SELECT op_id, orin_time FROM operations_v ORDER BY orin_time DESC, op_id LIMIT 100")
 def _(spark, d):
     return lens.operations(spark, d).select("op_id", "orin_time").orderBy(F.col("orin_time").desc(), "op_id").limit(100)

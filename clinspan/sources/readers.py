@@ -55,14 +55,15 @@ def with_order(df: DataFrame, *keys: str) -> DataFrame:
     return df.withColumn("_ord", F.struct(*(c.alias(name) for c, name in zip(at, PLACE, strict=True))))
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """df of ``with_order`` with _row, from 0 in each file: the same for every cut into blocks.
+def numbered(df: DataFrame, across: bool = False) -> DataFrame:
+    """df of ``with_order`` with _row, from 0 in each file (across: over all files): the same for every cut into blocks.
 
     df is written once, since rows have to stand as they did when they were counted; then one row a block (file, first row,
     how many rows came before) is joined to its rows."""
     rows = scratch.kept(df, "ordered")
     blocks = rows.groupBy("_ord.file", "_ord.block").agg(F.min("_ord.row").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = Window.orderBy("file", "block") if across else Window.partitionBy("file").orderBy("block")  # a row for each block
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     bases = scratch.kept(blocks.select("file", "block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")), "blocks")
     on = (rows["_ord.file"] == bases["file"]) & (rows["_ord.block"] == bases["block"])
     return rows.join(bases, on).withColumn("_row", F.col("_ord.row") + F.col("_shift")).drop("file", "block", "_shift")

@@ -23,3 +23,16 @@ def write_vital_stats(stats: DataFrame, path: str) -> None:
 def write_counters(counts: DataFrame, path: str) -> None:
     """Item counts, one folder per source."""
     counts.write.mode("overwrite").partitionBy("source").json(path)
+
+
+def write_sorted(df: DataFrame, path: str, *keys: str) -> None:
+    """df as Parquet files in the order of keys: of ranges that Spark cuts by a sample, each sorted; the names of the files
+    rise with the ranges, so ``readers.with_order`` reads the whole order."""
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(path)
+
+
+def write_bucketed(df: DataFrame, name: str, path: str, by: str = "subject_id", sort: tuple[str, ...] = ("item_name", "chart_time"), buckets: int = 64) -> DataFrame:
+    """df as a table of so many buckets by a column, each sorted, registered as name at path: groupings, windows and as-of
+    joins by that column read it without an exchange. One shuffle, once."""
+    df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(*sort).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)

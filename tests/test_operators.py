@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
-from clinspan.operators import asof, documents, joins, select, series, split, stats
+from clinspan.operators import asof, documents, joins, kept_stats, select, series, split, stats
 from clinspan.plans import evaluate
 from clinspan.sources import dimensions, readers, sinks
 
@@ -260,3 +260,68 @@ def test_one_subject_meets_many_tasks(spark):
     aligned = series.align(rows, 1, keep_slice=True)
     per_task = aligned.groupBy(F.spark_partition_id().alias("task")).count().collect()
     assert sum(r["count"] for r in per_task) == 2_000_000 and len(per_task) > 4 and max(r["count"] for r in per_task) < 1_400_000
+
+
+def test_kept_stats(spark, tmp_path):
+    """Parts that are added, one of them twice, and a compacted store: mean, deviation, median and MAD of numpy."""
+    rng = np.random.default_rng(9)
+    items = {"distinct": rng.normal(0, 50, 3_001), "levels": rng.integers(-3, 4, 2_000).astype(float), "zero": np.zeros(11), "two": np.array([1.0, 5.0]), "wide": 10.0 ** rng.uniform(-60, 60, 500) * rng.choice([-1, 1], 500), "one": np.array([7.0]), "far": np.r_[np.full(50, 1.0), 1e6 + rng.random(49)]}
+    rows = [(n, float(v)) for n, values in items.items() for v in values] + [("levels", None), ("levels", float("nan")), (None, 1.0)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(n, None if v is None else float(v), k) for k, (n, v) in enumerate(rows)], "item_name string, value double, k long")
+    store = str(tmp_path / "store")
+    for k in (0, 1, 2, 1):
+        kept_stats.add(df.where(f"k % 3 = {k}"), store, f"day{k}")
+    kept_stats.compact(spark, store, f"{store}-all")
+    for at in (store, f"{store}-all"):
+        got = {r["item_name"]: r for r in kept_stats.stats(spark, at).collect()}
+        assert set(got) == set(items) - {"one"}
+        for name, r in got.items():
+            v = items[name]
+            assert r["length"] == len(v) and r["median"] == np.median(v)
+            assert np.allclose([r["mean"], r["stdev"]], [v.mean(), v.std(ddof=1)], rtol=1e-9)
+            assert np.isclose(r["mad"], np.median(np.abs(v - np.median(v))), rtol=1e-12)
+
+
+def test_many_overlapping_ranges(spark):
+    rng = random.Random(2)
+    code = lambda: "".join(rng.choice("ABCDEFG019") for _ in range(rng.randint(1, 4)))
+    ranges = [(*sorted((code(), code())), f"r{i}") for i in range(10_000)] + [("Z", "A", "never"), ("é", "ü", "after all")]
+    rng.shuffle(ranges)
+    ranges = ranges[:9_990] + [(a, a + "9", w) for a, _, w in ranges[9_990:]]  # narrow ones last: mostly hidden
+    keys = [code() for _ in range(400)] + [None, "", "é", "ö", "ZZ", "G999", "GG\0"]
+    df = spark.createDataFrame([(k,) for k in keys], "code string")
+    for some in (ranges, ranges[-300:], ranges[:1]):
+        got = [r[0] for r in df.select(joins.in_ranges(F.col("code"), some)).collect()]
+        assert got == [None if k is None else next((w for a, b, w in some if a <= k <= b), None) for k in keys]
+    assert [r[0] for r in df.select(joins.in_ranges(F.col("code"), [])).distinct().collect()] == [None]
+
+
+def test_bucketed_table_needs_no_exchange(spark, tmp_path):
+    """An as-of join and groupings over a bucketed table: its events are scanned and not shuffled."""
+    rows = spark.range(5_000).selectExpr("id % 50 as subject_id", "concat('i', id % 2) as item_name", "id as chart_time", "cast(id as double) as value", "id as _ord")
+    left = spark.range(100).selectExpr("id as op_id", "id % 50 as subject_id", "id * 40 as orin_time")
+    name = f"events_{random.randrange(10**9)}"
+    table = sinks.write_bucketed(rows, name, str(tmp_path / "events"), buckets=8)
+    try:
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan(asof.first_at_each_time(table))
+        assert "Exchange" not in plan(stats.standardised_in_subject(table))
+        got = asof.asof_items(left, table, ["i0", "i1"], buckets=8, slice_minutes=700)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, asof.asof_items(left, rows, ["i0", "i1"]).collect()))
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        lines = plan(asof.asof_items(left, table, ["i0", "i1"], buckets=8)).splitlines()
+        depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+        scans = [i for i, line in enumerate(lines) if "FileScan" in line]
+        assert scans
+        for i in scans:  # up from the scan: rows are reduced to a slice's ends, or joined to left rows by a window, before any exchange
+            above, at = [], depth(lines[i])
+            for line in reversed(lines[:i]):
+                if depth(line) < at:
+                    at = depth(line)
+                    above.append(line)
+            first = next(k for k, line in enumerate(above) if "Window" in line or "_slice" in line and "Aggregate(key" in line)
+            assert not any("Exchange" in line for line in above[:first])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.sql(f"drop table {name}")
