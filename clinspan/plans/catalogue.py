@@ -12,7 +12,7 @@ from clinspan.functions import codes, scalars, scores
 from clinspan.operators import asof, documents, joins, kept_stats, select, series, split, stats
 from clinspan.sources import dimensions, readers, scratch, sinks
 
-from . import evaluate, features, lens, model
+from . import evaluate, features, lens, model, model_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1102,6 +1102,56 @@ def _(spark, d):
     return rounded(evaluate.best_f1(evaluate.f1_scan(_judged(spark, d), "s", "y")), "threshold", "f1")
 
 
+#: Subjects of the feature table and their label.
+_SUBJECT_LABELS = "subject_labels_v AS (SELECT f.subject_id, f.emop, CAST(coalesce(f.inhosp_death_time < l.orout_time + 43200, false) AS INT) AS y FROM first_v f JOIN last_v l USING (subject_id) WHERE f.asa < 6)"
+
+
+def _slopes_sql(columns, where: str = "subject_id % 10 < 7", name: str = "") -> str:
+    return f"SELECT {name}feature, n, true AS stationary FROM (SELECT unnest([{', '.join(repr(c) for c in (*columns, model_tables.INTERCEPT))}]) AS feature), (SELECT count(*) AS n FROM subject_labels_v WHERE {where})"
+
+
+def _stationary(rows, fitted, columns, weight=None):
+    """Slopes of the penalised loss are a millionth of their parts at most."""
+    table = model_tables.coefficients(fitted, columns, rows.sparkSession)
+    found = model_tables.slopes(rows, table, columns, weight=weight)
+    return found.select("feature", "n", (F.abs("slope") <= 1e-6 * F.col("scale") + 1e-6).alias("stationary"))
+
+
+@query("m2_stationary", f", {_SUBJECT_LABELS} {_slopes_sql(_COLUMNS)}")
+def m2_stationary(spark, d):
+    train = scratch.kept(_trained(spark, d)[0], "train")
+    return _stationary(train, model.fit_logistic(train), _COLUMNS)
+
+
+_SAME = "SELECT subject_id, y::DOUBLE AS label, true AS same FROM subject_labels_v WHERE subject_id % 10 >= 7"
+
+
+@query("m2_scores_by_table", f", {_SUBJECT_LABELS} {_SAME}")
+def m2_scores_by_table(spark, d):
+    """Coefficients are written as rows, read again, and score without the model."""
+    train, test = _trained(spark, d)
+    fitted = model.fit_logistic(scratch.kept(train, "train"))
+    table = scratch.kept(model_tables.coefficients(fitted, _COLUMNS, spark), "coefficients")
+    by_table = test.select("subject_id", model_tables.linear_score(table, _COLUMNS).alias("score"))
+    return model_tables.same_scores(by_table, model.scored(fitted, test, "subject_id"), "subject_id")
+
+
+@query("m4_scores_by_table", f", {_SUBJECT_LABELS} {_SAME}")
+def m4_scores_by_table(spark, d):
+    """Nodes of the trees are rows; scores come from joins with them."""
+    train, test = _trained(spark, d)
+    fitted = model.fit_boosted_trees(scratch.kept(train, "train"))
+    nodes = scratch.kept(model_tables.tree_nodes(fitted, scratch.fresh_path(spark, "trees"), spark), "nodes")
+    by_table = model_tables.tree_scores(model_tables.as_array(test), nodes, F.col("features"), 4, "subject_id")
+    return model_tables.same_scores(by_table, model.scored(fitted, test, "subject_id"), "subject_id")
+
+
+@query("m9_stationary", f", {_SUBJECT_LABELS} {_slopes_sql(_COLUMNS)}")
+def m9_stationary(spark, d):
+    train = scratch.kept(model.class_weights(_trained(spark, d)[0], "label"), "train")
+    return _stationary(train, model.fit_logistic(train, "weight"), _COLUMNS, "weight")
+
+
 @query("m9_weighted_regression")
 def _(spark, d):
     train, test = _trained(spark, d)
@@ -1137,6 +1187,43 @@ def _(spark, d):
     return model.projected(vectors).select("vec_id", "label", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
+#: Repeated squares of the covariance tend to the projection on the first component; without it, on the second. Signs don't
+#: matter to projections. Lists of rows, since a covariance has as many rows as columns.
+def _projection_sql(name: str, of: str) -> str:
+    return f"""{name}_p AS MATERIALIZED (WITH RECURSIVE power AS (SELECT 0 AS k, m FROM {of} UNION ALL SELECT k + 1, list_transform(sq, lambda r: list_transform(r, lambda x: x / tr)) FROM (SELECT k, sq, list_sum(list_transform(range(1, len(sq) + 1), lambda i: sq[i][i])) AS tr FROM (SELECT k, list_transform(m, lambda r: list_transform(m, lambda c: list_dot_product(r, c))) AS sq FROM power WHERE k < 16))) SELECT m AS p FROM power WHERE k = 16),
+{name}_v AS MATERIALIZED (SELECT p, list_sum(list_transform(range(1, len(m) + 1), lambda i: list_dot_product(m[i], p[i]))) AS variance, list_sum(list_transform(range(1, len(m) + 1), lambda i: m[i][i])) AS total, m FROM {of}, {name}_p)"""
+
+
+_COVARIANCE_SQL = """WITH e_v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), means_v AS (SELECT i, avg(v[i]) AS m FROM e_v, (SELECT unnest(range(1, (SELECT max(len(v)) FROM e_v) + 1)) AS i) GROUP BY 1),
+mean_v AS (SELECT list(m ORDER BY i) AS m FROM means_v), c_v AS (SELECT list_transform(range(1, len(v) + 1), lambda i: v[i] - m[i]) AS c FROM e_v, mean_v),
+pairs_v AS (SELECT i, j, sum(c[i] * c[j]) / (count(*) - 1) AS x FROM c_v, (SELECT i FROM means_v), (SELECT i AS j FROM means_v) GROUP BY 1, 2),
+matrix_v AS MATERIALIZED (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(x ORDER BY j) AS r FROM pairs_v GROUP BY 1)),
+""" + _projection_sql("first", "matrix_v") + ", rest_v AS MATERIALIZED (SELECT list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m) + 1), lambda j: m[i][j] - variance * p[i][j])) AS m FROM first_v), " + _projection_sql("second", "rest_v")
+
+
+@query("m12_explained_variance", f"{_COVARIANCE_SQL} SELECT 1 AS component, {r6('variance * 1000')} AS variance, {r6('variance / total')} AS share FROM first_v UNION ALL SELECT 2, {r6('s.variance * 1000')}, {r6('s.variance / f.total')} FROM second_v s, first_v f", views=False)
+def m12_explained_variance(spark, d):
+    table, _ = _plane(spark, d)
+    return rounded(table.groupBy("component").agg((F.first("variance") * 1000).alias("variance"), F.first("share").alias("share")), "variance", "share")
+
+
+def _plane(spark, d):
+    vectors = lens.read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    n = vectors.agg(F.max(F.size("v"))).first()[0]
+    return model_tables.components(model_tables.covariance(vectors, "v", n), 2, spark), vectors
+
+
+_QUADRATIC = "list_dot_product(v, list_transform(range(1, len(v) + 1), lambda i: list_dot_product(v, {p}[i])))"
+
+
+@query("m12_plane_squared", f"{_COVARIANCE_SQL}, xy_v AS (SELECT vec_id, v, {_QUADRATIC.format(p='f.p')} AS x2, {_QUADRATIC.format(p='s.p')} AS y2 FROM e_v, first_v f, second_v s) SELECT vec_id, {r6('x2')} AS x2, {r6('y2')} AS y2, {r6('(list_dot_product(v, v) - x2 - y2) / len(v)')} AS error FROM xy_v", views=False)
+def m12_plane_squared(spark, d):
+    """Components as rows; squares of each vector's place in their plane, and what the plane leaves of it."""
+    table, vectors = _plane(spark, d)
+    out = model_tables.coded(vectors, scratch.kept(table, "components"), "v", 2)
+    return rounded(out.select("vec_id", (F.col("code")[0] * F.col("code")[0]).alias("x2"), (F.col("code")[1] * F.col("code")[1]).alias("y2"), "error"), "x2", "y2", "error")
+
+
 _CORRELATED = ("age", "asa", "height", "weight")
 
 
