@@ -396,6 +396,28 @@ def _(spark, d):
     return rounded(ops.select("op_id", scores.nela_risk({n: F.expr(e).cast("double") for n, e in _NELA.items()}).alias("risk")), "risk")
 
 
+#: Each input of the score by a portable expression, those that exclude one another by the same number.
+_NELA_ALL = {
+    "age_cent": "(age - 64)", "asa_3": "CAST(asa = 3 AS INT)", "asa_4": "CAST(asa = 4 AS INT)", "asa_5": "CAST(asa = 5 AS INT)", "albumin": "(op_id % 50)", "pulse_cent": "(op_id % 90 - 30)",
+    "pulse_cent2": "((op_id % 90 - 30) * (op_id % 90 - 30))", "systolic_bp_cent": "(op_id % 110 - 50)", "systolic_bp_cent2": "((op_id % 110 - 50) * (op_id % 110 - 50))", "ln_urea_cent": "ln(1 + op_id % 40)",
+    "ln_wbc_cent": "ln(1 + op_id % 30)", "ln_wbc_cent2": "(ln(1 + op_id % 30) * ln(1 + op_id % 30))", "gcs_14": "CAST(op_id % 9 = 1 AS INT)", "gcs_3_13": "CAST(op_id % 9 = 2 AS INT)",
+    "malignancy_primary": "CAST(op_id % 7 = 1 AS INT)", "malignancy_nodal": "CAST(op_id % 7 = 2 AS INT)", "malignancy_distant": "CAST(op_id % 7 = 3 AS INT)", "respiratory_2": "CAST(op_id % 8 = 1 AS INT)",
+    "respiratory_3": "CAST(op_id % 8 = 2 AS INT)", "urgency_6_18": "CAST(op_id % 6 = 1 AS INT)", "urgency_2_6": "CAST(op_id % 6 = 2 AS INT)", "urgency_lt_2": "CAST(op_id % 6 = 3 AS INT)",
+    "indication_sepsis": "CAST(op_id % 10 = 1 AS INT)", "indication_ischaemia": "CAST(op_id % 10 = 2 AS INT)", "indication_bleeding": "CAST(op_id % 10 = 3 AS INT)", "soiling_severe": "CAST(op_id % 4 = 1 AS INT)",
+}
+
+
+def _nela_terms_sql() -> str:
+    return " + ".join([f"{scores.NELA_INTERCEPT}::DOUBLE", *(f"{w}::DOUBLE * {' * '.join(_NELA_ALL[n] for n in name.split('*'))}" for name, w in scores.NELA_TERMS.items())])
+
+
+@query("p18_nela_all_inputs", f"SELECT op_id, {r6('1 / (1 + exp(-(' + _nela_terms_sql() + ')))')} AS risk FROM operations_v")
+def p18_nela_all_inputs(spark, d):
+    """Every input of the score takes part."""
+    inputs = {n: F.expr(e).cast("double") for n, e in _NELA_ALL.items()}
+    return rounded(lens.operations(spark, d).select("op_id", scores.nela_risk(inputs).alias("risk")), "risk")
+
+
 @query("p19_atc_levels", "SELECT atc_code, " + ", ".join(f"CASE WHEN length(atc_code) > 4 AND NOT starts_with(atc_code, '0') THEN substr(atc_code, 1, {n}) END AS level_{i}" for i, n in enumerate((1, 3, 4, 5, 7), 1)) + ", count(*) AS n FROM medications_v GROUP BY ALL")
 def _(spark, d):
     levels = scalars.atc_levels(F.col("atc_code"))
@@ -1181,6 +1203,21 @@ def _(spark, d):
     return _scores_out(model.scored(model.fit_logistic(weighted, "weight"), rows.where("subject_id % 10 >= 7"), "subject_id"))
 
 
+#: Subjects with a window of 12 hours.
+_WITH_WINDOWS = f"{_grid_sql()}, windowed_v AS (SELECT subject_id FROM ends_v WHERE (g1 - g0) // 60 + 1 >= 12)"
+
+
+@query("m11_stationary", f", {_WITH_WINDOWS} SELECT feature, n, true AS stationary FROM (SELECT unnest(['e0', 'e1', 'e2', 'e3', '{model_tables.INTERCEPT}']) AS feature), (SELECT count(DISTINCT subject_id) AS n FROM windowed_v JOIN operations_v USING (subject_id) WHERE subject_id % 10 < 7)")
+def m11_stationary(spark, d):
+    """The classifier on embeddings, by its coefficients."""
+    vectors = _window_vectors(spark, d)
+    coded = model.embeddings(model.fit_encoder(vectors, 4), vectors).withColumn("_e", model.vector_to_array("embedding"))
+    names = [f"e{i}" for i in range(4)]
+    rows = coded.select("subject_id", *(F.col("_e")[i].alias(c) for i, c in enumerate(names))).join(_labelled(spark, d), "subject_id").where("subject_id % 10 < 7")
+    train = scratch.kept(model.class_weights(model.assembled(rows, names, "label"), "label"), "train")
+    return _stationary(train, model.fit_logistic(train, "weight"), names, "weight")
+
+
 @query("m12_embedding_plane")
 def _(spark, d):
     vectors = lens.read(spark, d, "embeddings").select("vec_id", "label", model.array_to_vector(F.col("embedding").cast("array<double>")).alias("embedding"))
@@ -1249,6 +1286,20 @@ def _(spark, d):
     return rounded(stats.missing_profile(_features(spark, d), ["age", "bmi", "andur"]), "share")
 
 
+_M16 = {"without": _COLUMNS, "with": [*_COLUMNS, "hfrs"]}
+
+
+@query("m16_stationary", f", {_SUBJECT_LABELS} " + " UNION ALL ".join(_slopes_sql(columns, name=f"'{name}' AS frailty, ") for name, columns in _M16.items()))
+def m16_stationary(spark, d):
+    """Both regressions, by their coefficients."""
+    rows, parts = scratch.kept(_features(spark, d, "subject").join(_frailty(spark, d), "subject_id"), "rows"), []
+    for name, columns in _M16.items():
+        train = model.prepared(rows.where("subject_id % 10 < 7"), rows.limit(0), columns, features.OUTCOME)[0]
+        train = scratch.kept(train, "train")
+        parts.append(_stationary(train, model.fit_logistic(train), columns).select(F.lit(name).alias("frailty"), "feature", "n", "stationary"))
+    return parts[0].unionByName(parts[1])
+
+
 @query("m16_with_and_without_frailty")
 def _(spark, d):
     rows = _features(spark, d, "subject").join(_frailty(spark, d), "subject_id")
