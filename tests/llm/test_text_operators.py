@@ -386,3 +386,22 @@ def test_toxicity_edges_of_input(spark):
     assert [turkish[s["start"] : s["end"]] for s in spans] == ["stupid"]
     spans = toxicity.offending("A stupid, idiot!", __import__("numpy").array([0.1, 0.9, 0.8]))
     assert [("A stupid, idiot!"[s["start"] : s["end"]]) for s in spans] == ["stupid, idiot"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_counts_of_other_tokenizers(spark, name):
+    """A tokenizer of another kind counts by its own library; only the known one goes through the two tiers."""
+    import sentencepiece
+
+    path = public_tokenizers.path(name)
+    assert token_counts.splits_as_byte_level(str(path)) == (name == "byte_bpe_50k.json")
+    texts = ["Plain words, and MORE of them!", "été 12345  two  blanks\n", "", "漢字 <|endoftext|> x", "don't we'll " * 300]
+    if name.endswith(".model"):
+        ids = sentencepiece.SentencePieceProcessor(model_file=str(path)).encode
+    else:
+        tokenizer = Tokenizer.from_file(str(path))
+        tokenizer.no_truncation()
+        ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs, path).collect()}
+    assert got == {i: len(ids(t)) for i, t in enumerate(texts)}
