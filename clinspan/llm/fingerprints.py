@@ -1,9 +1,9 @@
-"""Document fingerprints: a canonical exact digest.
+"""Document fingerprints: a canonical exact digest, confirmed by a second digest and only where both can't tell by the bytes.
 
 A text's canonical form is its compatibility normal form (NFKC), case-folded, normalised again, with every run of white
 space as one blank and none at the ends. Its digest is the 128-bit xxh3 of the form's UTF-8. Rows are grouped by digest;
 inside a group the forms' SHA-256 and lengths are compared first, 40 narrow bytes a row, so no text is shuffled for groups
-whose rows agree in them, however many groups are shared. Where they differ under one digest, the canonical bytes
+whose rows agree in them, however many groups are shared: of equal buckets that comparison is the rule, bytes are the exception. Where they differ under one digest, the canonical bytes
 themselves are fetched and compared: the second, third, ... form (by SHA-256) gets the suffix -1, -2, ...
 """
 
