@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Points of the early-warning score by closed bands (low, high, points); None is open. Values between two bands score 0.
+# Points of the early-warning score by closed bands (low, high, points); None is open. Values between two bands score 0
+# (fixed values).
 NEWS2_BANDS = {
     "resp_rate": ((None, 8, 3), (9, 11, 1), (21, 24, 2), (25, None, 3)),
     "spo2": ((None, 91, 3), (92, 93, 2), (94, 95, 1)),

@@ -81,14 +81,14 @@ def s2_file_order(spark, d):
 
 
 def _documents(spark, d):
-    ops = lens.operations(spark, d)
+    ops, lines = lens.operations(spark, d), lens.lines(spark, d)
     tables = {
         "labs": lens.source(spark, d, "labs").select("subject_id", "chart_time", "item_name", "value"),
         "vitals": lens.source(spark, d, "vitals").select("subject_id", F.lit(None).cast("long").alias("op_id"), "chart_time", "item_name", "value"),
         "operations": ops.select("subject_id", "op_id", "orin_time", "orout_time", "inhosp_death_time"),
         "ward_vitals": lens.source(spark, d, "ward_vitals").select("subject_id", "chart_time", "item_name", "value"),
-        "diagnoses": lens.diagnosis(spark, d).select("subject_id", "chart_time", "icd10_cm"),
-        "medications": lens.medications(spark, d).select("subject_id", "chart_time", "drug_name", "atc_code"),
+        "diagnoses": lens.diagnosis(spark, d, lines).select("subject_id", "chart_time", "icd10_cm"),
+        "medications": lens.medications(spark, d, lines).select("subject_id", "chart_time", "drug_name", "atc_code"),
     }
     return documents.with_outcome(documents.nest(ops, tables), select.ever_died(ops))
 
@@ -171,7 +171,7 @@ _ATC_SQL = "atc_v AS (SELECT unnest([" + ", ".join(f"'{k}'" for k in sorted(lens
 def _(spark, d):
     path = scratch.fresh_path(spark, "s10")
     _atc(spark).withColumns({c: F.lit(None).cast("string") for c in ("ddd", "uom", "adm_r", "note")}).write.option("header", True).csv(path)
-    return lens.medications(spark, d).join(F.broadcast(readers.read_atc(spark, path)), "atc_code", "left").select("_ord", "atc_name")
+    return lens.medications(spark, d).join(readers.read_atc(spark, path), "atc_code", "left").select("_ord", "atc_name")
 
 
 @query("s11_icd_dimension", "SELECT DISTINCT upper(replace(icd10_cm, '.', '')) AS code, true AS billable, concat('description of ', icd10_cm) AS description FROM diagnosis_v")
