@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clinspan.sources import scratch
+
 
 #: Minutes of a slice: a task of a join holds those of one subject at a time.
 SLICE = 30 * 24 * 60
@@ -67,20 +69,57 @@ def nearest_preceding(left: DataFrame, events: DataFrame, item: str, time_col: s
 
 def displaced(events: DataFrame, ord_col: str = "_ord") -> DataFrame:
     """Events with chart_time moved to the first free earlier minute where an earlier row (by file order) of the same
-    subject and item holds it. A group is one subject's one item, handled in file order; each taken minute points to one
-    that may be free, and searches shorten these paths, so ties cost next to nothing however many there are."""
-
-    def move(pdf):
-        pdf = pdf.sort_values(ord_col)
-        before, times = {}, []  # taken minute -> a minute before it, all between them taken
-        for t in pdf["chart_time"].tolist():
-            free = t
-            while free in before:
-                free = before[free]
-            while t != free:
-                before[t], t = free - 1, before[t]
-            before[free] = free - 1
-            times.append(free)
-        return pdf.assign(chart_time=times)
-
-    return events.groupBy("subject_id", "item_name").applyInPandas(move, events.schema)
+    subject and item holds it. Rows without a time stay as they are; ord_col's values are distinct.
+
+    Which minutes are taken doesn't depend on the order: of rows sorted from late to early, the i-th has the minute after
+    the last one's or its own. That cuts a series into runs that don't touch each other. Rows of a run of one minute are
+    numbered in file order. Longer runs are halved by file order, all at once, until each has one row: the first half takes
+    its minutes as if alone, the second has the minutes that are left, and a row's wish is numbered anew among the minutes
+    of its half. Rounds are the logarithm of the longest run; a run stays in the task of its first shuffle, where it is
+    sorted, never held.
+    """
+    by = ["subject_id", "item_name"]
+    kind = events.schema["chart_time"].dataType
+    # Places count backwards in time: a row takes the first free place from its own on.
+    rows = events.select(*by, F.struct(*events.columns).alias("_e"), (-F.col("chart_time").cast("long")).alias("_w"), F.col(ord_col).alias("_o"))
+    upto = Window.partitionBy(*by).orderBy("_w", "_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.where("_w is not null").withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy("_w", "_o"))).withColumn("_at", F.col("_i") + F.max(F.col("_w") - F.col("_i")).over(upto))
+    own = Window.partitionBy(*by, "_first")
+    runs = placed.withColumn("_first", F.last(F.when(F.col("_at") == F.col("_w"), F.col("_w")), ignorenulls=True).over(upto))
+    runs = runs.withColumns({"_r": F.row_number().over(own.orderBy("_o")) - 1, "_far": F.max("_w").over(own) - F.col("_first"), "_n": F.count(F.lit(1)).over(own)})
+    runs = scratch.kept(runs.select(*by, "_e", "_first", (F.col("_w") - F.col("_first")).alias("_w"), F.col("_r").cast("long").alias("_r"), "_far", "_n"), "runs")
+
+    def moved(df: DataFrame, time: Column) -> DataFrame:
+        return df.select(*((-time).cast(kind).alias(c) if c == "chart_time" else F.col(f"_e.`{c}`").alias(c) for c in events.columns))
+
+    out = moved(runs.where("_far = 0"), F.col("_first") + F.col("_r")).unionByName(events.where("chart_time is null"))
+    mixed = runs.where("_far > 0")
+    longest = mixed.agg(F.max("_n")).first()[0]
+    return out if longest is None else out.unionByName(moved(*_halved(mixed, by, longest)))
+
+
+def _halved(runs: DataFrame, by: list[str], longest: int) -> tuple[DataFrame, Column]:
+    """Rows of runs with the place that each takes: runs of by and _first, with wishes _w (from 0) and ranks _r."""
+    by = [*by, "_first"]
+    rounds = (longest - 1).bit_length()
+    # Each row twice: as itself (_p: its wish) and as the run's place of its rank (_p: that place among its half's, _at: as it was).
+    row = F.struct(F.lit(False).alias("cell"), F.col("_w").alias("p"), F.col("_r").alias("r"), F.lit(None).cast("long").alias("at"), F.col("_e").alias("e"))
+    cell = F.struct(F.lit(True).alias("cell"), F.col("_r").alias("p"), F.lit(None).cast("long").alias("r"), (F.col("_first") + F.col("_r")).alias("at"), F.when(F.lit(False), F.col("_e")).alias("e"))
+    parts = runs.repartition(*by).select(*by, F.explode(F.array(row, cell)).alias("x"))
+    parts = parts.select(*by, F.lit(0).cast("long").alias("_s"), F.col("x.cell").alias("_cell"), F.col("x.p").alias("_p"), F.col("x.r").alias("_r"), F.col("x.at").alias("_at"), F.col("x.e").alias("_e"))
+    for left in reversed(range(rounds)):
+        half = F.expr(f"CASE WHEN NOT _cell THEN shiftright(_r, {left}) & 1 END")
+        parts = parts.withColumn("_h", half)
+        order = Window.partitionBy(*by, "_s", "_h").orderBy("_p", "_r")
+        parts = parts.withColumn("_i", F.row_number().over(order))
+        parts = parts.withColumn("_takes", F.when(F.col("_h") == 0, F.col("_i") + F.max(F.col("_p") - F.col("_i")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+        # Places that the first half takes, as marks beside the places themselves.
+        spots = F.when(F.col("_h") == 0, F.array(F.lit(None).cast("long"), F.col("_takes"))).otherwise(F.array(F.lit(None).cast("long")))
+        parts = parts.withColumn("_mark", F.explode(spots)).withColumn("_p", F.coalesce("_mark", "_p"))
+        taken = F.max(F.col("_mark").isNotNull()).over(Window.partitionBy(*by, "_s", "_p"))
+        parts = parts.withColumn("_h", F.when(F.col("_cell"), F.when(taken, 0).otherwise(1)).otherwise(F.col("_h"))).where("_mark is null")
+        before = Window.partitionBy(*by, "_s", "_h").orderBy("_p", "_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cells = F.sum(F.col("_cell").cast("long")).over(before) - F.col("_cell").cast("long")
+        parts = parts.withColumn("_p", cells).select(*by, (F.col("_s") * 2 + F.col("_h")).alias("_s"), "_cell", "_p", "_r", "_at", "_e")
+    there = parts.withColumn("_at", F.max("_at").over(Window.partitionBy(*by, "_s")))
+    return there.where("NOT _cell"), F.col("_at")

@@ -32,6 +32,40 @@ def test_displaced(spark):
     assert out == {1.0: 5, 2.0: 4, 3.0: 3, 4.0: 2}
 
 
+def plain_displaced(rows):
+    """Row by row in file order, each to the latest free minute up to its own."""
+    taken, out = set(), {}
+    for subject, item, t, _, o in sorted(rows, key=lambda r: r[4]):
+        while t is not None and (subject, item, t) in taken:
+            t -= 1
+        taken.add((subject, item, t))
+        out[o] = t
+    return out
+
+
+@pytest.mark.parametrize(("n", "minutes"), [(400, 500), (400, 120), (300, 4), (600, 40)])
+def test_displaced_against_row_by_row(spark, n, minutes):
+    rng = np.random.default_rng(n + minutes)
+    rows = [(None if rng.random() < 0.1 else int(rng.integers(0, 3)), "xy"[int(rng.integers(0, 2))], None if rng.random() < 0.02 else int(rng.integers(-5, minutes)), float(i), i) for i in rng.permutation(n).tolist()]
+    df = spark.createDataFrame(rows, EVENTS)
+    out = asof.displaced(df)
+    assert out.schema.simpleString() == df.schema.simpleString() and "Python" not in out._jdf.queryExecution().toString()
+    got = out.collect()
+    assert len(got) == n and {r["_ord"]: r["chart_time"] for r in got} == plain_displaced(rows)
+    assert all(r["value"] == float(r["_ord"]) for r in got)
+
+
+def test_displaced_long_runs_and_none(spark):
+    # A run of 6,000 rows, and a minute of 20,000.
+    rng = np.random.default_rng(11)
+    long_run = [(1, "x", int(t), 0.0, i) for i, t in enumerate(rng.integers(0, 3_000, 6_000))]
+    hot = [(2, "x", 7, 0.0, 10_000 + i) for i in range(20_000)]
+    got = {r["_ord"]: r["chart_time"] for r in asof.displaced(spark.createDataFrame(long_run + hot, EVENTS)).collect()}
+    assert {o: t for o, t in got.items() if o < 10_000} == plain_displaced(long_run)
+    assert all(got[10_000 + i] == 7 - i for i in range(20_000))
+    assert asof.displaced(spark.createDataFrame([], EVENTS)).collect() == []
+
+
 def test_first_and_last_operation(spark):
     rows = [(1, 1, 100, 150, None), (2, 1, 100, 160, 90000), (3, 1, 200, 250, None), (4, 2, None, None, None)]
     ops = spark.createDataFrame(rows, "op_id long, subject_id long, orin_time long, orout_time long, inhosp_death_time long").withColumn("_ord", F.col("op_id"))
