@@ -322,7 +322,8 @@ def offending(text: str, tox: np.ndarray, level: float = SPAN_LEVEL) -> list[dic
 
 def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[tuple[str, int]], tuple[int, int]]:
     """A bounded sample, and how many labelled rows of each label there are: of each label the settings.documents rows of the smallest hash among labelled rows whose
-    crc32(doc_id as text) mod 5 is not 0 and whose text has at most settings.chars code points."""
+    crc32(doc_id as text) mod 5 is not 0 and whose text has at most settings.chars code points. An id that is repeated
+    counts once, with the smallest of its texts, so that no task gets more texts than ids were asked for."""
     known = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("toxic"))
     known = known.where(F.col("toxic").isin(0, 1) & ~held_out("doc_id"))
     texts = id_and_text(docs, id_col, text_col).where(F.length("text") <= settings.chars)
@@ -334,7 +335,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings = Setti
     first = Window.partitionBy("toxic").orderBy(hash_, "text")
     while True:
         each = [known.where(F.col("toxic") == label).select("doc_id", "toxic").distinct().orderBy(hash_).limit(asked) for label in (0, 1)]
-        some = texts.join(F.broadcast(each[0].unionByName(each[1])), "doc_id").withColumn("_n", F.row_number().over(first))
+        some = texts.join(F.broadcast(each[0].unionByName(each[1])), "doc_id").groupBy("toxic", "doc_id").agg(F.min("text").alias("text"))
+        some = some.withColumn("_n", F.row_number().over(first))
         rows = [(r["text"], r["toxic"]) for r in some.where(F.col("_n") <= settings.documents).orderBy("toxic", "_n").select("text", "toxic").collect()]
         short = [label for label in (0, 1) if sum(y == label for _, y in rows) < settings.documents and counts.get(label, (0, 0))[1] > asked]
         if not short or asked >= settings.most_ids:

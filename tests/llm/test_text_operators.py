@@ -354,6 +354,67 @@ def test_document_scores_against_all_sequences():
         assert score == pytest.approx(1 / (1 + exp(-sum(a * b for a, b in zip(features, model.link, strict=True)))), rel=1e-6), text
 
 
+def plain_marginals(odds, start, steps):
+    """P(toxic) of each word by scaled sums forwards and backwards, word by word."""
+    from math import exp
+
+    ot, to, tt = map(exp, steps)
+    forward, backward = [], [(1.0, 1.0)]
+    for i, o in enumerate(odds):
+        a, b = forward[-1] if i else (0.0, 0.0)
+        pair = (a + b * to, (a * ot + b * tt) * exp(o)) if i else (1.0, exp(start + o))
+        forward.append((pair[0] / sum(pair), pair[1] / sum(pair)))
+    for o in reversed(odds[1:]):
+        a, b = backward[-1][0], backward[-1][1] * exp(o)
+        pair = (a + ot * b, to * a + tt * b)
+        backward.append((pair[0] / sum(pair), pair[1] / sum(pair)))
+    return [f[1] * b[1] / (f[0] * b[0] + f[1] * b[1]) for f, b in zip(forward, reversed(backward), strict=False)]
+
+
+def test_toxicity_of_a_whole_table_against_plain_sums(spark):
+    """Scores and offending places of every document, by the query and word by word."""
+    from math import exp, log
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows, population = toxicity.training_rows(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    model = toxicity.fit(rows, population=population)
+    got = {r["doc_id"]: r for r in toxicity.query(spark, sf).collect()}
+    table = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    assert got.keys() == table.keys()
+    n_spans = 0
+    for doc_id, text in table.items():
+        low = toxicity.lowered(text)
+        places = [m.span() for m in toxicity.TOKEN.finditer(low)]
+        words = [low[a:b] for a, b in places]
+        tox = plain_marginals([model.bias + sum(model.weights.get(f, 0.0) for f in toxicity.features(w)) for w in words], model.start, model.steps) if words else []
+        best = {}
+        for w, p in zip(words, tox, strict=True):
+            if p > toxicity.LEAST_MARGINAL:
+                best[w] = max(best.get(w, 0.0), min(p, 1 - 1e-9))
+        none, mass = sum(log(1 - p) for p in best.values()), sum(best.values())
+        some = max(-8, min(8, log(1 - exp(min(none, -1e-9))) - none))
+        shape = [1, some, log(mass + 0.1), log((mass + 0.1) / (len(set(words)) + 20))]
+        assert got[doc_id]["score"] == pytest.approx(1 / (1 + exp(-sum(a * b for a, b in zip(shape, model.link, strict=True)))), abs=1e-6)
+        spans = []
+        for i, p in enumerate(tox):
+            if p >= toxicity.SPAN_LEVEL:
+                if spans and spans[-1][2] == i - 1:
+                    spans[-1][1:] = [places[i][1], i]
+                else:
+                    spans.append([*places[i], i])
+        assert got[doc_id]["toxic_spans"] == ",".join(f"{a}:{b}" for a, b, _ in spans)
+        n_spans += len(spans)
+    assert n_spans > 50
+
+
+def test_repeated_ids_count_once_in_the_sample(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, f"text {i} {k}") for i in range(40) for k in range(1 if i % 7 else 50)], "doc_id long, text string")
+    rows, _ = toxicity.training_rows(docs, labels, toxicity.Settings(documents=100))
+    assert sorted(rows) == sorted((f"text {i} 0", i % 2) for i in range(40) if zlib.crc32(str(i).encode()) % 5)
+
+
 def test_training_sample(spark):
     """The smallest hashes of each label among rows that may be learnt from, also where most labelled ids lack a text."""
     labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(3, 0), (None, 1)], "doc_id long, toxic int")
