@@ -12,6 +12,9 @@ from clinspan.sources import readers, scratch
 
 #: Accuracy of the approximate quantiles that bracket the exact ones, and how far the brackets reach, as a share of the rows.
 ACCURACY, BRACKET = 10_000, 0.0005
+#: Groups of up to so many values are sorted in one task at once. Above, a bracket reaches five ranks or more and the
+#: approximate quantile is off by a fifth of that at most, so that the bracket holds its quantile.
+SMALL = 10_000
 
 
 def operations_per_subject(operations: DataFrame) -> DataFrame:
@@ -53,13 +56,23 @@ def quantiles(values: DataFrame, by: list[str], at: tuple[float, ...] = (0.5,),
 
     Approximate quantiles a little below and above each wanted one bracket it; a second pass counts the values below a
     bracket and sorts only those inside, about a thousandth of the rows, so that a group may hold any number of rows and of
-    distinct values. Should a bracket miss its quantile, its group is sorted as a whole.
+    distinct values. Groups of up to SMALL values skip this and are sorted at once, as would be a group whose bracket
+    missed its quantile (which other accuracies than those above may cause).
     """
     known = values.select(*by, F.col(value_col).cast("double").alias("_v")).where("_v is not null")
     ends = [max(0.0, min(1.0, q + side * BRACKET)) for q in at for side in (-1, 1)]
     facts = known.groupBy(*by).agg(F.count("_v").alias("n"), F.percentile_approx("_v", F.array(*map(F.lit, ends)), ACCURACY).alias("_ends"))
     facts = scratch.kept(facts, "brackets")
     at_place = F.array(*(F.lit(float(q)) for q in at))
+
+    def sorted_whole(groups: DataFrame) -> DataFrame:
+        keys = groups.select(*(F.col(c).alias(f"_k_{c}") for c in by))
+        rows = known.join(keys, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by], "left_semi") if by else known
+        return rows.groupBy(*by).agg(F.count("_v").alias("n"), F.percentile("_v", at_place).alias("q"))
+
+    small, facts = facts.where(F.col("n") <= SMALL), facts.where(F.col("n") > SMALL)
+    if facts.isEmpty():
+        return sorted_whole(small)
     # Per row and quantile: null if below its bracket, else the value; rows above it are left out.
     right = facts.withColumnsRenamed({c: f"_k_{c}" for c in by})
     rows = known.join(right, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by]) if by else known.join(right)
@@ -74,12 +87,11 @@ def quantiles(values: DataFrame, by: list[str], at: tuple[float, ...] = (0.5,),
     out = first.groupBy(*by, "n").agg(F.sort_array(F.collect_list(F.struct("_i", value.alias("v")))).alias("_q"))
     out = scratch.kept(out.select(*by, "n", F.transform("_q", lambda x: x["v"]).alias("q")), "quantiles")
     fit = ~F.exists("q", lambda x: x.isNull())
-    if out.where(~fit).isEmpty():
-        return out
-    missed = out.where(~fit).select(*(F.col(c).alias(f"_k_{c}") for c in by))
-    again = known.join(missed, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by], "left_semi") if by else known
-    whole = again.groupBy(*by).agg(F.count("_v").alias("n"), F.percentile("_v", at_place).alias("q"))
-    return out.where(fit).unionByName(whole)
+    if not small.isEmpty():
+        whole = sorted_whole(small).unionByName(out.where(fit))
+    else:
+        whole = out.where(fit)
+    return whole if out.where(~fit).isEmpty() else whole.unionByName(sorted_whole(out.where(~fit)))
 
 
 def population_stats(values: DataFrame, least: int = 2) -> DataFrame:

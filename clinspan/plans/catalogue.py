@@ -895,10 +895,20 @@ def _(spark, d):
     return rounded(_wide(spark, d), *lens.ITEMS, *(f"{i}_mask" for i in lens.ITEMS))
 
 
-@query("w2_sliding_windows", _wide_sql() + f" SELECT a.subject_id, a.chart_time AS start, {r6('sum(b.click)')} AS total FROM wide_v a JOIN wide_v b ON a.subject_id = b.subject_id AND b.chart_time BETWEEN a.chart_time AND a.chart_time + 23 * 60 GROUP BY 1, 2 HAVING count(*) = 24")
-def _(spark, d):
-    out = series.windows(_wide(spark, d), ["click"], 24)
-    return rounded(out.select("subject_id", "start", F.aggregate("steps", F.lit(0.0), lambda s, x: s + x[0]).alias("total")), "total")
+_SUMS_OF_WINDOW = ", ".join(f"{r6(f'sum(b.{i})')} AS {i}, sum(b.{i}_mask) AS {i}_seen" for i in lens.ITEMS)
+
+
+@query("w2_sliding_windows", _wide_sql() + f" SELECT a.subject_id, a.chart_time AS start, {_SUMS_OF_WINDOW} FROM wide_v a JOIN wide_v b ON a.subject_id = b.subject_id AND b.chart_time BETWEEN a.chart_time AND a.chart_time + 23 * 60 GROUP BY 1, 2 HAVING count(*) = 24")
+def w2_sliding_windows(spark, d):
+    out = series.windows(_wide(spark, d), list(lens.ITEMS), 24)
+    names = [*lens.ITEMS, *(f"{i}_seen" for i in lens.ITEMS)]
+    return rounded(out.select("subject_id", "start", *_sums_of_steps(names)), *lens.ITEMS)
+
+
+def _sums_of_steps(names):
+    """Sums over the rows of steps, one for each place of a row."""
+    add = lambda at: lambda s, x: s + x[at]
+    return [F.aggregate("steps", F.lit(0.0), add(at)).alias(name) for at, name in enumerate(names)]
 
 
 @query("w2b_window_length", "SELECT subject_id, greatest(5, CAST(floor(0.025::DOUBLE * (max(chart_time) - min(chart_time))) AS BIGINT)) AS length FROM series_v GROUP BY 1")
@@ -907,11 +917,16 @@ def _(spark, d):
     return lens.series(spark, d).groupBy("subject_id").agg(minutes).select("subject_id", F.greatest(F.lit(5), F.floor(F.col("m") * 0.025)).alias("length"))
 
 
-@query("w3_scaled", _wide_sql() + ", f_v AS MATERIALIZED (SELECT avg(click) AS m, CASE WHEN stddev_pop(click) = 0 THEN 1 ELSE stddev_pop(click) END AS s FROM wide_v WHERE subject_id % 3 > 0) " + f"SELECT subject_id, chart_time, {r6('(click - (SELECT m FROM f_v)) / (SELECT s FROM f_v)')} AS click, {r6('click_mask')} AS click_mask FROM wide_v")
+_SCALER = ", ".join(f"avg({i}) AS {i}_m, CASE WHEN stddev_pop({i}) = 0 THEN 1 ELSE stddev_pop({i}) END AS {i}_s" for i in lens.ITEMS)
+_SCALED = ", ".join(f"{r6(f'({i} - {i}_m) / {i}_s')} AS {i}, {r6(f'{i}_mask')} AS {i}_mask" for i in lens.ITEMS)
+
+
+@query("w3_scaled", _wide_sql() + f", f_v AS MATERIALIZED (SELECT {_SCALER} FROM wide_v WHERE subject_id % 3 > 0) SELECT subject_id, chart_time, {_SCALED} FROM wide_v CROSS JOIN f_v")
 def w3_scaled(spark, d):
-    frame = scratch.kept(_wide(spark, d).select("subject_id", "chart_time", "click", "click_mask"), "frame")
-    scaler = series.fit_scaler(frame.where("subject_id % 3 > 0"), ["click"])
-    return rounded(series.scale(frame, scaler, ["click"]), "click", "click_mask")
+    items = list(lens.ITEMS)
+    frame = scratch.kept(_wide(spark, d), "frame")
+    scaler = series.fit_scaler(frame.where("subject_id % 3 > 0"), items)
+    return rounded(series.scale(frame, scaler, items), *items, *(f"{i}_mask" for i in items))
 
 
 @query("w4_z_scores", f"SELECT s._ord AS event_id, {r6('(value - mean) / stdev')} AS z FROM series_v s JOIN stats_v USING (item_name)")
@@ -929,11 +944,15 @@ def _(spark, d):
     return rounded(stats.modified_z_scores(lens.series(spark, d), _stats(spark, d)).select(F.col("_ord").alias("event_id"), "modified_z", "outlier"), "modified_z")
 
 
-@query("w6_padded_series", _wide_sql() + f" SELECT subject_id, 400 AS n_steps, least(count(*), 400) AS n_attended, {r6('sum(CASE WHEN i <= 400 THEN click END)')} AS total FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY chart_time) AS i FROM wide_v) GROUP BY 1")
-def _(spark, d):
-    out = series.padded(_wide(spark, d), ["click"], 400)
-    add = lambda s, x: s + x
-    return rounded(out.select("subject_id", F.size("steps").alias("n_steps"), F.aggregate("attention", F.lit(0), add).cast("long").alias("n_attended"), F.aggregate("steps", F.lit(0.0), lambda s, x: s + x[0]).alias("total")), "total")
+_SUMS_OF_FIRST = ", ".join(f"{r6(f'sum(CASE WHEN k <= 400 THEN {i} END)')} AS {i}, sum(CASE WHEN k <= 400 THEN {i}_mask END) AS {i}_seen" for i in lens.ITEMS)
+
+
+@query("w6_padded_series", _wide_sql() + f" SELECT subject_id, 400 AS n_steps, least(count(*), 400) AS n_attended, {_SUMS_OF_FIRST} FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY chart_time) AS k FROM wide_v) GROUP BY 1")
+def w6_padded_series(spark, d):
+    out = series.padded(_wide(spark, d), list(lens.ITEMS), 400)
+    names = [*lens.ITEMS, *(f"{i}_seen" for i in lens.ITEMS)]
+    attended = F.aggregate("attention", F.lit(0), lambda s, x: s + x).cast("long").alias("n_attended")
+    return rounded(out.select("subject_id", F.size("steps").alias("n_steps"), attended, *_sums_of_steps(names)), *lens.ITEMS)
 
 
 @query("w7_declutter", f'SELECT _ord AS event_id, {r6("(row_number() OVER (PARTITION BY subject_id, chart_time // 1440 ORDER BY item_name, _ord) - 1) * 0.05")} AS "offset" FROM series_v')

@@ -232,7 +232,9 @@ def test_quantiles_are_exact(spark, monkeypatch):
     rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("ties", None), ("empty", None)]
     values = spark.createDataFrame(rows, "item_name string, value double")
     at = (0.0, 0.25, 0.5, 0.9, 1.0)
-    for accuracy, bracket in ((stats.ACCURACY, stats.BRACKET), (2, 0.0)):  # the second misses its places, so groups are sorted whole
+    # All groups sorted at once; none; some; and brackets that miss, so that groups are sorted after all.
+    for accuracy, bracket, small in ((stats.ACCURACY, stats.BRACKET, stats.SMALL), (stats.ACCURACY, stats.BRACKET, 0), (stats.ACCURACY, stats.BRACKET, 1_000), (2, 0.0, 0)):
+        monkeypatch.setattr(stats, "SMALL", small)
         monkeypatch.setattr(stats, "ACCURACY", accuracy)
         monkeypatch.setattr(stats, "BRACKET", bracket)
         got = {r["item_name"]: (r["n"], list(r["q"])) for r in stats.quantiles(values, ["item_name"], at).collect()}
@@ -241,6 +243,18 @@ def test_quantiles_are_exact(spark, monkeypatch):
             assert got[k][0] == len(vs) and np.allclose(got[k][1], np.quantile(vs, at), rtol=1e-12)
 
 
+def test_brackets_of_large_groups_hold_their_quantiles(spark):
+    """Just above SMALL, for sizes at which places fall beside and between values."""
+    at = (0.25, 0.5, 0.75)
+    rows = [F.expr(f"explode(sequence(1, {n}))").alias("i") for n in (10_001, 10_003, 12_502, 40_003)]
+    for column in rows:
+        values = spark.range(1).select(column).select(F.lit("x").alias("item_name"), (F.col("i") * F.lit(7_919) % 1_000_003).cast("double").alias("value"))
+        (got,) = stats.quantiles(values, ["item_name"], at).collect()
+        want = np.quantile([r["value"] for r in values.collect()], at)
+        assert np.allclose(got["q"], want, rtol=1e-12)
+        assert "percentile(" not in stats.quantiles(values, ["item_name"], at)._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("block", [2_000, 10_000, 128 << 20])
 def test_file_order_is_the_same_for_every_cut(spark, tmp_path, block):
     """Files whose names aren't in the order of their sizes; every block size gives file, then row, as they stand."""
