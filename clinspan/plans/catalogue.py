@@ -126,6 +126,26 @@ def _(spark, d):
     return documents.unnest(readers.read_documents(spark, path), "operations").select("subject_id", "op_id", "orin_time")
 
 
+_ROWS_OF_DOCUMENTS = " UNION ALL ".join(f"SELECT '{n}' AS source, CAST(died AS INT) AS label, subject_id, chart_time, {name} AS name, {value} AS value FROM {view}_v JOIN ended_v USING (subject_id)" for n, view, name, value in (
+    *((s, s, "item_name", r6("value")) for s in lens.SOURCES), ("diagnoses", "diagnosis", "icd10_cm", "NULL::DOUBLE"), ("medications", "medications", "drug_name", "NULL::DOUBLE")))
+
+
+@query("s5_pretty_documents", f", ended_v AS (SELECT subject_id, bool_or(inhosp_death_time IS NOT NULL) AS died FROM operations_v GROUP BY 1) {_ROWS_OF_DOCUMENTS}")
+def s5_pretty_documents(spark, d):
+    """Every row of every subject's indented document, read back."""
+    path = scratch.fresh_path(spark, "s5")
+    sinks.write_pretty_documents(_documents(spark, d), path)
+    read = readers.read_documents(spark, path, pretty=True)
+    names = {**dict.fromkeys(lens.SOURCES, "item_name"), "diagnoses": "icd10_cm", "medications": "drug_name"}
+
+    def entries(source, name):
+        value = lambda x: x["value"] if name == "item_name" else F.lit(None)
+        return F.transform(source, lambda x: F.struct(F.lit(source).alias("source"), x["chart_time"].cast("long").alias("chart_time"), x[name].alias("name"), value(x).cast("double").alias("value")))
+
+    rows = read.select("label", "subject_id", F.explode(F.concat(*(entries(s, n) for s, n in names.items()))).alias("x"))
+    return rounded(rows.select("x.source", "label", "subject_id", "x.chart_time", "x.name", "x.value"), "value")
+
+
 @query("s6_feature_table_sink", "SELECT subject_id, age, emop FROM first_v WHERE asa < 6")
 def _(spark, d):
     path = scratch.fresh_path(spark, "s6")

@@ -76,18 +76,14 @@ def first_rows(df: DataFrame, k: int) -> DataFrame:
     return first.withColumn("place", F.row_number().over(Window.orderBy("_ord")).cast("long")).drop("_ord")
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Subject documents below path, at any depth; label 1 or 0 from a folder died or survived (or outcome=...), else null."""
-    df = spark.read.schema(schemas.DOCUMENT).option("recursiveFileLookup", True).option("multiLine", False).json(path)
-    folder = F.regexp_extract(F.input_file_name(), r"/(?:outcome=)?(died|survived)/", 1)
+def read_documents(spark: SparkSession, path: str, pretty: bool = False) -> DataFrame:
+    """Subject documents below path, at any depth; label 1 or 0 from a folder died or survived (or outcome=...), else null.
+    pretty: a file holds one document over many lines, or an array of such; else each line is one."""
+    df = spark.read.schema(schemas.DOCUMENT).option("recursiveFileLookup", True).option("multiLine", pretty).json(path)
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/(?:outcome=)?(died|survived)/", 1)
     return df.withColumn("label", F.when(folder == "died", 1).when(folder == "survived", 0))
 
 
-def read_pretty_documents(spark: SparkSession, path: str) -> DataFrame:
-    """As read_documents, for files that hold one document over many lines."""
-    return spark.read.schema(schemas.DOCUMENT).option("recursiveFileLookup", True).option("multiLine", True).json(path)
-
-
 def first_parameters(parameters: DataFrame) -> DataFrame:
     """label, unit, description: of rows with one label, the first by _ord."""
     first = Window.partitionBy("Label").orderBy("_ord")

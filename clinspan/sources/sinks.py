@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
@@ -10,6 +11,13 @@ def write_documents(documents: DataFrame, path: str) -> None:
     documents.write.mode("overwrite").partitionBy("outcome").json(path)
 
 
+def write_pretty_documents(documents: DataFrame, path: str) -> None:
+    """A file of its own for each document, indented over many lines, in a folder for each outcome: for people and other
+    programs to open. Large tables are better kept as JSON lines."""
+    text = F.to_json(F.struct(*(c for c in documents.columns if c != "outcome")), {"pretty": "true"}).alias("text")
+    documents.select("outcome", text).write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("outcome").text(path)
+
+
 def write_feature_table(features: DataFrame, path: str, as_parquet: bool = False) -> None:
     writer = features.write.mode("overwrite")
     writer.parquet(path) if as_parquet else writer.option("header", True).csv(path)

@@ -373,3 +373,16 @@ def test_bucketed_table_needs_no_exchange(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.sql(f"drop table {name}")
+
+
+def test_pretty_documents_are_a_file_each(spark, tmp_path):
+    rows = [(i, [{"chart_time": i, "item_name": "x", "value": 1.5}] * (i % 3), "died" if i % 4 == 0 else "survived") for i in range(30)]
+    df = spark.createDataFrame(rows, "subject_id long, labs array<struct<chart_time:long,item_name:string,value:double>>, outcome string")
+    sinks.write_pretty_documents(df, str(tmp_path / "docs"))
+    files = list((tmp_path / "docs").rglob("part-*.txt"))
+    assert len(files) == 30 and all(f.read_text().startswith("{") and f.read_text().count("\n") > 2 for f in files)
+    got = {r["subject_id"]: (len(r["labs"] or []), r["label"]) for r in readers.read_documents(spark, str(tmp_path / "docs"), pretty=True).collect()}
+    assert got == {i: (i % 3, int(i % 4 == 0)) for i in range(30)}
+    # A file may hold an array of documents; one without a folder of its outcome has no label.
+    (tmp_path / "two.json").write_text('[\n{"subject_id": 1},\n{"subject_id": 2}\n]')
+    assert [tuple(r) for r in readers.read_documents(spark, str(tmp_path / "two.json"), pretty=True).select("subject_id", "label").orderBy("subject_id").collect()] == [(1, None), (2, None)]
