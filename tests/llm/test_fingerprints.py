@@ -2,6 +2,7 @@ import hashlib
 import unicodedata
 
 import xxhash
+from pyspark.sql import functions as F
 
 from clinspan.llm import fingerprints
 
@@ -53,3 +54,26 @@ def test_whole_table_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, fingerprints.query(spark, sf).select(*COLUMNS).collect()), key=str) == slow(rows)
+
+
+def test_ids_that_fill_several_ranges(spark):
+    # A third of the rows without an id, a third of one id, equal rows among them; texts that begin alike.
+    rows = [(None, f"{'same ' * 40}{i * 7 % 50}") for i in range(50)] + [(5, f"{i * 13 % 60:03d} Text") for i in range(60)]
+    rows += [(5, "equal")] * 12 + [(None, None)] * 9 + [(i, f"tail {i}") for i in range(-20, 30)] + [(2**62 + i, "far") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    dealt = fingerprints._dealt(texts, 12).collect()
+    order = sorted(dealt, key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["text"]))
+    assert [r["range"] for r in order] == sorted(r["range"] for r in order)
+    assert len({r["range"] for r in dealt if r["doc_id"] == 5}) > 1
+    got = fingerprints.edited_fingerprints(docs).select(*COLUMNS).collect()
+    assert sorted(map(tuple, got), key=str) == slow(rows)
+
+
+def test_texts_are_read_once(spark, tmp_path):
+    path = str(tmp_path / "docs.parquet")
+    spark.createDataFrame([(i, f"text {i}") for i in range(300)], "doc_id long, text string").write.parquet(path)
+    dealt = fingerprints._dealt(spark.read.parquet(path), 8)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ReadSchema") == 1
+    assert dealt.groupBy("range").count().count() > 4
