@@ -39,7 +39,27 @@ def _line(t: Column, a: Column, va: Column, b: Column, vb: Column) -> Column:
     return va + (vb - va) * (t - a) / (b - a)
 
 
-def align(series: DataFrame, step: int = 1, full_length: int | None = None, fade: float | None = None, slice_minutes: int = SLICE, keep_slice: bool = False) -> DataFrame:
+def _segments(series: DataFrame, step: int, full_length: int | None, slice_minutes: int, overlap: int = 0) -> DataFrame:
+    """What each observation covers of the grid (_begin to _stop), cut and dealt by slices of time; a slice goes on for overlap
+    minutes into the next one.
+
+    Segments are small and what is made of them isn't, so they are dealt to all shuffle partitions: by their own size, Spark
+    would join partitions to a few."""
+    end = F.col("_g1") if full_length is None else F.col("_g0") + (full_length - 1) * step
+    t, lone = F.col("chart_time"), F.col("_n") == 1
+    # What an observation covers: from itself to the next one; the first and the last one to the ends of the grid, too.
+    last = F.when(lone & F.lit(full_length is None), F.greatest(F.col("_g1"), t)).otherwise(end)
+    covered = _neighbours(series, slice_minutes).withColumns({"_from": F.when(F.col("_p").isNull(), F.col("_g0")).otherwise(t), "_to": F.when(F.col("_q").isNotNull(), F.least(F.col("_q.t") - step, end)).otherwise(last)}).where("_from <= _to")
+    first_slice, last_slice = F.floor(F.greatest(F.col("_from") - overlap, F.col("_g0")) / slice_minutes), F.floor(F.col("_to") / slice_minutes)
+    sliced = covered.drop("_slice").withColumn("_slice", F.explode(F.sequence(first_slice, last_slice)))
+    begin = F.greatest(F.col("_from"), F.col("_slice") * slice_minutes)
+    begin = F.col("_from") + F.ceil((begin - F.col("_from")) / step).cast("long") * step
+    stop = F.least(F.col("_to"), (F.col("_slice") + 1) * slice_minutes - 1 + overlap)
+    parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sliced.withColumns({"_begin": begin, "_stop": stop}).where("_begin <= _stop").repartition(parts, "subject_id", "_slice")
+
+
+def align(series: DataFrame, step: int = 1, full_length: int | None = None, fade: float | None = None, slice_minutes: int = SLICE, keep_slice: bool = False, keep_start: bool = False) -> DataFrame:
     """subject_id, item_name, chart_time, value, mask (1.0 observed, 0.0 not): each item on its subject's grid.
 
     The grid goes from the subject's first to its last observation over all items by step, or has full_length points from
@@ -47,20 +67,11 @@ def align(series: DataFrame, step: int = 1, full_length: int | None = None, fade
     edge points, with fade drawn to the mean of its points: weight exp(-distance / fade). A lone observation is repeated a
     step later, observed too. series: subject_id, item_name, chart_time (multiples of step from the subject's first), value,
     _ord. Rows are made and dealt by (subject, slice of time), so series and gaps of any length meet many tasks; keep_slice
-    keeps the column _slice, for ``wide``.
+    keeps the column _slice, for ``wide``; keep_start has the grid's first time beside each point, as _start.
     """
-    end = F.col("_g1") if full_length is None else F.col("_g0") + (full_length - 1) * step
     t, v, g = F.col("chart_time"), F.col("value"), F.col("_g")
     lone = F.col("_n") == 1
-    # What an observation covers: from itself to the next one; the first and the last one to the ends of the grid, too.
-    last = F.when(lone & F.lit(full_length is None), F.greatest(F.col("_g1"), t)).otherwise(end)
-    covered = _neighbours(series, slice_minutes).withColumns({"_from": F.when(F.col("_p").isNull(), F.col("_g0")).otherwise(t), "_to": F.when(F.col("_q").isNotNull(), F.least(F.col("_q.t") - step, end)).otherwise(last)}).where("_from <= _to")
-    first_slice, last_slice = F.floor(F.col("_from") / slice_minutes), F.floor(F.col("_to") / slice_minutes)
-    sliced = covered.drop("_slice").withColumn("_slice", F.explode(F.sequence(first_slice, last_slice)))
-    begin = F.greatest(F.col("_from"), F.col("_slice") * slice_minutes)
-    begin = F.col("_from") + F.ceil((begin - F.col("_from")) / step).cast("long") * step
-    stop = F.least(F.col("_to"), (F.col("_slice") + 1) * slice_minutes - 1)
-    dealt = sliced.withColumns({"_begin": begin, "_stop": stop}).where("_begin <= _stop").repartition("subject_id", "_slice")
+    dealt = _segments(series, step, full_length, slice_minutes)
     out = dealt.withColumn("_g", F.explode(F.sequence("_begin", "_stop", F.lit(step).cast("long"))))
     before, after = g < t, F.col("_q").isNull() & (g > t)
     value = F.when((g == t) | lone, v).when(after, _line(g, F.col("_p.t"), F.col("_p.v"), t, v)).otherwise(_line(g, t, v, F.col("_q.t"), F.col("_q.v")))
@@ -68,7 +79,7 @@ def align(series: DataFrame, step: int = 1, full_length: int | None = None, fade
         weight = F.exp(-F.abs(g - t) / fade)
         value = F.when(before | after, weight * value + (1 - weight) * F.col("_mean")).otherwise(value)
     seen = (g == t) | (lone & (g == t + step))
-    kept = ["_slice"] if keep_slice else []
+    kept = [*(["_slice"] if keep_slice else []), *([F.col("_g0").alias("_start")] if keep_start else [])]
     return out.select("subject_id", "item_name", g.alias("chart_time"), value.alias("value"), F.when(seen, 1.0).otherwise(0.0).alias("mask"), *kept)
 
 
