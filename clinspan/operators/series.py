@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clinspan.functions import scalars
 
@@ -96,6 +101,132 @@ def wide(aligned: DataFrame, items: list[str], empty: dict[str, float] | float =
     return aligned.where(F.col("item_name").isin(items)).groupBy(*by).agg(*cells).drop("_slice")
 
 
+class Slices(NamedTuple):
+    """Grid points of some slices of time, side by side: per slice its subject, first time, own points and all points (own ones
+    and the overlap), and at, the place of its first point in each array of columns (an array for each item and item_mask)."""
+
+    subject: np.ndarray
+    first: np.ndarray
+    own: np.ndarray
+    size: np.ndarray
+    at: np.ndarray
+    columns: dict[str, np.ndarray]
+
+    def places(self) -> np.ndarray:
+        """The place of each point in its slice."""
+        return np.arange(self.size.sum()) - np.repeat(self.at, self.size)
+
+
+#: Grid points that a task has in hand at once; a slice has at most its minutes and the overlap.
+POINTS = 200_000
+
+
+def on_grid(series: DataFrame, items: list[str], step: int, make: Callable[[Slices], Iterator[pa.RecordBatch]], schema: T.StructType | str, full_length: int | None = None, empty: dict[str, float] | float = 0.0, overlap: int = 0, first_only: bool = False, slice_minutes: int = SLICE) -> DataFrame:
+    """What make gives of the grid of ``align``, slice by slice, with overlap more points that follow in the next slices.
+
+    Segments between observations are what is shuffled, to slices of time; tasks fill them in as arrays of numpy, POINTS at a
+    time. No grid point is shuffled, hashed or sorted. Items and empty as in ``wide``: all items make a subject's grid, those
+    named have columns. first_only: a subject's first slice alone."""
+    t, v = F.col("chart_time"), F.col("value").cast("double")
+    lone, after = F.col("_n") == 1, F.col("_q").isNull()
+    # A line through two points serves a whole segment; a lone observation's is flat.
+    a, b = F.when(after, F.col("_p.t")).otherwise(t), F.when(after, t).otherwise(F.col("_q.t"))
+    va, vb = F.when(after, F.col("_p.v")).otherwise(v), F.when(after, v).otherwise(F.col("_q.v"))
+    place = F.array_position(F.array(*map(F.lit, items)), F.col("item_name")) - 1
+    segment = F.struct(
+        F.col("_begin").alias("begin"), F.col("_stop").alias("stop"), t.alias("t"), v.alias("v"), lone.cast("long").alias("lone"), place.alias("item"),
+        F.when(lone, t).otherwise(a).alias("a"), F.when(lone, v).otherwise(va).alias("va"), F.when(lone, 1).otherwise(b - a).alias("d"), F.when(lone, 0.0).otherwise(vb - va).alias("dv"),
+    )
+    cut = _segments(series, step, full_length, slice_minutes, overlap * step)
+    last = F.col("_begin") + F.floor((F.col("_stop") - F.col("_begin")) / step) * step
+    rows = cut.groupBy("subject_id", "_slice").agg(F.min("_begin").alias("first"), F.max(last).alias("last"), F.min("_g0").alias("start"), F.collect_list(F.when(place >= 0, segment)).alias("segments"))
+    if first_only:
+        rows = rows.where("first = start")
+    until = (F.col("_slice") + 1) * slice_minutes - 1
+    size = F.floor((F.col("last") - F.col("first")) / step) + 1
+    own = F.least(size, F.floor((until - F.col("first")) / step) + 1)
+    dealt = rows.where(F.col("first") <= until).select("subject_id", "first", own.alias("own"), size.alias("size"), "segments")
+    none = [float(empty[i] if isinstance(empty, dict) else empty) for i in items]
+
+    def fill(batches):
+        for batch in batches:
+            subject, first, own, size = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            lists = batch.column(4)
+            offsets, inside = lists.offsets.to_numpy(), lists.values
+            fields = {f.name: c.to_numpy(zero_copy_only=False) for f, c in zip(inside.type, inside.flatten(), strict=True)}
+            ends, begin = np.cumsum(size), 0
+            while begin < len(size):
+                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + POINTS, "right")))
+                own_of = slice(begin, end)
+                n = size[own_of]
+                at = np.cumsum(n) - n
+                s = {k: c[offsets[begin] : offsets[end]] for k, c in fields.items()}
+                of = np.repeat(np.arange(end - begin), np.diff(offsets[begin : end + 1]))
+                values, masks = np.repeat(np.array(none)[:, None], n.sum(), axis=1), np.zeros((len(items), n.sum()))
+                count = (s["stop"] - s["begin"]) // step + 1
+                k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                put = np.repeat(at[of] + (s["begin"] - first[own_of][of]) // step, count) + k
+                s = {name: np.repeat(c, count) for name, c in s.items()}
+                g = s["begin"] + k * step
+                here = g == s["t"]
+                values[s["item"], put] = np.where(here, s["v"], s["va"] + s["dv"] * (g - s["a"]) / s["d"])
+                masks[s["item"], put] = here | ((s["lone"] == 1) & (g == s["t"] + step))
+                columns = {c: x for i, item in enumerate(items) for c, x in ((item, values[i]), (f"{item}_mask", masks[i]))}
+                yield from make(Slices(subject[own_of], first[own_of], own[own_of], n, at, columns))
+                begin = end
+
+    return dealt.mapInArrow(fill, schema)
+
+
+def aligned_wide(series: DataFrame, items: list[str], step: int = 1, **settings) -> DataFrame:
+    """The table of ``wide`` of the aligned series."""
+    names = [c for i in items for c in (i, f"{i}_mask")]
+
+    def rows(s: Slices):
+        k = s.places()
+        own = k < np.repeat(s.own, s.size)
+        time = np.repeat(s.first, s.size) + k * step
+        yield pa.RecordBatch.from_arrays([pa.array(x[own]) for x in (np.repeat(s.subject, s.size), time, *(s.columns[c] for c in names))], names=["subject_id", "chart_time", *names])
+
+    return on_grid(series, items, step, rows, _table("subject_id long, chart_time long", names), **settings)
+
+
+def _table(text: str, doubles) -> str:
+    return ", ".join([text, *(f"`{c}` double" for c in doubles)])
+
+
+def aligned_windows(series: DataFrame, items: list[str], step: int, length: int, cells: dict[str, tuple[str, Callable[[np.ndarray], np.ndarray]]], **settings) -> DataFrame:
+    """subject_id, start and cells of each window of length grid points. cells: name -> (column, what is wanted of its windows),
+    an array (windows, length) to one of (windows). Windows are views of a slice's arrays and aren't written out."""
+
+    def found(s: Slices):
+        if s.size.sum() < length:
+            return
+        k, n = s.places(), np.repeat(s.size, s.size)
+        (at,) = np.nonzero((k < np.repeat(s.own, s.size)) & (k + length <= n))
+        start = (np.repeat(s.first, s.size) + k * step)[at]
+        of = [f(np.lib.stride_tricks.sliding_window_view(s.columns[c], length))[at] for c, f in cells.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(s.subject, s.size)[at], start, *of)], names=["subject_id", "start", *cells])
+
+    return on_grid(series, items, step, found, _table("subject_id long, start long", cells), overlap=length - 1, **settings)
+
+
+def aligned_padded(series: DataFrame, items: list[str], step: int, length: int, **settings) -> DataFrame:
+    """``padded`` of the aligned series: a subject's first slice, with what follows up to length, holds its first rows."""
+
+    def first(s: Slices):
+        table = np.stack([s.columns[c] for c in (*items, *(f"{i}_mask" for i in items))], axis=1)
+        own = np.minimum(s.size, length)
+        steps, attention = np.zeros((len(own), length, table.shape[1])), (np.arange(length) < own[:, None]).astype("int32")
+        k = s.places()
+        steps[np.repeat(np.arange(len(own)), s.size)[k < length], k[k < length]] = table[k < length]
+        lists = lambda x, n: pa.ListArray.from_arrays(np.arange(0, len(x) + 1, n, dtype="int32"), x)
+        inner = lists(pa.array(steps.reshape(-1)), table.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(s.subject), lists(inner, length), lists(pa.array(attention.reshape(-1)), length)], names=["subject_id", "steps", "attention"])
+
+    return on_grid(series, items, step, first, "subject_id long, steps array<array<double>>, attention array<int>", overlap=length - 1, first_only=True, **settings)
+
+
 def window_length(minutes: int) -> int:
     return max(5, int(0.025 * minutes))
 

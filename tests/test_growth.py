@@ -30,3 +30,31 @@ def test_minutes_are_made_once(spark):
     for minutes in (10, 10**6):
         out = series.align(rows, 1, slice_minutes=minutes, keep_start=True).groupBy("subject_id", "_start").agg(F.min("chart_time").alias("first"), F.count(F.lit(1)).alias("n"))
         assert sorted(map(tuple, out.collect())) == [(1, 4, 4, 174), (2, 5, 5, 1)]
+
+
+def test_grids_inside_tasks_equal_rows(spark, monkeypatch):
+    """Slices filled in at once equal the grid of rows: overlaps over slices, absent items, lone observations, few points at a time."""
+    rng = np.random.default_rng(3)
+    rows = [(int(s), "abx"[rng.integers(3 if s % 2 else 1)], int(rng.integers(0, 4_000)) // 10 * 10, float(rng.random()), k) for k, s in enumerate(rng.integers(0, 9, 60))]
+    df = spark.createDataFrame([*rows, (20, "a", 50, 1.5, 100), (21, "x", 0, 1.0, 101), (21, "a", 3_000, 2.0, 102)], "subject_id long, item_name string, chart_time long, value double, _ord long")
+    plain = lambda out: sorted((tuple(np.round(np.array(x, dtype=float), 9).ravel().tolist() if isinstance(x, list) else round(x, 9) for x in r) for r in out.collect()), key=repr)
+    frame = series.wide(series.align(df, 10, slice_minutes=10**9), ["a", "b"], {"a": 0.5, "b": 7.0})
+    seen = series.wide(series.align(df, 10, slice_minutes=10**9), ["a", "b", "x"])
+    for points, minutes in ((1, 777), (10**6, 777), (10**6, 10**9)):
+        monkeypatch.setattr(series, "POINTS", points)
+        got = series.aligned_wide(df, ["a", "b"], 10, empty={"a": 0.5, "b": 7.0}, slice_minutes=minutes)
+        assert {r for r in plain(got)} >= {r for r in plain(frame)}
+        assert plain(series.aligned_wide(df, ["a", "b", "x"], 10, slice_minutes=minutes)) == plain(seen)
+        windows = series.windows(seen, ["b"], 31)
+        ends = windows.select("subject_id", "start", F.col("steps")[0][0].alias("a"), F.col("steps")[30][0].alias("z"), F.col("steps")[0][1].alias("m"))
+        cells = {"a": ("b", lambda w: w[:, 0]), "z": ("b", lambda w: w[:, -1]), "m": ("b_mask", lambda w: w[:, 0])}
+        assert plain(series.aligned_windows(df, ["b"], 10, 31, cells, slice_minutes=minutes)) == plain(ends)
+        assert plain(series.aligned_padded(df, ["a", "b", "x"], 10, 120, slice_minutes=minutes)) == plain(series.padded(seen, ["a", "b", "x"], 120))
+
+
+def test_no_grid_point_is_shuffled_or_written(spark):
+    for name in ("w1d_wide_frame", "w2_sliding_windows", "w3_scaled", "w6_padded_series", "w2_windows_180"):
+        text = plan(catalogue.QUERIES[name](spark, SF))
+        above = text.split("MapInArrow")[0]
+        assert "MapInArrow" in text and not any(x in above for x in ("Window", "Generate", "Join", "Repartition", "Relation"))
+        assert "Aggregate" not in above or name == "w2_windows_180"
