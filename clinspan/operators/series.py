@@ -121,12 +121,12 @@ class Slices(NamedTuple):
 POINTS = 200_000
 
 
-def on_grid(series: DataFrame, items: list[str], step: int, make: Callable[[Slices], Iterator[pa.RecordBatch]], schema: T.StructType | str, full_length: int | None = None, empty: dict[str, float] | float = 0.0, overlap: int = 0, first_only: bool = False, slice_minutes: int = SLICE) -> DataFrame:
+def on_grid(series: DataFrame, items: list[str], step: int, make: Callable[[Slices], Iterator[pa.RecordBatch]], schema: T.StructType | str, full_length: int | None = None, empty: dict[str, float] | float = 0.0, overlap: int = 0, first_only: bool = False, slice_minutes: int = SLICE, scaler: DataFrame | None = None) -> DataFrame:
     """What make gives of the grid of ``align``, slice by slice, with overlap more points that follow in the next slices.
 
     Segments between observations are what is shuffled, to slices of time; tasks fill them in as arrays of numpy, POINTS at a
     time. No grid point is shuffled, hashed or sorted. Items and empty as in ``wide``: all items make a subject's grid, those
-    named have columns. first_only: a subject's first slice alone."""
+    named have columns. first_only: a subject's first slice alone. scaler: items are z-scores by its one row, as of ``scale``."""
     t, v = F.col("chart_time"), F.col("value").cast("double")
     lone, after = F.col("_n") == 1, F.col("_q").isNull()
     # A line through two points serves a whole segment; a lone observation's is flat.
@@ -146,6 +146,8 @@ def on_grid(series: DataFrame, items: list[str], step: int, make: Callable[[Slic
     size = F.floor((F.col("last") - F.col("first")) / step) + 1
     own = F.least(size, F.floor((until - F.col("first")) / step) + 1)
     dealt = rows.where(F.col("first") <= until).select("subject_id", "first", own.alias("own"), size.alias("size"), "segments")
+    one = scaler.first() if scaler is not None else None
+    mean, sd = ([float(one[f"{i}_{part}"]) if one else default for i in items] for part, default in (("mean", 0.0), ("sd", 1.0)))
     none = [float(empty[i] if isinstance(empty, dict) else empty) for i in items]
 
     def fill(batches):
@@ -171,6 +173,8 @@ def on_grid(series: DataFrame, items: list[str], step: int, make: Callable[[Slic
                 here = g == s["t"]
                 values[s["item"], put] = np.where(here, s["v"], s["va"] + s["dv"] * (g - s["a"]) / s["d"])
                 masks[s["item"], put] = here | ((s["lone"] == 1) & (g == s["t"] + step))
+                if one:
+                    values = (values - np.array(mean)[:, None]) / np.array(sd)[:, None]
                 columns = {c: x for i, item in enumerate(items) for c, x in ((item, values[i]), (f"{item}_mask", masks[i]))}
                 yield from make(Slices(subject[own_of], first[own_of], own[own_of], n, at, columns))
                 begin = end

@@ -7,10 +7,13 @@ joins with the rows; what a fit has to fulfil (no slope left at a regression's o
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clinspan.operators.series import on_grid
+
 INTERCEPT = "(intercept)"
 
 
@@ -109,3 +112,59 @@ def same_scores(by_table: DataFrame, by_model: DataFrame, key: str, within: floa
 
 def as_array(df: DataFrame, column: str = "features") -> DataFrame:
     return df.withColumn(column, vector_to_array(column))
+
+
+def window_covariance(series: DataFrame, items: list[str], step: int, length: int, **settings) -> np.ndarray:
+    """The sample covariance of the aligned series' windows of length grid points, side by side as vectors (as
+    ``model.window_vectors``: step by step, items and then masks): products of the windows that a task has in hand, added up."""
+    size = 2 * len(items) * length
+    cells = ", ".join(f"c{j} double" for j in range(size))
+
+    def sums(s):
+        rows = _window_rows(s, items, length)[0]
+        table = np.vstack([rows.T @ rows, rows.sum(axis=0)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1)), pa.array(np.full(size + 1, len(rows))), *(pa.array(c) for c in table.T.copy())], names=["i", "n", *(f"c{j}" for j in range(size))])
+
+    found = on_grid(series, items, step, sums, f"i long, n long, {cells}", overlap=length - 1, **settings)
+    out, mean, n = np.zeros((size, size)), np.zeros(size), 0
+    for r in found.groupBy("i").agg(F.sum("n").alias("n"), *(F.sum(f"c{j}").alias(f"c{j}") for j in range(size))).toLocalIterator():  # a row for each place
+        values = np.array(r[2:])
+        if r["i"] < size:
+            out[r["i"]] = values
+        else:
+            mean, n = values, r["n"]
+    out = (out - np.outer(mean, mean) / max(1, n)) / max(1, n - 1)
+    return (out + out.T) / 2
+
+
+def window_codes(series: DataFrame, items: list[str], step: int, length: int, table: DataFrame, k: int, **settings) -> DataFrame:
+    """subject_id, embedding (its windows' mean code by the table of ``components``), error (the mean squared rest of a
+    window) and n_windows."""
+    loads = np.zeros((2 * len(items) * length, k))
+    for r in table.toLocalIterator():
+        loads[r["place"], r["component"] - 1] = r["loading"]
+
+    def sums(s):
+        rows, of = _window_rows(s, items, length)
+        code = rows @ loads
+        error = ((rows * rows).sum(axis=1) - (code * code).sum(axis=1)) / rows.shape[1]
+        which, start = np.unique(of, return_index=True)
+        add = lambda x: np.add.reduceat(x, start, axis=0) if len(start) else x[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(s.subject[which]), pa.array(add(np.ones(len(of), dtype="int64"))), pa.array(add(error)), *(pa.array(c) for c in add(code).T.copy())], names=["subject_id", "n", "e", *(f"c{j}" for j in range(k))])
+
+    schema = "subject_id long, n long, e double, " + ", ".join(f"c{j} double" for j in range(k))
+    own = on_grid(series, items, step, sums, schema, overlap=length - 1, **settings).groupBy("subject_id")
+    n = F.sum("n")
+    return own.agg(F.array(*(F.sum(f"c{j}") / n for j in range(k))).alias("embedding"), (F.sum("e") / n).alias("error"), n.alias("n_windows"))
+
+
+def _window_rows(s, items: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of slices as rows, and the number of the slice that each begins in."""
+    names = [*items, *(f"{i}_mask" for i in items)]
+    if s.size.sum() < length:
+        return np.zeros((0, length * len(names))), np.zeros(0, dtype="int64")
+    k, n = s.places(), np.repeat(s.size, s.size)
+    (at,) = np.nonzero((k < np.repeat(s.own, s.size)) & (k + length <= n))
+    table = np.stack([s.columns[c] for c in names], axis=1)
+    rows = np.lib.stride_tricks.sliding_window_view(table, length, axis=0)[at].transpose(0, 2, 1).reshape(len(at), -1)
+    return rows, np.repeat(np.arange(len(s.size)), s.size)[at]

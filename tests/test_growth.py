@@ -58,3 +58,13 @@ def test_no_grid_point_is_shuffled_or_written(spark):
         above = text.split("MapInArrow")[0]
         assert "MapInArrow" in text and not any(x in above for x in ("Window", "Generate", "Join", "Repartition", "Relation"))
         assert "Aggregate" not in above or name == "w2_windows_180"
+
+
+def test_windows_of_embeddings_are_not_written(spark):
+    """Covariance and mean codes of windows that tasks make equal those of the windows written out."""
+    vectors = np.array([r[0] for r in catalogue._window_vectors(spark, SF).select(model.vector_to_array("features")).collect()])
+    rows, items = catalogue._hourly(spark, SF), list(lens.ITEMS)
+    scaler = series.fit_scaler(catalogue._wide(spark, SF), items)
+    assert np.allclose(model_tables.window_covariance(rows, items, 60, 12, scaler=scaler), np.cov(vectors.T), atol=1e-9)
+    codes = catalogue._window_codes(spark, SF)
+    assert "features" not in codes.columns and codes.agg(F.sum("n_windows")).first()[0] == len(vectors)
