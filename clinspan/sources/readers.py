@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import schemas, scratch
+from . import schemas, scratch, sinks
 
 
 def read_text_table(spark: SparkSession, path: str, subjects: DataFrame | None = None) -> DataFrame:
@@ -76,10 +76,12 @@ def first_rows(df: DataFrame, k: int) -> DataFrame:
     return first.withColumn("place", F.row_number().over(Window.orderBy("_ord")).cast("long")).drop("_ord")
 
 
-def read_documents(spark: SparkSession, path: str, pretty: bool = False) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, pretty: bool = False, paragraphs: bool = False) -> DataFrame:
     """Subject documents below path, at any depth; label 1 or 0 from a folder died or survived (or outcome=...), else null.
-    pretty: a file holds one document over many lines, or an array of such; else each line is one."""
-    df = spark.read.schema(schemas.DOCUMENT).option("recursiveFileLookup", True).option("multiLine", pretty).json(path)
+    pretty: a file holds one document over many lines, or an array of such; paragraphs: many, with an empty line between two;
+    else each line is one."""
+    reader = spark.read.schema(schemas.DOCUMENT).option("recursiveFileLookup", True).option("multiLine", pretty)
+    df = (reader.option("lineSep", sinks.PARAGRAPH) if paragraphs else reader).json(path)
     folder = F.regexp_extract(F.col("_metadata.file_path"), r"/(?:outcome=)?(died|survived)/", 1)
     return df.withColumn("label", F.when(folder == "died", 1).when(folder == "survived", 0))
 

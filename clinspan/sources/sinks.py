@@ -6,16 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_documents(documents: DataFrame, path: str) -> None:
-    """JSON lines, partitioned by outcome (died or survived)."""
-    documents.write.mode("overwrite").partitionBy("outcome").json(path)
+def write_documents(documents: DataFrame, path: str, compression: str = "none") -> None:
+    """JSON lines, partitioned by outcome (died or survived). A compressed file (gzip) is read by one task, as it was written."""
+    documents.write.mode("overwrite").option("compression", compression).partitionBy("outcome").json(path)
 
 
-def write_pretty_documents(documents: DataFrame, path: str) -> None:
-    """A file of its own for each document, indented over many lines, in a folder for each outcome: for people and other
-    programs to open. Large tables are better kept as JSON lines."""
+#: Between indented documents of one file: an empty line, which no document has inside.
+PARAGRAPH = "\n\n"
+
+
+def write_pretty_documents(documents: DataFrame, path: str, one_file_each: bool = True) -> None:
+    """Documents indented over many lines, in a folder for each outcome: for people and other programs to open. A file of its
+    own for each document, or, as large tables need, one for all of a task's, with an empty line between two."""
     text = F.to_json(F.struct(*(c for c in documents.columns if c != "outcome")), {"pretty": "true"}).alias("text")
-    documents.select("outcome", text).write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("outcome").text(path)
+    writer = documents.select("outcome", text).write.mode("overwrite").partitionBy("outcome")
+    (writer.option("maxRecordsPerFile", 1) if one_file_each else writer.option("lineSep", PARAGRAPH).option("compression", "gzip")).text(path)
 
 
 def write_feature_table(features: DataFrame, path: str, as_parquet: bool = False) -> None:

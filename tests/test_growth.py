@@ -68,3 +68,14 @@ def test_windows_of_embeddings_are_not_written(spark):
     assert np.allclose(model_tables.window_covariance(rows, items, 60, 12, scaler=scaler), np.cov(vectors.T), atol=1e-9)
     codes = catalogue._window_codes(spark, SF)
     assert "features" not in codes.columns and codes.agg(F.sum("n_windows")).first()[0] == len(vectors)
+
+
+def test_indented_documents_of_one_file(spark, tmp_path):
+    """A task's documents are one file of paragraphs; blank lines inside texts don't cut them."""
+    names = ["x", "a\n\nb", '{\n\n"subject_id": 9}', ""]
+    rows = [(i, [{"chart_time": i, "item_name": names[i % 4], "value": 1.5}] * (i % 3), "died" if i % 4 == 0 else "survived") for i in range(300)]
+    df = spark.createDataFrame(rows, "subject_id long, labs array<struct<chart_time:long,item_name:string,value:double>>, outcome string").coalesce(2)
+    sinks.write_pretty_documents(df, str(tmp_path / "docs"), one_file_each=False)
+    assert len(list((tmp_path / "docs").rglob("part-*"))) <= 4
+    got = readers.read_documents(spark, str(tmp_path / "docs"), paragraphs=True).select("subject_id", "label", "labs.item_name").collect()
+    assert sorted(map(tuple, got)) == [(i, int(i % 4 == 0), [names[i % 4]] * (i % 3)) for i in range(300)]
