@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clinspan.functions import scalars
+from clinspan.sources import scratch
 
 
 #: Minutes of a slice: a subject's series are dealt to tasks by them.
@@ -121,12 +122,9 @@ class Slices(NamedTuple):
 POINTS = 200_000
 
 
-def on_grid(series: DataFrame, items: list[str], step: int, make: Callable[[Slices], Iterator[pa.RecordBatch]], schema: T.StructType | str, full_length: int | None = None, empty: dict[str, float] | float = 0.0, overlap: int = 0, first_only: bool = False, slice_minutes: int = SLICE, scaler: DataFrame | None = None) -> DataFrame:
-    """What make gives of the grid of ``align``, slice by slice, with overlap more points that follow in the next slices.
-
-    Segments between observations are what is shuffled, to slices of time; tasks fill them in as arrays of numpy, POINTS at a
-    time. No grid point is shuffled, hashed or sorted. Items and empty as in ``wide``: all items make a subject's grid, those
-    named have columns. first_only: a subject's first slice alone. scaler: items are z-scores by its one row, as of ``scale``."""
+def slices(series: DataFrame, items: list[str], step: int, full_length: int | None = None, overlap: int = 0, first_only: bool = False, slice_minutes: int = SLICE) -> DataFrame:
+    """subject_id, first, own, size, segments: the slices of time that ``on_grid`` fills in, its settings those of that. Kept as a
+    table, they serve several passes over the grid."""
     t, v = F.col("chart_time"), F.col("value").cast("double")
     lone, after = F.col("_n") == 1, F.col("_q").isNull()
     # A line through two points serves a whole segment; a lone observation's is flat.
@@ -145,7 +143,17 @@ def on_grid(series: DataFrame, items: list[str], step: int, make: Callable[[Slic
     until = (F.col("_slice") + 1) * slice_minutes - 1
     size = F.floor((F.col("last") - F.col("first")) / step) + 1
     own = F.least(size, F.floor((until - F.col("first")) / step) + 1)
-    dealt = rows.where(F.col("first") <= until).select("subject_id", "first", own.alias("own"), size.alias("size"), "segments")
+    return rows.where(F.col("first") <= until).select("subject_id", "first", own.alias("own"), size.alias("size"), "segments")
+
+
+def on_grid(series: DataFrame | None, items: list[str], step: int, make: Callable[[Slices], Iterator[pa.RecordBatch]], schema: T.StructType | str, empty: dict[str, float] | float = 0.0, scaler: DataFrame | None = None, cut: DataFrame | None = None, **settings) -> DataFrame:
+    """What make gives of the grid of ``align``, slice by slice, with overlap more points that follow in the next slices.
+
+    Segments between observations are what is shuffled, to slices of time; tasks fill them in as arrays of numpy, POINTS at a
+    time. No grid point is shuffled, hashed or sorted. Items and empty as in ``wide``: all items make a subject's grid, those
+    named have columns. settings: those of ``slices``, as first_only: a subject's first slice alone. cut: slices that are made
+    already (series isn't read). scaler: items are z-scores by its one row, as of ``scale``."""
+    dealt = slices(series, items, step, **settings) if cut is None else cut
     one = scaler.first() if scaler is not None else None
     mean, sd = ([float(one[f"{i}_{part}"]) if one else default for i in items] for part, default in (("mean", 0.0), ("sd", 1.0)))
     none = [float(empty[i] if isinstance(empty, dict) else empty) for i in items]
@@ -265,6 +273,28 @@ def fit_scaler(train: DataFrame, items: list[str]) -> DataFrame:
     return train.agg(*cells)
 
 
+def slices_scaler(cut: DataFrame, items: list[str], step: int, empty: dict[str, float] | float = 0.0) -> DataFrame:
+    """``fit_scaler`` of the grid of ``slices``: tasks give a mean and a sum of squares about it for the points in hand, so that
+    the grid's rows aren't made."""
+
+    def sums(s: Slices):
+        own = s.places() < np.repeat(s.own, s.size)
+        cells = []
+        for i in items:
+            x = s.columns[i][own]
+            off = x - x[0]  # a constant's mean is itself, its squares are nil
+            cells += [x[0] + off.mean(), ((off - off.mean()) ** 2).sum()]
+        yield pa.RecordBatch.from_arrays([pa.array([int(own.sum())]), *(pa.array([float(c)]) for c in cells)], names=["n", *names])
+
+    names = [c for i in items for c in (f"{i}_mean", f"{i}_m2")]
+    parts = scratch.kept(on_grid(None, items, step, sums, _table("n long", names), empty, cut=cut), "sums")
+    same = lambda i: F.min(f"{i}_mean") == F.max(f"{i}_mean")
+    means = parts.agg(*(F.when(same(i), F.min(f"{i}_mean")).otherwise(F.sum(F.col("n") * F.col(f"{i}_mean")) / F.sum("n")).alias(f"{i}_mean") for i in items))
+    found = scalars.literals(means)
+    sd = {i: F.sqrt(F.sum(F.col(f"{i}_m2") + F.col("n") * (F.col(f"{i}_mean") - found[f"{i}_mean"]) ** 2) / F.sum("n")) for i in items}
+    return parts.agg(*(c for i in items for c in (F.max(found[f"{i}_mean"]).alias(f"{i}_mean"), F.when(sd[i] == 0, 1.0).otherwise(sd[i]).alias(f"{i}_sd"))))
+
+
 def scale(frame: DataFrame, scaler: DataFrame, items: list[str]) -> DataFrame:
     """Items as z-scores of the scaler's one row; masks stay."""
     found = scalars.literals(scaler)

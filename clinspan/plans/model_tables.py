@@ -114,43 +114,63 @@ def as_array(df: DataFrame, column: str = "features") -> DataFrame:
     return df.withColumn(column, vector_to_array(column))
 
 
-def window_covariance(series: DataFrame, items: list[str], step: int, length: int, **settings) -> np.ndarray:
+def window_covariance(series: DataFrame | None, items: list[str], step: int, length: int, **settings) -> np.ndarray:
     """The sample covariance of the aligned series' windows of length grid points, side by side as vectors (as
-    ``model.window_vectors``: step by step, items and then masks): products of the windows that a task has in hand, added up."""
-    size = 2 * len(items) * length
-    cells = ", ".join(f"c{j} double" for j in range(size))
-
-    def sums(s):
-        rows = _window_rows(s, items, length)[0]
-        table = np.vstack([rows.T @ rows, rows.sum(axis=0)])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1)), pa.array(np.full(size + 1, len(rows))), *(pa.array(c) for c in table.T.copy())], names=["i", "n", *(f"c{j}" for j in range(size))])
-
-    found = on_grid(series, items, step, sums, f"i long, n long, {cells}", overlap=length - 1, **settings)
-    out, mean, n = np.zeros((size, size)), np.zeros(size), 0
-    for r in found.groupBy("i").agg(F.sum("n").alias("n"), *(F.sum(f"c{j}").alias(f"c{j}") for j in range(size))).toLocalIterator():  # a row for each place
-        values = np.array(r[2:])
-        if r["i"] < size:
-            out[r["i"]] = values
-        else:
-            mean, n = values, r["n"]
-    out = (out - np.outer(mean, mean) / max(1, n)) / max(1, n - 1)
-    return (out + out.T) / 2
+    ``model.window_vectors``: step by step, items and then masks).
 
+    Windows aren't written out, not even in a task: the products of two places are those of a point and the one lag points on.
+    From one place to the next a slice's sum loses its first product and gets one more. A column of ones gives sums and counts."""
+    names = _columns(items)
+    m = len(names) + 1
 
-def window_codes(series: DataFrame, items: list[str], step: int, length: int, table: DataFrame, k: int, **settings) -> DataFrame:
+    def sums(s):
+        x = np.stack([*(s.columns[c] for c in names), np.ones(s.size.sum())])
+        n = _windows(s, length)
+        begins = x * (s.places() < np.repeat(n, s.size))
+        at, n = s.at[n > 0], n[n > 0]
+        found = []
+        for lag in range(length if len(n) else 0):
+            total = begins[:, : x.shape[1] - lag] @ x[:, lag:].T
+            for a in range(length - lag):
+                found.append(((lag * length + a) * m * m + np.arange(m * m), total.ravel()))
+                if a + lag + 1 < length:
+                    total = total - x[:, at + a] @ x[:, at + a + lag].T + x[:, at + a + n] @ x[:, at + a + n + lag].T
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["cell", "total"])
+
+    found = on_grid(series, items, step, sums, "cell long, total double", overlap=length - 1, **settings)
+    out = np.zeros((length, m, length, m))
+    for cell, total in found.groupBy("cell").agg(F.sum("total")).collect():  # as many as pairs of places, a parameter
+        lag, a, i, j = np.unravel_index(cell, (length, length, m, m))
+        out[a, i, a + lag, j] = out[a + lag, j, a, i] = total
+    n = max(1.0, out[0, -1, 0, -1])
+    mean = np.stack([out[a, :-1, a, -1] for a in range(length)]).ravel() / n
+    size = len(mean)
+    products = (out[:, :-1, :, :-1].reshape(size, size) - n * np.outer(mean, mean)) / max(1, n - 1)
+    return (products + products.T) / 2
+
+
+def window_codes(series: DataFrame | None, items: list[str], step: int, length: int, table: DataFrame, k: int, **settings) -> DataFrame:
     """subject_id, embedding (its windows' mean code by the table of ``components``), error (the mean squared rest of a
-    window) and n_windows."""
-    loads = np.zeros((2 * len(items) * length, k))
+    window) and n_windows. Codes are sums of each place's part, without the windows."""
+    names = _columns(items)
+    loads = np.zeros((len(names) * length, k))
     for r in table.toLocalIterator():
         loads[r["place"], r["component"] - 1] = r["loading"]
+    loads = loads.reshape(length, len(names), k)
 
     def sums(s):
-        rows, of = _window_rows(s, items, length)
-        code = rows @ loads
-        error = ((rows * rows).sum(axis=1) - (code * code).sum(axis=1)) / rows.shape[1]
-        which, start = np.unique(of, return_index=True)
-        add = lambda x: np.add.reduceat(x, start, axis=0) if len(start) else x[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(s.subject[which]), pa.array(add(np.ones(len(of), dtype="int64"))), pa.array(add(error)), *(pa.array(c) for c in add(code).T.copy())], names=["subject_id", "n", "e", *(f"c{j}" for j in range(k))])
+        n = _windows(s, length)
+        if not n.any():
+            return
+        x = np.stack([s.columns[c] for c in names])
+        squares = (x * x).sum(axis=0)
+        until = x.shape[1] - length + 1
+        (at,) = np.nonzero(s.places() < np.repeat(n, s.size))
+        code = sum(loads[a].T @ x[:, a : a + until] for a in range(length))[:, at]
+        error = (sum(squares[a : a + until] for a in range(length))[at] - (code * code).sum(axis=0)) / loads[:, :, 0].size
+        add = lambda v: np.add.reduceat(v, (np.cumsum(n) - n)[n > 0])
+        yield pa.RecordBatch.from_arrays([pa.array(s.subject[n > 0]), pa.array(n[n > 0]), pa.array(add(error)), *(pa.array(add(c)) for c in code)], names=["subject_id", "n", "e", *(f"c{j}" for j in range(k))])
 
     schema = "subject_id long, n long, e double, " + ", ".join(f"c{j} double" for j in range(k))
     own = on_grid(series, items, step, sums, schema, overlap=length - 1, **settings).groupBy("subject_id")
@@ -158,13 +178,10 @@ def window_codes(series: DataFrame, items: list[str], step: int, length: int, ta
     return own.agg(F.array(*(F.sum(f"c{j}") / n for j in range(k))).alias("embedding"), (F.sum("e") / n).alias("error"), n.alias("n_windows"))
 
 
-def _window_rows(s, items: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of slices as rows, and the number of the slice that each begins in."""
-    names = [*items, *(f"{i}_mask" for i in items)]
-    if s.size.sum() < length:
-        return np.zeros((0, length * len(names))), np.zeros(0, dtype="int64")
-    k, n = s.places(), np.repeat(s.size, s.size)
-    (at,) = np.nonzero((k < np.repeat(s.own, s.size)) & (k + length <= n))
-    table = np.stack([s.columns[c] for c in names], axis=1)
-    rows = np.lib.stride_tricks.sliding_window_view(table, length, axis=0)[at].transpose(0, 2, 1).reshape(len(at), -1)
-    return rows, np.repeat(np.arange(len(s.size)), s.size)[at]
+def _columns(items: list[str]) -> list[str]:
+    return [*items, *(f"{i}_mask" for i in items)]
+
+
+def _windows(s, length: int) -> np.ndarray:
+    """How many windows begin in each slice: at its first points."""
+    return np.maximum(0, np.minimum(s.own, s.size - length + 1)).astype("int64")

@@ -90,3 +90,45 @@ def test_documents_are_written_compressed(spark, tmp_path):
         sizes.append(sum(f.stat().st_size for f in path.rglob("part-*")))
         assert readers.read_documents(spark, str(path)).where("label = 1").agg(F.sum("subject_id")).first()[0] == 1_999_000
     assert sizes[1] * 3 < sizes[0]
+
+
+def _random_series(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(s), "abk"[rng.integers(3)], int(rng.integers(0, 3_000)) // 10 * 10, float(rng.random()), k) for k, s in enumerate(rng.integers(0, 7, 90))]
+    rows = [(*r[:3], 0.1, r[4]) if r[1] == "k" else r for r in rows]
+    return spark.createDataFrame([*rows, (20, "a", 50, 1.5, 100)], "subject_id long, item_name string, chart_time long, value double, _ord long")
+
+
+def test_segments_of_embeddings_are_made_once(spark, monkeypatch):
+    """Scaler, covariance and codes read one table of slices, and no task makes windows."""
+    made, plain_segments = [], series._segments
+    monkeypatch.setattr(series, "_segments", lambda *a: made.append(1) or plain_segments(*a))
+    monkeypatch.setattr(np.lib.stride_tricks, "sliding_window_view", None)
+    assert catalogue._window_codes(spark, SF).count() > 0
+    assert len(made) == 1
+
+
+def test_window_sums_equal_those_of_windows(spark, monkeypatch):
+    """Sums of lagged products and of parts of codes, over slices shorter and longer than a window and few points at a time."""
+    df, items, length = _random_series(spark), ["a", "b", "k"], 7
+    frame = series.wide(series.align(df, 10, slice_minutes=10**9), items).localCheckpoint()
+    scaler = series.fit_scaler(frame, items)
+    windows = model.window_vectors(series.windows(series.scale(frame, scaler, items), items, length)).select("subject_id", model.vector_to_array("features").alias("v")).collect()
+    v = np.array([r["v"] for r in windows])
+    table = model_tables.components(np.cov(v.T), 2, spark)
+    loads = np.zeros((v.shape[1], 2))
+    for r in table.collect():
+        loads[r["place"], r["component"] - 1] = r["loading"]
+    for points, minutes in ((1, 37), (150, 400), (10**6, 10**9)):
+        monkeypatch.setattr(series, "POINTS", points)
+        cut = series.slices(df, items, 10, overlap=length - 1, slice_minutes=minutes)
+        for name, x in series.slices_scaler(cut, items, 10).first().asDict().items():
+            assert np.isclose(x, scaler.first()[name], atol=1e-12)
+        assert np.allclose(model_tables.window_covariance(None, items, 10, length, scaler=scaler, cut=cut), np.cov(v.T), atol=1e-9)
+        got = {r["subject_id"]: r for r in model_tables.window_codes(None, items, 10, length, table, 2, scaler=scaler, cut=cut).collect()}
+        assert got.keys() == {r["subject_id"] for r in windows}
+        for s, r in got.items():
+            own = np.array([w["v"] for w in windows if w["subject_id"] == s])
+            code = own @ loads
+            assert r["n_windows"] == len(own) and np.allclose(r["embedding"], code.mean(axis=0), atol=1e-9)
+            assert np.isclose(r["error"], ((own**2).sum() - (code**2).sum()) / own.size, atol=1e-9)
