@@ -336,5 +336,8 @@ def timeline(operations: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     deaths = operations.where("inhosp_death_time is not null").select("subject_id", F.col("inhosp_death_time").alias("chart_time")).distinct()
     parts.append(deaths.select("subject_id", "chart_time", F.lit("death").alias("kind"), F.lit("inhosp_death").alias("item_name"), none))
     order = Window.partitionBy("subject_id").orderBy("chart_time", "kind", "item_name", F.col("value").asc_nulls_first())
-    every = reduce(DataFrame.unionByName, parts).withColumn("place", F.row_number().over(order).cast("long"))
-    return every.select("subject_id", "place", "chart_time", "kind", "item_name", "value").sortWithinPartitions("subject_id", "place")
+    # As many partitions as the session has: by their compressed size, Spark would join them to a few. The window's sort leaves
+    # rows in the order of subject and place: they aren't sorted again.
+    every = reduce(DataFrame.unionByName, parts)
+    dealt = every.repartition(int(operations.sparkSession.conf.get("spark.sql.shuffle.partitions")), "subject_id")
+    return dealt.withColumn("place", F.row_number().over(order).cast("long")).select("subject_id", "place", "chart_time", "kind", "item_name", "value")

@@ -132,3 +132,16 @@ def test_window_sums_equal_those_of_windows(spark, monkeypatch):
             code = own @ loads
             assert r["n_windows"] == len(own) and np.allclose(r["embedding"], code.mean(axis=0), atol=1e-9)
             assert np.isclose(r["error"], ((own**2).sum() - (code**2).sum()) / own.size, atol=1e-9)
+
+
+def test_timeline_is_sorted_once(spark):
+    """Partitions stay as many as the session has, and the window's own sort leaves their rows in order."""
+    out = catalogue.QUERIES["w8_timeline"](spark, SF)
+    assert plan(out).count("Sort ") == 0 and "RepartitionByExpression" in plan(out)
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    timeline = series.timeline(lens.operations(spark, SF), lens.sources(spark, SF))
+    parts = timeline.select(F.spark_partition_id().alias("p"), "subject_id", "place").collect()
+    last = {}
+    for p, subject, place in parts:
+        assert last.get(p, (-1, 0)) < (subject, place) and (place == 1) == (last.get(p, (-1, 0))[0] != subject)
+        last[p] = (subject, place)
