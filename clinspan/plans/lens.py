@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clinspan.functions import codes
-from clinspan.sources import scratch
 
 DEPARTMENTS = [d[0] for d in codes.departments()]
 #: Sources of the series, by item.
@@ -95,18 +94,21 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
-def diagnosis(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
-    return (_lines(spark, sf_dir) if lines is None else lines).selectExpr(*_diagnosis("spark"))
+def diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).selectExpr(*_diagnosis("spark"))
 
 
-def medications(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
-    return (_lines(spark, sf_dir) if lines is None else lines).selectExpr(*_medications("spark"))
+def medications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).selectExpr(*_medications("spark"))
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with their orders, what diagnoses and medications are views of, joined once for both."""
-    rows = _lines(spark, sf_dir).select("o_custkey", "l_shipdate", "l_partkey", "l_orderkey", "l_linenumber", "l_suppkey")
-    return scratch.kept(rows, "lines")
+def lines(spark: SparkSession, sf_dir: str, **columns: tuple[str, ...]) -> DataFrame:
+    """Line items dealt by subject, each with these columns of the diagnosis and of the medication made of it, as structs: joined
+    and shuffled once for both, as numbers."""
+    rows = _lines(spark, sf_dir).repartition("o_custkey")
+    views = {"diagnosis": _diagnosis("spark"), "medication": _medications("spark")}
+    made = (F.struct(*(F.expr(e) for e in views[v] if e.rsplit(" AS ", 1)[1] in names)).alias(v) for v, names in columns.items())
+    return rows.select(F.col("o_custkey").alias("subject_id"), *made)
 
 
 def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
-from clinspan.operators import series
+from clinspan.operators import documents, select, series
 from clinspan.plans import catalogue, lens, model, model_tables
 from clinspan.sources import readers, sinks
 
@@ -153,3 +153,37 @@ def test_scaled_rows_come_from_one_table_of_slices(spark, monkeypatch):
     monkeypatch.setattr(series, "fit_scaler", None)  # the grid's rows aren't made for it
     assert catalogue.QUERIES["w3_scaled"](spark, SF).count() > 0
     assert len(made) == 1
+
+
+def test_documents_are_dealt_once(spark):
+    """Where joins shuffle, as on large tables, each source is read and dealt by subject once, nothing is written between, and rows
+    are nested where they are; documents hold what each table alone does."""
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, -1)
+    try:
+        docs = catalogue._documents(spark, SF)
+        text = docs._jdf.queryExecution().executedPlan().toString()
+        assert text.count("events.parquet") == text.count("lineitem.parquet") == 1 and text.count("orders.parquet") == 3
+        assert text.count("Exchange hashpartitioning") == 6 and "Exchange" not in text.split("Union")[0]
+        got = {r["subject_id"]: r for r in docs.collect()}
+    finally:
+        spark.conf.set(threshold, before)
+    died = dict(map(tuple, select.ever_died(lens.operations(spark, SF)).collect()))
+    assert {s: r["outcome"] for s, r in got.items()} == {s: "died" if x else "survived" for s, x in died.items()}
+    tables = {
+        "labs": (lens.source(spark, SF, "labs"), "value"), "vitals": (lens.source(spark, SF, "vitals"), "value"), "ward_vitals": (lens.source(spark, SF, "ward_vitals"), "value"),
+        "operations": (lens.operations(spark, SF), "op_id"), "diagnoses": (lens.diagnosis(spark, SF), "icd10_cm"), "medications": (lens.medications(spark, SF), "drug_name"),
+    }
+    for name, (table, column) in tables.items():
+        want = {s: sorted(x) for s, x in table.groupBy("subject_id").agg(F.collect_list(column)).collect()}
+        assert want and {s: sorted(x[column] for x in r[name]) for s, r in got.items()} == {s: want.get(s, []) for s in got}
+
+
+def test_documents_of_subjects(spark):
+    """A row may hold entries of several arrays; subjects without operations have no document, a null subject an empty one."""
+    ops = spark.createDataFrame([(1, 9, None), (1, 8, 5), (2, 7, None), (None, 6, 4)], "subject_id long, op_id long, death long").select("subject_id", F.struct("op_id", "death").alias("operations"))
+    both = spark.createDataFrame([(1, (3,), None), (1, (2,), ("b",)), (4, None, ("c",)), (None, (1,), ("d",))], "subject_id long, labs struct<v:long>, drugs struct<n:string>")
+    docs = documents.of_subjects(documents.nest_rows([ops, both]), "operations", "death").collect()
+    got = {r["subject_id"]: ([x["op_id"] for x in r["operations"]], [x["v"] for x in r["labs"]], [x["n"] for x in r["drugs"]], r["outcome"]) for r in docs}
+    assert got == {1: ([8, 9], [2, 3], ["b"], "died"), 2: ([7], [], [], "survived"), None: ([], [], [], "survived")}
